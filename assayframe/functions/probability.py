@@ -46,7 +46,8 @@ def bin_index(conf: Column, bins: int) -> Column:
 
 def ratio_ppm(a: Column, b: Column) -> Column:
     """Millionths, halves rounded up, in integers."""
-    return F.floor((a * 1000000 + F.floor(b / 2)) / b).cast("long")
+    a, b = a.cast("long"), b.cast("long")
+    return F.call_function("div", a * 1000000 + F.call_function("div", b, F.lit(2)), b)
 
 
 def softmax_entropy(logits: Column) -> Column:

@@ -1,9 +1,327 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and the SQL that must agree with them.
 
+Doubles are rounded to nine digits: exp and ln differ in their last bits between engines.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import bootstrap, calibration, degrade, describe, ensemble, head, identity, metrics, parser, sampling, validation
+from ..sources import fixtures
+from . import sql
+
+SEED, SALT = 20260803, "split"
+SIZES = {"train": 80, "calibration": 20, "test": 40}
+POOL = 64
+GRID = (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _eval(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.evaluate(fixtures.predictions(spark, sf))
+
+
+def _ens(spark: SparkSession, sf: str) -> DataFrame:
+    return ensemble.combine(_eval(spark, sf))
+
+
+def eval_rows(spark, sf):
+    return _eval(spark, sf).select(
+        "doc_id", "condition", "method", "p_raw", "p_cal", "correct", "conf_cal", "nll_cal", "brier_cal", "entropy_cal"
+    )
+
+
+def metrics_by_scope(spark, sf):
+    rows = _eval(spark, sf)
+    scoped = metrics.with_scope(rows)
+    keys = ["method", "scope"]
+    rank = metrics.ranking(scoped, keys, "error_score", ~F.col("correct"))
+    return metrics.summary(rows).join(metrics.ece(scoped, keys), keys).join(rank, keys)
+
+
+def ece_by_scope(spark, sf):
+    return metrics.ece(metrics.with_scope(_eval(spark, sf)), ["method", "scope"], 15)
+
+
+def reliability_bins(spark, sf):
+    return metrics.reliability(_eval(spark, sf), ["method"])
+
+
+def auroc_error(spark, sf):
+    return metrics.ranking(metrics.with_scope(_eval(spark, sf)), ["method", "scope"], "error_score", ~F.col("correct")).drop("average_precision")
+
+
+def average_precision_error(spark, sf):
+    return metrics.ranking(metrics.with_scope(_eval(spark, sf)), ["method", "scope"], "error_score", ~F.col("correct")).drop("auroc")
+
+
+def average_ranks(spark, sf):
+    return metrics.average_ranks(_eval(spark, sf).select("method", "doc_id", "condition", "error_score"), ["method"], "error_score").drop("error_score")
+
+
+def risk_coverage(spark, sf):
+    return metrics.risk_coverage(_eval(spark, sf), ["method"])
+
+
+def risk_coverage_thinned(spark, sf):
+    return metrics.thinned(risk_coverage(spark, sf))
+
+
+def paired_changes(spark, sf):
+    return metrics.paired_changes(_eval(spark, sf))
+
+
+def normalized_long(spark, sf):
+    return metrics.long_form(_eval(spark, sf))
+
+
+def expressed_parse(spark, sf):
+    return parser.parse(fixtures.predictions(spark, sf)).select("doc_id", "condition", "method", "valid", "answer", "stated", "reason")
+
+
+def parser_reason_counts(spark, sf):
+    return expressed_parse(spark, sf).groupBy("method", "reason").agg(F.count("*").alias("n"))
+
+
+def expressed_summary(spark, sf):
+    return parser.stated_summary(parser.parse(_eval(spark, sf)), ["method", "condition"])
+
+
+def ensemble_rows(spark, sf):
+    return _ens(spark, sf).select("doc_id", "condition", "p_mean", "variance", "expected_entropy", "predictive_entropy", "information_gap", "disagreement", "yes_votes", "correct")
+
+
+def ensemble_metrics(spark, sf):
+    return _ens(spark, sf).groupBy("condition").agg(
+        F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("information_gap").alias("information_gap"),
+        F.avg("variance").alias("variance"), F.sum((F.col("disagreement") > 0).cast("long")).alias("n_disagree"),
+    )
+
+
+def vote_disagreement(spark, sf):
+    return _ens(spark, sf).groupBy("yes_votes").agg(F.count("*").alias("n"), F.avg("disagreement").alias("disagreement"))
+
+
+def alignment_violations(spark, sf):
+    rows = _eval(spark, sf)
+    broken = rows.where("NOT (method = 'seed_2' AND doc_id % 50 = 7)")
+    return validation.alignment(broken, ["doc_id", "condition"], "method", "truth", 4)
+
+
+def uq_error_signals(spark, sf):
+    return ensemble.error_detection(_ens(spark, sf))
+
+
+def uq_degradation_signals(spark, sf):
+    return ensemble.degradation_detection(_ens(spark, sf))
+
+
+def seed_summary(spark, sf):
+    return ensemble.seed_summary(_eval(spark, sf))
+
+
+def _strata(spark, sf):
+    return fixtures.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+
+
+def class_counts(spark, sf):
+    return _strata(spark, sf).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+def quota_allocation(spark, sf):
+    return sampling.largest_remainder(class_counts(spark, sf), "quality", SIZES["train"])
+
+
+def selection_hash_rank(spark, sf):
+    return sampling.hash_ranked(_strata(spark, sf), "quality", "doc_id", SEED, SALT)
+
+
+def stratified_split(spark, sf):
+    return sampling.split(_strata(spark, sf), "quality", "doc_id", SIZES, SEED, SALT)
+
+
+def split_leakage(spark, sf):
+    return sampling.leakage(stratified_split(spark, sf).unionByName(stratified_split(spark, sf).where("doc_id % 7 = 0").withColumn("split", F.lit("again"))), "doc_id")
+
+
+def _inputs(spark, sf):
+    return fixtures.documents_with_questions(spark, sf)
+
+
+def token_jaccard(spark, sf):
+    q, p = T.tokens(F.col("question")), T.tokens(F.col("passage"))
+    return _inputs(spark, sf).select("doc_id", T.shared(q, p).cast("long").alias("shared"), T.union_size(q, p).cast("long").alias("either"), T.jaccard(q, p).alias("jaccard"))
+
+
+def exact_token_counts(spark, sf):
+    return _inputs(spark, sf).select("doc_id", F.size(T.exact_tokens(F.col("passage"))).cast("long").alias("n_tokens"))
+
+
+def sentence_counts(spark, sf):
+    s = T.sentences(F.col("text"))
+    return fixtures.table(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.sha2(F.array_join(s, "\n"), 256).alias("digest"))
+
+
+def best_sentence(spark, sf):
+    return degrade.best_sentence(_inputs(spark, sf)).select("doc_id", F.col("best.sentence").alias("sentence"), F.col("best.overlap").alias("overlap"))
+
+
+def evidence_removal(spark, sf):
+    return degrade.evidence_removal(_inputs(spark, sf)).select("doc_id", "status", "reason", F.sha2("transformed", 256).alias("sha"), F.array_join("flags", ",").alias("flags"))
+
+
+def prefix_truncation(spark, sf):
+    return degrade.prefix_truncation(_inputs(spark, sf)).select("doc_id", "status", "reason", F.sha2("transformed", 256).alias("sha"), F.col("original_tokens").cast("long").alias("original_tokens"))
+
+
+def contradiction(spark, sf):
+    return degrade.contradiction(_inputs(spark, sf)).select("doc_id", "status", "reason", F.sha2("transformed", 256).alias("sha"), F.array_join("flags", ",").alias("flags"))
+
+
+def _distractors(spark, sf):
+    rows = _inputs(spark, sf)
+    donors = degrade.donor_pool(rows, POOL)
+    return degrade.distractor(rows, donors, SEED), donors
+
+
+def distractor_top1(spark, sf):
+    return _distractors(spark, sf)[0].select("doc_id", "donor_id", "overlap", "tie", "eligible")
+
+
+def donor_reuse(spark, sf):
+    return degrade.donor_reuse(*_distractors(spark, sf))
+
+
+def condition_expand(spark, sf):
+    return fixtures.expand_conditions(_strata(spark, sf)).groupBy("condition", "quality").agg(F.count("*").alias("n"))
+
+
+def degradation_summary(spark, sf):
+    rows = _inputs(spark, sf)
+    own = rows.select("doc_id", "passage")
+    made = None
+    for name, f in (("lexical_evidence_removal", degrade.evidence_removal), ("prefix_truncation_50", degrade.prefix_truncation), ("lexical_contradiction", degrade.contradiction)):
+        part = f(rows).select("doc_id", "status", "transformed").withColumn("condition", F.lit(name))
+        made = part if made is None else made.unionByName(part)
+    return describe.degradation_summary(made.join(own, "doc_id"))
+
+
+def nearest_rank_percentiles(spark, sf):
+    return describe.nearest_rank(fixtures.table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", (5, 50, 95))
+
+
+def prompt_length_stats(spark, sf):
+    docs = fixtures.table(spark, sf, "documents").select("lang", F.length("text").cast("long").alias("chars"))
+    return describe.nearest_rank(docs, ["lang"], "chars", (50, 90, 99), half_even=True)
+
+
+def linear_quantiles(spark, sf):
+    return fixtures.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
+        F.expr("percentile(l_extendedprice, 0.025)").alias("low"), F.expr("percentile(l_extendedprice, 0.975)").alias("high")
+    )
+
+
+def row_identity(spark, sf):
+    return _strata(spark, sf).select("doc_id", identity.text_id("input", F.col("doc_id"), F.col("quality")).alias("input_id"))
+
+
+def canonical_rows(spark, sf):
+    return identity.row_hash(_strata(spark, sf))
+
+
+def source_digest(spark, sf):
+    return identity.source_digest(fixtures.table(spark, sf, "documents"), "doc_id", "text")
+
+
+def standardizer_stats(spark, sf):
+    return head.standardizer(head.features(fixtures.table(spark, sf, "embeddings")))
+
+
+def _weights(spark):
+    return spark.range(64).select(F.col("id").cast("int").alias("dim"), ((F.col("id") % 7 - 3) / 4.0).alias("w"))
+
+
+def laplace_diagonal(spark, sf):
+    return head.diagonal(head.features(fixtures.table(spark, sf, "embeddings")), _weights(spark))
+
+
+def posterior_summary(spark, sf):
+    draws = spark.range(8).select(
+        F.col("id").cast("int").alias("draw"), F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: ((i * 5 + F.col("id") * 3) % 11 - 5) / 8.0).alias("weights")
+    )
+    return head.posterior(head.features(fixtures.table(spark, sf, "embeddings")), draws)
+
+
+def head_fit(spark, sf):
+    rows = head.features(fixtures.table(spark, sf, "embeddings")).where("fold <> 0")
+    w, h = head.fit_map(rows)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(w, h, strict=True))], "dim int, weight double, curvature double")
+
+
+def temperature_grid_nll(spark, sf):
+    return calibration.grid(fixtures.predictions(spark, sf), "method", GRID)
+
+
+def temperature_fit(spark, sf):
+    return calibration.fit(fixtures.predictions(spark, sf), "method")
+
+
+def bootstrap_differences(spark, sf):
+    rows = _eval(spark, sf)
+    weights = bootstrap.hash_weights(_strata(spark, sf), "doc_id", 20)
+    return bootstrap.differences(rows, "doc_id", weights, "baseline", {"accuracy": F.col("correct").cast("double"), "nll": F.col("nll_cal"), "brier": F.col("brier_cal")})
+
+
+def bootstrap_intervals(spark, sf):
+    return bootstrap.intervals(bootstrap_differences(spark, sf), ["d_accuracy", "d_nll", "d_brier"])
+
+
+def stage_selection(spark, sf):
+    docs = fixtures.table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"))
+    return sampling.stage(docs, "doc_id", 10, "chars")
+
+
+def validate_manifest(spark, sf):
+    docs = fixtures.table(spark, sf, "documents")
+    return validation.violations(docs, {
+        "has_text": F.length("text") > 0, "chars_agree": F.length("text") == F.col("n_chars"),
+        "known_language": F.col("lang").isin("en", "fr", "de", "es"), "short": F.col("n_chars") <= 768,
+    })
+
+
+def eligibility(spark, sf):
+    docs = fixtures.table(spark, sf, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
+    return docs.withColumn("eligible", F.col("n_words") <= 768)
+
+
+def duplicate_texts(spark, sf):
+    return fixtures.table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+_ALL = (
+    eval_rows, metrics_by_scope, ece_by_scope, reliability_bins, auroc_error, average_precision_error, average_ranks,
+    risk_coverage, risk_coverage_thinned, paired_changes, normalized_long, expressed_parse, parser_reason_counts,
+    expressed_summary, ensemble_rows, ensemble_metrics, vote_disagreement, alignment_violations, uq_error_signals,
+    uq_degradation_signals, seed_summary, class_counts, quota_allocation, selection_hash_rank, stratified_split,
+    split_leakage, token_jaccard, exact_token_counts, sentence_counts, best_sentence, evidence_removal, prefix_truncation,
+    contradiction, distractor_top1, donor_reuse, condition_expand, degradation_summary, nearest_rank_percentiles,
+    prompt_length_stats, linear_quantiles, row_identity, canonical_rows, source_digest, standardizer_stats,
+    laplace_diagonal, posterior_summary, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
+    bootstrap_intervals, stage_selection, validate_manifest, eligibility, duplicate_texts,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: (lambda spark, sf, f=f: rounded(f(spark, sf))) for f in _ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.statements()
