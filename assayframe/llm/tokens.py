@@ -8,6 +8,7 @@ lays the ids back into document order. The result equals encoding the whole text
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,11 @@ ODD_SPACE = (
     r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 )
 #: Words remembered by a worker between blocks.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The same for letters of Latin-1, on which no normalization acts.
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _OPEN: dict[str, "BlockTokenizer"] = {}
 
 
@@ -34,7 +38,9 @@ class BlockTokenizer:
         self.model = self.library.model
         self.normalize = self.library.normalizer.normalize_str
         self.pieces = self.library.pre_tokenizer.pre_tokenize_str
-        self.memo: dict[str, list[int]] = {}
+        self.latin = {c: self.pieces(chr(c))[0][0] for c in range(0xDF, 0x100)}  # their bytes, as the model spells them
+        self.words: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
     @classmethod
     def open(cls, path: str) -> "BlockTokenizer":
@@ -43,20 +49,38 @@ class BlockTokenizer:
             _OPEN[path] = cls(path)
         return _OPEN[path]
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of one chunk that holds no white space."""
-        memo, out = self.memo, []
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of one chunk that holds no white space, as raw 32-bit integers."""
+        words_known, out = self.words, []
         if chunk.isascii() and chunk.isprintable():
-            words = _ASCII.findall(chunk.lower())
+            words = (chunk.lower(),) if chunk.isalpha() else _ASCII.findall(chunk.lower())
+        elif _LATIN.fullmatch(chunk):
+            words = [w.translate(self.latin) for w in _LATIN_WORDS.findall(chunk.lower())]
         else:
-            words = [w for w, _ in self.pieces(self.normalize(chunk))]
+            words = self.split(chunk)
         for word in words:
-            ids = memo.get(word)
+            ids = words_known.get(word)
             if ids is None:
-                ids = [t.id for t in self.model.tokenize(word)]
-                if len(memo) < MEMO_WORDS and len(word) < 64:
-                    memo[word] = ids
-            out += ids
+                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+                if len(words_known) < MEMO_WORDS and len(word) < 64:
+                    words_known[word] = ids
+            out.append(ids)
+        return b"".join(out) if len(out) != 1 else out[0]
+
+    def split(self, chunk: str) -> list[str]:
+        """Words of a chunk, as the library's normalizer and pre-tokenizer give them."""
+        return [w for w, _ in self.pieces(self.normalize(chunk))]
+
+    def distinct(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; those met before are remembered."""
+        known = self.memo
+        out = list(map(known.get, chunks))
+        for i, ids in enumerate(out):
+            if ids is None:
+                chunk = chunks[i]
+                out[i] = ids = self.chunk(chunk)
+                if len(known) < MEMO_WORDS and len(chunk) < 64:
+                    known[chunk] = ids
         return out
 
     def whole(self, text: str) -> list[int]:
@@ -70,9 +94,9 @@ class BlockTokenizer:
         plain = pc.if_else(odd, pa.scalar("", pa.large_string()), texts) if len(odd_rows) else texts
         split = pc.ascii_split_whitespace(plain)
         coded = split.flatten().dictionary_encode()
-        per_chunk = [self.chunk(c) for c in coded.dictionary.to_pylist()]
-        lens = np.fromiter(map(len, per_chunk), dtype=np.int64, count=len(per_chunk))
-        table = np.fromiter((i for ids in per_chunk for i in ids), dtype=np.uint32, count=int(lens.sum()))
+        per_chunk = self.distinct(coded.dictionary.to_pylist())
+        lens = np.fromiter(map(len, per_chunk), dtype=np.int64, count=len(per_chunk)) // 4
+        table = np.frombuffer(b"".join(per_chunk), dtype=np.uint32)
         starts = np.cumsum(lens) - lens
         index = coded.indices.to_numpy(zero_copy_only=False)
         each = lens[index]

@@ -29,7 +29,7 @@ def rows():
     rng = random.Random(5)
     texts = [words_of(rng, rng.randint(1, 400)) for _ in range(120)]
     texts += [t.replace(" ", "  ", 1) for t in texts[:20]] + texts[:30]  # near copies and copies
-    texts += [words_of(rng, 30000), None, None, "", " \n\t ", "a", "Don't  \n\n   stop\x1c now É́ ﬁ 日本語 <|endoftext|> ΑΣ", "x\x01 y   ", "퟿ end  "]
+    texts += [words_of(rng, 30000), None, None, "", " \n\t ", "a", "Don't  \n\n   stop\x1c now É́ ﬁ 日本語 <|endoftext|> ΑΣ", "x\x01 y   ", "퟿ end  ", "L'été où ÀÉÎõü ß÷× naïve's µ ªº"]
     out = [(i, t, "en", "s", 7, "z", 1) for i, t in enumerate(texts)]
     out += [(3, "repeated id", "en", "s", 7, "z", 1), (3, "repeated id", "en", "s", 7, "z", 1), (None, "no id", None, None, None, None, None), (None, "no id", None, None, None, None, None)]
     return out
