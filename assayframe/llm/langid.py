@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a fit sees at most (those of the least hash), dimensions, centroids per language.
-MAX_LABELLED, DIMENSIONS, CENTROIDS = 4000, 4096, 4
+MAX_LABELLED, DIMENSIONS, CENTROIDS = 2500, 4096, 4
 #: A text is rejected below this part of the cosine that all but REJECT_QUANTILE of a language's training texts reach.
 REJECT_QUANTILE, REJECT_PART = 0.001, 0.8
 UNKNOWN = "und"
