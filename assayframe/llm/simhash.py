@@ -25,6 +25,8 @@ from .common import fine_grained, staged
 BITS = 64
 #: Node pairs held at once while walking.
 FRONTIER = 1 << 19
+#: A vertex that holds more than one in so many of the edge rows is joined by broadcast; there are fewer than HUBS of them.
+HUBS = 1000
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -190,16 +192,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) of every vertex of ``edges`` (a, b); root is the least id that is reachable.
 
     Alternating large-star and small-star contraction: each round is joins and min-aggregates on edge rows,
-    written to the shared folder, and the number of rounds grows with the logarithm of the longest path.
+    written to the shared folder, and the number of rounds grows with the logarithm of the longest path. The centre of a
+    large star would be a hot join key, so such centres, whose number HUBS bounds, meet their edges by broadcast.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def with_least(both: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        hubs = F.broadcast(least.where(F.col("n") * HUBS > n).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+        marked = both.join(hubs, F.col("u") == F.col("hub"), "left")
+        hot = marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m"))
+        cold = marked.where("hub is null").select("u", "v").join(least.where(F.col("n") * HUBS <= n).select("u", "m"), "u")
+        return hot.unionByName(cold)
+
+    def star(e: DataFrame, large: bool, edges: int) -> DataFrame:
         if large:
             both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         else:
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = both.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        joined = with_least(both, least, edges * (2 if large else 1))
         if large:
             moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -209,10 +219,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return moved.where("a <> b").distinct()
 
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen, n = None, e.count()
     for _ in range(rounds):
-        e = staged(star(star(e, True), False), "edges")
+        e = staged(star(star(e, True, n), False, n), "edges")  # a star has no more edges than it came from
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        n = now[0]
         if now == seen:
             break
         seen = now

@@ -206,6 +206,26 @@ def test_trie_walk_finds_every_pair(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_components_of_stars_paths_and_random_graphs(spark):
+    edges = [(0, i) for i in range(100, 5100)]  # one centre holds most edges
+    edges += [(10_000 + i, 10_001 + i) for i in range(200)]  # a long path
+    rng = np.random.default_rng(5)
+    edges += [tuple(map(int, e)) for e in rng.integers(20_000, 20_400, (260, 2))]
+    edges += [(7, 7), (100, 0), (-5, 10_150)]  # a loop, a repeated edge turned round, a negative id
+    forest = {v: v for e in edges for v in e}
+
+    def find(v):
+        while forest[v] != v:
+            v = forest[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        forest[b] = a
+    got = {r.id: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: find(v) for v in forest if find(v) != v}
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body class='has-sidebar'>"
     "<nav><ul><li><a href='/x'>Menu</a></li></ul></nav><div class='cookie-notice'>We use cookies</div><div class=ad>Buy this</div>"
