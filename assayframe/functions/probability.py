@@ -69,8 +69,20 @@ def argmax(logits: Column) -> Column:
 
 
 def warmup_cosine(step: Column, total: int, warmup: int) -> Column:
-    """Learning-rate factor: linear warm-up, then half a cosine."""
-    progress = (step - warmup).cast("double") / max(1, total - warmup)
-    return F.when(step < warmup, step.cast("double") / max(1, warmup)).otherwise(
-        F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress)))
-    )
+    """Learning-rate factor after ``step`` completed steps: linear warm-up that ends at 1, then half a cosine to 0."""
+    if not 0 <= warmup < total:
+        raise ValueError("warm-up must be shorter than the run")
+    progress = (step - warmup).cast("double") / (total - warmup)
+    down = 0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress))
+    return F.when(step < warmup, (step + 1).cast("double") / warmup).otherwise(down) if warmup else down
+
+
+def reduced(a: Column, b: Column, most: int) -> Column:
+    """The fraction a/b in lowest terms as text, 0/1 for an empty b, for b up to ``most``: the largest common divisor is
+    Euclid's, unrolled to the steps that such numbers can need."""
+    steps = 2 * max(1, most.bit_length())
+    state = F.struct(a.cast("long").alias("x"), b.cast("long").alias("y"))
+    turn = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, F.lit(0).cast("long")).otherwise(s["x"] % F.greatest(s["y"], F.lit(1).cast("long"))).alias("y"))
+    g = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, turn)["x"]
+    part = lambda v: F.call_function("div", v.cast("long"), F.greatest(g, F.lit(1).cast("long"))).cast("string")
+    return F.when(b == 0, F.lit("0/1")).otherwise(F.concat(part(a), F.lit("/"), part(b)))

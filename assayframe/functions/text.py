@@ -14,6 +14,7 @@ TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 _EXACT = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: A sentence ends after its marks and closing quotes where white space or the end follows, or at line ends.
 BOUNDARY = r"""([.!?]["')\]]*)(?:\s+|$)|\n+"""
+_BOUNDARY = re.compile(BOUNDARY)
 MARK = "\u0001"
 
 
@@ -59,6 +60,36 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(segments(text), strip), lambda s: s != "")
 
 
+def spans(text: Column) -> Column:
+    """(start, stop) of every sentence in code points of the text, without surrounding white space and empty sentences.
+
+    Offsets need a running sum, which array functions only give in quadratic time, so one pass in Python makes them.
+    """
+
+    @F.pandas_udf("array<struct<start:int,stop:int>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"start": a, "stop": b} for a, b in _spans(t or "")])
+
+    return run(text)
+
+
+def _spans(text: str):
+    at = 0
+    for stop in [*(m.end() for m in _BOUNDARY.finditer(text)), len(text)]:
+        part = text[at:stop]
+        if inner := part.strip():
+            start = at + len(part) - len(part.lstrip())
+            yield start, start + len(inner)
+        at = stop
+
+
+def trim_ids(ids: Column, eos: int, pad: int) -> Column:
+    """The ids before the first end or padding id."""
+    ends = F.transform(F.array(F.lit(eos), F.lit(pad)), lambda e: F.array_position(ids, e))
+    first = F.array_min(F.filter(ends, lambda p: p > 0))
+    return F.when(first.isNull(), ids).otherwise(F.slice(ids, F.lit(1), (first - 1).cast("int")))
+
+
 def prefix(text: Column, n: Column) -> Column:
     """The first ``n`` white-space tokens, joined by one space."""
     return F.array_join(F.slice(words(text), 1, n), " ")

@@ -63,6 +63,31 @@ def degradation_detection(ens: DataFrame) -> DataFrame:
     return metrics.ranking(rows, ["signal", "target"], "score", F.col("condition") != "original")
 
 
+def degradation_means(ens: DataFrame) -> DataFrame:
+    """Mean score of originals and of each degraded condition, and their difference, for every signal."""
+    means = signals(ens).groupBy("signal", "condition").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+    own = means.where("condition = 'original'").select("signal", F.col("mean").alias("mean_original"))
+    return means.where("condition <> 'original'").join(own, "signal").select(
+        "signal", F.col("condition").alias("target"), "n", "mean_original", F.col("mean").alias("mean_degraded"), (F.col("mean") - F.col("mean_original")).alias("difference")
+    )
+
+
+def seed_uq_summary(rows: DataFrame) -> DataFrame:
+    """How well each member's own predictive entropy ranks errors (target ``error``) and degraded evidence: mean, sample
+    deviation and range of AUROC and average precision over the members."""
+    own = rows.where("method <> 'baseline'").select("method", "condition", "correct", F.round("entropy_cal", 12).alias("score"))
+    degraded = [c for c in metrics_conditions() if c != "original"]
+    targets = F.when(F.col("condition") == "original", F.array(*map(F.lit, ["error", "any_degraded", *degraded]))).otherwise(
+        F.array(F.lit("error"), F.lit("any_degraded"), F.col("condition"))
+    )
+    wide = own.withColumn("target", F.explode(targets))
+    positive = F.when(F.col("target") == "error", ~F.col("correct")).otherwise(F.col("condition") != "original")
+    ranked = metrics.ranking(wide.withColumn("positive", positive), ["method", "target"], "score", F.col("positive"))
+    return ranked.groupBy("target").agg(
+        *(f(m).alias(f"{n}_{m}") for m in ("auroc", "average_precision") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max)))
+    )
+
+
 def metrics_conditions() -> tuple[str, ...]:
     from ..sources.fixtures import CONDITIONS
 

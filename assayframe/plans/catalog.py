@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import probability as P
 from ..functions import text as T
-from ..operators import bootstrap, calibration, degrade, describe, ensemble, head, identity, metrics, parser, sampling, validation
+from ..operators import bootstrap, calibration, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, validation
 from ..sources import fixtures
 from . import sql
 
@@ -306,7 +307,108 @@ def duplicate_texts(spark, sf):
     return fixtures.table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def sentence_spans(spark, sf):
+    spans = T.spans(F.col("text"))
+    docs = fixtures.table(spark, sf, "documents").select("doc_id", spans.alias("s"))
+    return docs.select("doc_id", F.size("s").cast("long").alias("n"), F.sha2(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"], x["stop"])), ","), 256).alias("digest"))
+
+
+def prompts(spark, sf):
+    made = records.prompt(F.col("passage"), F.col("question"))
+    return _inputs(spark, sf).select("doc_id", F.sha2(made, 256).alias("sha"), F.size(T.words(made)).cast("long").alias("n_tokens"))
+
+
+def _degraded(spark, sf):
+    rows = _inputs(spark, sf)
+    parts = [
+        f(rows).select("doc_id", "status", "reason", "transformed").withColumn("condition", F.lit(name))
+        for name, f in (("lexical_evidence_removal", degrade.evidence_removal), ("prefix_truncation_50", degrade.prefix_truncation), ("lexical_contradiction", degrade.contradiction))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def runtime_rows(spark, sf):
+    return records.runtime_rows(_inputs(spark, sf), _degraded(spark, sf))
+
+
+def prediction_rows(spark, sf):
+    return records.prediction_rows(runtime_rows(spark, sf), fixtures.predictions(spark, sf))
+
+
+def flag_counts(spark, sf):
+    rows = _inputs(spark, sf)
+    both = [f(rows).select("flags").withColumn("condition", F.lit(n)) for n, f in (("lexical_evidence_removal", degrade.evidence_removal), ("lexical_contradiction", degrade.contradiction))]
+    return describe.flag_counts(both[0].unionByName(both[1])).withColumnRenamed("count", "n")
+
+
+def prediction_counts(spark, sf):
+    return records.prediction_counts(expressed_parse(spark, sf), ["condition", "method", "valid", "answer", "reason"])
+
+
+def member_variation(spark, sf):
+    return records.member_variation(_eval(spark, sf))
+
+
+def method_comparisons(spark, sf):
+    by = metrics.summary(_eval(spark, sf)).withColumnsRenamed({"nll_cal": "nll", "brier_cal": "brier"})
+    return records.comparisons(by, [(f"seed_{i}", "baseline") for i in (1, 2, 3)])
+
+
+ADAPTERS = [(f"seed_{i}", f"adapter-{i}") for i in (1, 2, 3)]
+
+
+def adapter_rows(spark, sf):
+    return records.envelope(_eval(spark, sf), ADAPTERS).groupBy("method", "adapter_id").agg(F.count("*").alias("n"))
+
+
+def adapter_identities(spark, sf):
+    mixed = records.envelope(_eval(spark, sf), ADAPTERS).withColumn("adapter_id", F.when((F.col("method") == "seed_2") & (F.col("doc_id") % 50 == 7), "other").otherwise(F.col("adapter_id")))
+    return records.identities(mixed, "method", "adapter_id")
+
+
+def uq_degradation_means(spark, sf):
+    return ensemble.degradation_means(_ens(spark, sf))
+
+
+def seed_uq_summary(spark, sf):
+    return ensemble.seed_uq_summary(_eval(spark, sf))
+
+
+def overlap_fractions(spark, sf):
+    most = 1 << 20  # tokens of both sides; the steps of the divisor search follow from it
+    return token_jaccard(spark, sf).groupBy(P.reduced(F.col("shared"), F.col("either"), most).alias("fraction")).agg(F.count("*").alias("n"))
+
+
+def logit_summary(spark, sf):
+    x = F.col("x")
+    return head.features(fixtures.table(spark, sf, "embeddings")).select("vec_id", P.log_sum_exp(x).alias("lse"), P.argmax(x).alias("top"), P.softmax_entropy(x).alias("entropy"))
+
+
+def schedule(spark, sf):
+    steps = records.optimizer_steps(800, 4, 8, 3)
+    return spark.range(steps + 1).select(F.col("id").alias("step"), P.warmup_cosine(F.col("id"), steps, 4).alias("factor"))
+
+
+def trimmed_ids(spark, sf):
+    ids = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: ((F.col("doc_id") * 31 + i * F.col("doc_id") * 17 + i * i) % 11).cast("int"))
+    kept = T.trim_ids(F.col("ids"), 3, 5)
+    return _strata(spark, sf).select("doc_id", ids.alias("ids")).select("doc_id", F.size(kept).cast("long").alias("n"), F.array_join(kept, ",").alias("ids"))
+
+
+def source_slugs(spark, sf):
+    name = F.concat(F.lit("  Set / "), F.col("source"), F.lit(" (v1)"))
+    return fixtures.table(spark, sf, "documents").select("doc_id", F.concat(T.slug(name), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("slug"))
+
+
+def turn_gaps(spark, sf):
+    turns = fixtures.table(spark, sf, "conversations").where("NOT (conv_id % 40 = 3 AND turn = 1)")
+    return validation.contiguous(turns, "conv_id", "turn")
+
+
 _ALL = (
+    sentence_spans, prompts, runtime_rows, prediction_rows, flag_counts, prediction_counts, member_variation, method_comparisons,
+    adapter_rows, adapter_identities, uq_degradation_means, seed_uq_summary, overlap_fractions, logit_summary, schedule, trimmed_ids,
+    source_slugs, turn_gaps,
     eval_rows, metrics_by_scope, ece_by_scope, reliability_bins, auroc_error, average_precision_error, average_ranks,
     risk_coverage, risk_coverage_thinned, paired_changes, normalized_long, expressed_parse, parser_reason_counts,
     expressed_summary, ensemble_rows, ensemble_metrics, vote_disagreement, alignment_violations, uq_error_signals,

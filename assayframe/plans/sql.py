@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import TOKEN
 from ..operators.degrade import FRAGMENT_WORDS, TEMPLATE, VERSION
+from ..operators.records import MOST_TOKENS, PREFIX
 from ..sources.fixtures import CONDITIONS, METHODS
 
 _COND = ", ".join(f"({i}, '{c}')" for i, c in enumerate(CONDITIONS))
@@ -139,6 +140,16 @@ def statements() -> dict[str, str]:
     grid = ", ".join(f"({t}e0)" for t in GRID)
     nearest = lambda p, n: f"list_sort(list(v))[{n} + 1] AS p{p}"
     ppm = "(length(transformed) * 1000000 + greatest(length(passage), 1) // 2) // greatest(length(passage), 1)"
+    made = f"'Passage: ' || {{0}} || chr(10) || 'Question: ' || question || chr(10) || '{PREFIX}'"
+    runtime = f"""{_REMOVED}, {_PREFIX}, {_DENIED}, r AS (
+      SELECT doc_id, 'lexical_evidence_removal' AS condition, CASE WHEN i IS NULL THEN 'not_applicable' ELSE 'ok' END AS status, {_REASON} AS reason, transformed FROM removed
+      UNION ALL SELECT doc_id, 'prefix_truncation_50', CASE WHEN reason IS NULL THEN 'ok' ELSE 'not_applicable' END, reason, CASE WHEN reason IS NULL THEN cut END FROM halved
+      UNION ALL SELECT doc_id, 'lexical_contradiction', CASE WHEN i IS NULL THEN 'not_applicable' ELSE 'ok' END, {_REASON}, transformed FROM denied),
+      made AS (SELECT r.*, sha256(passage) AS passage_sha, {made.format('transformed')} AS p FROM r JOIN inp USING (doc_id)),
+      runtime AS (SELECT doc_id, condition, passage_sha, CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'too_long' ELSE status END AS status,
+      CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'prompt_over_limit' ELSE reason END AS reason,
+      CASE WHEN status = 'ok' THEN len({_words('p')}) END AS prompt_tokens, CASE WHEN status = 'ok' THEN sha256(p) END AS prompt_sha,
+      CASE WHEN status = 'ok' THEN sha256(transformed) <> passage_sha END AS changed FROM made)"""
     return {
         "eval_rows": with_pred("", f"SELECT doc_id, condition, method, correct, {r9('p_raw', 'p_cal', 'conf_cal', 'nll_cal', 'brier_cal', 'entropy_cal')} FROM ev"),
         "metrics_by_scope": with_pred(
@@ -232,5 +243,49 @@ def statements() -> dict[str, str]:
         "validate_manifest": "SELECT unnest(['has_text', 'chars_agree', 'known_language', 'short']) AS rule, unnest([CAST(sum((NOT coalesce(length(text) > 0, false))::INT) AS BIGINT), CAST(sum((NOT coalesce(length(text) = n_chars, false))::INT) AS BIGINT), "
         "CAST(sum((NOT coalesce(lang IN ('en', 'fr', 'de', 'es'), false))::INT) AS BIGINT), CAST(sum((NOT coalesce(n_chars <= 768, false))::INT) AS BIGINT)]) AS n FROM documents",
         "eligibility": f"WITH w AS (SELECT doc_id, len({_words('text')}) AS n_words FROM documents) SELECT doc_id, n_words, n_words <= 768 AS eligible FROM w",
+        "sentence_spans": f"""WITH cut AS (SELECT doc_id, generate_subscripts(segs, 1) AS i, unnest(segs) AS seg FROM (SELECT doc_id, {_segs('text')} AS segs FROM documents)),
+            placed AS (SELECT doc_id, i, {_strip('seg')} AS s, coalesce(sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(seg) - length(regexp_replace(seg, '^\\s+', '')) AS a FROM cut)
+            SELECT doc_id, count(i) AS n, sha256(coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(s) AS BIGINT), ',' ORDER BY i), '')) AS digest FROM documents LEFT JOIN (SELECT * FROM placed WHERE s <> '') USING (doc_id) GROUP BY 1""",
+        "prompts": f"WITH {_INPUTS}, p AS (SELECT doc_id, {made.format('passage')} AS p FROM inp) SELECT doc_id, sha256(p) AS sha, len({_words('p')}) AS n_tokens FROM p",
+        "runtime_rows": f"WITH {runtime} SELECT * FROM runtime",
+        "prediction_rows": f"""WITH {runtime}, {_PRED} SELECT doc_id, condition, method, CASE WHEN status <> 'ok' THEN 'not_run' WHEN margin IS NULL THEN 'missing' ELSE 'ok' END AS run_status,
+            CASE WHEN status <> 'ok' THEN coalesce(reason, status) END AS run_reason, CASE WHEN status = 'ok' THEN round(p_raw, 9) END AS p_yes,
+            CASE WHEN status = 'ok' AND margin IS NOT NULL THEN CASE WHEN margin >= 0 THEN 'Yes' ELSE 'No' END END AS answer,
+            CASE WHEN status = 'ok' THEN round(-p_raw * ln(p_raw) - (1 - p_raw) * ln(1 - p_raw), 9) END AS entropy FROM runtime LEFT JOIN prob USING (doc_id, condition)""",
+        "flag_counts": f"""WITH {_REMOVED}, {_DENIED}, f AS (
+            SELECT 'lexical_evidence_removal' AS condition, 'whole_passage_removed' AS flag FROM removed WHERE transformed = ''
+            UNION ALL SELECT 'lexical_evidence_removal', 'zero_lexical_overlap' FROM removed WHERE shared = 0
+            UNION ALL SELECT 'lexical_contradiction', 'fragment_shorter_than_requested' FROM denied WHERE i IS NOT NULL AND used < {FRAGMENT_WORDS}
+            UNION ALL SELECT 'lexical_contradiction', 'zero_lexical_overlap' FROM denied WHERE shared = 0) SELECT condition, flag, count(*) AS n FROM f GROUP BY ALL""",
+        "prediction_counts": with_pred(parsed, " UNION ALL ".join(f"SELECT '{c}' AS field, coalesce(CAST({c} AS VARCHAR), 'none') AS value, count(*) AS n FROM parsed GROUP BY 2" for c in ("condition", "method", "valid", "answer", "reason"))),
+        "member_variation": with_pred(
+            "v AS (SELECT condition, doc_id, min(p_cal) <> max(p_cal) AS varied, min(says_yes) <> max(says_yes) AS split FROM ev WHERE method <> 'baseline' GROUP BY ALL)",
+            "SELECT condition, count(*) AS n, CAST(sum(varied::INT) AS BIGINT) AS n_varied, CAST(sum(split::INT) AS BIGINT) AS n_disagree FROM v GROUP BY 1",
+        ),
+        "method_comparisons": with_pred(
+            "m AS (SELECT method, scope, avg(correct::INT) AS accuracy, avg(nll_cal) AS nll, avg(brier_cal) AS brier FROM scoped GROUP BY ALL)",
+            "SELECT c.scope, c.method AS candidate, b.method AS reference, round(c.accuracy - b.accuracy, 9) AS d_accuracy, round(c.nll - b.nll, 9) AS d_nll, round(c.brier - b.brier, 9) AS d_brier FROM m c JOIN m b ON c.scope = b.scope AND b.method = 'baseline' AND c.method <> 'baseline'",
+        ),
+        "adapter_rows": with_pred("", "SELECT method, replace(method, 'seed_', 'adapter-') AS adapter_id, count(*) AS n FROM ev WHERE method <> 'baseline' GROUP BY ALL"),
+        "adapter_identities": with_pred("", "SELECT method, count(DISTINCT doc_id % 50 = 7) AS n FROM ev WHERE method = 'seed_2' GROUP BY 1 HAVING count(DISTINCT doc_id % 50 = 7) > 1"),
+        "uq_degradation_means": with_pred(
+            "m AS (SELECT signal, condition, count(*) AS n, avg(score) AS mean FROM sig GROUP BY ALL)",
+            "SELECT a.signal, a.condition AS target, a.n, round(o.mean, 9) AS mean_original, round(a.mean, 9) AS mean_degraded, round(a.mean - o.mean, 9) AS difference FROM m a JOIN m o ON a.signal = o.signal AND o.condition = 'original' WHERE a.condition <> 'original'",
+        ),
+        "seed_uq_summary": with_pred(
+            "own AS (SELECT method, condition, correct, round(entropy_cal, 12) AS score FROM ev WHERE method <> 'baseline'), wide AS (SELECT *, 'error' AS target, NOT correct AS positive FROM own "
+            "UNION ALL SELECT *, 'any_degraded', condition <> 'original' FROM own UNION ALL SELECT own.*, t.condition, own.condition <> 'original' FROM own JOIN cond t ON t.condition <> 'original' AND own.condition IN ('original', t.condition)), "
+            + _ranking("wide", "method, target", "positive"),
+            "SELECT target, " + ", ".join(f"round({f}({m}), 9) AS {n}_{m}" for m in ("auroc", "average_precision") for n, f in (("mean", "avg"), ("sd", "stddev_samp"), ("min", "min"), ("max", "max"))) + " FROM rank_of GROUP BY 1",
+        ),
+        "overlap_fractions": f"WITH {_INPUTS}, t AS (SELECT len(list_intersect(q, p)) AS a, len(list_distinct(list_concat(q, p))) AS b FROM (SELECT {_tokens('question')} AS q, {_tokens('passage')} AS p FROM inp)) "
+        "SELECT CASE WHEN b = 0 THEN '0/1' ELSE (a // greatest(gcd(a, b), 1)) || '/' || (b // greatest(gcd(a, b), 1)) END AS fraction, count(*) AS n FROM t GROUP BY 1",
+        "logit_summary": f"WITH {_FEAT}, m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM flat), z AS (SELECT vec_id, max(top) AS top, sum(exp(v - top)) AS z, sum(exp(v - top) * (v - top)) AS d, min(CASE WHEN v = top THEN dim END) AS a FROM m GROUP BY 1) "
+        "SELECT vec_id, round(top + ln(z), 9) AS lse, CAST(a AS INT) AS top, round(ln(z) - d / z, 9) AS entropy FROM z",
+        "schedule": "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 4 THEN (i + 1) / 4e0 ELSE 0.5e0 * (1 + cos(pi() * (i - 4) / 71e0)) END, 9) AS factor FROM range(76) r(i)",
+        "trimmed_ids": "WITH x AS (SELECT doc_id, i, (doc_id * 31 + i * doc_id * 17 + i * i) % 11 AS v FROM labels, range(1, 13) r(i)), e AS (SELECT doc_id, min(CASE WHEN v IN (3, 5) THEN i END) AS stop FROM x GROUP BY 1) "
+        "SELECT doc_id, count(*) FILTER (stop IS NULL OR i < stop) AS n, coalesce(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) FILTER (stop IS NULL OR i < stop), '') AS ids FROM x JOIN e USING (doc_id) GROUP BY 1",
+        "source_slugs": "SELECT doc_id, regexp_replace(regexp_replace(lower('  Set / ' || source || ' (v1)'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS slug FROM documents",
+        "turn_gaps": "WITH t AS (SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 40 = 3 AND turn = 1)) SELECT conv_id FROM t GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) <> count(*) - 1 OR count(DISTINCT turn) <> count(*)",
         "duplicate_texts": "SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     }
