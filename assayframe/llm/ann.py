@@ -25,6 +25,8 @@ FIT_ROWS, BRANCH, DEPTH = 20_000, 6, 3
 CALIBRATION_QUERIES, TARGET_RECALL = 128, 0.96
 #: Vectors of a cell, about: larger branches are dealt out over several cells.
 CELL_ROWS = 20_000
+#: Queries of a block, about: a task meets one cell's vectors with one block's queries, so its memory is bounded.
+BLOCK_QUERIES = 20_000
 
 
 @dataclass
@@ -142,7 +144,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
     table: no rows. Other columns are ignored. Vectors have one length.
 
     The full scan of calibration compares a fixed number of queries with all rows, block by block; the search itself
-    sends a query to the cells of the branches that it opens.
+    sends a query to the cells of the branches that it opens. Queries come in blocks, each of which meets every cell in a
+    task of its own, so that neither side of a task grows with the table.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -215,6 +218,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
         (base[F.col("branch")] + F.pmod(F.xxhash64("vec_id"), deal_of[F.col("branch")])).cast("int").alias("cell"), "vec_id", "raw", "leaf"
     )
     starts = np.concatenate(([0], np.cumsum(deals)))
+    asking = indexed.where(is_query).dropDuplicates(["vec_id"])
+    n_blocks = max(1, -(-asking.count() // BLOCK_QUERIES))
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
     def open_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -227,10 +233,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
                     out += [(c, own, raw, mine) for c in range(starts[b], starts[b + 1])]
             yield pd.DataFrame(out, columns=["cell", "query_id", "query", "leaves"])
 
-    queries = (
-        indexed.where(is_query)
-        .dropDuplicates(["vec_id"])
-        .mapInPandas(open_leaves, "cell int, query_id long, query binary, leaves binary")
+    queries = asking.mapInPandas(open_leaves, "cell int, query_id long, query binary, leaves binary").withColumn(
+        "block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
     )
 
     def within(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +250,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     found = (
-        queries.groupBy("cell").cogroup(cells.groupBy("cell")).applyInPandas(within, "query_id long, vec_id long, score double")
+        queries.groupBy("cell", "block").cogroup(cells.groupBy("cell", "block")).applyInPandas(within, "query_id long, vec_id long, score double")
     )
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -344,3 +344,12 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(got)
     few = ann.search(table.where("vec_id < 5")).collect()
     assert len(few) == 4 and ann.search(table.limit(0)).count() == 0
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(600, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, ann.search(table).collect()))
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ann, "CELL_ROWS", 5)
+    assert sorted(map(tuple, ann.search(table).collect())) == whole
