@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import probability as P
+from . import metrics
+
 LEAST, MOST = 0.01, 100.0
 
 
@@ -25,7 +28,7 @@ def grid(rows: DataFrame, key: str, temperatures: Sequence[float]) -> DataFrame:
 
 
 def fit(rows: DataFrame, key: str, points: int = 17, rounds: int = 10) -> DataFrame:
-    """Temperature of least loss in [0.01, 100] for each key, with the losses before and after.
+    """Temperature of least loss in [0.01, 100] for each key, with loss, Brier score and calibration error before and after.
 
     The loss is convex in 1 / temperature, so a grid on a log scale is narrowed around its best point; each round is one
     aggregate over all keys that returns some numbers for each. Keys are few: methods.
@@ -43,10 +46,16 @@ def fit(rows: DataFrame, key: str, points: int = 17, rounds: int = 10) -> DataFr
             bounds[r[key]] = (s[max(0, best - 1)], s[min(points - 1, best + 1)])
     spark = rows.sparkSession
     fitted = spark.createDataFrame([(k, math.exp(sum(b) / 2)) for k, b in bounds.items()], f"{key} string, fitted double")
-    loss = lambda beta: F.avg(_loss(F.col("margin"), F.col("quality") == 1, beta))
-    return (
-        rows.join(F.broadcast(fitted), key)
-        .groupBy(key, "fitted")
-        .agg(loss(F.lit(1.0)).alias("nll_before"), loss(1 / F.col("fitted")).alias("nll_after"))
-        .withColumn("boundary_hit", (F.col("fitted") - LEAST < 1e-6 * (MOST - LEAST)) | (MOST - F.col("fitted") < 1e-6 * (MOST - LEAST)))
-    )
+    # One row for each key.
+    scored = rows.join(F.broadcast(fitted), key).withColumn("truth", F.col("quality") == 1)
+    out = None
+    for name, beta in (("before", F.lit(1.0)), ("after", 1 / F.col("fitted"))):
+        p = P.sigmoid(F.col("margin") * beta)
+        made = scored.select(key, "margin", "truth", "fitted", p.alias("p"), ((F.col("margin") >= 0) == F.col("truth")).alias("correct"))
+        means = made.groupBy(key, "fitted").agg(
+            F.avg(_loss(F.col("margin"), F.col("truth"), beta)).alias(f"nll_{name}"), F.avg(P.brier(F.col("p"), F.col("truth"))).alias(f"brier_{name}")
+        )
+        error = metrics.ece(made.withColumn("conf", P.confidence(F.col("p"))), [key], conf="conf").withColumnRenamed("ece", f"ece_{name}")
+        part = means.join(error, key)
+        out = part if out is None else out.join(part.drop("fitted"), key)
+    return out.withColumn("boundary_hit", (F.col("fitted") - LEAST < 1e-6 * (MOST - LEAST)) | (MOST - F.col("fitted") < 1e-6 * (MOST - LEAST)))
