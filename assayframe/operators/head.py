@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import probability as P
+from . import metrics
+
 FLOOR = 1e-6
 
 
@@ -65,6 +68,35 @@ def fit_map(rows: DataFrame, prior: float = 1.0, rounds: int = 25, tolerance: fl
     return w, np.diag(h).copy()
 
 
+def draw_weights(spark: SparkSession, weights: np.ndarray, curvature: np.ndarray, n: int, seed: int) -> DataFrame:
+    """(draw, weights): ``n`` seeded draws from the normal around ``weights`` with variance 1 / ``curvature``."""
+    made = weights + np.random.default_rng(seed).standard_normal((n, len(weights))) / np.sqrt(curvature)
+    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(made)], "draw int, weights array<double>")
+
+
+def as_predictions(posterior_rows: DataFrame) -> DataFrame:
+    """Posterior rows in the form that the metrics take: truth, answer, correctness, confidence, losses, score."""
+    p, truth = F.col("p_mean"), F.col("target") == 1
+    return posterior_rows.select("*", truth.alias("truth"), (F.round(p, 12) >= 0.5).alias("says_yes")).select(
+        "*",
+        (F.col("says_yes") == F.col("truth")).alias("correct"),
+        P.confidence(p).alias("conf_cal"),
+        P.nll_clipped(p, F.col("truth")).alias("nll"),
+        P.brier(p, F.col("truth")).alias("brier"),
+        F.round(1 - P.confidence(p), 12).alias("error_score"),
+    )
+
+
+def summary(predictions: DataFrame, key: str) -> DataFrame:
+    """Counts, means, calibration error and ranking of errors for each ``key`` of :func:`as_predictions` rows."""
+    means = predictions.groupBy(key).agg(
+        F.count("*").alias("n"), F.sum((~F.col("correct")).cast("long")).alias("errors"),
+        *(F.avg(c).alias(c) for c in ("nll", "brier", "conf_cal", "entropy", "variance", "information_gap")),
+    )
+    rank = metrics.ranking(predictions, [key], "error_score", ~F.col("correct"))
+    return means.join(metrics.ece(predictions, [key]), key).join(rank, key)
+
+
 def posterior(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """Predictive mean, population variance, entropies and their gap over ``draws`` (draw, weights array with the bias last)."""
     # The number of draws is a parameter.

@@ -405,7 +405,12 @@ def turn_gaps(spark, sf):
     return validation.contiguous(turns, "conv_id", "turn")
 
 
+def posterior_metrics(spark, sf):
+    return head.summary(head.as_predictions(posterior_summary(spark, sf)).withColumn("fold", F.col("vec_id") % 5), "fold")
+
+
 _ALL = (
+    posterior_metrics,
     sentence_spans, prompts, runtime_rows, prediction_rows, flag_counts, prediction_counts, member_variation, method_comparisons,
     adapter_rows, adapter_identities, uq_degradation_means, seed_uq_summary, overlap_fractions, logit_summary, schedule, trimmed_ids,
     source_slugs, turn_gaps,

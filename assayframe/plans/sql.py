@@ -150,6 +150,9 @@ def statements() -> dict[str, str]:
       CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'prompt_over_limit' ELSE reason END AS reason,
       CASE WHEN status = 'ok' THEN len({_words('p')}) END AS prompt_tokens, CASE WHEN status = 'ok' THEN sha256(p) END AS prompt_sha,
       CASE WHEN status = 'ok' THEN sha256(transformed) <> passage_sha END AS changed FROM made)"""
+    posterior = f"""WITH {_FEAT}, z AS (SELECT vec_id, target, d, sum(v * (((dim * 5 + d * 3) % 11 - 5) / 8e0)) + ((64 * 5 + d * 3) % 11 - 5) / 8e0 AS z FROM flat, range(8) r(d) GROUP BY vec_id, target, d),
+      pd AS (SELECT vec_id, target, 1 / (1 + exp(-z)) AS p FROM z), pa AS (SELECT vec_id, target, avg(p) AS p_mean, var_pop(p) AS variance, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS expected_entropy FROM pd GROUP BY ALL),
+      pe AS (SELECT *, -(p_mean * ln(p_mean) + (1 - p_mean) * ln(1 - p_mean)) AS entropy FROM pa), post AS (SELECT *, greatest(0, entropy - expected_entropy) AS information_gap FROM pe)"""
     return {
         "eval_rows": with_pred("", f"SELECT doc_id, condition, method, correct, {r9('p_raw', 'p_cal', 'conf_cal', 'nll_cal', 'brier_cal', 'entropy_cal')} FROM ev"),
         "metrics_by_scope": with_pred(
@@ -230,10 +233,13 @@ def statements() -> dict[str, str]:
         "source_digest": "WITH b AS (SELECT doc_id // 1024 AS b, count(*) AS n, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM b",
         "standardizer_stats": f"WITH {_FEAT} SELECT CAST(dim AS INT) AS dim, round(avg(v), 9) AS mean, round(greatest(stddev_pop(v), 1e-6), 9) AS scale FROM flat GROUP BY 1",
         "laplace_diagonal": f"WITH {_FEAT}, z AS (SELECT vec_id, sum(v * ((dim % 7 - 3) / 4e0)) AS z FROM flat GROUP BY 1), p AS (SELECT vec_id, 1 / (1 + exp(-z)) AS p FROM z) SELECT CAST(dim AS INT) AS dim, round(1 + sum(p * (1 - p) * v * v), 9) AS curvature FROM flat JOIN p USING (vec_id) GROUP BY 1",
-        "posterior_summary": f"WITH {_FEAT}, z AS (SELECT vec_id, target, d, sum(v * (((dim * 5 + d * 3) % 11 - 5) / 8e0)) + ((64 * 5 + d * 3) % 11 - 5) / 8e0 AS z FROM flat, range(8) r(d) GROUP BY vec_id, target, d), "
-        "p AS (SELECT vec_id, target, 1 / (1 + exp(-z)) AS p FROM z), a AS (SELECT vec_id, target, avg(p) AS p_mean, var_pop(p) AS variance, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS expected_entropy FROM p GROUP BY ALL) "
-        "SELECT vec_id, target, round(p_mean, 9) AS p_mean, round(variance, 9) AS variance, round(expected_entropy, 9) AS expected_entropy, round(-(p_mean * ln(p_mean) + (1 - p_mean) * ln(1 - p_mean)), 9) AS entropy, "
-        "round(greatest(0, -(p_mean * ln(p_mean) + (1 - p_mean) * ln(1 - p_mean)) - expected_entropy), 9) AS information_gap FROM a",
+        "posterior_summary": f"{posterior} SELECT vec_id, target, {r9('p_mean', 'variance', 'expected_entropy', 'entropy', 'information_gap')} FROM post",
+        "posterior_metrics": f"""{posterior}, l AS (SELECT vec_id % 5 AS fold, p_mean AS p, target = 1 AS truth, (round(p_mean, 12) >= 0.5) = (target = 1) AS correct, greatest(p_mean, 1 - p_mean) AS conf, entropy, variance, information_gap FROM post),
+            m AS (SELECT *, round(1 - conf, 12) AS error_score, -ln(CASE WHEN truth THEN least(greatest(p, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest(p, 1e-12), 1 - 1e-12) END) AS nll, (p - truth::INT) * (p - truth::INT) AS brier FROM l),
+            bin AS (SELECT fold, least(greatest(CAST(ceil(round(conf, 12) * 10) AS INT) - 1, 0), 9) AS b, count(*) AS k, avg(conf) AS mc, avg(correct::INT) AS acc FROM m GROUP BY ALL),
+            e AS (SELECT fold, round(sum(k * abs(acc - mc)) / sum(k), 9) AS ece FROM bin GROUP BY 1), {_ranking('m', 'fold', 'NOT correct', 'error_score')}
+            SELECT fold, count(*) AS n, CAST(sum((NOT correct)::INT) AS BIGINT) AS errors, {', '.join(f'round(avg({c}), 9) AS {c}' for c in ('nll', 'brier', 'entropy', 'variance', 'information_gap'))}, round(avg(conf), 9) AS conf_cal,
+            any_value(ece) AS ece, any_value(auroc) AS auroc, any_value(average_precision) AS average_precision FROM m JOIN e USING (fold) JOIN rank_of USING (fold) GROUP BY 1""",
         "temperature_grid_nll": with_pred(f"g(temperature_g) AS (VALUES {grid})", "SELECT method, temperature_g AS temperature, round(avg(ln(1 + exp(-(CASE WHEN quality = 1 THEN margin ELSE -margin END) / temperature_g))), 9) AS nll FROM pred, g GROUP BY ALL"),
         "bootstrap_differences": with_pred(boot, f"SELECT method, replicate, {r9('d_accuracy', 'd_nll', 'd_brier')} FROM diff"),
         "bootstrap_intervals": with_pred(boot, "SELECT method, " + ", ".join(f"round(quantile_cont({m}, {q}), 9) AS {m}_{n}" for m in ("d_accuracy", "d_nll", "d_brier") for n, q in (("low", 0.025), ("high", 0.975))) + " FROM diff GROUP BY 1"),
