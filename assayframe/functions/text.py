@@ -41,9 +41,14 @@ def union_size(a: Column, b: Column) -> Column:
     return F.size(F.array_union(a, b))
 
 
+def overlap(common: Column, n_a: Column, n_b: Column) -> Column:
+    """Shared over all tokens of two sets, from their sizes; 0 where there is no token. Equal fractions give equal doubles."""
+    return F.coalesce(common / F.nullif(n_a + n_b - common, F.lit(0)), F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all tokens; 0 where there is no token. Equal fractions give equal doubles."""
-    return F.when(union_size(a, b) > 0, shared(a, b) / union_size(a, b)).otherwise(F.lit(0.0))
+    """Overlap of two arrays without repeats."""
+    return overlap(shared(a, b), F.size(a), F.size(b))
 
 
 def strip(text: Column) -> Column:

@@ -20,17 +20,17 @@ def best_sentence(inputs: DataFrame) -> DataFrame:
     sentence. All inside the row: no explode, no shuffle.
     """
     asked = inputs.withColumn("q", T.tokens(F.col("question"))).withColumn("segs", T.segments(F.col("passage")))
-    cand = F.filter(
-        F.transform(
-            "segs",
-            lambda s, i: F.struct(
-                T.jaccard(F.col("q"), T.tokens(s)).alias("overlap"),
-                (-i).alias("earlier"),
-                T.shared(F.col("q"), T.tokens(s)).alias("shared"),
-                T.strip(s).alias("sentence"),
-            ),
+    # Nested transforms bind what a lambda would compute again at each use: tokens, then the shared count.
+    cut = F.transform("segs", lambda s, i: F.struct((-i).alias("earlier"), T.tokens(s).alias("t"), T.strip(s).alias("sentence")))
+    met = F.transform(
+        F.filter(cut, lambda c: c["sentence"] != ""),
+        lambda c: F.struct(c["earlier"].alias("earlier"), F.size(c["t"]).alias("n"), T.shared(F.col("q"), c["t"]).alias("shared"), c["sentence"].alias("sentence")),
+    )
+    cand = F.transform(
+        met,
+        lambda c: F.struct(
+            T.overlap(c["shared"], F.size("q"), c["n"]).alias("overlap"), c["earlier"].alias("earlier"), c["shared"].alias("shared"), c["sentence"].alias("sentence")
         ),
-        lambda c: c["sentence"] != "",
     )
     rows = asked.withColumn("cand", cand)
     return rows.withColumn("n_sentences", F.size("cand")).withColumn("best", F.when(F.size("q") > 0, F.array_max("cand"))).drop("cand")
@@ -112,26 +112,37 @@ def donor_pool(docs: DataFrame, size: int) -> DataFrame:
 def distractor(inputs: DataFrame, donors: DataFrame, seed: int = 20260803) -> DataFrame:
     """The donor fragment that overlaps the question least, ties by a seeded hash of the pair and then by id.
 
-    ``donors`` is a bounded pool (see :func:`donor_pool`), broadcast; the best donor is a minimum of structs, so map-side
-    aggregation leaves one row for each input and task, and no pairs are shuffled.
+    ``donors`` is a bounded pool (see :func:`donor_pool`), broadcast as one array, so that all happens inside the row: nothing is
+    shuffled, no pairs come up as rows, and only donors of the least overlap are hashed. Inputs without a donor drop out.
     """
-    asked = inputs.select("doc_id", T.tokens(F.col("question")).alias("q"), F.sha2("passage", 256).alias("own_sha"))
-    pairs = asked.join(F.broadcast(donors), (F.col("doc_id") != F.col("donor_id")) & (F.col("own_sha") != F.col("donor_sha")))
-    tie = F.sha2(
-        F.concat(
-            F.lit('{"candidate_example_id":"'), F.col("donor_id").cast("string"),
-            F.lit(f'","condition_version":"{VERSION}","seed":{seed},"target_example_id":"'), F.col("doc_id").cast("string"), F.lit('"}'),
+    pool = donors.agg(F.collect_list(F.struct("donor_id", "donor_sha", "fragment", "donor_tokens")).alias("pool")).withColumn("one", F.lit(1))
+    asked = inputs.select("doc_id", T.tokens(F.col("question")).alias("q"), F.sha2("passage", 256).alias("own_sha"), F.lit(1).alias("one"))
+
+    def tie(donor: Column) -> Column:
+        return F.sha2(
+            F.concat(
+                F.lit('{"candidate_example_id":"'), donor.cast("string"),
+                F.lit(f'","condition_version":"{VERSION}","seed":{seed},"target_example_id":"'), F.col("doc_id").cast("string"), F.lit('"}'),
+            ),
+            256,
+        )
+
+    others = F.filter("pool", lambda d: (d["donor_id"] != F.col("doc_id")) & (d["donor_sha"] != F.col("own_sha")))
+    met = F.transform(
+        others,
+        lambda d: F.struct(
+            T.shared(F.col("q"), d["donor_tokens"]).alias("shared"), F.size(d["donor_tokens"]).alias("n"), d["donor_id"].alias("donor_id"), d["fragment"].alias("fragment")
         ),
-        256,
-    )
-    ranked = pairs.select(
-        "doc_id",
-        F.struct(
-            T.jaccard(F.col("q"), F.col("donor_tokens")).alias("overlap"), tie.alias("tie"), "donor_id", "fragment"
-        ).alias("d"),
     )
-    return ranked.groupBy("doc_id").agg(F.min("d").alias("d"), F.count("*").alias("eligible")).select(
-        "doc_id", "d.donor_id", "d.overlap", "d.tie", "eligible", F.sha2("d.fragment", 256).alias("fragment_sha")
+    scored = F.transform(
+        met, lambda d: F.struct(T.overlap(d["shared"], F.size("q"), d["n"]).alias("overlap"), d["donor_id"].alias("donor_id"), d["fragment"].alias("fragment"))
+    )
+    rows = asked.join(F.broadcast(pool), "one").select("doc_id", scored.alias("scored")).where(F.size("scored") > 0)
+    rows = rows.withColumn("least", F.array_min(F.transform("scored", lambda d: d["overlap"])))
+    nearest = F.filter("scored", lambda d: d["overlap"] == F.col("least"))
+    best = F.array_min(F.transform(nearest, lambda d: F.struct(tie(d["donor_id"]).alias("tie"), d["donor_id"].alias("donor_id"), d["fragment"].alias("fragment"))))
+    return rows.select("doc_id", best.alias("d"), F.col("least").alias("overlap"), F.size("scored").cast("long").alias("eligible")).select(
+        "doc_id", "d.donor_id", "overlap", "d.tie", "eligible", F.sha2("d.fragment", 256).alias("fragment_sha")
     )
 
 
