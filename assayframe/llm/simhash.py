@@ -268,7 +268,8 @@ def bit_limit(similarity: float, bits: int = 64 * WORDS_64, slack: float = 1.5)
 
 
 def long_fingerprint(text: str | None, words: int) -> bytes:
-    h, out = hashes(text, words), []
+    """Of the SET of shingles: a repeated line counts once, unlike in op4's fingerprint."""
+    h, out = np.unique(hashes(text, words)), []
     for i in range(WORDS_64):
         with np.errstate(over="ignore"):
             x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)

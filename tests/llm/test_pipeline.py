@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on the small documents."""
 
+import random
+
 import corpus_pipeline
 import public_tokenizers
 from assayframe.llm import langid, quality, simhash
@@ -39,6 +41,36 @@ def test_near_copies(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+
+
+def brute_force(texts):
+    """Pairs of similarity 0.8 or more, and the rows that stay: the least of each connected group."""
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for i, j in pairs:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    return pairs, sorted(set(root))
+
+
+def test_near_copies_are_of_sets(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for _ in range(5):  # different texts that share a line, which is repeated in both
+        line = " ".join([words(10)] * 20)
+        texts += [f"{words(500)} {line}", f"{words(500)} {line}"]
+    base = words(500)
+    texts += [f"{base} {' '.join([words(10)] * 20)}" for _ in range(5)]  # one text, each time with another repeated line
+    _, want = brute_force(texts)
+    assert want == list(range(11))
+    assert kept_of(spark, texts) == want
+
+
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
