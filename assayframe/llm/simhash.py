@@ -12,7 +12,7 @@ A task keeps a spanning forest of the links that it finds; the forests meet in d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fine_grained, staged
+from .common import fine_grained, staged, text_slices
 
 BITS = 64
 #: Node pairs held at once while walking.
 FRONTIER = 1 << 19
+#: Deviations that candidates may lie beyond the mean of texts at the threshold. More of them cost time, not precision.
+SLACK = 3.0
 #: A vertex that holds more than one in so many of the edge rows is joined by broadcast; there are fewer than HUBS of them.
 HUBS = 1000
 
@@ -123,6 +125,25 @@ class Forest:
     def __init__(self, n: int):
         self.root = np.arange(n)
 
+    def span(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the pairs and returns those of them that the spanning forest is made of."""
+        made = [(i[:0], j[:0])]
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+            i, j = i[apart], j[apart]
+            # Each higher root hooks on to a lower one by one pair, so no cycle comes up.
+            high, pick = np.unique(np.maximum(a, b)[apart], return_index=True)
+            self.root[high] = np.minimum(a, b)[apart][pick]
+            made.append((i[pick], j[pick]))
+            while True:
+                up = self.root[self.root]
+                if (up == self.root).all():
+                    break
+                self.root[:] = up
+
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         root = self.root
         while True:
@@ -255,10 +276,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 #
 # A similarity of 0.8 moves about a seventh of the bits, far more than a walk over 64 bits can allow. So a text gets a
 # longer fingerprint, WORDS_64 words of 64 bits, and each three of its bytes are a trie of their own, walked with a budget of
-# TABLE_BUDGET bits. Pairs that any walk meets count if the whole fingerprints are near enough.
+# TABLE_BUDGET bits. Pairs that any walk meets are candidates if the whole fingerprints are near enough; a candidate is a link
+# only if the shingle sets themselves are similar.
 WORDS_64, TABLE_BYTES, TABLE_BUDGET = 5, 3, 2
 _TABLES = 8 * WORDS_64 // TABLE_BYTES
-_RECORD = np.dtype([("slot", "u1"), ("key", "<u4"), ("id", "<i8"), ("sig", "u1", 8 * WORDS_64)])
+_RECORD = np.dtype([("slot", "u1"), ("key", "<u4"), ("id", "<i8"), ("label", "<i8"), ("sig", "u1", 8 * WORDS_64)])
 
 
 def bit_limit(similarity: float, bits: int = 64 * WORDS_64, slack: float = 1.5) -> int:
@@ -267,9 +289,14 @@ def bit_limit(similarity: float, bits: int = 64 * WORDS_64, slack: float = 1.5)
     return round(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
 
 
-def long_fingerprint(text: str | None, words: int) -> bytes:
-    """Of the SET of shingles: a repeated line counts once, unlike in op4's fingerprint."""
-    h, out = np.unique(hashes(text, words)), []
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes: a repeated line counts once, unlike in op4's fingerprint."""
+    return np.unique(hashes(text, words))
+
+
+def long_fingerprint(h: np.ndarray) -> bytes:
+    """Of a shingle set."""
+    out = []
     for i in range(WORDS_64):
         with np.errstate(over="ignore"):
             x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
@@ -278,9 +305,12 @@ def long_fingerprint(text: str | None, words: int) -> bytes:
     return b"".join(out)
 
 
-def _linked(sig: np.ndarray, members: np.ndarray, limit: int, forest: Forest) -> None:
-    """Joins all members that near steps connect: each is compared with those that nothing has reached yet, so a tight
-    group costs about one comparison a member."""
+Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _linked(sig: np.ndarray, members: np.ndarray, limit: int, forest: Forest) -> Pairs:
+    """Pairs that join all members that near steps connect: each is compared with those that nothing has reached yet, so a
+    tight group costs about one comparison a member."""
     left = members
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
@@ -288,20 +318,35 @@ def _linked(sig: np.ndarray, members: np.ndarray, limit: int, forest: Forest) ->
             x = reached.pop()
             near = np.bitwise_count(sig[left] ^ sig[x]).sum(axis=1, dtype=np.int64) <= limit
             if near.any():
-                forest.add(np.full(int(near.sum()), x), left[near])
+                yield forest.span(np.full(int(near.sum()), x), left[near])
                 reached += left[near].tolist()
                 left = left[~near]
 
 
-def table_links(rec: np.ndarray, limit: int, forest: Forest, where: np.ndarray, sigs: np.ndarray) -> None:
-    """Walks the trie of one table; ``where`` gives each record's row in ``sigs``, on which the forest stands."""
+def _across(sig: np.ndarray, members: np.ndarray, limit: int, label: np.ndarray) -> Pairs:
+    """All near pairs of members whose labels differ."""
+    for at, x in enumerate(members[:-1].tolist()):
+        rest = members[at + 1 :]
+        rest = rest[label[rest] != label[x]]
+        near = np.bitwise_count(sig[rest] ^ sig[x]).sum(axis=1, dtype=np.int64) <= limit
+        yield np.full(int(near.sum()), x), rest[near]
+
+
+def table_links(rec: np.ndarray, limit: int, forest: Forest | None, where: np.ndarray, sigs: np.ndarray, label: np.ndarray) -> Pairs:
+    """Near pairs that the walk over the trie of one table meets: those of a spanning forest, or without a forest all whose
+    labels differ. ``where`` gives each record's row in ``sigs``, on which forest and labels stand."""
+
+    def group(members: np.ndarray) -> Pairs:
+        if forest is None:
+            yield from _across(sigs, members, limit, label)
+        elif len(np.unique(forest.root[members])) > 1:
+            yield from _linked(sigs, members, limit, forest)
+
     order = np.argsort(rec["key"], kind="stable")
     keys, first, count = np.unique(rec["key"][order], return_index=True, return_counts=True)
     rows = where[order]
     for k in np.flatnonzero(count > 1):
-        members = np.unique(rows[first[k] : first[k] + count[k]])
-        if len(np.unique(forest.root[members])) > 1:
-            _linked(sigs, members, limit, forest)
+        yield from group(np.unique(rows[first[k] : first[k] + count[k]]))
     wide = keys.astype(np.uint64) << np.uint64(64 - 8 * TABLE_BYTES)
     for i, j in trie_pairs(wide, 8, TABLE_BUDGET, 8 * TABLE_BYTES):
         small = (count[i] == 1) & (count[j] == 1)
@@ -309,15 +354,20 @@ def table_links(rec: np.ndarray, limit: int, forest: Forest, where: np.ndarray,
         for at in range(0, len(a), 1 << 18):
             x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
             near = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64) <= limit
-            forest.add(x[near], y[near])
+            if forest is None:
+                near &= label[x] != label[y]
+                yield x[near], y[near]
+            else:
+                yield forest.span(x[near], y[near])
         for p, q in zip(i[~small].tolist(), j[~small].tolist(), strict=True):
-            members = np.unique(np.concatenate([rows[first[p] : first[p] + count[p]], rows[first[q] : first[q] + count[q]]]))
-            if len(np.unique(forest.root[members])) > 1:
-                _linked(sigs, members, limit, forest)
+            yield from group(np.unique(np.concatenate([rows[first[p] : first[p] + count[p]], rows[first[q] : first[q] + count[q]]])))
 
 
-def similar_links(classes: DataFrame, limit: int) -> DataFrame:
-    """Edges (a, b) between ids of ``classes`` (id, sig) whose fingerprints differ in ``limit`` bits at most."""
+def candidates(classes: DataFrame, limit: int, spanning: bool) -> DataFrame:
+    """Distinct pairs (a < b) of ids of ``classes`` (id, label, sig) whose fingerprints differ in ``limit`` bits at most.
+
+    ``spanning``: a spanning forest of the pairs that a task meets, whatever the labels. Otherwise all that are met whose
+    labels differ."""
     n = max(64, 2 * fine_grained(classes))
     width = TABLE_BYTES
 
@@ -325,14 +375,14 @@ def similar_links(classes: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 20_000):
                 part = batch.slice(at, 20_000)
-                ids = part.column("id").to_numpy()
+                ids, label = part.column("id").to_numpy(), part.column("label").to_numpy()
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), 8 * WORDS_64)
                 made, lots = [], []
                 for table in range(_TABLES):
                     own = sig[:, table * width : (table + 1) * width].astype(np.uint32)
                     for turn in range(width):
                         rec = np.zeros(len(ids), _RECORD)
-                        rec["slot"], rec["id"], rec["sig"] = table * width + turn, ids, sig
+                        rec["slot"], rec["id"], rec["label"], rec["sig"] = table * width + turn, ids, label, sig
                         for k in range(width):
                             rec["key"] = rec["key"] << np.uint32(8) | own[:, (turn + k) % width]
                         made.append(rec)
@@ -353,27 +403,83 @@ def similar_links(classes: DataFrame, limit: int) -> DataFrame:
             return
         rec = np.frombuffer(raw, _RECORD)
         ids, first, where = np.unique(rec["id"], return_index=True, return_inverse=True)
-        sigs, forest = rec["sig"][first].view("<u8"), Forest(len(ids))
+        sigs, label = rec["sig"][first].view("<u8"), rec["label"][first]
+        forest = Forest(len(ids)) if spanning else None
+
+        def out(found: list) -> pa.RecordBatch:
+            i, j = (ids[np.concatenate(x)] for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
         order = np.argsort(rec["slot"], kind="stable")
         bounds = np.searchsorted(rec["slot"][order], np.arange(257))
+        found, held = [], 0
         for s in range(256):
             own = order[bounds[s] : bounds[s + 1]]
             if len(own) > 1:
-                table_links(rec[own], limit, forest, where[own], sigs)
-        linked = np.flatnonzero(forest.root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[forest.root[linked]])], names=["a", "b"])
+                for i, j in table_links(rec[own], limit, forest, where[own], sigs, label):
+                    if len(i):
+                        found.append((i, j))
+                        held += len(i)
+                    if held > FRONTIER:
+                        yield out(found)
+                        found, held = [], 0
+        if found:
+            yield out(found)
 
     return (
-        classes.select("id", "sig").mapInArrow(deal, "lot int, records binary").repartition(n, "lot").mapInArrow(walk, "a long, b long")
+        classes.select("id", "label", "sig").mapInArrow(deal, "lot int, records binary").repartition(n, "lot").mapInArrow(walk, "a long, b long").distinct()
     )
 
 
+def judged(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """(a, b, similar) of ``pairs``: whether the shingle sets of their texts reach the similarity. ``texts`` gives (id, text) of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column("text")]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "set"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = staged(texts(needed).mapInArrow(run, "id long, set array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    met = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("both"))
+    return staged(met.select("a", "b", (F.col("shared") >= similarity * (F.col("both") - F.col("shared"))).alias("similar")), "judged")
+
+
+def similar_groups(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """(id, root) of the ids of ``classes`` (id, sig) that candidates of this similarity join.
+
+    A spanning forest of the candidates comes first, so that a tight group costs a pair a member. Where some of its pairs are
+    not similar, the parts that the others leave are walked again, and all candidates between two parts are judged. Their
+    number grows with the square of a group only where its texts are near the threshold and no link joins them.
+    """
+    limit = bit_limit(similarity, slack=SLACK)
+    first = judged(staged(candidates(classes.withColumn("label", F.lit(0).cast("long")), limit, True), "spanning"), texts, words, similarity)
+    links = first.where("similar").select("a", "b")
+    roots = components(links)
+    label = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root"))
+    apart = first.where("NOT similar").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = apart.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
+    open_parts = staged(apart.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "parts")
+    if open_parts.isEmpty():
+        return roots
+    labelled = classes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"), "sig")
+    again = staged(candidates(labelled.join(open_parts, "label", "left_semi"), limit, False), "across")
+    # Pairs of the forest are judged already.
+    more = judged(again.join(first, ["a", "b"], "left_anti"), texts, words, similarity)
+    return components(links.unionByName(more.where("similar").select("a", "b")))
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of similar texts the row of the smallest doc_id stays.
 
-    Texts are similar from ``similarity`` of their sets of ``words``-word shingles upward, as far as fingerprints tell: at
-    the threshold a link is found with a probability of about 0.9, nearer texts almost surely, and some pairs a little
-    below it link too. Links chain into groups. Nulls: wordless texts are one group; a null doc_id is the last choice.
+    Texts are similar from ``similarity`` of their sets of ``words``-word shingles upward. Fingerprints find the candidates,
+    so that a few links at the threshold are missed; the sets decide, so that no pair below it is a link. Links chain into
+    groups. Nulls: wordless texts are one group; a null doc_id is the last choice.
     Repeated rows are copies. Empty table: no rows. All columns are returned.
     """
     mark = "_near_copy_row"  # a name that no column of documents has
@@ -381,19 +487,25 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [long_fingerprint(t.as_py(), words) for t in batch.column("text")]
+            sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
+            equal = [xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets]
+            sig = [long_fingerprint(h) for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(sig, pa.binary())], names=["doc_id", "row", "sig"]
+                [batch.column("doc_id"), batch.column("row"), pa.array(np.array(equal, np.uint64).view(np.int64)), pa.array(sig, pa.binary())],
+                names=["doc_id", "row", "id", "sig"],
             )
 
     prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("row"), "text").mapInArrow(
-        run, "doc_id long, row long, sig binary"
+        run, "doc_id long, row long, id long, sig binary"
     )
     choice = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    classes = staged(
-        prints.groupBy("sig").agg(F.min(choice).alias("first")).select(F.xxhash64("sig").alias("id"), "sig", "first"), "classes"
-    )
-    roots = components(similar_links(classes, bit_limit(similarity)))
+    classes = staged(prints.groupBy("id").agg(F.min(choice).alias("first"), F.first("sig").alias("sig")), "classes")  # a class is a set
+    firsts = classes.select("id", F.col("first.row").alias(mark))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        return marked.select(mark, "text").join(firsts.join(ids, "id", "left_semi"), mark).dropDuplicates(["id"]).select("id", "text")
+
+    roots = similar_groups(classes, texts, words, similarity)
     kept = (
         classes.drop("sig")
         .join(roots, "id", "left")

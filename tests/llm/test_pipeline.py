@@ -71,6 +71,29 @@ def test_near_copies_are_of_sets(spark):
     assert kept_of(spark, texts) == want
 
 
+def test_links_are_exact(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    def cut(base, similarity):  # a text that shares a prefix with base, at this similarity
+        same = round(2 * similarity / (1 + similarity) * len(base))
+        return " ".join(base[:same] + words(len(base) - same))
+
+    texts = []
+    for similarity in (0.6, 0.7, 0.74, 0.78, 0.85, 0.9):
+        for _ in range(20):
+            base = words(400)
+            texts += [" ".join(base), cut(base, similarity)]
+    for _ in range(5):  # around one text: revisions that link to each other but not to it
+        base = words(400)
+        revised = base[:345] + words(55)
+        texts += [" ".join(base), *(" ".join(revised[: 390 - k] + words(10 + k)) for k in range(4))]
+    _, want = brute_force(texts)
+    kept = kept_of(spark, texts)
+    assert not set(want) - set(kept), "documents without a link at the threshold are deleted"
+    assert len(set(kept) - set(want)) <= 2, "at 0.85 and above nearly all pairs are found"
+
+
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
