@@ -126,21 +126,23 @@ def _top(ids: np.ndarray, x: np.ndarray, query: np.ndarray, own, k: int) -> tupl
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles): rows whose vector is there, finite throughout and not zero."""
+    """vec_id and v (doubles): rows whose vector is there, finite throughout and not zero; equal rows are one candidate."""
     v = F.col("embedding").cast("array<double>")
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
         .where(~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
         .where(F.exists("v", lambda c: c != 0))
+        .distinct()
     )
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id ``every`` divides, its ``k`` nearest others found.
 
-    Null, zero or non-finite vectors and null ids take no part. Equal vectors tie to the smaller vec_id; repeated
-    vec_ids are answered once each and are never their own neighbour. Fewer than ``k`` candidates: all of them. Empty
+    Null, zero or non-finite vectors and null ids take no part. Equal vectors tie to the smaller vec_id. Repeated
+    rows are one candidate; a vec_id with different vectors is a candidate with each of them, is asked once, with the
+    least of them as bytes, and is never its own neighbour. Fewer than ``k`` candidates: all of them. Empty
     table: no rows. Other columns are ignored. Vectors have one length.
 
     The full scan of calibration compares a fixed number of queries with all rows, block by block; the search itself
@@ -215,10 +217,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
     deal_of = F.create_map(*(x for b, d in enumerate(deals) for x in (F.lit(b), F.lit(d))))
     base = F.create_map(*(x for b in range(n_branches) for x in (F.lit(b), F.lit(sum(deals[:b])))))
     cells = placed.select(
-        (base[F.col("branch")] + F.pmod(F.xxhash64("vec_id"), deal_of[F.col("branch")])).cast("int").alias("cell"), "vec_id", "raw", "leaf"
+        (base[F.col("branch")] + F.pmod(F.xxhash64("vec_id", "raw"), deal_of[F.col("branch")])).cast("int").alias("cell"), "vec_id", "raw", "leaf"
     )
     starts = np.concatenate(([0], np.cumsum(deals)))
-    asking = indexed.where(is_query).dropDuplicates(["vec_id"])
+    asking = indexed.where(is_query).groupBy("vec_id").agg(F.min("raw").alias("raw"))
     n_blocks = max(1, -(-asking.count() // BLOCK_QUERIES))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
@@ -255,7 +257,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         # k rows from each cell that the query met: a bounded group.
-        top = pdf.drop_duplicates(["vec_id", "score"]).sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
+        top = pdf.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
         return top.assign(rank=np.arange(1, len(top) + 1, dtype=np.int32))[["query_id", "rank", "vec_id", "score"]]
 
     return found.groupBy("query_id").applyInPandas(merged, schema)

@@ -353,3 +353,15 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
     monkeypatch.setattr(ann, "CELL_ROWS", 5)
     assert sorted(map(tuple, ann.search(table).collect())) == whole
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 8))
+    x[[7, 9, 11, 13]] = np.outer([3, 3.1, 3.2, 3.3], x[0])  # the nearest to 0, each stored 60 times
+    x[20:100] = np.outer(np.linspace(2.5, 2.9, 80), x[0])  # near ones in all cells
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in (7, 9, 11, 13)] * 59
+    rows += [(8, (2 * x[0] + 0.01 * k).tolist()) for k in range(5)]  # one id, other vectors: a candidate with each
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), target=1.0).where("query_id = 0").collect()
+    each = sorted({(i, tuple(v)) for i, v in rows if i != 0}, key=lambda r: (-float(np.dot(r[1], x[0])), r[0]))[:20]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [i for i, _ in each]
