@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Pass one scores the containers of every page and each page votes for the generalised tag-class path of its best
-one; Spark adds the votes up per host. Pass two extracts from the container at the path that its host prefers.
+one; Spark adds the votes up per host. Pass two extracts from the containers at the paths that the host prefers, if they
+hold a fair part of the page, and else from the page's own best container.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -19,75 +21,151 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_slices
 
-#: Winning paths are broadcast up to this many rows and joined by a shuffle beyond.
-BROADCAST_PATHS = 50_000
-#: Paths kept for a host, best first.
-PATHS_PER_HOST = 5
-
-_RAW = frozenset("script style noscript template textarea iframe object svg math canvas title select".split())
-_DROP = frozenset("nav header footer aside form button menu dialog head label".split())
-_BOX = frozenset("html body main article section div td th table tbody tr ul ol dl li dd dt figure blockquote fieldset details center".split())
-_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 pre hr figcaption caption summary address legend".split())
-_VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promoted|cookies?|consent|gdpr|"
-    r"notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|share|sharing|social|related|"
-    r"recommend(?:ed|ations?)?|breadcrumbs?|menus?|nav|navbar|navigation|navs|topbar|toolbar|sidebars?|side|rail|footers?|foot|"
-    r"headers?|masthead|comments?|commentlist|disqus|replies|respond|discussion|widgets?|pagination|pager|toc|skip|hidden)"
-    r"(?=$|[\s_-]|\d)",
-    re.I,
+#: Winning paths are broadcast up to this many bytes and joined by a salted shuffle beyond.
+BROADCAST_BYTES, SALTS = 8 << 20, 64
+#: A path wins with this part of the votes of its host's first one.
+WINNING_PART = 0.5
+#: The part of a page's prose that winning containers must hold, and that a name can't take away from a page.
+FAIR_PART, OVERRULING_PART = 0.3, 0.5
+#: Characters of a block outside paragraphs from which it counts as prose.
+PROSE = 40
+
+_RAW = frozenset("script style noscript template textarea iframe title xmp noembed noframes".split())
+_DROP = frozenset("nav footer aside button menu dialog head select datalist svg canvas object audio video map".split())
+_INLINE_DROP = frozenset("label".split())
+_BOX = frozenset("html body main article section div td th table thead tbody tfoot tr ul ol dl li dd dt figure blockquote fieldset details center header form hgroup search".split())
+_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 pre figcaption caption summary address legend".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE_TAGS = frozenset("p pre blockquote".split()) | _HEADING
+_VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
+#: What an opening tag closes, and what it doesn't look beyond.
+_ENDS = {
+    "li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "td": ("td th", ("tr", "table")),
+    "th": ("td th", ("tr", "table")), "tr": ("tr", ("table", "tbody", "thead", "tfoot")), "tbody": ("tbody thead tfoot", ("table",)),
+    "thead": ("tbody thead tfoot", ("table",)), "tfoot": ("tbody thead tfoot", ("table",)),
+}
+_COMMENTS = frozenset("comment comments commentlist disqus replies".split())
+_FURNITURE = _COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adslot banner banners sponsor sponsors sponsored promo promos promoted cookie "
+    "cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter newsletters subscribe subscription "
+    "signup login share sharing breadcrumb breadcrumbs menu menus nav navs navbar navigation topbar toolbar sidebar sidebars footer footers "
+    "masthead pagination pager widget widgets".split()
 )
-#: Classes such as "has-sidebar" tell of a neighbour.
-_SAYS_WITH = re.compile(r"(?:^|\s)(?:has|with|no|without)-\S+", re.I)
-_NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Words that furniture and articles both use: as a part of a longer name they count only where links make up the content.
+_PERHAPS = frozenset("side rail header headers head foot related recommend recommended recommendation recommendations social respond discussion toc skip hidden".split())
+_NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+#: Attributes follow the tokenizer's states: a quote opens a value only right after "=". Nothing is tried twice.
+_TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?=[^a-zA-Z])[^>]*+(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/=]++|[^\s/>=]++(?>\s*+=\s*+(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)))?+)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"([^\s/>=]++)(?>\s*+=\s*+(?>\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in _RAW}
+_USED = frozenset("class id role hidden aria-hidden style".split())
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_SAYS_WITH = re.compile(r"^(?:has|with|no|without|is)[-_]", re.I)
 _DIGITS = re.compile(r"\d+")
 _WHITE = re.compile(r"\s+")
+#: Verdicts on a container: plain, furniture unless it holds most of the page, furniture only if it is made of links, furniture.
+PLAIN, UNLESS_MOST, IF_LINKS, GONE = range(4)
 
 
 class Box:
-    """A container: its place in the tree, generalised path and the text below it."""
+    """An element that matters: its place in the tree, generalised path, verdict and the text below it."""
 
-    __slots__ = ("path", "parent", "dropped", "chars", "links", "blocks", "tag")
+    __slots__ = ("path", "parent", "tag", "verdict", "dropped", "chars", "links", "holds")
 
-    def __init__(self, path: str, parent: Box | None, dropped: bool, tag: str):
-        self.path, self.parent, self.dropped, self.tag = path, parent, dropped, tag
+    def __init__(self, path: str, parent: Box | None, tag: str, verdict: int):
+        self.path, self.parent, self.tag, self.verdict = path, parent, tag, verdict
+        self.dropped = self.holds = False
         self.chars = self.links = 0
-        self.blocks = 0
+
+
+class Block:
+    """A run of text between block boundaries, in pieces (box, text, whether linked)."""
+
+    __slots__ = ("box", "tag", "pieces")
+
+    def __init__(self, box: Box, tag: str, pieces: list[tuple[Box, str, bool]]):
+        self.box, self.tag, self.pieces = box, tag, pieces
+
+    def text(self) -> str:
+        return _WHITE.sub(" ", "".join(html.unescape(t) for b, t, _ in self.pieces if not b.dropped)).strip()
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(raw)} if raw.strip() else {}
+    """The attributes that verdicts and paths need; the first of equal names counts."""
+    out: dict[str, str] = {}
+    if raw.strip():
+        for name, a, b, c in _ATTR.findall(raw):
+            if (name := name.lower()) in _USED:
+                out.setdefault(name, html.unescape(a or b or c))
+    return out
 
 
 def generalised(tag: str, classes: str) -> str:
     """``tag.class1.class2`` with digits dropped, so that numbered classes of a host agree."""
-    names = sorted({_DIGITS.sub("", c.lower()) for c in classes.split()} - {""})
-    return ".".join([tag, *names[:3]])
+    return ".".join([tag, *sorted({_DIGITS.sub("", c.lower()) for c in classes.split()} - {""})])
 
 
-def walk(source: str) -> tuple[list[Box], list[tuple[Box, str, bool]]]:
-    """Containers of a page, and its text blocks in order as (container, text, whether it is left out)."""
-    root = Box("", None, False, "")
-    boxes, stack, blocks = [root], [(root, "")], []
-    buffer: list[str] = []
-    in_link = 0
-    link_chars = 0
+def _named(attributes: dict[str, str]) -> int:
+    """What class and id say."""
+    worst = PLAIN
+    for name in [*attributes.get("class", "").split(), *attributes.get("id", "").split()]:
+        if _SAYS_WITH.match(name):  # such as "has-sidebar", which tells of a neighbour
+            continue
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not _COMMENTS.isdisjoint(words):
+            return GONE
+        if not _FURNITURE.isdisjoint(words) or (len(words) == 1 and words[0] in _PERHAPS):
+            worst = UNLESS_MOST
+        elif worst == PLAIN and not _PERHAPS.isdisjoint(words):
+            worst = IF_LINKS
+    return worst
+
+
+def verdict(tag: str, attributes: dict[str, str], parent: Box) -> int:
+    if tag in _DROP or "hidden" in attributes or attributes.get("role", "").lower() in _NOISE_ROLE or _INVISIBLE.search(attributes.get("style", "")):
+        return GONE
+    named = _named(attributes) if "class" in attributes or "id" in attributes else PLAIN
+    if tag in ("html", "body", "main", "article"):
+        return GONE if named == GONE and tag == "article" else PLAIN
+    if tag == "header":  # that of an article is its head
+        while parent is not None and parent.tag not in ("article", "main", "section"):
+            parent = parent.parent
+        return max(named, GONE if parent is None else PLAIN)
+    if tag in ("form", "fieldset", "legend", "label") or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() == "form":
+        return GONE if named == GONE else UNLESS_MOST
+    return named
+
+
+def walk(source: str) -> tuple[list[Box], list[Block]]:
+    """Containers of a page, parents first, and its text blocks in order; verdicts are settled by what the page holds."""
+    root = Box("", None, "", PLAIN)
+    boxes, stack, blocks = [root], [root], []
+    pieces: list[tuple[Box, str, bool]] = []
+    linked = False
 
     def flush() -> None:
-        nonlocal link_chars
-        if buffer:
-            text = _WHITE.sub(" ", html.unescape("".join(buffer))).strip()
-            buffer.clear()
-            if text:
-                box = stack[-1][0]
-                blocks.append((box, text, box.dropped))
-                if not box.dropped:
-                    box.chars += len(text)
-                    box.links += min(link_chars, len(text))
-                    box.blocks += 1
-        link_chars = 0
+        if pieces:
+            if any(not t.isspace() for _, t, _ in pieces):
+                inner = stack[-1]
+                while inner.tag not in _BOX and inner.tag not in _BLOCK and inner.parent is not None:
+                    inner = inner.parent
+                blocks.append(Block(inner, inner.tag, pieces.copy()))
+            pieces.clear()
+
+    def close(names: str, beyond: tuple[str, ...] = ()) -> None:
+        """Closes the innermost open element of these names, unless one of ``beyond`` comes first."""
+        wanted = names.split()
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in wanted:
+                del stack[i:]
+                return
+            if stack[i].tag in beyond:
+                return
 
     at, n = 0, len(source)
     while at < n:
@@ -95,14 +173,12 @@ def walk(source: str) -> tuple[list[Box], list[tuple[Box, str, bool]]]:
         if cut < 0:
             cut = n
         if cut > at:
-            buffer.append(source[at:cut])
-            if in_link:
-                link_chars += cut - at
+            pieces.append((stack[-1], source[at:cut], linked))
         if cut >= n:
             break
         m = _TAG.match(source, cut)
         if not m:  # a lone "<" is text
-            buffer.append("<")
+            pieces.append((stack[-1], "<", linked))
             at = cut + 1
             continue
         at = m.end()
@@ -110,71 +186,130 @@ def walk(source: str) -> tuple[list[Box], list[tuple[Box, str, bool]]]:
         if not tag:
             continue
         if tag in _RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            if not closing:
+                end = _RAW_END[tag].search(source, at)
                 at = end.end() if end else n
                 if tag != "title":
-                    buffer.append(" ")
+                    pieces.append((stack[-1], " ", linked))
+            continue
+        if tag in _VOID:
+            if tag == "hr":
+                flush()
+            elif tag == "br":
+                pieces.append((stack[-1], " ", linked))
             continue
-        if tag == "br":
-            buffer.append(" ")
-        elif tag == "a":
-            in_link = 0 if closing else 1
-        elif tag in _BLOCK or tag in _BOX or tag in _DROP:
+        block = tag in _BLOCK or tag in _BOX or tag in _DROP
+        if tag == "a":
+            linked = not closing
+        if block:
             flush()
-            if tag in _BLOCK and stack[-1][1] == "p":  # a block ends an open paragraph
-                stack.pop()
-            if tag in _BLOCK and not (m[3] and not closing and _dropped_by(_attributes(m[3]))):
-                if closing and any(t == tag for _, t in stack):
-                    _close(stack, tag)
-                continue
             if closing:
-                _close(stack, tag)
-            elif not m[3].endswith("/") and tag not in _VOID:
-                if tag in ("li", "td", "th", "tr", "dd", "dt") and stack[-1][1] == tag:
-                    stack.pop()
-                attributes = _attributes(m[3])
-                parent = stack[-1][0]
-                named = tag not in ("html", "body", "main", "article") and _dropped_by(attributes)
-                dropped = parent.dropped or tag in _DROP or named
-                path = f"{parent.path}>{generalised(tag, attributes.get('class', ''))}"
-                box = Box(path, parent, dropped, tag)
-                boxes.append(box)
-                stack.append((box, tag))
+                if any(b.tag == tag for b in stack):
+                    close(tag)
+                continue
+            close("p", ("td", "th", "table", "button", "object"))
+            if tag in _ENDS:
+                close(*_ENDS[tag])
+            if tag in _HEADING and stack[-1].tag in _HEADING:
+                stack.pop()
+        elif closing:
+            if stack[-1].tag == tag:  # inline elements stand on the stack only where they are furniture
+                stack.pop()
+            continue
+        attributes = _attributes(m[3]) if m[3] else {}
+        found = verdict(tag, attributes, stack[-1]) if attributes or tag in _DROP or tag in ("header", "form", "fieldset", "legend", "label") else PLAIN
+        if not block and found == PLAIN:
+            continue
+        if m[3].endswith("/") and tag in ("svg", "object", "canvas"):
+            continue
+        parent = stack[-1]
+        path = f"{parent.path}>{generalised(tag, attributes.get('class', ''))}"
+        if len(path) > 1000:  # deep pages: the head of the path by its digest
+            path = f"#{blake2b(parent.path.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}>{path[len(parent.path) + 1 :]}"
+        box = Box(path, parent, tag, found)
+        boxes.append(box)
+        stack.append(box)
     flush()
+    _settle(boxes, blocks)
     return boxes, blocks
 
 
-def _dropped_by(attributes: dict[str, str]) -> bool:
-    if not attributes:
-        return False
-    return bool(
-        "hidden" in attributes
-        or attributes.get("aria-hidden", "").lower() == "true"
-        or attributes.get("role", "").lower() in _NOISE_ROLE
-        or _NOISE.search(_SAYS_WITH.sub(" ", attributes.get("class", "")))
-        or _NOISE.search(attributes.get("id", ""))
-    )
-
-
-def _close(stack: list, tag: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][1] == tag:
-            del stack[i:]
-            return
-
-
-def scores(boxes: list[Box]) -> dict[str, float]:
-    """Points of each path: own text less twice its links, half passed on to the parent, a quarter beyond."""
-    points: dict[str, float] = defaultdict(float)
+def _sums(boxes: list[Box], blocks: list[Block]) -> None:
+    for box in boxes:
+        box.chars = box.links = 0
+    for block in blocks:
+        for box, text, linked in block.pieces:
+            if not box.dropped:
+                size = 0 if text.isspace() else len(text)
+                box.chars += size
+                box.links += size if linked else 0
+    for box in reversed(boxes):
+        if box.parent is not None and not box.dropped:
+            box.parent.chars += box.chars
+            box.parent.links += box.links
+
+
+def _settle(boxes: list[Box], blocks: list[Block]) -> None:
+    """Drops what the verdicts and the sizes of containers say, and adds up the rest."""
     for box in boxes:
-        worth = box.chars - 2 * box.links
-        share, up = 1.0, box
-        while worth > 0 and up is not None and up.path and share >= 0.25:
-            if up.tag not in ("html", "tr", "tbody", "ul", "ol", "li"):
-                points[up.path] += share * worth * (1.5 if up.tag in ("article", "main") else 1.0)
-            share, up = share / 2, up.parent
-    return points
+        box.dropped = box.verdict == GONE or (box.parent is not None and box.parent.dropped)
+    for box in reversed(boxes):
+        if not box.dropped and (box.tag in ("article", "main") or box.holds) and box.parent is not None:
+            box.parent.holds = True
+    _sums(boxes, blocks)
+    # What a name says can be overruled by size, but not where the page has an article of its own.
+    marked = any(b.tag in ("article", "main") and not b.dropped and b.chars for b in boxes)
+    most = float("inf") if marked else OVERRULING_PART * (boxes[0].chars - boxes[0].links)
+    changed = False
+    for box in boxes:
+        if box.parent is not None and box.parent.dropped:
+            changed |= not box.dropped
+            box.dropped = True
+        elif not box.dropped and box.verdict != PLAIN and not box.holds:
+            worth = box.chars - box.links
+            if box.verdict == UNLESS_MOST:
+                box.dropped = worth <= most
+            else:
+                box.dropped = 2 * box.links > box.chars
+            changed |= box.dropped
+    if changed:
+        _sums(boxes, blocks)
+
+
+def _is_prose(block: Block) -> bool:
+    free = sum(len(t) for b, t, linked in block.pieces if not b.dropped and not linked)
+    each = sum(len(t) for b, t, _ in block.pieces if not b.dropped and not t.isspace())
+    return 2 * free > each > 0 and (block.tag in _PROSE_TAGS or free >= PROSE)
+
+
+def best(boxes: list[Box], blocks: list[Block]) -> Box:
+    """The page's main container: from the root down as long as one child holds half of the prose and what stands beside it is
+    none, or the child is the page's article."""
+    # Prose blocks below each box.
+    prose: dict[int, int] = defaultdict(int)
+    kept = [b for b in blocks if not b.box.dropped]
+    for block in kept:
+        if _is_prose(block):
+            prose[id(block.box)] += 1
+    kids: dict[int, list[Box]] = defaultdict(list)
+    for box in reversed(boxes):
+        if box.parent is not None and not box.dropped:
+            prose[id(box.parent)] += prose[id(box)]
+            if box.tag in _BOX:
+                kids[id(box.parent)].append(box)
+    at = boxes[0]
+    while own := kids[id(at)]:
+        top = max(reversed(own), key=lambda b: b.chars - b.links)
+        worth, whole = top.chars - top.links, at.chars - at.links
+        if worth <= 0 or 2 * worth < whole:
+            break
+        alone = top.tag in ("article", "main") and sum(b.tag == top.tag for b in own) == 1
+        if not alone and prose[id(at)] > prose[id(top)]:
+            break
+        if top.tag in ("li", "tr", "td", "dd", "dt", "tbody", "blockquote", "figure"):
+            break
+        at = top
+    return at
 
 
 def host_of(url: str | None) -> str:
@@ -185,27 +320,27 @@ def host_of(url: str | None) -> str:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes, points): what each page prefers, added up; partial sums leave the tasks."""
+    """(host, path, votes, points): what each page prefers, added up; partial sums leave the tasks. Pages without a host
+    don't vote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0, 0.0])
+        seen: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
         schema = pa.schema({"host": pa.string(), "path": pa.string(), "votes": pa.int64(), "points": pa.int64()})
 
         def out() -> pa.RecordBatch:
-            rows = [(h, p, int(v), round(s)) for (h, p), (v, s) in seen.items()]
+            rows = [(h, p, v, s) for (h, p), (v, s) in seen.items()]
             seen.clear()
             return pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
 
         for batch in batches:
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if not source:
-                    continue
-                points = scores(walk(source)[0])
-                if points:
-                    best = min(points, key=lambda p: (-points[p], p))
-                    cell = seen[host_of(url), best]
-                    cell[0] += 1
-                    cell[1] += points[best]
+                host = host_of(url) if source else ""
+                if host:
+                    box = best(*walk(source))
+                    if box.path and box.chars:
+                        cell = seen[host, box.path]
+                        cell[0] += 1
+                        cell[1] += box.chars - box.links
             if len(seen) > 50_000:
                 yield out()
         if seen:
@@ -219,46 +354,72 @@ def votes(pages: DataFrame) -> DataFrame:
     )
 
 
-def winning_paths(pages: DataFrame, keep: int = PATHS_PER_HOST) -> DataFrame:
-    """(host, paths): the paths that a host's pages voted for, best first."""
-    best = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("points"), "path")
+def winning_paths(pages: DataFrame, part: float = WINNING_PART) -> DataFrame:
+    """(host, paths): the paths with ``part`` of the votes of the host's first one at least: some 1 / part of them, or as many as tie."""
+    most = Window.partitionBy("host")
     return (
         votes(pages)
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") <= keep)
+        .withColumn("most", F.max("votes").over(most))
+        .where(F.col("votes") >= part * F.col("most"))
         .groupBy("host")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("p"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("points")).alias("s"), "path"))).alias("p"))
         .select("host", F.col("p.path").alias("paths"))
     )
 
 
+def _common(a: Box, b: Box, depth: dict[int, int]) -> Box:
+    while a is not b:
+        if depth[id(a)] >= depth[id(b)]:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
 def main_text(source: str | None, paths: list[str] | None) -> str:
-    """Text of the container at the first of ``paths`` that holds any; the page's own best where none does."""
+    """Text of the container that the winning ``paths`` share, if what stands at them is a fair part of the page's prose, and
+    else of the page's own best container. Ties fall to the outer container."""
     if not source:
         return ""
     boxes, blocks = walk(source)
-    own = scores(boxes)
-    tried = [*(paths or []), *sorted(own, key=lambda p: (-own[p], p))[:1]]
-    for path in tried:
-        inside: set[int] = set()
-        for box in boxes:  # parents come before children
-            if (box.path == path or id(box.parent) in inside) and not box.dropped:
-                inside.add(id(box))
-        text = " ".join(t for box, t, dropped in blocks if not dropped and id(box) in inside)
-        if text:
-            return text
-    return " ".join(t for _, t, dropped in blocks if not dropped)
+    wanted = set(paths or ())
+    matched = [b for b in boxes if b.path in wanted and not b.dropped and b.chars > b.links]
+    chosen = None
+    if matched:
+        depth = {id(boxes[0]): 0}
+        for box in boxes[1:]:
+            depth[id(box)] = depth[id(box.parent)] + 1
+        ids = {id(b) for b in matched}
+        outer, under = [], set()
+        for box in boxes[1:]:  # parents come first
+            if id(box.parent) in under or id(box.parent) in ids:
+                under.add(id(box))
+            elif id(box) in ids:
+                outer.append(box)
+        held = sum(b.chars - b.links for b in outer)
+        if held >= FAIR_PART * (boxes[0].chars - boxes[0].links):
+            chosen = outer[0]
+            for box in outer[1:]:
+                chosen = _common(chosen, box, depth)
+    if chosen is None:
+        chosen = best(boxes, blocks)
+    inside = {id(chosen)}
+    for box in boxes:
+        if id(box.parent) in inside:
+            inside.add(id(box))
+    texts = (b.text() for b in blocks if not b.box.dropped and id(b.box) in inside)
+    return " ".join(t for t in texts if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Nulls: a null html gives an empty text; a null or malformed url belongs to the host "". Empty and very long pages
-    are treated whole, repeated rows each give a row, ties between paths fall to the smaller path. Empty table: no
-    rows. Other columns are ignored.
+    Nulls: a null html gives an empty text; pages with a null or malformed url stand alone, by their own best container.
+    Empty, deep and very long pages are treated whole, repeated rows each give a row. Votes of one path add up over a host, so a
+    host of any size is a few sums. Empty table: no rows. Other columns are ignored.
     """
     winners = staged(winning_paths(pages), "paths")
-    count = winners.count()
+    size = winners.agg(F.sum(F.length("host") + F.length(F.array_join("paths", "")))).first()[0] or 0
     source = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +436,12 @@ def extract(pages: DataFrame) -> DataFrame:
     def host(url: pd.Series) -> pd.Series:
         return url.map(host_of)
 
-    joined = source.withColumn("host", host("url")).join(F.broadcast(winners) if count <= BROADCAST_PATHS else winners, "host", "left")
+    hosted = source.withColumn("host", host("url"))
+    if size <= BROADCAST_BYTES:
+        joined = hosted.join(F.broadcast(winners), "host", "left")
+    else:  # a large host is dealt out over SALTS tasks
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     page_kind = dict(source.dtypes)["page_id"]
     return joined.select("page_id", "url", "html", "paths").mapInArrow(
         run, f"page_id {page_kind}, url string, text string, n_chars long"
