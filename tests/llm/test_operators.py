@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -302,6 +303,26 @@ def test_bpe(stored, rows, empty):
     assert bpe.encode(empty, BYTE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_over_blocks(stored, rows, monkeypatch):
+    """Many blocks and runs share their words."""
+    coder, finish = bpe.encoding(BYTE, public_tokenizers.PATTERN), lambda ids, decoded: [ids, decoded]
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(bpe, "RUN_CODES", 300)
+    table = stored.toArrow().select(["doc_id", "text"])
+    made = [r for b in bpe._split_rows(iter(table.to_batches(max_chunksize=7)), public_tokenizers.PATTERN, 5) for r in b.to_pylist()]
+    words = [r for r in made if r["lot"] >= 0]
+    assert len({r["owner"] for r in words}) > 20 and max(Counter(r["block"] for r in made if r["lot"] < 0).values()) > 1
+    coded = [c for lot in range(5) for b in bpe._coded_rows(iter([pa.RecordBatch.from_pylist([r for r in words if r["lot"] == lot], schema=bpe._ROW)]), coder) for c in b.to_pylist()]
+    kind, got = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_binary()), ("decoded", pa.large_binary())]), []
+    for block in {r["owner"] for r in words}:
+        own = pa.Table.from_pylist([r for r in made if r["block"] == block], schema=bpe._ROW)
+        back = pa.Table.from_pylist([c for c in coded if c["block"] == block])
+        got += bpe._laid_out(own, back, BYTE, finish, kind).to_pylist()
+        with pytest.raises(ValueError, match="changed"):
+            bpe._laid_out(own, back.slice(1), BYTE, finish, kind)
+    assert Counter((r["doc_id"], r["ids"], r["decoded"]) for r in got) == Counter((d, u4(coder.encode_ordinary(x or "")), (x or "").encode()) for d, x, *_ in rows)
+
+
 def test_codes_round_trip():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 400000000])
     assert (bpe.unpack_codes(bpe.pack_codes(x)) == x).all() and len(bpe.unpack_codes(b"")) == 0
