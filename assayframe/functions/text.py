@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 # The token pattern in Java's syntax and in Python's.
 TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 _EXACT = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: White space as Python's strings know it, which is one definition for all that follows.
+SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: A sentence ends after its marks and closing quotes where white space or the end follows, or at line ends.
-BOUNDARY = r"""([.!?]["')\]]*)(?:\s+|$)|\n+"""
-_BOUNDARY = re.compile(BOUNDARY)
-MARK = "\u0001"
+BOUNDARY = rf"""([.!?]["')\]]*)(?:{SPACE}+|\z)|\n+"""
+_BOUNDARY = re.compile(BOUNDARY.replace(r"\z", r"\Z"))
+#: Cuts are marked by CUT; where a text holds the mark's first character, that is written as ESCAPED meanwhile.
+MARK, CUT, ESCAPED = "\u0001", "\u0001c", "\u0001e"
 
 
 def tokens(text: Column) -> Column:
@@ -52,12 +55,22 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
+def strip_left(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{SPACE}+", "")
+
+
+def strip_right(text: Column) -> Column:
+    return F.regexp_replace(text, rf"{SPACE}+\z", "")
 
 
 def segments(text: Column) -> Column:
     """The text cut after each sentence boundary; joined again they are the text."""
-    return F.split(F.regexp_replace(text, BOUNDARY, "$0" + MARK), MARK)
+    safe = F.replace(text, F.lit(MARK), F.lit(ESCAPED))
+    cut = F.split(F.regexp_replace(safe, BOUNDARY, "$0" + CUT), CUT)
+    return F.when(F.contains(text, F.lit(MARK)), F.transform(cut, lambda s: F.replace(s, F.lit(ESCAPED), F.lit(MARK)))).otherwise(cut)
 
 
 def sentences(text: Column) -> Column:
@@ -101,13 +114,14 @@ def prefix(text: Column, n: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def sanitized(error: Column) -> Column:
-    """One line of at most 500 characters."""
-    return F.left(strip(F.regexp_replace(error, r"\s+", " ")), F.lit(500))
+def sanitized(error: Column, folder: str | None = None) -> Column:
+    """One line of at most 500 characters, in which ``folder`` is written as <folder>."""
+    line = strip(F.regexp_replace(error, f"{SPACE}+", " "))
+    return F.left(F.replace(line, F.lit(folder), F.lit("<folder>")) if folder else line, F.lit(500))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .validation import ContractError
 
 FRAGMENT_WORDS = 64
 # The contradiction's template and the version that tie hashes carry.
@@ -44,8 +49,8 @@ def evidence_removal(inputs: DataFrame) -> DataFrame:
     """The passage without the sentence nearest the question; what stands around it is joined by one space."""
     rows = best_sentence(inputs)
     at = -F.col("best.earlier")
-    left = F.regexp_replace(F.array_join(F.slice("segs", F.lit(1), at), ""), r"\s+$", "")
-    right = F.regexp_replace(F.array_join(F.slice("segs", at + 2, F.size("segs")), ""), r"^\s+", "")
+    left = T.strip_right(F.array_join(F.slice("segs", F.lit(1), at), ""))
+    right = T.strip_left(F.array_join(F.slice("segs", at + 2, F.size("segs")), ""))
     made = F.when((left != "") & (right != ""), F.concat(left, F.lit(" "), right)).otherwise(F.concat(left, right))
     text = F.when(F.col("best").isNotNull(), made)
     return rows.select(
@@ -89,64 +94,131 @@ def contradiction(inputs: DataFrame) -> DataFrame:
         "doc_id",
         F.when(ok, "ok").otherwise("not_applicable").alias("status"),
         _reason(rows).alias("reason"),
-        F.when(ok, F.concat(F.regexp_replace("passage", r"\s+$", ""), F.lit("\n\n" + TEMPLATE), fragment)).alias("transformed"),
+        F.when(ok, F.concat(T.strip_right(F.col("passage")), F.lit("\n\n" + TEMPLATE), fragment)).alias("transformed"),
         flags((ok & (F.col("best.shared") == 0), "zero_lexical_overlap"), (ok & (used < FRAGMENT_WORDS), "fragment_shorter_than_requested")).alias("flags"),
     )
 
 
-def donor_pool(docs: DataFrame, size: int) -> DataFrame:
-    """The ``size`` donors of the least ids with their leading fragments: a bounded table, stated by its parameter."""
+#: Donors that a group holds, and targets: they bound a task's memory.
+CHUNK_DONORS, BLOCK_TARGETS = 8192, 16_384
+
+
+def donors_of(docs: DataFrame) -> DataFrame:
+    """Every document with a leading fragment as a donor: donor_id, donor_sha, fragment, donor_tokens, donor_words."""
+    words = F.slice(T.words(F.col("passage")), 1, FRAGMENT_WORDS)
     return (
-        docs.orderBy("doc_id")
-        .limit(size)
-        .select(
-            F.col("doc_id").alias("donor_id"),
-            F.sha2("passage", 256).alias("donor_sha"),
-            T.prefix(F.col("passage"), F.lit(FRAGMENT_WORDS)).alias("fragment"),
+        docs.select(
+            F.col("doc_id").alias("donor_id"), F.sha2("passage", 256).alias("donor_sha"), F.array_join(words, " ").alias("fragment"), F.size(words).alias("donor_words")
         )
         .where("fragment <> ''")
         .withColumn("donor_tokens", T.tokens(F.col("fragment")))
-    )
-
-
-def distractor(inputs: DataFrame, donors: DataFrame, seed: int = 20260803) -> DataFrame:
-    """The donor fragment that overlaps the question least, ties by a seeded hash of the pair and then by id.
-
-    ``donors`` is a bounded pool (see :func:`donor_pool`), broadcast as one array, so that all happens inside the row: nothing is
-    shuffled, no pairs come up as rows, and only donors of the least overlap are hashed. Inputs without a donor drop out.
+    )
+
+
+def _tie(seed: int, donor: str, target: str) -> str:
+    # Fixed value: the canonical JSON of the pair.
+    return sha256(f'{{"candidate_example_id":"{donor}","condition_version":"{VERSION}","seed":{seed},"target_example_id":"{target}"}}'.encode()).hexdigest()
+
+
+def _best_of_chunk(targets: pd.DataFrame, donors: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The best donor of each target among those of one chunk. Overlaps come from an inverted index of the donors' tokens, so that
+    only donors of the least overlap are hashed."""
+    names, shas = donors["donor_id"].to_numpy(), donors["donor_sha"].to_numpy()
+    sizes = np.array([len(t) for t in donors["donor_tokens"]], np.int64)
+    index: dict[str, list[int]] = {}
+    for at, tokens in enumerate(donors["donor_tokens"]):
+        for t in tokens:
+            index.setdefault(t, []).append(at)
+    posting = {t: np.array(at) for t, at in index.items()}
+    spelled = [str(n) for n in names.tolist()]
+    out = []
+    for doc, sha, q in zip(targets["doc_id"].tolist(), targets["own_sha"], targets["q"], strict=True):
+        others = (names != doc) & (shas != sha)
+        eligible = int(others.sum())
+        if not eligible:
+            continue
+        shared = np.zeros(len(names), np.int64)
+        for t in q:
+            if t in posting:
+                shared[posting[t]] += 1
+        either = len(q) + sizes - shared
+        overlap = np.where(others, shared / np.maximum(either, 1), np.inf)
+        least = float(overlap.min())
+        tie, name, at = min((_tie(seed, spelled[i], str(doc)), spelled[i], i) for i in np.flatnonzero(overlap == least).tolist())
+        out.append((doc, least, tie, name, int(names[at]), int(shared[at]), eligible))
+    return pd.DataFrame(out, columns=["doc_id", "overlap", "tie", "name", "donor_id", "shared", "eligible"])
+
+
+def distractor(inputs: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
+    """The passage and, after a blank line, the donor fragment that overlaps the question least, ties by a seeded hash of the pair
+    and then by id as text.
+
+    Every donor but the input itself and those of the same passage is met. The tie hash depends on the pair, so the work grows
+    with the pairs; donors come in chunks of about CHUNK_DONORS and targets in blocks, a task holds one of each and hands on one
+    row for each target, and the least of those rows wins. Repeated donor ids are an error. An input without a donor is
+    ``not_applicable``. ``donors`` is as :func:`donors_of` gives it.
     """
-    pool = donors.agg(F.collect_list(F.struct("donor_id", "donor_sha", "fragment", "donor_tokens")).alias("pool")).withColumn("one", F.lit(1))
-    asked = inputs.select("doc_id", T.tokens(F.col("question")).alias("q"), F.sha2("passage", 256).alias("own_sha"), F.lit(1).alias("one"))
-
-    def tie(donor: Column) -> Column:
-        return F.sha2(
-            F.concat(
-                F.lit('{"candidate_example_id":"'), donor.cast("string"),
-                F.lit(f'","condition_version":"{VERSION}","seed":{seed},"target_example_id":"'), F.col("doc_id").cast("string"), F.lit('"}'),
-            ),
-            256,
-        )
-
-    others = F.filter("pool", lambda d: (d["donor_id"] != F.col("doc_id")) & (d["donor_sha"] != F.col("own_sha")))
-    met = F.transform(
-        others,
-        lambda d: F.struct(
-            T.shared(F.col("q"), d["donor_tokens"]).alias("shared"), F.size(d["donor_tokens"]).alias("n"), d["donor_id"].alias("donor_id"), d["fragment"].alias("fragment")
-        ),
+    n = donors.groupBy("donor_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    if (n["most"] or 0) > 1:
+        raise ContractError("duplicate donor id")
+    chunks = max(1, -(-(n["all"] or 0) // CHUNK_DONORS))
+    asked = inputs.select("doc_id", T.tokens(F.col("question")).alias("q"), F.sha2("passage", 256).alias("own_sha"))
+    n_asked = asked.count()
+    tasks = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = max(1, -(-n_asked // BLOCK_TARGETS), min(tasks, n_asked // 256))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    left = asked.select("*", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every(chunks, "chunk"))
+    right = donors.select(
+        F.pmod(F.xxhash64("donor_id"), F.lit(chunks)).cast("int").alias("chunk"), "donor_id", "donor_sha", "donor_tokens", every(blocks, "block")
     )
-    scored = F.transform(
-        met, lambda d: F.struct(T.overlap(d["shared"], F.size("q"), d["n"]).alias("overlap"), d["donor_id"].alias("donor_id"), d["fragment"].alias("fragment"))
+    per_chunk = (
+        left.groupBy("chunk", "block")
+        .cogroup(right.groupBy("chunk", "block"))
+        .applyInPandas(lambda t, d: _best_of_chunk(t, d, seed), "doc_id long, overlap double, tie string, name string, donor_id long, shared long, eligible long")
     )
-    rows = asked.join(F.broadcast(pool), "one").select("doc_id", scored.alias("scored")).where(F.size("scored") > 0)
-    rows = rows.withColumn("least", F.array_min(F.transform("scored", lambda d: d["overlap"])))
-    nearest = F.filter("scored", lambda d: d["overlap"] == F.col("least"))
-    best = F.array_min(F.transform(nearest, lambda d: F.struct(tie(d["donor_id"]).alias("tie"), d["donor_id"].alias("donor_id"), d["fragment"].alias("fragment"))))
-    return rows.select("doc_id", best.alias("d"), F.col("least").alias("overlap"), F.size("scored").cast("long").alias("eligible")).select(
-        "doc_id", "d.donor_id", "overlap", "d.tie", "eligible", F.sha2("d.fragment", 256).alias("fragment_sha")
+    best = per_chunk.groupBy("doc_id").agg(F.min(F.struct("overlap", "tie", "name", "donor_id", "shared")).alias("d"), F.sum("eligible").alias("eligible"))
+    rows = inputs.select("doc_id", "passage").join(best, "doc_id", "left").join(donors.select(F.col("donor_id").alias("chosen"), "fragment", "donor_words"), F.col("d.donor_id") == F.col("chosen"), "left")
+    ok = F.col("chosen").isNotNull()
+    return rows.select(
+        "doc_id",
+        F.when(ok, "ok").otherwise("not_applicable").alias("status"),
+        F.when(~ok, "no_eligible_donor").alias("reason"),
+        F.concat(T.strip_right(F.col("passage")), F.lit("\n\n"), F.col("fragment")).alias("transformed"),
+        flags((ok & (F.col("d.shared") == 0), "zero_lexical_overlap"), (ok & (F.col("donor_words") < FRAGMENT_WORDS), "fragment_shorter_than_requested")).alias("flags"),
+        F.col("d.donor_id").alias("donor_id"),
+        F.col("d.overlap").alias("overlap"),
+        F.col("d.tie").alias("tie"),
+        F.coalesce("eligible", F.lit(0).cast("long")).alias("eligible"),
+        F.sha2("fragment", 256).alias("fragment_sha"),
     )
 
 
+def fragment_hashes(chosen: DataFrame, donors: DataFrame) -> DataFrame:
+    """Rows of ``chosen`` (doc_id, donor_id, fragment_sha) whose donor is unknown or has another fragment."""
+    told = donors.select("donor_id", F.sha2("fragment", 256).alias("told"))
+    return chosen.where("donor_id IS NOT NULL").join(told, "donor_id", "left").where("NOT (fragment_sha <=> told)").select("doc_id", "donor_id")
+
+
+def all_conditions(inputs: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
+    """Six rows for each input, one for every condition: doc_id, condition, condition_index, status, reason, transformed, flags."""
+    none = F.array().cast("array<string>")
+    plain = lambda text: inputs.select("doc_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), text.alias("transformed"), none.alias("flags"))
+    parts = {
+        "original": plain(F.col("passage")),
+        "lexical_evidence_removal": evidence_removal(inputs),
+        "prefix_truncation_50": prefix_truncation(inputs).withColumn("flags", none),
+        "irrelevant_distractor": distractor(inputs, donors, seed),
+        "lexical_contradiction": contradiction(inputs),
+        "no_passage": plain(F.lit("")),
+    }
+    out = None
+    for at, (name, part) in enumerate(parts.items()):
+        rows = part.select("doc_id", F.lit(name).alias("condition"), F.lit(at).alias("condition_index"), "status", "reason", "transformed", "flags")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def donor_reuse(chosen: DataFrame, donors: DataFrame) -> DataFrame:
     """How often each donor was used; donors never used have 0."""
-    used = chosen.groupBy("donor_id").agg(F.count("*").alias("uses"))
+    used = chosen.where("donor_id IS NOT NULL").groupBy("donor_id").agg(F.count("*").alias("uses"))
     return donors.select("donor_id").join(used, "donor_id", "left").select("donor_id", F.coalesce("uses", F.lit(0).cast("long")).alias("uses"))

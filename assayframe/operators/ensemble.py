@@ -10,7 +10,12 @@ from . import metrics
 
 
 def combine(rows: DataFrame, members: int = 3) -> DataFrame:
-    """One row per input and condition: mean, population variance, entropies, their gap and vote disagreement."""
+    """One row per input and condition: mean, population variance, entropies, their gap and vote disagreement.
+
+    An input that lacks one of the ``members``, has one twice or has a null probability is an error, which the query raises.
+    """
+    whole = (F.col("members") == members) & (F.col("distinct") == members) & (F.col("known") == members)
+    broken = F.concat(F.lit("ensemble members of input "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(", "), F.coalesce("condition", F.lit("null")), F.lit(": "), F.col("known").cast("string"))
     out = (
         rows.where("method <> 'baseline'")
         .groupBy("doc_id", "condition", "truth")
@@ -20,8 +25,11 @@ def combine(rows: DataFrame, members: int = 3) -> DataFrame:
             F.avg("entropy_cal").alias("expected_entropy"),
             F.sum(F.col("says_yes").cast("long")).alias("yes_votes"),
             F.count("*").alias("members"),
+            F.size(F.collect_set("method")).alias("distinct"),
+            F.count("p_cal").alias("known"),
         )
-        .where(F.col("members") == members)
+        .withColumn("members", F.when(whole, F.col("members")).otherwise(F.raise_error(broken).cast("long")))
+        .drop("distinct", "known")
     )
     entropy = P.entropy(F.col("p_mean"))
     return out.select(

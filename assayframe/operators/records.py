@@ -50,6 +50,13 @@ def runtime_rows(inputs: DataFrame, degraded: DataFrame, most: int = MOST_TOKENS
     )
 
 
+def prompt_deltas(runtime: DataFrame) -> DataFrame:
+    """Prompt tokens of each condition against those of the original of the same input, where both are there: count, sum, least and most."""
+    own = runtime.where("condition = 'original'").select("doc_id", F.col("prompt_tokens").alias("before"))
+    rows = runtime.where("condition <> 'original'").join(own, "doc_id").select("condition", (F.col("prompt_tokens") - F.col("before")).alias("d"))
+    return rows.where("d IS NOT NULL").groupBy("condition").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.min("d").alias("least"), F.max("d").alias("most"))
+
+
 def prediction_rows(runtime: DataFrame, scores: DataFrame) -> DataFrame:
     """Runtime rows with the scores (doc_id, condition, method, margin) of every method. A row that isn't ``ok`` was not run: its scores
     are null and its reason stays. A row that is ``ok`` and has no score keeps nulls under the status ``missing``."""

@@ -18,7 +18,6 @@ from . import sql
 
 SEED, SALT = 20260803, "split"
 SIZES = {"train": 80, "calibration": 20, "test": 40}
-POOL = 64
 GRID = (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)
 
 
@@ -189,12 +188,26 @@ def contradiction(spark, sf):
 
 def _distractors(spark, sf):
     rows = _inputs(spark, sf)
-    donors = degrade.donor_pool(rows, POOL)
+    donors = degrade.donors_of(rows)
     return degrade.distractor(rows, donors, SEED), donors
 
 
 def distractor_top1(spark, sf):
-    return _distractors(spark, sf)[0].select("doc_id", "donor_id", "overlap", "tie", "eligible")
+    return _distractors(spark, sf)[0].select(
+        "doc_id", "status", "reason", "donor_id", "overlap", "tie", "eligible", "fragment_sha", F.sha2("transformed", 256).alias("sha"), F.array_join("flags", ",").alias("flags")
+    )
+
+
+def distractor_without_donors(spark, sf):
+    """Where all passages but a few are one text: those of it have the few, which have each other and all of it."""
+    rows = _inputs(spark, sf).withColumn("passage", F.when(F.col("doc_id") % 100 != 7, "one text for all").otherwise(F.lit("")))
+    return degrade.distractor(rows, degrade.donors_of(rows), SEED).groupBy("status", "reason", "eligible").agg(F.count("*").alias("n"))
+
+
+def donor_fragments(spark, sf):
+    chosen, donors = _distractors(spark, sf)
+    changed = F.when(F.col("doc_id") % 10 == 3, F.sha2("fragment_sha", 256)).otherwise(F.col("fragment_sha"))
+    return degrade.fragment_hashes(chosen.select("doc_id", "donor_id", changed.alias("fragment_sha")), donors.where("donor_id % 10 <> 4"))
 
 
 def donor_reuse(spark, sf):
@@ -205,14 +218,21 @@ def condition_expand(spark, sf):
     return fixtures.expand_conditions(_strata(spark, sf)).groupBy("condition", "quality").agg(F.count("*").alias("n"))
 
 
-def degradation_summary(spark, sf):
+def _degraded(spark, sf):
     rows = _inputs(spark, sf)
-    own = rows.select("doc_id", "passage")
-    made = None
-    for name, f in (("lexical_evidence_removal", degrade.evidence_removal), ("prefix_truncation_50", degrade.prefix_truncation), ("lexical_contradiction", degrade.contradiction)):
-        part = f(rows).select("doc_id", "status", "transformed").withColumn("condition", F.lit(name))
-        made = part if made is None else made.unionByName(part)
-    return describe.degradation_summary(made.join(own, "doc_id"))
+    return degrade.all_conditions(rows, degrade.donors_of(rows), SEED)
+
+
+def degradation_summary(spark, sf):
+    return describe.degradation_summary(_degraded(spark, sf).join(_inputs(spark, sf).select("doc_id", "passage"), "doc_id"))
+
+
+def degraded_tokens(spark, sf):
+    return describe.token_summary(_degraded(spark, sf).join(_inputs(spark, sf).select("doc_id", "question"), "doc_id"))
+
+
+def status_counts(spark, sf):
+    return _degraded(spark, sf).groupBy("condition", "status", "reason").agg(F.count("*").alias("n"))
 
 
 def nearest_rank_percentiles(spark, sf):
@@ -235,7 +255,14 @@ def row_identity(spark, sf):
 
 
 def canonical_rows(spark, sf):
-    return identity.row_hash(_strata(spark, sf))
+    wide = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") + F.lit(9007199254740993))
+    return identity.row_hash(_strata(spark, sf).withColumns({"part": F.col("doc_id") / 8.0, "wide": wide}))
+
+
+def row_hash_faults(spark, sf):
+    """Rows changed after they were hashed, and rows without a hash."""
+    rows = canonical_rows(spark, sf).withColumn("part", F.when(F.col("doc_id") % 9 == 4, F.col("part") + 0.125).otherwise(F.col("part")))
+    return identity.verify_rows(rows.withColumn("row_sha256", F.when(F.col("doc_id") % 11 != 5, F.col("row_sha256")))).select("doc_id")
 
 
 def source_digest(spark, sf):
@@ -318,15 +345,6 @@ def prompts(spark, sf):
     return _inputs(spark, sf).select("doc_id", F.sha2(made, 256).alias("sha"), F.size(T.words(made)).cast("long").alias("n_tokens"))
 
 
-def _degraded(spark, sf):
-    rows = _inputs(spark, sf)
-    parts = [
-        f(rows).select("doc_id", "status", "reason", "transformed").withColumn("condition", F.lit(name))
-        for name, f in (("lexical_evidence_removal", degrade.evidence_removal), ("prefix_truncation_50", degrade.prefix_truncation), ("lexical_contradiction", degrade.contradiction))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 def runtime_rows(spark, sf):
     return records.runtime_rows(_inputs(spark, sf), _degraded(spark, sf))
 
@@ -336,9 +354,11 @@ def prediction_rows(spark, sf):
 
 
 def flag_counts(spark, sf):
-    rows = _inputs(spark, sf)
-    both = [f(rows).select("flags").withColumn("condition", F.lit(n)) for n, f in (("lexical_evidence_removal", degrade.evidence_removal), ("lexical_contradiction", degrade.contradiction))]
-    return describe.flag_counts(both[0].unionByName(both[1])).withColumnRenamed("count", "n")
+    return describe.flag_counts(_degraded(spark, sf)).withColumnRenamed("count", "n")
+
+
+def prompt_deltas(spark, sf):
+    return records.prompt_deltas(runtime_rows(spark, sf))
 
 
 def prediction_counts(spark, sf):
@@ -419,8 +439,8 @@ _ALL = (
     expressed_summary, ensemble_rows, ensemble_metrics, vote_disagreement, alignment_violations, uq_error_signals,
     uq_degradation_signals, seed_summary, class_counts, quota_allocation, selection_hash_rank, stratified_split,
     split_leakage, token_jaccard, exact_token_counts, sentence_counts, best_sentence, evidence_removal, prefix_truncation,
-    contradiction, distractor_top1, donor_reuse, condition_expand, degradation_summary, nearest_rank_percentiles,
-    prompt_length_stats, linear_quantiles, row_identity, canonical_rows, source_digest, standardizer_stats,
+    contradiction, distractor_top1, distractor_without_donors, donor_fragments, donor_reuse, degraded_tokens, status_counts, prompt_deltas, condition_expand, degradation_summary, nearest_rank_percentiles,
+    prompt_length_stats, linear_quantiles, row_identity, canonical_rows, row_hash_faults, source_digest, standardizer_stats,
     laplace_diagonal, posterior_summary, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
     bootstrap_intervals, stage_selection, validate_manifest, eligibility, duplicate_texts,
 )

@@ -104,13 +104,15 @@ half AS (SELECT doc_id, passage, len(w) AS n, array_to_string(w[1:(len(w) + 1) /
 halved AS (SELECT *, CASE WHEN n = 0 THEN 'empty_passage_tokenization' WHEN cut = passage THEN 'unchanged_result' END AS reason FROM half)"""
 _DENIED = f"""denied AS (SELECT *, CASE WHEN i IS NOT NULL THEN regexp_replace(passage, '\\s+$', '') || chr(10) || chr(10) || '{TEMPLATE}' ||
   array_to_string(({_words('sentence')})[1:{FRAGMENT_WORDS}], ' ') END AS transformed, len({_words('sentence')}) AS used FROM best)"""
-_DONORS = f"""{_INPUTS}, pool AS (SELECT doc_id AS donor_id, sha256(passage) AS donor_sha, array_to_string(({_words('passage')})[1:{FRAGMENT_WORDS}], ' ') AS fragment
-  FROM (SELECT * FROM inp ORDER BY doc_id LIMIT 64)),
+_DONORS = f"""{_INPUTS}, pool AS (SELECT doc_id AS donor_id, sha256(passage) AS donor_sha, array_to_string(({_words('passage')})[1:{FRAGMENT_WORDS}], ' ') AS fragment,
+  len(({_words('passage')})[1:{FRAGMENT_WORDS}]) AS used FROM inp),
 don AS (SELECT *, {_tokens('fragment')} AS t FROM pool WHERE fragment <> ''),
-pairs AS (SELECT doc_id, donor_id, CASE WHEN len(list_concat(q, t)) > 0 THEN len(list_intersect(q, t)) / CAST(len(list_distinct(list_concat(q, t))) AS DOUBLE) ELSE 0 END AS overlap,
+pairs AS (SELECT doc_id, donor_id, fragment, used, len(list_intersect(q, t)) AS shared, CASE WHEN len(list_concat(q, t)) > 0 THEN len(list_intersect(q, t)) / CAST(len(list_distinct(list_concat(q, t))) AS DOUBLE) ELSE 0 END AS overlap,
   sha256('{{"candidate_example_id":"' || donor_id || '","condition_version":"{VERSION}","seed":20260803,"target_example_id":"' || doc_id || '"}}') AS tie
   FROM (SELECT doc_id, {_tokens('question')} AS q, sha256(passage) AS own FROM inp) i JOIN don ON i.doc_id <> donor_id AND own <> donor_sha),
-picked AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS eligible, row_number() OVER (PARTITION BY doc_id ORDER BY overlap, tie, donor_id) AS k FROM pairs) WHERE k = 1)"""
+picked AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS eligible, row_number() OVER (PARTITION BY doc_id ORDER BY overlap, tie, CAST(donor_id AS VARCHAR)) AS k FROM pairs) WHERE k = 1),
+distracted AS (SELECT i.doc_id, i.passage, CASE WHEN k IS NULL THEN 'not_applicable' ELSE 'ok' END AS status, CASE WHEN k IS NULL THEN 'no_eligible_donor' END AS reason, donor_id, overlap, tie,
+  coalesce(eligible, 0) AS eligible, sha256(fragment) AS fragment_sha, regexp_replace(i.passage, '\\s+$', '') || chr(10) || chr(10) || fragment AS transformed, shared, used FROM inp i LEFT JOIN picked USING (doc_id))"""
 _DELTA = "round(avg(a.{0} - o.{0}), 9) AS d_{1}"
 _FEAT = "feat AS (SELECT vec_id, CAST(label >= 5 AS INT) AS target, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), flat AS (SELECT vec_id, target, generate_subscripts(x, 1) - 1 AS dim, unnest(x) AS v FROM feat)"
 
@@ -141,11 +143,20 @@ def statements() -> dict[str, str]:
     nearest = lambda p, n: f"list_sort(list(v))[{n} + 1] AS p{p}"
     ppm = "(length(transformed) * 1000000 + greatest(length(passage), 1) // 2) // greatest(length(passage), 1)"
     made = f"'Passage: ' || {{0}} || chr(10) || 'Question: ' || question || chr(10) || '{PREFIX}'"
-    runtime = f"""{_REMOVED}, {_PREFIX}, {_DENIED}, r AS (
-      SELECT doc_id, 'lexical_evidence_removal' AS condition, CASE WHEN i IS NULL THEN 'not_applicable' ELSE 'ok' END AS status, {_REASON} AS reason, transformed FROM removed
-      UNION ALL SELECT doc_id, 'prefix_truncation_50', CASE WHEN reason IS NULL THEN 'ok' ELSE 'not_applicable' END, reason, CASE WHEN reason IS NULL THEN cut END FROM halved
-      UNION ALL SELECT doc_id, 'lexical_contradiction', CASE WHEN i IS NULL THEN 'not_applicable' ELSE 'ok' END, {_REASON}, transformed FROM denied),
-      made AS (SELECT r.*, sha256(passage) AS passage_sha, {made.format('transformed')} AS p FROM r JOIN inp USING (doc_id)),
+    canon = """c0 AS (SELECT doc_id, CAST(quality AS INT) AS quality, doc_id / 8e0 AS part, CASE WHEN doc_id % 3 <> 0 THEN doc_id + 9007199254740993 END AS wide FROM labels),
+      c AS (SELECT *, '{"doc_id":' || doc_id || ',"part":' || CAST(part AS VARCHAR) || ',"quality":' || quality || ',"wide":' || coalesce(CAST(wide AS VARCHAR), 'null') || '}' AS j FROM c0)"""
+    short, zero = "'fragment_shorter_than_requested'", "'zero_lexical_overlap'"
+    degraded = f"""{_REMOVED}, {_PREFIX}, {_DENIED}, {_DONORS[len(_INPUTS) + 2 :]}, r AS (
+      SELECT doc_id, passage, 'original' AS condition, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason, passage AS transformed, CAST([] AS VARCHAR[]) AS flags FROM inp
+      UNION ALL SELECT doc_id, passage, 'lexical_evidence_removal', CASE WHEN i IS NULL THEN 'not_applicable' ELSE 'ok' END, {_REASON}, transformed,
+        [CASE WHEN transformed = '' THEN 'whole_passage_removed' END, CASE WHEN shared = 0 THEN {zero} END] FROM removed
+      UNION ALL SELECT doc_id, passage, 'prefix_truncation_50', CASE WHEN reason IS NULL THEN 'ok' ELSE 'not_applicable' END, reason, CASE WHEN reason IS NULL THEN cut END, [] FROM halved
+      UNION ALL SELECT doc_id, passage, 'irrelevant_distractor', status, reason, transformed, [CASE WHEN used < {FRAGMENT_WORDS} THEN {short} END, CASE WHEN shared = 0 THEN {zero} END] FROM distracted
+      UNION ALL SELECT doc_id, passage, 'lexical_contradiction', CASE WHEN i IS NULL THEN 'not_applicable' ELSE 'ok' END, {_REASON}, transformed,
+        [CASE WHEN i IS NOT NULL AND used < {FRAGMENT_WORDS} THEN {short} END, CASE WHEN shared = 0 THEN {zero} END] FROM denied
+      UNION ALL SELECT doc_id, passage, 'no_passage', 'ok', NULL, '', [] FROM inp)"""
+    runtime = f"""{degraded},
+      made AS (SELECT r.*, sha256(r.passage) AS passage_sha, {made.format('transformed')} AS p FROM r JOIN inp USING (doc_id)),
       runtime AS (SELECT doc_id, condition, passage_sha, CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'too_long' ELSE status END AS status,
       CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'prompt_over_limit' ELSE reason END AS reason,
       CASE WHEN status = 'ok' THEN len({_words('p')}) END AS prompt_tokens, CASE WHEN status = 'ok' THEN sha256(p) END AS prompt_sha,
@@ -214,22 +225,28 @@ def statements() -> dict[str, str]:
         "prefix_truncation": f"WITH {_INPUTS}, {_PREFIX} SELECT doc_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'not_applicable' END AS status, reason, CASE WHEN reason IS NULL THEN sha256(cut) END AS sha, n AS original_tokens FROM halved",
         "contradiction": f"WITH {_BEST}, {_DENIED} SELECT doc_id, CASE WHEN i IS NULL THEN 'not_applicable' ELSE 'ok' END AS status, {_REASON} AS reason, sha256(transformed) AS sha, "
         f"concat_ws(',', CASE WHEN i IS NOT NULL AND used < {FRAGMENT_WORDS} THEN 'fragment_shorter_than_requested' END, CASE WHEN shared = 0 THEN 'zero_lexical_overlap' END) AS flags FROM denied",
-        "distractor_top1": f"WITH {_DONORS} SELECT doc_id, donor_id, round(overlap, 9) AS overlap, tie, eligible FROM picked",
+        "distractor_top1": f"""WITH {_DONORS} SELECT doc_id, status, reason, donor_id, round(overlap, 9) AS overlap, tie, eligible, fragment_sha, sha256(transformed) AS sha,
+            concat_ws(',', CASE WHEN used < {FRAGMENT_WORDS} THEN 'fragment_shorter_than_requested' END, CASE WHEN shared = 0 THEN 'zero_lexical_overlap' END) AS flags FROM distracted""",
+        "distractor_without_donors": f"""WITH {_INPUTS}, n AS (SELECT count(*) FILTER (doc_id % 100 <> 7) AS k FROM inp) SELECT CASE WHEN doc_id % 100 = 7 AND k > 0 THEN 'ok' ELSE 'not_applicable' END AS status,
+            CASE WHEN doc_id % 100 = 7 AND k > 0 THEN NULL ELSE 'no_eligible_donor' END AS reason, CASE WHEN doc_id % 100 = 7 THEN k ELSE 0 END AS eligible, count(*) AS n FROM inp, n GROUP BY ALL""",
+        "donor_fragments": f"WITH {_DONORS} SELECT doc_id, donor_id FROM distracted WHERE donor_id IS NOT NULL AND (doc_id % 10 = 3 OR donor_id % 10 = 4)",
         "donor_reuse": f"WITH {_DONORS} SELECT donor_id, count(k) AS uses FROM don LEFT JOIN picked USING (donor_id) GROUP BY 1",
         "condition_expand": f"WITH {_PRED} SELECT condition, CAST(quality AS INT) AS quality, count(*) AS n FROM labels, cond GROUP BY ALL",
-        "degradation_summary": f"""WITH {_REMOVED}, {_PREFIX}, {_DENIED}, r AS (
-            SELECT 'lexical_evidence_removal' AS condition, passage, i IS NOT NULL AS ok, transformed FROM removed
-            UNION ALL SELECT 'prefix_truncation_50', passage, reason IS NULL, CASE WHEN reason IS NULL THEN cut END FROM halved
-            UNION ALL SELECT 'lexical_contradiction', passage, i IS NOT NULL, transformed FROM denied)
-            SELECT condition, count(*) AS n, CAST(sum(ok::INT) AS BIGINT) AS n_ok, CAST(sum(coalesce(transformed <> passage, false)::INT) AS BIGINT) AS n_changed,
+        "degradation_summary": f"""WITH {degraded} SELECT condition, count(*) AS n, CAST(sum((status = 'ok')::INT) AS BIGINT) AS n_ok,
+            CAST(sum(coalesce(transformed <> passage, false)::INT) AS BIGINT) AS n_changed,
             CAST(sum((transformed IS NULL)::INT) AS BIGINT) AS n_unknown, CAST(sum(length(transformed)) AS BIGINT) AS chars, CAST(sum({ppm}) AS BIGINT) AS ppm FROM r GROUP BY 1""",
+        "status_counts": f"WITH {degraded} SELECT condition, status, reason, count(*) AS n FROM r GROUP BY ALL",
+        "degraded_tokens": f"""WITH {degraded}, l AS (SELECT condition, 'text' AS of, len({_words('transformed')}) AS v FROM r WHERE status = 'ok'
+            UNION ALL SELECT condition, 'prompt', len({_words('p')}) FROM (SELECT r.condition, {made.format('transformed')} AS p FROM r JOIN inp USING (doc_id) WHERE status = 'ok'))
+            SELECT condition, of, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, list_sort(list(v))[((count(*) - 1) * 50 + 50) // 100 + 1] AS median, max(v) AS most FROM l GROUP BY ALL""",
         "nearest_rank_percentiles": "WITH x AS (SELECT l_returnflag, l_quantity AS v FROM lineitem) SELECT l_returnflag, count(*) AS n, "
         + ", ".join(nearest(p, f"((count(*) - 1) * {p} + 50) // 100") for p in (5, 50, 95)) + " FROM x GROUP BY 1",
         "prompt_length_stats": "WITH x AS (SELECT lang, length(text) AS v FROM documents) SELECT lang, count(*) AS n, "
         + ", ".join(nearest(p, f"CAST(round_even((count(*) - 1) * {p} / 100e0, 0) AS BIGINT)") for p in (50, 90, 99)) + " FROM x GROUP BY 1",
         "linear_quantiles": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 9) AS low, round(quantile_cont(l_extendedprice, 0.975), 9) AS high FROM lineitem GROUP BY 1",
         "row_identity": "SELECT doc_id, 'input-' || sha256(doc_id || '|' || quality) AS input_id FROM labels",
-        "canonical_rows": """SELECT doc_id, CAST(quality AS INT) AS quality, sha256('{"doc_id":' || doc_id || ',"quality":' || quality || '}') AS row_sha256 FROM labels""",
+        "canonical_rows": f"WITH {canon} SELECT doc_id, quality, part, wide, sha256(j) AS row_sha256 FROM c",
+        "row_hash_faults": f"WITH {canon} SELECT doc_id FROM c WHERE doc_id % 9 = 4 OR doc_id % 11 = 5",
         "source_digest": "WITH b AS (SELECT doc_id // 1024 AS b, count(*) AS n, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM b",
         "standardizer_stats": f"WITH {_FEAT} SELECT CAST(dim AS INT) AS dim, round(avg(v), 9) AS mean, round(greatest(stddev_pop(v), 1e-6), 9) AS scale FROM flat GROUP BY 1",
         "laplace_diagonal": f"WITH {_FEAT}, z AS (SELECT vec_id, sum(v * ((dim % 7 - 3) / 4e0)) AS z FROM flat GROUP BY 1), p AS (SELECT vec_id, 1 / (1 + exp(-z)) AS p FROM z) SELECT CAST(dim AS INT) AS dim, round(1 + sum(p * (1 - p) * v * v), 9) AS curvature FROM flat JOIN p USING (vec_id) GROUP BY 1",
@@ -258,11 +275,9 @@ def statements() -> dict[str, str]:
             CASE WHEN status <> 'ok' THEN coalesce(reason, status) END AS run_reason, CASE WHEN status = 'ok' THEN round(p_raw, 9) END AS p_yes,
             CASE WHEN status = 'ok' AND margin IS NOT NULL THEN CASE WHEN margin >= 0 THEN 'Yes' ELSE 'No' END END AS answer,
             CASE WHEN status = 'ok' THEN round(-p_raw * ln(p_raw) - (1 - p_raw) * ln(1 - p_raw), 9) END AS entropy FROM runtime LEFT JOIN prob USING (doc_id, condition)""",
-        "flag_counts": f"""WITH {_REMOVED}, {_DENIED}, f AS (
-            SELECT 'lexical_evidence_removal' AS condition, 'whole_passage_removed' AS flag FROM removed WHERE transformed = ''
-            UNION ALL SELECT 'lexical_evidence_removal', 'zero_lexical_overlap' FROM removed WHERE shared = 0
-            UNION ALL SELECT 'lexical_contradiction', 'fragment_shorter_than_requested' FROM denied WHERE i IS NOT NULL AND used < {FRAGMENT_WORDS}
-            UNION ALL SELECT 'lexical_contradiction', 'zero_lexical_overlap' FROM denied WHERE shared = 0) SELECT condition, flag, count(*) AS n FROM f GROUP BY ALL""",
+        "flag_counts": f"WITH {degraded}, f AS (SELECT condition, unnest(flags) AS flag FROM r) SELECT condition, flag, count(*) AS n FROM f WHERE flag IS NOT NULL GROUP BY ALL",
+        "prompt_deltas": f"""WITH {runtime}, d AS (SELECT a.condition, a.prompt_tokens - o.prompt_tokens AS d FROM runtime a JOIN runtime o ON o.doc_id = a.doc_id AND o.condition = 'original' WHERE a.condition <> 'original')
+            SELECT condition, count(d) AS n, CAST(sum(d) AS BIGINT) AS total, min(d) AS least, max(d) AS most FROM d WHERE d IS NOT NULL GROUP BY 1""",
         "prediction_counts": with_pred(parsed, " UNION ALL ".join(f"SELECT '{c}' AS field, coalesce(CAST({c} AS VARCHAR), 'none') AS value, count(*) AS n FROM parsed GROUP BY 2" for c in ("condition", "method", "valid", "answer", "reason"))),
         "member_variation": with_pred(
             "v AS (SELECT condition, doc_id, min(p_cal) <> max(p_cal) AS varied, min(says_yes) <> max(says_yes) AS split FROM ev WHERE method <> 'baseline' GROUP BY ALL)",
