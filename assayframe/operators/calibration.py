@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probability as P
 from . import metrics
+from .validation import ContractError
 
 LEAST, MOST = 0.01, 100.0
 
@@ -59,3 +60,18 @@ def fit(rows: DataFrame, key: str, points: int = 17, rounds: int = 10) -> DataFr
         part = means.join(error, key)
         out = part if out is None else out.join(part.drop("fitted"), key)
     return out.withColumn("boundary_hit", (F.col("fitted") - LEAST < 1e-6 * (MOST - LEAST)) | (MOST - F.col("fitted") < 1e-6 * (MOST - LEAST)))
+
+
+def misaligned(manifest: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """Keys that a manifest and the predictions of one method don't share one to one: (key, in_manifest, in_predictions)."""
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = count(manifest, "in_manifest").join(count(predictions, "in_predictions"), key, "full")
+    zero = F.lit(0).cast("long")
+    return both.select(key, F.coalesce("in_manifest", zero).alias("in_manifest"), F.coalesce("in_predictions", zero).alias("in_predictions")).where("in_manifest <> 1 OR in_predictions <> 1")
+
+
+def aligned(manifest: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """Manifest and predictions joined by key; an error unless each key stands once on both sides."""
+    if broken := misaligned(manifest, predictions, key).limit(5).collect():
+        raise ContractError(f"manifest and predictions differ: {[r[key] for r in broken]}")
+    return manifest.join(predictions, key)

@@ -9,7 +9,7 @@ from ..functions import probability as P
 from . import metrics
 
 
-def combine(rows: DataFrame, members: int = 3) -> DataFrame:
+def combine(rows: DataFrame, members: int = 3, p: str = "p_cal") -> DataFrame:
     """One row per input and condition: mean, population variance, entropies, their gap and vote disagreement.
 
     An input that lacks one of the ``members``, has one twice or has a null probability is an error, which the query raises.
@@ -20,13 +20,13 @@ def combine(rows: DataFrame, members: int = 3) -> DataFrame:
         rows.where("method <> 'baseline'")
         .groupBy("doc_id", "condition", "truth")
         .agg(
-            F.avg("p_cal").alias("p_mean"),
-            F.var_pop("p_cal").alias("variance"),
-            F.avg("entropy_cal").alias("expected_entropy"),
+            F.avg(p).alias("p_mean"),
+            F.var_pop(p).alias("variance"),
+            F.avg(P.entropy(F.col(p))).alias("expected_entropy"),
             F.sum(F.col("says_yes").cast("long")).alias("yes_votes"),
             F.count("*").alias("members"),
             F.size(F.collect_set("method")).alias("distinct"),
-            F.count("p_cal").alias("known"),
+            F.count(p).alias("known"),
         )
         .withColumn("members", F.when(whole, F.col("members")).otherwise(F.raise_error(broken).cast("long")))
         .drop("distinct", "known")
@@ -43,6 +43,25 @@ def combine(rows: DataFrame, members: int = 3) -> DataFrame:
     )
 
 
+def as_predictions(ens: DataFrame) -> DataFrame:
+    """Ensemble rows in the form that the metrics take."""
+    return ens.select(
+        "*", F.lit("ensemble").alias("method"), F.col("confidence").alias("conf_cal"), P.nll_clipped(F.col("p_mean"), F.col("truth")).alias("nll"),
+        P.brier(F.col("p_mean"), F.col("truth")).alias("brier"), F.round(1 - F.col("confidence"), 12).alias("error_score"),
+    )
+
+
+def scoped_metrics(ens: DataFrame) -> DataFrame:
+    """All metrics of an ensemble for every condition and overall."""
+    rows = metrics.with_scope(as_predictions(ens))
+    means = rows.groupBy("scope").agg(
+        F.count("*").alias("n"), F.sum((~F.col("correct")).cast("long")).alias("errors"), F.sum((F.col("disagreement") > 0).cast("long")).alias("n_disagree"),
+        *(F.avg(c).alias(c) for c in ("nll", "brier", "confidence", "predictive_entropy", "expected_entropy", "information_gap", "variance", "disagreement")),
+    )
+    rank = metrics.ranking(rows, ["scope"], "error_score", ~F.col("correct"))
+    return means.join(metrics.ece(rows, ["scope"]), "scope").join(rank, "scope")
+
+
 SIGNALS = ("confidence_gap", "predictive_entropy", "information_gap", "variance", "disagreement")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
@@ -27,14 +27,19 @@ def standardizer(rows: DataFrame) -> DataFrame:
     return flat.groupBy("dim").agg(F.avg("v").alias("mean"), F.greatest(F.stddev_pop("v"), F.lit(FLOOR)).alias("scale"))
 
 
+def _dot(x: str, weights: Column) -> Column:
+    return F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
 def diagonal(rows: DataFrame, weights: DataFrame, prior: float = 1.0) -> DataFrame:
-    """Diagonal curvature: prior and the sum of p (1 - p) x squared, in each dimension, for given ``weights`` (dim, w)."""
-    flat = rows.select("vec_id", F.posexplode("x").alias("dim", "v"))
-    # One weight for each dimension: the table is as long as a vector.
-    logit = flat.join(F.broadcast(weights), "dim").groupBy("vec_id").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
-    p = 1 / (1 + F.exp(-F.col("z")))
-    curved = logit.select("vec_id", (p * (1 - p)).alias("c"))
-    return flat.join(curved, "vec_id").groupBy("dim").agg((F.lit(prior) + F.sum(F.col("c") * F.col("v") * F.col("v"))).alias("curvature"))
+    """Diagonal curvature: prior and the sum of p (1 - p) x squared, in each dimension, for given ``weights`` (dim, w).
+
+    The dot product is made inside the row; what is shuffled is a partial sum for each dimension of a task."""
+    # One row, as long as a vector.
+    line = weights.agg(F.array_sort(F.collect_list(F.struct("dim", "w"))).getField("w").alias("w"))
+    p = 1 / (1 + F.exp(-_dot("x", F.col("w"))))
+    curved = rows.select("x").join(F.broadcast(line), F.lit(True)).select(F.col("x"), (p * (1 - p)).alias("c"))
+    return curved.select(F.posexplode(F.transform("x", lambda v: F.col("c") * v * v)).alias("dim", "v")).groupBy("dim").agg((F.lit(prior) + F.sum("v")).alias("curvature"))
 
 
 def fit_map(rows: DataFrame, prior: float = 1.0, rounds: int = 25, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +103,18 @@ def summary(predictions: DataFrame, key: str) -> DataFrame:
 
 
 def posterior(rows: DataFrame, draws: DataFrame) -> DataFrame:
-    """Predictive mean, population variance, entropies and their gap over ``draws`` (draw, weights array with the bias last)."""
-    # The number of draws is a parameter.
-    z = F.expr("aggregate(zip_with(x, slice(weights, 1, size(x)), (a, b) -> a * b), 0D, (s, v) -> s + v) + element_at(weights, -1)")
-    pairs = rows.join(F.broadcast(draws), F.lit(True)).select("vec_id", "target", (1 / (1 + F.exp(-z))).alias("p"))
-    h = lambda p: -(p * F.ln(F.greatest(p, F.lit(2.220446049250313e-16))) + (1 - p) * F.ln(F.greatest(1 - p, F.lit(2.220446049250313e-16))))
-    out = pairs.groupBy("vec_id", "target").agg(F.avg("p").alias("p_mean"), F.var_pop("p").alias("variance"), F.avg(h(F.col("p"))).alias("expected_entropy"))
+    """Predictive mean, population variance, entropies and their gap over ``draws`` (draw, weights array with the bias last).
+
+    The draws, whose number is a parameter, meet every row as one array; all happens inside the row and nothing is shuffled."""
+    all_draws = draws.agg(F.array_sort(F.collect_list(F.struct("draw", "weights"))).getField("weights").alias("draws"))
+    z = lambda w: _dot("x", F.slice(w, F.lit(1), F.size("x"))) + F.element_at(w, -1)
+    scored = rows.join(F.broadcast(all_draws), F.lit(True)).select("vec_id", "target", F.transform("draws", lambda w: 1 / (1 + F.exp(-z(w)))).alias("p"))
+    floor = F.lit(2.220446049250313e-16)
+    h = lambda p: -(p * F.ln(F.greatest(p, floor)) + (1 - p) * F.ln(F.greatest(1 - p, floor)))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+    out = scored.withColumn("p_mean", mean(F.col("p"))).withColumn("expected_entropy", mean(F.transform("p", h)))
+    out = out.withColumn("variance", mean(F.transform("p", lambda v: (v - F.col("p_mean")) * (v - F.col("p_mean")))))
     entropy = h(F.col("p_mean"))
-    return out.select("*", entropy.alias("entropy"), F.greatest(F.lit(0.0), entropy - F.col("expected_entropy")).alias("information_gap"))
+    return out.select(
+        "vec_id", "target", "p_mean", "variance", "expected_entropy", entropy.alias("entropy"), F.greatest(F.lit(0.0), entropy - F.col("expected_entropy")).alias("information_gap")
+    )

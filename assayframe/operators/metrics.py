@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
+from .ordered import of_unit, running
+from .validation import ContractError
 
 OVERALL = "overall"
 
@@ -33,6 +35,19 @@ def evaluate(pred: DataFrame) -> DataFrame:
     )
 
 
+def attach_labels(scores: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Scores with the label columns of their input, joined by ``key``. A score whose key has no label, a key with two labels and
+    scores that carry a label already are errors."""
+    told = [c for c in labels.columns if c != key]
+    if taken := set(told) & set(scores.columns):
+        raise ContractError(f"scores hold label columns: {sorted(taken)}")
+    one = labels.groupBy(key).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in told))
+    joined = scores.join(one, key, "left")
+    shown = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    fault = F.when(F.col("_n").isNull(), F.concat(F.lit("no label for "), shown)).when(F.col("_n") > 1, F.concat(F.lit("two labels for "), shown))
+    return joined.withColumn("_n", F.when(fault.isNotNull(), F.raise_error(fault).cast("long")).otherwise(F.col("_n"))).where("_n = 1").drop("_n")
+
+
 def with_scope(rows: DataFrame, condition: str = "condition") -> DataFrame:
     """Every row under its condition and under the overall scope."""
     return rows.withColumn("scope", F.explode(F.array(F.lit(OVERALL), F.col(condition))))
@@ -110,21 +125,19 @@ def ranking(rows: DataFrame, keys: list[str], score: Column | str, positive: Col
 
 
 def average_ranks(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Ranks from 1, ties at their mean."""
-    part = Window.partitionBy(*keys)
-    return rows.withColumn(
-        "avg_rank", F.rank().over(part.orderBy(score)) + (F.count("*").over(Window.partitionBy(*keys, score)) - 1) / 2.0
-    )
+    """Ranks from 1, ties at their mean. Scores lie between 0 and 1; equal ones are counted before they are ordered."""
+    counts = rows.groupBy(*keys, score).agg(F.count("*").alias("ties"))
+    placed = running(counts, keys, of_unit(F.col(score)), [score], {"upto": F.col("ties")})
+    ranks = placed.select(*keys, score, (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank"))
+    return rows.join(ranks, [*keys, score])
 
 
 def risk_coverage(rows: DataFrame, keys: list[str], conf: str = "conf_cal", id_col: str = "doc_id") -> DataFrame:
     """Most confident first: coverage and risk at each prefix, ties by id."""
-    part = Window.partitionBy(*keys)
-    order = part.orderBy(F.desc(F.round(conf, 12)), id_col, "condition")
-    k = F.row_number().over(order)
-    errors = F.sum((~F.col("correct")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.count("*").over(part)
-    return rows.select(
+    rounded = F.round(conf, 12)
+    curve = running(rows, keys, of_unit(rounded, descending=True), [F.desc(rounded), id_col, "condition"], {"wrong": (~F.col("correct")).cast("long")})
+    k, n, errors = F.col("place"), F.col("size"), F.col("wrong")
+    return curve.select(
         *keys,
         F.col(id_col),
         "condition",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import probability as P
 from ..functions import text as T
+from .identity import row_hash, text_id
+from .validation import ContractError
 
 # The user turn and the answer prefix of a prompt.
 USER_TEMPLATE = "Passage: {passage}\nQuestion: {question}"
@@ -80,6 +82,20 @@ def envelope(rows: DataFrame, adapters: list[tuple[str, str]]) -> DataFrame:
     return rows.where(F.col("method").isin(*(m for m, _ in adapters))).withColumn("adapter_id", ids[F.col("method")])
 
 
+def calibration_rows(scores: DataFrame, adapters: list[tuple[str, str]]) -> DataFrame:
+    """Label-blind rows that a temperature may be fitted on: logits, probabilities of both classes, adapter and row hash."""
+    if taken := {"quality", "truth", "label", "answer"} & set(scores.columns):
+        raise ContractError(f"scores hold label columns: {sorted(taken)}")
+    ids = F.create_map(*(F.lit(x) for pair in adapters for x in pair))
+    p = P.sigmoid(F.col("margin"))
+    rows = scores.select(
+        "doc_id", "method", "condition", F.lit("train").alias("source_split"), F.col("margin").alias("yes_logit"), F.lit(0.0).alias("no_logit"),
+        p.alias("p_yes"), (1 - p).alias("p_no"), F.when(F.col("margin") >= 0, "Yes").otherwise("No").alias("prediction"), P.confidence(p).alias("confidence"),
+        P.entropy(p).alias("entropy"), ids[F.col("method")].alias("adapter_id"),
+    )
+    return row_hash(rows.withColumn("row_id", text_id("calibration", F.col("doc_id"), F.col("method"))))
+
+
 def identities(rows: DataFrame, group: str, identity: str) -> DataFrame:
     """Groups that carry more than one identity, or none."""
     return rows.groupBy(group).agg(F.count_distinct(identity).alias("n")).where("n <> 1")

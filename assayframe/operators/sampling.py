@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import of_hex, running
+
 
 def rank_hash(seed: int, salt: str, row_id: Column) -> Column:
     # Fixed value: the form of the hashed text.
@@ -14,7 +16,8 @@ def rank_hash(seed: int, salt: str, row_id: Column) -> Column:
 def hash_ranked(rows: DataFrame, stratum: str, row_id: str, seed: int, salt: str) -> DataFrame:
     """Place of each row in its stratum, from 1, by hash and then id."""
     hashed = rows.withColumn("rank_sha", rank_hash(seed, salt, F.col(row_id).cast("string")))
-    return hashed.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("rank_sha", row_id)))
+    placed = running(hashed, [stratum], of_hex(F.col("rank_sha")), ["rank_sha", row_id], {})
+    return placed.drop("size").withColumn("place", F.col("place").cast("int"))
 
 
 def largest_remainder(counts: DataFrame, key: str, total: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probability as P
 from ..functions import text as T
-from ..operators import bootstrap, calibration, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, validation
+from ..operators import bootstrap, calibration, contracts, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, unified, validation
 from ..sources import fixtures
 from . import sql
 
@@ -26,7 +26,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _eval(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.evaluate(fixtures.predictions(spark, sf))
+    return metrics.evaluate(metrics.attach_labels(fixtures.scores(spark, sf), fixtures.labels(spark, sf)))
 
 
 def _ens(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,6 +71,10 @@ def risk_coverage(spark, sf):
     return metrics.risk_coverage(_eval(spark, sf), ["method"])
 
 
+def risk_coverage_by_scope(spark, sf):
+    return metrics.risk_coverage(metrics.with_scope(_eval(spark, sf)), ["method", "scope"])
+
+
 def risk_coverage_thinned(spark, sf):
     return metrics.thinned(risk_coverage(spark, sf))
 
@@ -106,6 +110,36 @@ def ensemble_metrics(spark, sf):
     )
 
 
+def ensemble_scoped_metrics(spark, sf):
+    rows = _eval(spark, sf)
+    parts = [ensemble.scoped_metrics(ensemble.combine(rows, p=p)).withColumn("family", F.lit(f)) for f, p in (("raw", "p_raw"), ("calibrated", "p_cal"))]
+    return parts[0].unionByName(parts[1])
+
+
+def _all_sources(spark, sf):
+    rows = _eval(spark, sf)
+    return unified.union(
+        unified.of_methods(rows), unified.of_ensemble(ensemble.combine(rows, p="p_raw"), "ensemble_raw"), unified.of_ensemble(ensemble.combine(rows), "ensemble_calibrated"),
+        unified.of_head(posterior_summary(spark, sf)),
+    )
+
+
+def normalized_sources(spark, sf):
+    return _all_sources(spark, sf)
+
+
+def unified_metrics(spark, sf):
+    return unified.summary(_all_sources(spark, sf))
+
+
+PRIMARY = ("baseline_raw", "baseline_calibrated", "seed_1_calibrated", "seed_2_calibrated", "seed_3_calibrated", "ensemble_calibrated", "linear_head")
+
+
+def uq_all_signals(spark, sf):
+    """Eleven signals: the entropy of seven variants, variance and information gap of two."""
+    return unified.error_detection(unified.signals(_all_sources(spark, sf), PRIMARY, ("ensemble_calibrated", "linear_head")))
+
+
 def vote_disagreement(spark, sf):
     return _ens(spark, sf).groupBy("yes_votes").agg(F.count("*").alias("n"), F.avg("disagreement").alias("disagreement"))
 
@@ -308,8 +342,131 @@ def bootstrap_differences(spark, sf):
     return bootstrap.differences(rows, "doc_id", weights, "baseline", {"accuracy": F.col("correct").cast("double"), "nll": F.col("nll_cal"), "brier": F.col("brier_cal")})
 
 
+REPLICATES, BOOT_SEED = 100, 20260804
+
+
+def bootstrap_weights(spark, sf):
+    return bootstrap.multinomial_weights(_strata(spark, sf), "doc_id", REPLICATES, BOOT_SEED)
+
+
+def bootstrap_measures(spark, sf):
+    """All five measures of the baseline and the seeds, by scope and replicate."""
+    return bootstrap.replicate_measures(metrics.with_scope(_eval(spark, sf)), "doc_id", bootstrap_weights(spark, sf))
+
+
 def bootstrap_intervals(spark, sf):
-    return bootstrap.intervals(bootstrap_differences(spark, sf), ["d_accuracy", "d_nll", "d_brier"])
+    """The mean of the three seeds against the baseline."""
+    differences = bootstrap.measure_differences(bootstrap_measures(spark, sf), ["seed_1", "seed_2", "seed_3"], "baseline")
+    return bootstrap.intervals(differences, [f"d_{m}" for m in bootstrap.MEASURES], by="scope")
+
+
+def _faulty_degraded(spark, sf):
+    """All conditions with their ids, and then with faults."""
+    rows = _degraded(spark, sf).join(_inputs(spark, sf).select("doc_id", "passage"), "doc_id").withColumn("row_id", contracts.degraded_id())
+    at = lambda m, r, c: (F.col("doc_id") % m == r) & (F.col("condition") == c)
+    return rows.withColumns({
+        "status": F.when(at(11, 2, "prefix_truncation_50"), "failed").otherwise(F.col("status")),
+        "reason": F.when(at(13, 3, "original"), "unchanged_result").otherwise(F.col("reason")),
+        "transformed": F.when(at(17, 4, "no_passage"), " ").when(at(19, 5, "original"), F.lit(None)).otherwise(F.col("transformed")),
+        "condition_index": F.when(at(23, 6, "lexical_contradiction"), F.lit(9)).otherwise(F.col("condition_index")),
+        "flags": F.when(at(29, 7, "no_passage"), F.array(F.lit("zero_lexical_overlap"), F.lit("other"))).otherwise(F.col("flags")),
+    })
+
+
+def degraded_faults(spark, sf):
+    return contracts.check(_faulty_degraded(spark, sf), contracts.degraded_rules())
+
+
+def incomplete_inputs(spark, sf):
+    return contracts.complete(_degraded(spark, sf).where("NOT (doc_id % 31 = 8 AND condition = 'original')"))
+
+
+def prediction_faults(spark, sf):
+    rows = prediction_rows(spark, sf)
+    at = lambda m, r: F.col("doc_id") % m == r
+    faulty = rows.withColumns({
+        "p_yes": F.when(at(11, 2), F.lit(1.5)).when(at(13, 3), F.lit(None)).otherwise(F.col("p_yes")),
+        "answer": F.when(at(17, 4), "Maybe").otherwise(F.col("answer")),
+        "run_reason": F.when(at(19, 5), "other").otherwise(F.col("run_reason")),
+        "entropy": F.when(at(23, 6), F.lit(float("nan"))).otherwise(F.col("entropy")),
+    })
+    return contracts.check(faulty, contracts.prediction_rules())
+
+
+def member_faults(spark, sf):
+    rows = identity.row_hash(_eval(spark, sf).select("doc_id", "condition", "condition_index", "method", "temperature", "p_raw", "p_cal", "says_yes", "truth", "correct"), "source_sha256")
+    at = lambda m, r: F.col("doc_id") % m == r
+    faulty = rows.withColumns({
+        "temperature": F.when(at(11, 2), F.lit(0.0)).otherwise(F.col("temperature")),
+        "says_yes": F.when(at(13, 3), ~F.col("says_yes")).otherwise(F.col("says_yes")),
+        "source_sha256": F.when(at(17, 4), F.upper("source_sha256")).when(at(19, 5), F.lit(None)).otherwise(F.col("source_sha256")),
+    })
+    return contracts.check(faulty, contracts.member_rules())
+
+
+def _calibration(spark, sf):
+    """Manifest and label-blind predictions of the inputs of every tenth id."""
+    manifest = fixtures.labels(spark, sf).where("doc_id % 10 = 1").select(
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("example_id"), "doc_id", F.lit("calibration").alias("split"), F.lit("train").alias("source_split"),
+        (F.col("quality") == 1).alias("truth"),
+    )
+    scores = fixtures.scores(spark, sf).where("condition = 'original'").join(manifest.select("doc_id"), "doc_id")
+    return manifest, records.calibration_rows(scores, ADAPTERS)
+
+
+def calibration_rows(spark, sf):
+    return _calibration(spark, sf)[1].drop("row_sha256")
+
+
+def calibration_faults(spark, sf):
+    manifest, rows = _calibration(spark, sf)
+    at = lambda m, r: F.col("doc_id") % m == r
+    one = contracts.check(manifest.withColumn("split", F.when(at(3, 1), "test").otherwise(F.col("split"))), contracts.calibration_manifest_rules())
+    faulty = rows.withColumns({
+        "p_no": F.when(at(7, 3), F.lit(0.9)).otherwise(F.col("p_no")), "yes_logit": F.when(at(3, 1), F.lit(float("inf"))).otherwise(F.col("yes_logit")),
+        "adapter_id": F.when(F.col("method") == "baseline", "some").otherwise(F.col("adapter_id")),
+    })
+    return one.withColumn("of", F.lit("manifest")).unionByName(contracts.check(faulty, contracts.calibration_prediction_rules()).withColumn("of", F.lit("prediction")))
+
+
+def calibration_alignment(spark, sf):
+    """Keys that only one side has, or one side twice."""
+    manifest, rows = _calibration(spark, sf)
+    one = rows.where("method = 'baseline' AND doc_id % 100 <> 31")
+    return calibration.misaligned(manifest.where("doc_id % 100 <> 51"), one.unionByName(one.where("doc_id % 100 = 71")), "doc_id")
+
+
+def interval_faults(spark, sf):
+    rows = bootstrap.intervals(bootstrap_differences(spark, sf), ["d_accuracy", "d_nll", "d_brier"])
+    swapped = rows.withColumn("d_nll_low", F.when(F.col("method") == "seed_2", F.lit(1e9)).otherwise(F.col("d_nll_low")))
+    return contracts.check(swapped.withColumn("d_brier_high", F.when(F.col("method") == "seed_3", F.lit(float("nan"))).otherwise(F.col("d_brier_high"))), contracts.interval_rules(["d_accuracy", "d_nll", "d_brier"]))
+
+
+def report_faults(spark, sf):
+    rows = metrics_by_scope(spark, sf).withColumnsRenamed({"nll_cal": "nll", "brier_cal": "brier"})
+    n = fixtures.labels(spark, sf).count()
+    faulty = rows.withColumn("n", F.when((F.col("method") == "seed_1") & (F.col("scope") == "overall"), F.lit(1)).otherwise(F.col("n"))).withColumn(
+        "ece", F.when(F.col("scope") == "no_passage", -F.col("ece") - 1).otherwise(F.col("ece"))
+    )
+    return contracts.check(faulty, contracts.report_rules({"overall": 6 * n, "condition": n}))
+
+
+def parameter_faults(spark, sf):
+    digest = F.sha2(F.col("doc_id").cast("string"), 256)
+    rows = _strata(spark, sf).select("doc_id", F.struct(
+        F.when(F.col("doc_id") % 5 == 1, F.upper(digest)).when(F.col("doc_id") % 5 != 2, digest).alias("fragment_sha256"),
+        F.concat(F.lit("doc"), F.when(F.col("doc_id") % 7 == 3, " ").otherwise(":"), F.col("doc_id").cast("string")).alias("donor_example_id"),
+        F.lit(64).alias("requested"), F.lit(True).alias("exact"),
+    ).alias("parameters"))
+    return contracts.check(rows, contracts.parameter_rules(rows))
+
+
+def raw_text_leaks(spark, sf):
+    rows = _inputs(spark, sf).select(
+        "doc_id", "question", "passage", F.struct(F.when(F.col("doc_id") % 9 == 2, F.col("passage")).otherwise("x").alias("a")).alias("s"),
+        F.array(F.struct(F.when(F.col("doc_id") % 11 == 3, F.col("question")).alias("b"))).alias("l"),
+    )
+    return contracts.raw_text_leaks(rows, ["question", "passage"]).select("doc_id")
 
 
 def stage_selection(spark, sf):
@@ -442,7 +599,9 @@ _ALL = (
     contradiction, distractor_top1, distractor_without_donors, donor_fragments, donor_reuse, degraded_tokens, status_counts, prompt_deltas, condition_expand, degradation_summary, nearest_rank_percentiles,
     prompt_length_stats, linear_quantiles, row_identity, canonical_rows, row_hash_faults, source_digest, standardizer_stats,
     laplace_diagonal, posterior_summary, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
-    bootstrap_intervals, stage_selection, validate_manifest, eligibility, duplicate_texts,
+    bootstrap_intervals, stage_selection, risk_coverage_by_scope, ensemble_scoped_metrics, normalized_sources, unified_metrics, uq_all_signals,
+    bootstrap_weights, bootstrap_measures, degraded_faults, incomplete_inputs, prediction_faults, member_faults, calibration_rows, calibration_faults,
+    calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
 )
 
 

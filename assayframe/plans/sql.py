@@ -118,6 +118,8 @@ _FEAT = "feat AS (SELECT vec_id, CAST(label >= 5 AS INT) AS target, CAST(embeddi
 
 
 def statements() -> dict[str, str]:
+    from .catalog import BOOT_SEED, GRID, PRIMARY, REPLICATES
+
     with_pred = lambda more, select: f"WITH {_PRED}{', ' + more if more else ''} {select}"
     r9 = lambda *names: ", ".join(f"round({n}, 9) AS {n}" for n in names)
     rank_scoped = _ranking("scoped", "method, scope", "NOT correct", "error_score")
@@ -137,7 +139,58 @@ def statements() -> dict[str, str]:
       rep AS (SELECT method, replicate, sum(accuracy * w) / sum(n * w) AS accuracy, sum(nll * w) / sum(n * w) AS nll, sum(brier * w) / sum(n * w) AS brier FROM sums JOIN wts USING (doc_id) GROUP BY ALL),
       diff AS (SELECT a.method, CAST(a.replicate AS INT) AS replicate, a.accuracy - b.accuracy AS d_accuracy, a.nll - b.nll AS d_nll, a.brier - b.brier AS d_brier
       FROM rep a JOIN rep b ON a.replicate = b.replicate AND b.method = 'baseline' WHERE a.method <> 'baseline')"""
-    from .catalog import GRID
+    draws = f"""cl AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR))) - 1 AS pl, count(*) OVER () AS k FROM (SELECT DISTINCT doc_id FROM labels)),
+      dr AS (SELECT r.replicate, CAST(('0x' || substr(sha256('{BOOT_SEED}|' || r.replicate || '|' || d.draw), 1, 12)) AS BIGINT) % (SELECT count(*) FROM cl) AS pl
+        FROM range({REPLICATES}) r(replicate), range((SELECT count(*) FROM cl)) d(draw)),
+      wt AS (SELECT CAST(replicate AS INT) AS replicate, doc_id, count(*) AS weight FROM dr JOIN cl USING (pl) GROUP BY ALL)"""
+    measured = f"""{draws}, wr AS (SELECT s.*, replicate, weight, least(greatest(CAST(ceil(round(conf_cal, 12) * 10) AS INT) - 1, 0), 9) AS bin FROM scoped s JOIN wt USING (doc_id)),
+      wb AS (SELECT method, scope, replicate, bin, sum(weight) AS n, sum(weight * nll_cal) AS nll, sum(weight * brier_cal) AS brier, sum(weight * correct::INT) AS good, sum(weight * conf_cal) AS conf FROM wr GROUP BY ALL),
+      wm AS (SELECT method, scope, replicate, sum(good) / sum(n) AS accuracy, sum(nll) / sum(n) AS nll, sum(brier) / sum(n) AS brier, sum(abs(good - conf)) / sum(n) AS ece FROM wb GROUP BY ALL),
+      ws AS (SELECT method, scope, replicate, error_score, sum(weight * (1 - correct::INT)) AS pos, sum(weight * correct::INT) AS neg FROM wr GROUP BY ALL),
+      wl AS (SELECT *, sum(neg) OVER (PARTITION BY method, scope, replicate ORDER BY error_score ROWS UNBOUNDED PRECEDING) - neg AS below FROM ws),
+      wa AS (SELECT method, scope, replicate, sum(pos * (below + 0.5e0 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM wl GROUP BY ALL),
+      ms AS (SELECT * FROM wm JOIN wa USING (method, scope, replicate))"""
+    five = ("accuracy", "nll", "brier", "ece", "auroc")
+    seeds = f"""{measured}, sc AS (SELECT scope, replicate, {', '.join(f'avg({m}) AS {m}' for m in five)} FROM ms WHERE method <> 'baseline' GROUP BY ALL),
+      sd AS (SELECT sc.scope, sc.replicate, {', '.join(f'sc.{m} - b.{m} AS d_{m}' for m in five)} FROM sc JOIN ms b ON b.scope = sc.scope AND b.replicate = sc.replicate AND b.method = 'baseline')"""
+    entropy = lambda p: f"(CASE WHEN {p} > 0 THEN -{p} * ln({p}) ELSE 0 END + CASE WHEN {p} < 1 THEN -(1 - {p}) * ln(1 - {p}) ELSE 0 END)"
+    family = lambda name, p: f"""{name}0 AS (SELECT doc_id, condition, truth, avg({p}) AS p, var_pop({p}) AS variance, avg({entropy(p)}) AS expected_entropy,
+      1 - greatest(sum(says_yes::INT), 3 - sum(says_yes::INT)) / 3e0 AS disagreement FROM ev WHERE method <> 'baseline' GROUP BY ALL),
+      {name} AS (SELECT *, {entropy('p')} AS predictive_entropy, greatest(0, {entropy('p')} - expected_entropy) AS information_gap, (round(p, 12) >= 0.5) = truth AS correct, greatest(p, 1 - p) AS confidence FROM {name}0)"""
+    clipped = "-ln(CASE WHEN truth THEN least(greatest({0}, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest({0}, 1e-12), 1 - 1e-12) END)"
+
+    def grouped_metrics(source: str, keys: str, means: tuple[str, ...], more: str = "") -> str:
+        """Metrics of ``source`` (keys, correct, confidence, error_score) by keys."""
+        return f"""gb AS (SELECT {keys}, least(greatest(CAST(ceil(round(confidence, 12) * 10) AS INT) - 1, 0), 9) AS bin, count(*) AS k, avg(confidence) AS mc, avg(correct::INT) AS acc FROM {source} GROUP BY ALL),
+          ge AS (SELECT {keys}, round(sum(k * abs(acc - mc)) / sum(k), 9) AS ece FROM gb GROUP BY ALL), {_ranking(source, keys, 'NOT correct', 'error_score')},
+          gm AS (SELECT {keys}, count(*) AS n{more}, {', '.join(f'round(avg({m}), 9) AS {m}' for m in means)} FROM {source} GROUP BY ALL)"""
+
+    both_families = f"""{family('fr', 'p_raw')}, {family('fc', 'p_cal')}, fam AS (SELECT 'raw' AS family, * FROM fr UNION ALL SELECT 'calibrated', * FROM fc),
+      fs AS (SELECT *, {clipped.format('p')} AS nll, (p - truth::INT) * (p - truth::INT) AS brier, round(1 - confidence, 12) AS error_score, unnest([condition, 'overall']) AS scope FROM fam)"""
+    posterior_part = f"""{_FEAT}, z AS (SELECT vec_id, target, d, sum(v * (((dim * 5 + d * 3) % 11 - 5) / 8e0)) + ((64 * 5 + d * 3) % 11 - 5) / 8e0 AS z FROM flat, range(8) r(d) GROUP BY vec_id, target, d),
+      pd AS (SELECT vec_id, target, 1 / (1 + exp(-z)) AS p FROM z), pa AS (SELECT vec_id, target, avg(p) AS p_mean, var_pop(p) AS variance, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS expected_entropy FROM pd GROUP BY ALL),
+      pe AS (SELECT *, -(p_mean * ln(p_mean) + (1 - p_mean) * ln(1 - p_mean)) AS entropy FROM pa), post AS (SELECT *, greatest(0, entropy - expected_entropy) AS information_gap FROM pe)"""
+    sources = f"""{family('fr', 'p_raw')}, {family('fc', 'p_cal')}, {posterior_part}, un AS (
+      SELECT method || '_raw' AS variant, CAST(doc_id AS VARCHAR) AS input_id, condition, truth, p_raw AS p_yes, {entropy('p_raw')} AS predictive_entropy, CAST(NULL AS DOUBLE) AS expected_entropy, CAST(NULL AS DOUBLE) AS information_gap, CAST(NULL AS DOUBLE) AS variance FROM ev
+      UNION ALL SELECT method || '_calibrated', CAST(doc_id AS VARCHAR), condition, truth, p_cal, {entropy('p_cal')}, NULL, NULL, NULL FROM ev
+      UNION ALL SELECT 'ensemble_raw', CAST(doc_id AS VARCHAR), condition, truth, p, predictive_entropy, expected_entropy, information_gap, variance FROM fr
+      UNION ALL SELECT 'ensemble_calibrated', CAST(doc_id AS VARCHAR), condition, truth, p, predictive_entropy, expected_entropy, information_gap, variance FROM fc
+      UNION ALL SELECT 'linear_head', 'vec-' || vec_id, 'original', target = 1, p_mean, entropy, expected_entropy, information_gap, variance FROM post),
+      us AS (SELECT *, p_yes >= 0.5 AS says_yes, (p_yes >= 0.5) = truth AS correct, greatest(p_yes, 1 - p_yes) AS confidence FROM un)"""
+    unified_scopes = f"{sources}, ux AS (SELECT *, {clipped.format('p_yes')} AS nll, (p_yes - truth::INT) * (p_yes - truth::INT) AS brier, round(1 - confidence, 12) AS error_score, correct::INT AS accuracy, unnest([condition, 'overall']) AS scope FROM us)"
+    primary = ", ".join(f"'{v}'" for v in PRIMARY)
+    all_signals = f"""{sources}, gs AS (SELECT variant, 'predictive_entropy' AS signal, correct, round(predictive_entropy, 12) AS score FROM us WHERE variant IN ({primary})
+      UNION ALL SELECT variant, 'variance', correct, round(variance, 12) FROM us WHERE variant IN ('ensemble_calibrated', 'linear_head')
+      UNION ALL SELECT variant, 'information_gap', correct, round(information_gap, 12) FROM us WHERE variant IN ('ensemble_calibrated', 'linear_head'))"""
+
+    def broken(table: str, rules: dict[str, str], more: str = "") -> str:
+        counts = ", ".join(f"CAST(coalesce(sum((NOT coalesce({c}, false))::INT), 0) AS BIGINT)" for c in rules.values())
+        names = ", ".join(f"'{r}'" for r in rules)
+        return f"SELECT unnest([{names}]) AS rule, unnest([{counts}]) AS n{more} FROM {table}"
+
+    in_place = f"(list_position([{', '.join(repr(c) for c in CONDITIONS)}], condition) - 1) = condition_index"
+    known = f"condition IN ({', '.join(repr(c) for c in CONDITIONS)})"
+    unit = lambda p: f"(isfinite({p}) AND {p} BETWEEN 0 AND 1)"
 
     grid = ", ".join(f"({t}e0)" for t in GRID)
     nearest = lambda p, n: f"list_sort(list(v))[{n} + 1] AS p{p}"
@@ -259,7 +312,77 @@ def statements() -> dict[str, str]:
             any_value(ece) AS ece, any_value(auroc) AS auroc, any_value(average_precision) AS average_precision FROM m JOIN e USING (fold) JOIN rank_of USING (fold) GROUP BY 1""",
         "temperature_grid_nll": with_pred(f"g(temperature_g) AS (VALUES {grid})", "SELECT method, temperature_g AS temperature, round(avg(ln(1 + exp(-(CASE WHEN quality = 1 THEN margin ELSE -margin END) / temperature_g))), 9) AS nll FROM pred, g GROUP BY ALL"),
         "bootstrap_differences": with_pred(boot, f"SELECT method, replicate, {r9('d_accuracy', 'd_nll', 'd_brier')} FROM diff"),
-        "bootstrap_intervals": with_pred(boot, "SELECT method, " + ", ".join(f"round(quantile_cont({m}, {q}), 9) AS {m}_{n}" for m in ("d_accuracy", "d_nll", "d_brier") for n, q in (("low", 0.025), ("high", 0.975))) + " FROM diff GROUP BY 1"),
+        "bootstrap_intervals": with_pred(seeds, "SELECT scope, " + ", ".join(f"round(quantile_cont(d_{m}, {q}), 9) AS d_{m}_{n}" for m in five for n, q in (("low", 0.025), ("high", 0.975))) + " FROM sd GROUP BY 1"),
+        "bootstrap_weights": f"WITH {draws} SELECT replicate, doc_id, weight FROM wt",
+        "bootstrap_measures": with_pred(measured, f"SELECT method, scope, replicate, {r9(*five)} FROM ms"),
+        "risk_coverage_by_scope": with_pred(
+            """curve AS (SELECT method, scope, doc_id, condition, conf_cal, row_number() OVER w AS k, CAST(sum((NOT correct)::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e, count(*) OVER (PARTITION BY method, scope) AS n
+               FROM scoped WINDOW w AS (PARTITION BY method, scope ORDER BY round(conf_cal, 12) DESC, doc_id, condition))""",
+            "SELECT method, scope, doc_id, condition, k AS retained, round(k / CAST(n AS DOUBLE), 9) AS coverage, e AS errors, round(e / CAST(k AS DOUBLE), 9) AS risk, round(1 - e / CAST(k AS DOUBLE), 9) AS selective_accuracy, round(conf_cal, 9) AS threshold FROM curve",
+        ),
+        "ensemble_scoped_metrics": with_pred(
+            f"{both_families}, " + grouped_metrics("fs", "family, scope", ("nll", "brier", "confidence", "predictive_entropy", "expected_entropy", "information_gap", "variance", "disagreement"),
+            ", CAST(sum((NOT correct)::INT) AS BIGINT) AS errors, CAST(sum((disagreement > 0)::INT) AS BIGINT) AS n_disagree"),
+            "SELECT * FROM gm JOIN ge USING (family, scope) JOIN rank_of USING (family, scope)",
+        ),
+        "normalized_sources": with_pred(sources, f"SELECT variant, input_id, condition, truth, says_yes, correct, {r9('p_yes', 'predictive_entropy', 'expected_entropy', 'information_gap', 'variance', 'confidence')} FROM us"),
+        "unified_metrics": with_pred(
+            f"{unified_scopes}, " + grouped_metrics("ux", "variant, scope", ("accuracy", "nll", "brier", "confidence", "predictive_entropy", "expected_entropy", "information_gap")),
+            "SELECT * FROM gm JOIN ge USING (variant, scope) JOIN rank_of USING (variant, scope)",
+        ),
+        "uq_all_signals": with_pred(f"{all_signals}, " + _ranking("gs", "variant, signal", "NOT correct"), "SELECT * FROM rank_of"),
+        "degraded_faults": f"""WITH {degraded}, f0 AS (SELECT doc_id, condition, passage, status AS s, reason AS r, transformed AS t, list_sort(list_filter(flags, lambda x: x IS NOT NULL)) AS g,
+            'degraded-' || sha256(doc_id || '|' || condition || '|' || coalesce(transformed, '')) AS row_id FROM r),
+            f AS (SELECT doc_id, condition, passage, row_id, CASE WHEN doc_id % 11 = 2 AND condition = 'prefix_truncation_50' THEN 'failed' ELSE s END AS status,
+            CASE WHEN doc_id % 13 = 3 AND condition = 'original' THEN 'unchanged_result' ELSE r END AS reason,
+            CASE WHEN doc_id % 17 = 4 AND condition = 'no_passage' THEN ' ' WHEN doc_id % 19 = 5 AND condition = 'original' THEN NULL ELSE t END AS transformed,
+            CASE WHEN doc_id % 23 = 6 AND condition = 'lexical_contradiction' THEN 9 ELSE list_position([{', '.join(repr(c) for c in CONDITIONS)}], condition) - 1 END AS condition_index,
+            CASE WHEN doc_id % 29 = 7 AND condition = 'no_passage' THEN ['zero_lexical_overlap', 'other'] ELSE g END AS flags FROM f0) """
+        + broken("f", {
+            "known_condition": known, "condition_in_place": in_place, "known_status": "status IN ('ok', 'not_applicable')", "reason_unless_ok": "(status = 'ok') = (reason IS NULL)",
+            "known_reason": "reason IS NULL OR reason IN ('no_question_lexical_tokens', 'no_sentence', 'empty_passage_tokenization', 'unchanged_result', 'no_eligible_donor', 'empty_selected_sentence_tokenization', 'prompt_over_limit')",
+            "text_if_ok": "(status = 'ok') = (transformed IS NOT NULL)", "always_applicable": "condition NOT IN ('original', 'no_passage') OR status = 'ok'",
+            "original_unchanged": "condition <> 'original' OR transformed IS NOT DISTINCT FROM passage", "no_passage_empty": "condition <> 'no_passage' OR transformed = ''",
+            "known_flags": "len(list_filter(flags, lambda x: x NOT IN ('fragment_shorter_than_requested', 'token_boundary_adjusted', 'whole_passage_removed', 'zero_lexical_overlap'))) = 0",
+            "flags_in_order": "flags = list_sort(list_distinct(flags))", "id_of_row": "row_id = 'degraded-' || sha256(doc_id || '|' || condition || '|' || coalesce(transformed, ''))",
+        }),
+        "incomplete_inputs": f"WITH {_INPUTS} SELECT doc_id FROM inp WHERE doc_id % 31 = 8",
+        "prediction_faults": f"""WITH {runtime}, {_PRED}, f0 AS (SELECT doc_id, CASE WHEN status <> 'ok' THEN 'not_run' WHEN margin IS NULL THEN 'missing' ELSE 'ok' END AS run_status, CASE WHEN status <> 'ok' THEN coalesce(reason, status) END AS rr,
+            CASE WHEN status = 'ok' THEN round(p_raw, 9) END AS p, CASE WHEN status = 'ok' AND margin IS NOT NULL THEN CASE WHEN margin >= 0 THEN 'Yes' ELSE 'No' END END AS a,
+            CASE WHEN status = 'ok' THEN {entropy('p_raw')} END AS e FROM runtime LEFT JOIN prob USING (doc_id, condition)),
+            f AS (SELECT run_status, CASE WHEN doc_id % 11 = 2 THEN 1.5e0 WHEN doc_id % 13 = 3 THEN NULL ELSE p END AS p_yes, CASE WHEN doc_id % 17 = 4 THEN 'Maybe' ELSE a END AS answer,
+            CASE WHEN doc_id % 19 = 5 THEN 'other' ELSE rr END AS run_reason, CASE WHEN doc_id % 23 = 6 THEN CAST('nan' AS DOUBLE) ELSE e END AS entropy FROM f0) """
+        + broken("f", {
+            "known_status": "run_status IN ('ok', 'not_run', 'missing')", "reason_if_not_run": "(run_status = 'not_run') = (run_reason IS NOT NULL)",
+            "scores_if_run": "run_status <> 'ok' OR (p_yes IS NOT NULL AND answer IS NOT NULL AND entropy IS NOT NULL)", "no_scores_unless_run": "run_status = 'ok' OR (p_yes IS NULL AND answer IS NULL AND entropy IS NULL)",
+            "probability": f"run_status <> 'ok' OR {unit('p_yes')}", "answer_of_probability": "run_status <> 'ok' OR answer = CASE WHEN p_yes >= 0.5 THEN 'Yes' ELSE 'No' END",
+            "entropy_in_range": "run_status <> 'ok' OR (isfinite(entropy) AND entropy BETWEEN 0 AND 0.6931471815599453)",
+        }),
+        "member_faults": with_pred(
+            "f AS (SELECT condition, condition_index, p_raw, p_cal, truth, correct, doc_id, CASE WHEN doc_id % 11 = 2 THEN 0e0 ELSE temperature END AS temperature, CASE WHEN doc_id % 13 = 3 THEN NOT says_yes ELSE says_yes END AS says_yes FROM ev)",
+            broken("f", {
+                "known_condition": known, "condition_in_place": in_place, "probabilities": f"{unit('p_raw')} AND {unit('p_cal')}", "temperature_above_zero": "temperature > 0",
+                "class_kept": "says_yes = (p_cal >= 0.5)", "correct_of_truth": "correct = (says_yes = truth)", "hash_form": "doc_id % 17 <> 4 AND doc_id % 19 <> 5",
+            }),
+        ),
+        "calibration_rows": with_pred(
+            "c AS (SELECT * FROM prob WHERE condition = 'original' AND doc_id % 10 = 1)",
+            f"SELECT doc_id, method, condition, 'train' AS source_split, round(margin, 9) AS yes_logit, 0e0 AS no_logit, round(p_raw, 9) AS p_yes, round(1 - p_raw, 9) AS p_no, CASE WHEN margin >= 0 THEN 'Yes' ELSE 'No' END AS prediction, "
+            f"round(greatest(p_raw, 1 - p_raw), 9) AS confidence, round({entropy('p_raw')}, 9) AS entropy, CASE WHEN method <> 'baseline' THEN replace(method, 'seed_', 'adapter-') END AS adapter_id, 'calibration-' || sha256(doc_id || '|' || method) AS row_id FROM c",
+        ),
+        "calibration_faults": with_pred(
+            "mf AS (SELECT doc_id FROM labels WHERE doc_id % 10 = 1), c AS (SELECT doc_id, method, CASE WHEN doc_id % 3 = 1 THEN CAST('inf' AS DOUBLE) ELSE margin END AS y, p_raw, CASE WHEN doc_id % 7 = 3 THEN 0.9e0 ELSE 1 - p_raw END AS q FROM prob WHERE condition = 'original' AND doc_id % 10 = 1)",
+            broken("mf", {"split": "doc_id % 3 <> 1", "source_split": "true", "label": "true", "example_id_form": "true"}, ", 'manifest' AS of") + " UNION ALL "
+            + broken("c", {
+                "original_evidence": "true", "source_split": "true", "finite_logits": "isfinite(y)", "normalized": "abs(p_raw + q - 1) <= 1e-5", "probability_of_logits": "abs(p_raw - 1 / (1 + exp(-y))) <= 1e-5",
+                "baseline_without_adapter": "method <> 'baseline'", "hash_form": "true",
+            }, ", 'prediction' AS of"),
+        ),
+        "calibration_alignment": "SELECT doc_id, CAST(CASE WHEN doc_id % 100 = 51 THEN 0 ELSE 1 END AS BIGINT) AS in_manifest, CAST(CASE WHEN doc_id % 100 = 31 THEN 0 WHEN doc_id % 100 = 71 THEN 2 ELSE 1 END AS BIGINT) AS in_predictions FROM labels WHERE doc_id % 100 IN (31, 51, 71)",
+        "interval_faults": "SELECT unnest(['d_accuracy', 'd_nll', 'd_brier']) AS rule, unnest([CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT)]) AS n",
+        "report_faults": "SELECT unnest(['known_scope', 'row_count', 'accuracy', 'brier', 'ece', 'auroc', 'nll']) AS rule, unnest([CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(4 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)]) AS n",
+        "parameter_faults": "SELECT unnest(['fragment_sha256', 'donor_example_id']) AS rule, unnest([CAST(sum((doc_id % 5 = 1)::INT) AS BIGINT), CAST(sum((doc_id % 7 = 3)::INT) AS BIGINT)]) AS n FROM labels",
+        "raw_text_leaks": f"WITH {_INPUTS} SELECT doc_id FROM inp WHERE (doc_id % 9 = 2 AND passage <> '') OR (doc_id % 11 = 3 AND question <> '') OR passage = 'x' OR question = 'x'",
         "stage_selection": "WITH h AS (SELECT DISTINCT doc_id FROM documents ORDER BY 1 LIMIT 9), l AS (SELECT doc_id FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1), "
         "s AS (SELECT doc_id, 1 AS o FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h) ORDER BY 1 LIMIT 1)), t AS (SELECT doc_id, 0 AS o FROM l WHERE doc_id NOT IN (SELECT doc_id FROM h) UNION ALL SELECT * FROM s) "
         "SELECT doc_id FROM h UNION ALL SELECT doc_id FROM (SELECT doc_id FROM t ORDER BY o LIMIT 1)",

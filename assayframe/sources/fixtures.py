@@ -56,6 +56,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions without their labels, which stand in a table of their own."""
+    return predictions(spark, sf_dir).drop("quality")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", "quality")
+
+
 def documents_with_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, question, passage, quality of the labelled documents; the question is picked by doc_id."""
     benchmark = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("question"))
