@@ -230,7 +230,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
     n_buckets = found[0] if found else 1
     kind = dict(keys.dtypes)[key]
     asked = (
-        keys.select(F.col(key).alias("k"), *_key_hash(F.col(key)))
+        # Keys travel as text: beside a null, pandas would turn longs into floats.
+        keys.select(F.col(key).cast("string").alias("k"), *_key_hash(F.col(key)))
         .distinct()
         .withColumn("bucket", F.pmod(F.col("h"), F.lit(n_buckets)))
     )
@@ -259,7 +260,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
     hits = (
         asked.groupBy("bucket")
         .cogroup(index.groupBy("bucket"))
-        .applyInPandas(probe, f"k {kind}, segment long, row int, n int")
+        .applyInPandas(probe, "k string, segment long, row int, n int")
     )
 
     def read(hit: pd.DataFrame, seg: pd.DataFrame) -> pd.DataFrame:
@@ -277,8 +278,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
     return (
         hits.groupBy("segment")
         .cogroup(segs.join(starts, "segment").groupBy("segment"))
-        .applyInPandas(read, f"k {kind}, start long, n_tokens long, ids_crc32 long, ids_raw binary")
-        .withColumnRenamed("k", key)
+        .applyInPandas(read, "k string, start long, n_tokens long, ids_crc32 long, ids_raw binary")
+        .select(F.col("k").cast(kind).alias(key), "start", "n_tokens", "ids_crc32", "ids_raw")
     )
 
 

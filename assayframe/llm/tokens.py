@@ -2,11 +2,13 @@
 
 White space never reaches the model, so each white-space-delimited chunk of a text is encoded on its own
 and the library is asked once per distinct word of a block; Arrow finds the distinct chunks and NumPy
-lays the ids back into document order. The result equals encoding the whole text.
+lays the ids back into document order. The result equals encoding the whole text. This holds for files whose normalizer
+and pre-tokenizer are those of SPLITS; with any other file the library encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -27,14 +29,33 @@ _LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa
 _OPEN: dict[str, "BlockTokenizer"] = {}
 
 
+#: The parts of a tokenizer file under which words are independent of each other and split as the patterns above split.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class BlockTokenizer:
-    """Encodes Arrow arrays of texts by a tokenizer file whose pre-tokenizer drops white space."""
+    """Encodes Arrow arrays of texts by a tokenizer file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        parts = json.loads(self.library.to_str())
+        added = all(t["special"] for t in parts["added_tokens"])
+        self.by_words = added and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout") and all(parts[k] == v for k, v in SPLITS.items())
+        if not self.by_words:
+            return
         self.model = self.library.model
         self.normalize = self.library.normalizer.normalize_str
         self.pieces = self.library.pre_tokenizer.pre_tokenize_str
@@ -86,9 +107,16 @@ class BlockTokenizer:
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def encode_whole(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        end = [] if end_id is None else [end_id]
+        ids = [np.array(self.whole(t.as_py()) + end, dtype=np.uint32) for t in texts]
+        return np.cumsum([0, *map(len, ids)]), np.concatenate([np.zeros(0, np.uint32), *ids])
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Returns (offsets, ids): document i has ids[offsets[i]:offsets[i + 1]], with end_id last. Null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_words:
+            return self.encode_whole(texts, end_id)
         odd = pc.match_substring_regex(texts, ODD_SPACE)
         odd_rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         plain = pc.if_else(odd, pa.scalar("", pa.large_string()), texts) if len(odd_rows) else texts

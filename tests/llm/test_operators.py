@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -137,6 +138,35 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert tokenfile.write_and_read(empty, WORD).count() == 0
 
 
+def test_token_files_of_wide_keys(spark, tmp_path, monkeypatch):
+    keys = [2**53 + 1, 2**53 + 3, None, -(2**62) - 1, 2**63 - 1]
+    docs = spark.createDataFrame([(k, f"text of {k}") for k in keys], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(tokenfile, "SEGMENT_IDS", 4)  # a segment for each document, all in one task
+    monkeypatch.setattr(tokenfile, "BUCKET_KEYS", 1)
+    monkeypatch.setattr(tokenfile, "text_slices", lambda batch, column: (batch.slice(i, 1) for i in range(len(batch))))
+    path = str(tmp_path / "store")
+    tokenfile.write(docs, WORD, path)
+    assert spark.read.parquet(f"{path}/segments").count() == 5 and spark.read.parquet(f"{path}/index").count() > 1
+    got = tokenfile.lookup(spark, path, docs.select("doc_id")).collect()
+    assert {r.doc_id: r.ids_raw for r in got} == {k: u4(ids_of(f"text of {k}")) for k in keys}
+
+
+def test_other_tokenizer_files_use_the_library(tmp_path):
+    from assayframe.llm.tokens import BlockTokenizer
+
+    parts = json.loads(open(WORD).read())
+    parts["normalizer"] = None
+    path = str(tmp_path / "cased.json")
+    open(path, "w").write(json.dumps(parts))
+    texts = ["The Cat's OUT", None, "", "ÀÉ  x\n"]
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    offsets, ids = BlockTokenizer(path).encode(pa.array(texts), 1)
+    assert not BlockTokenizer(path).by_words and BlockTokenizer(WORD).by_words
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 1]
+
+
 def test_mph():
     for n in (1, 2, 3, 10, 997):
         h = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
@@ -367,12 +397,20 @@ def test_neighbours(spark):
     assert len(few) == 4 and ann.search(table.limit(0)).count() == 0
 
 
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(40, [1.0, 2.0, 3.0]), (60, [1.0]), (80, [float("inf"), 1.0]), (100, []), (20, [5.0, 5.0, 5.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted({r.query_id for r in got}) == [0, 20] and not {40, 60, 80, 100} & {r.vec_id for r in got}
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == list(range(29, 9, -1))
+    assert ann.search(spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_neighbours_in_blocks(spark, monkeypatch):
     x = np.random.default_rng(2).normal(size=(600, 8)).astype(np.float32)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     whole = sorted(map(tuple, ann.search(table).collect()))
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
-    monkeypatch.setattr(ann, "CELL_ROWS", 5)
+    monkeypatch.setattr(ann, "CELLS", 150)
     assert sorted(map(tuple, ann.search(table).collect())) == whole
 
 
