@@ -14,13 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows that a fit sees at most (those of the least hash), dimensions, centroids per language.
 MAX_LABELLED, DIMENSIONS, CENTROIDS = 2500, 4096, 4
-#: A text is rejected below this part of the cosine that all but REJECT_QUANTILE of a language's training texts reach.
-REJECT_QUANTILE, REJECT_PART = 0.001, 0.8
+#: A text is rejected where its cosine is below this part of the median of the training texts of about its length, which the fit holds
+#: out of its centroids: one in HELD_OUT. A median isn't moved by the odd texts among them. Lengths count in powers of two up to
+#: 2 ** (BANDS - 1) letters; a band is told by BAND_ROWS texts at least, or by those of the shorter bands with it.
+REJECT_PART, HELD_OUT, BANDS, BAND_ROWS = 0.5, 4, 13, 15
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that aren't letters become spaces; others are kept.
@@ -54,7 +56,7 @@ def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Unit centroids, the language of each, idf weights and the least cosine that each language accepts."""
+    """Unit centroids, the language of each, idf weights and the least cosine that is accepted in each band of lengths."""
 
     langs: tuple[str, ...]
     owner: np.ndarray
@@ -71,7 +73,24 @@ class Model:
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
         lang = int(self.owner[best])
-        return self.langs[lang], score, score < self.least[lang]
+        return self.langs[lang], score, score < self.least[band(c)]
+
+
+def band(c: np.ndarray) -> int:
+    """Band of a text by its number of grams, about three a letter."""
+    return min(BANDS - 1, max(0, int(c.sum()) // 3).bit_length())
+
+
+def least_cosines(bands: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """What a text of each band must reach. It doesn't fall as texts get longer; a band without texts takes the one below."""
+    out, from_band = np.zeros(BANDS), 0
+    for b in range(BANDS):
+        own = cosines[(bands >= from_band) & (bands <= b)]
+        told = out[b - 1] if b else 0.0
+        if len(own) >= BAND_ROWS:
+            told, from_band = max(told, REJECT_PART * float(np.median(own))), b + 1
+        out[b] = told
+    return out
 
 
 def _cluster(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -90,11 +109,14 @@ def _cluster(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
 def fit(labelled: DataFrame, limit: int = MAX_LABELLED, dims: int = DIMENSIONS, k: int = CENTROIDS, seed: int = 0) -> Model:
     """Learns from ``labelled`` (doc_id, text, lang); null texts and languages are left out.
 
-    At most ``limit`` rows are used, those of the least hash of doc_id; their vectors (dims bytes and more each) are
-    what the driver gathers.
+    At most ``limit`` rows are used: of every language in turn the row of the least hash of doc_id, so that a rare language isn't
+    missed. Their vectors (dims bytes and more each) are what the driver gathers. Of a repeated doc_id the rows that come first by
+    language and text count.
     """
     usable = labelled.where("lang is not null and text is not null and doc_id is not null")
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    # Spark keeps ``limit`` rows of a language in each task before it gathers them.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = usable.select("doc_id", "lang", turn.alias("turn")).where(F.col("turn") <= limit).orderBy("turn", "lang").limit(limit).select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,24 +130,27 @@ def fit(labelled: DataFrame, limit: int = MAX_LABELLED, dims: int = DIMENSIONS,
         usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
         .join(F.broadcast(chosen), "doc_id", "left_semi")  # ``limit`` ids at most
         .mapInArrow(run, "doc_id long, lang string, c binary")
-        .limit(2 * limit)
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "c")
+        .limit(limit)
         .toPandas()
-        .sort_values(["doc_id", "lang", "c"])
     )
     langs = tuple(sorted(rows["lang"].unique()))
     if not langs:
-        return Model((), np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(0))
+        return Model((), np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(BANDS))
     c = np.stack([np.frombuffer(x, "<u4") for x in rows["c"]])
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1
     v = np.stack([weigh(x, idf) for x in c])
-    rng, owner, centers, least = np.random.default_rng(seed), [], [], []
+    rng, owner, centers, bands, cosines = np.random.default_rng(seed), [], [], [], []
+    lengths = np.array([band(x) for x in c])
     for i, lang in enumerate(langs):
-        own = v[(rows["lang"] == lang).to_numpy()]
-        found = _cluster(own, k, rng)
+        at = np.flatnonzero((rows["lang"] == lang).to_numpy())
+        held = np.arange(len(at)) % HELD_OUT == HELD_OUT - 1
+        found = _cluster(v[at[~held]], k, rng)
         centers.append(found)
         owner += [i] * len(found)
-        least.append(float(np.quantile((own @ found.T).max(axis=1), REJECT_QUANTILE)) * REJECT_PART)
-    return Model(langs, np.array(owner), np.concatenate(centers), idf, np.array(least))
+        bands.append(lengths[at[held]])
+        cosines.append((v[at[held]] @ found.T).max(axis=1))
+    return Model(langs, np.array(owner), np.concatenate(centers), idf, least_cosines(np.concatenate(bands), np.concatenate(cosines)))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
