@@ -101,3 +101,97 @@ def test_new_files_are_scored_once(spark, tmp_path):
     shards.score_new_files(spark, source, "id long", score, target, mark)  # nothing new
     got = sorted((r.id, r.twice) for r in spark.read.parquet(target).collect())
     assert got == [(i, 2 * i) for i in [*range(5), *range(10, 15)]]
+
+
+def test_marks_and_white_space_of_a_text(spark):
+    texts = ["Then\x01 left. \x01e and\x01c on", "No break. Next one ", "a.\x1cb", "x\x0b.\n\ny\x85"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", T.sentences(F.col("t")).alias("s"), T.spans(F.col("t")).alias("p"), T.words(F.col("t")).alias("w"), T.segments(F.col("t")).alias("cut")).collect()
+    for r in rows:
+        assert r.s == [r.t[p.start : p.stop] for p in r.p] and r.w == r.t.split() and "".join(r.cut) == r.t
+    assert rows[0].s == ["Then\x01 left.", "\x01e and\x01c on"] and rows[1].s == ["No break.", "Next one"]
+
+
+def test_distractor_over_chunks(spark, monkeypatch):
+    from hashlib import sha256
+
+    from assayframe.operators import degrade
+    from assayframe.operators.validation import ContractError
+
+    docs = spark.createDataFrame([(i, f"what w{i % 5} is", f"w{i % 7} w{i % 3} text {'same' if i < 3 else i}") for i in range(40)] + [(50, "q", ""), (51, "w1", "  ")], "doc_id long, question string, passage string")
+    rows = {r.doc_id: r for r in docs.collect()}
+    donors = degrade.donors_of(docs)
+    want = {}
+    for d, r in rows.items():
+        found = []
+        for e, o in rows.items():
+            if e != d and o.passage != r.passage and o.passage.split():
+                q, t = set(r.question.split()), set(o.passage.split())
+                tie = sha256(f'{{"candidate_example_id":"{e}","condition_version":"{degrade.VERSION}","seed":7,"target_example_id":"{d}"}}'.encode()).hexdigest()
+                found.append((len(q & t) / len(q | t), tie, str(e)))
+        want[d] = (*min(found), len(found))
+    for chunk in (8192, 3):
+        monkeypatch.setattr(degrade, "CHUNK_DONORS", chunk)
+        got = {r.doc_id: r for r in degrade.distractor(docs, donors, 7).collect()}
+        assert {d: (r.overlap, r.tie, str(r.donor_id), r.eligible) for d, r in got.items()} == want
+    assert got[50].transformed == "\n\n" + " ".join(rows[got[50].donor_id].passage.split())
+    alone = degrade.distractor(docs.where("doc_id = 1"), donors.where("donor_id < 3"), 7).first()
+    assert (alone.status, alone.reason, alone.transformed, alone.eligible) == ("not_applicable", "no_eligible_donor", None, 0)
+    assert degrade.distractor(docs.limit(0), donors, 7).count() == 0
+    with pytest.raises(ContractError):
+        degrade.distractor(docs, donors.unionByName(donors.where("donor_id = 4")), 7)
+    whole = degrade.all_conditions(docs, donors, 7)
+    assert whole.count() == 6 * docs.count()
+
+
+def test_labels_join_by_key(spark):
+    from assayframe.operators import calibration, ensemble, metrics
+    from assayframe.operators.validation import ContractError
+
+    scores = spark.createDataFrame([(1, 0.5), (2, 0.1), (1, 0.2)], "doc_id long, margin double")
+    labels = spark.createDataFrame([(2, 0), (1, 1), (3, 1)], "doc_id long, quality int")
+    got = metrics.attach_labels(scores, labels)
+    assert sorted((r.doc_id, r.margin, r.quality) for r in got.collect()) == [(1, 0.2, 1), (1, 0.5, 1), (2, 0.1, 0)]
+    with pytest.raises(Exception, match="no label for 2"):
+        metrics.attach_labels(scores, labels.where("doc_id <> 2")).collect()
+    with pytest.raises(Exception, match="two labels for 1"):
+        metrics.attach_labels(scores, labels.unionByName(labels)).where("doc_id = 1").collect()
+    with pytest.raises(ContractError):
+        metrics.attach_labels(got, labels)
+    with pytest.raises(ContractError):
+        calibration.aligned(labels, scores, "doc_id")
+    members = spark.createDataFrame([(1, "c", True, f"seed_{i}", 0.4, True) for i in (1, 2)], "doc_id long, condition string, truth boolean, method string, p_cal double, says_yes boolean")
+    with pytest.raises(Exception, match="ensemble members of input 1"):
+        ensemble.combine(members).collect()
+
+
+def test_multinomial_weights(spark):
+    from assayframe.operators import bootstrap
+
+    clusters = spark.range(50).withColumnRenamed("id", "doc_id")
+    rows = bootstrap.multinomial_weights(clusters, "doc_id", 300, 3).collect()
+    per = [sum(r.weight for r in rows if r.replicate == k) for k in range(300)]
+    assert per == [50] * 300
+    each = [sum(r.weight for r in rows if r.doc_id == d) / 300 for d in range(50)]
+    assert all(0.7 < m < 1.3 for m in each)
+    twos = sum(r.weight * (r.weight - 1) for r in rows) / (300 * 50)
+    assert twos == pytest.approx(49 / 50, abs=0.05)  # of a multinomial: n (n - 1) p squared
+
+
+def test_contract_helpers(spark):
+    from assayframe.operators import contracts, validation
+    from assayframe.operators.validation import ContractError
+
+    df = spark.createDataFrame([(1, ["a", None], ("b",))], "n int, l array<string>, s struct<t: string>")
+    assert validation.exact_columns(df, {"n", "l", "s"}) is df
+    with pytest.raises(ContractError):
+        validation.exact_columns(df, {"n"})
+    with pytest.raises(ContractError):
+        validation.without_columns(df, {"t"})
+    assert validation.require(df, {"positive": F.col("n") > 0}) is df
+    with pytest.raises(ContractError, match="positive"):
+        validation.require(df, {"positive": F.col("n") > 1})
+    told = df.withColumn("raw", F.lit("b"))
+    assert contracts.raw_text_leaks(told, ["raw"]).count() == 1 and contracts.raw_text_leaks(told.withColumn("raw", F.lit("")), ["raw"]).count() == 0
+    with pytest.raises(ContractError):
+        contracts.parameter_rules(spark.createDataFrame([((1.5,),)], "parameters struct<x: double>"))
