@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 8 << 20
@@ -17,10 +20,12 @@ SLICE_BYTES = 8 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; a local one is made only where it is unset.
+    ``spark.checkpoint.dir`` names it on a cluster, where it is an error if it is unset; a local session gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "assayframe-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,7 +46,22 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Folders of the staged tables in use. A table that nothing reads any more is :func:`release`d; the last ones of a query stay
+#: as long as its result can be read, and go with the shared folder.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of staged tables that no later job reads."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
@@ -60,3 +80,16 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 def fine_grained(df: DataFrame) -> int:
     """Shuffle partitions of the session, for operators that name a count."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Tasks over which the rows of a hot key are dealt out.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, key: str, by: str, table: DataFrame) -> DataFrame:
+    """Left join on ``key`` with a small ``table`` that has it once: the rows of a hot key are dealt out over SALTS tasks by ``by``."""
+    salt = "salt"
+    while salt in rows.columns or salt in table.columns:
+        salt += "_"
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [key, salt], "left").drop(salt)

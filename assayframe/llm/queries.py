@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, bpe, html_main, langid, packing, quality, sharding, simhash, tokenfile, warc
+from .common import staged
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,13 +44,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica in which pages of one residue class had bytes changed; length and order are as they were."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    damaged = pages.selectExpr(
-        "page_id", "url", "CASE WHEN page_id % 97 = 13 THEN replace(html, 'e', '3') ELSE html END AS html"
-    )
-    return warc.audit(warc.records(pages), warc.records(damaged)).selectExpr(
-        "file", "page_id", "offset AS record_offset", "length AS record_length", "digest", "corrupt"
+    """Audits a stored replica in which the records of one residue class had bytes changed where they lie."""
+    stored = staged(warc.store(_table(spark, sf_dir, "pages")), "warc")
+    damaged = stored.withColumn("record", F.when(F.col("page_id") % 97 == 13, F.replace("record", F.lit("e"), F.lit("3"))).otherwise(F.col("record")))
+    return warc.audit(warc.records(stored), warc.records(damaged)).selectExpr(
+        "file", "part", "page_id", "offset AS record_offset", "length AS record_length", "digest", "corrupt"
     )
 
 
@@ -74,25 +74,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_ID = "md5(page_id || '|' || coalesce(url, '') || '|' || coalesce(html, ''))"
+_LINE = "chr(13) || chr(10)"
 _RECORD = (
-    "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || "
-    "coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || coalesce(strlen({html}), 0) || chr(13) || chr(10) || "
-    "chr(13) || chr(10) || coalesce({html}, '') || chr(13) || chr(10) || chr(13) || chr(10)"
+    f"'WARC/1.1' || {_LINE} || 'WARC-Type: resource' || {_LINE} || 'WARC-Record-ID: <urn:uuid:' || substr({_ID}, 1, 8) || '-' || substr({_ID}, 9, 4) || '-' || "
+    f"substr({_ID}, 13, 4) || '-' || substr({_ID}, 17, 4) || '-' || substr({_ID}, 21) || '>' || {_LINE} || 'WARC-Date: {warc.NO_DATE}' || {_LINE} || 'WARC-Target-URI: ' || "
+    f"coalesce(url, '') || {_LINE} || 'Content-Type: text/html' || {_LINE} || 'Content-Length: ' || coalesce(strlen(html), 0) || {_LINE} || {_LINE} || coalesce(html, '') || {_LINE} || {_LINE}"
 )
 
 
 def oracle_sql() -> dict[str, str]:
-    record = _RECORD.format(html="html")
-    damaged = _RECORD.format(html="CASE WHEN page_id % 97 = 13 THEN replace(html, 'e', '3') ELSE html END")
     return {
         "op7_warc": f"""
-            WITH r AS (SELECT page_id, url, coalesce(CAST(floor(page_id / 512.0) AS BIGINT), -1) AS file,
-                              {record} AS a, {damaged} AS b FROM pages),
-                 h AS (SELECT file, page_id, url, strlen(a) AS record_length, sha256(a) AS digest, sha256(b) AS other FROM r)
-            SELECT file, page_id,
+            WITH r AS (SELECT page_id, url, coalesce(CAST(floor(page_id / 512.0) AS BIGINT), -1) AS file, {_RECORD} AS a FROM pages),
+                 h AS (SELECT file, page_id, url, strlen(a) AS record_length, sha256(a) AS digest, coalesce(page_id % 97 = 13, false) AS corrupt FROM r)
+            SELECT file, CAST(0 AS INT) AS part, page_id,
                    CAST(sum(record_length) OVER (PARTITION BY file ORDER BY page_id, url, digest
                         ROWS UNBOUNDED PRECEDING) - record_length AS BIGINT) AS record_offset,
-                   CAST(record_length AS BIGINT) AS record_length, digest, digest <> other AS corrupt
+                   CAST(record_length AS BIGINT) AS record_length, digest, corrupt
             FROM h
         """
     }
