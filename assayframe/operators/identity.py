@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,23 @@ def row_hash(df: DataFrame, name: str = "row_sha256") -> DataFrame:
     return canonical_json(df, "_json").withColumn(name, F.sha2("_json", 256)).drop("_json")
 
 
+def vector_digest(vector: Column) -> Column:
+    """SHA-256 of an array of numbers as little-endian doubles, after their count; null for a null array or one with null in it."""
+
+    @F.arrow_udf("string")
+    def run(vectors: pa.Array) -> pa.Array:
+        out = []
+        for v in vectors:
+            values = None if v.as_py() is None else v.values
+            if values is None or values.null_count:
+                out.append(None)
+            else:
+                out.append(hashlib.sha256(len(values).to_bytes(8, "little") + np.asarray(values, "<f8").tobytes()).hexdigest())
+        return pa.array(out, pa.string())
+
+    return run(vector.cast("array<double>"))
+
+
 def verify_rows(df: DataFrame, name: str = "row_sha256") -> DataFrame:
     """Rows whose stored hash isn't that of their other columns; a missing hash differs."""
     found = F.sha2(canonical(F.struct(*(c for c in df.columns if c != name))), 256)

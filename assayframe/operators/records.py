@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import probability as P
 from ..functions import text as T
 from .identity import row_hash, text_id
+from .parser import parse
 from .validation import ContractError
 
 # The user turn and the answer prefix of a prompt.
@@ -37,13 +38,19 @@ def prompt(passage: Column, question: Column, system: str = "", template: str =
 def runtime_rows(inputs: DataFrame, degraded: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     """One row for each degraded input (doc_id, condition, status, reason, transformed) without its raw text: hash and length of the
     text and of the prompt, and the status. A prompt over ``most`` tokens turns ``ok`` into ``too_long``."""
-    rows = degraded.join(inputs.select("doc_id", "question", F.sha2("passage", 256).alias("passage_sha")), "doc_id")
+    rows = degraded.join(inputs.select("doc_id", "question", F.sha2("passage", 256).alias("passage_sha"), F.length("passage").alias("passage_chars")), "doc_id")
     made = prompt(F.col("transformed"), F.col("question"))
-    rows = rows.select("*", F.size(T.words(made)).alias("n"), F.sha2(made, 256).alias("prompt_sha"))
+    rows = rows.select(
+        "*", F.size(T.words(made)).alias("n"), F.sha2(made, 256).alias("prompt_sha"), F.length(made).cast("long").alias("prompt_chars"),
+        text_id("runtime", F.col("doc_id"), F.col("condition")).alias("row_id"),
+    )
     ok = F.col("status") == "ok"
     fits = ok & (F.col("n") <= most)
     return rows.select(
-        "doc_id", "condition", "passage_sha",
+        "row_id", "doc_id", "condition", "passage_sha", F.sha2("question", 256).alias("question_sha"), F.sha2("transformed", 256).alias("text_sha"),
+        F.length("transformed").cast("long").alias("text_chars"), F.size(T.words(F.col("transformed"))).cast("long").alias("text_tokens"),
+        P.ratio_ppm(F.length("transformed"), F.greatest(F.col("passage_chars"), F.lit(1))).alias("text_ppm"),
+        F.when(ok, F.col("prompt_chars")).alias("prompt_chars"), fits.alias("runs"),
         F.when(ok & ~fits, "too_long").otherwise(F.col("status")).alias("status"),
         F.when(ok & ~fits, "prompt_over_limit").otherwise(F.col("reason")).alias("reason"),
         F.when(ok, F.col("n").cast("long")).alias("prompt_tokens"),
@@ -65,8 +72,15 @@ def prediction_rows(runtime: DataFrame, scores: DataFrame) -> DataFrame:
     ok = F.col("status") == "ok"
     p = P.sigmoid(F.col("margin"))
     had = F.col("margin").isNotNull()
-    return runtime.join(scores.select("doc_id", "condition", "method", "margin"), ["doc_id", "condition"], "left").select(
-        "doc_id", "condition", "method",
+    stated = parse(scores).select("doc_id", "condition", "method", "margin", "completion", "valid", F.col("answer").alias("stated_answer"), "stated", F.col("reason").alias("parse_reason"))
+    shown = lambda c: F.when(ok & had, c)
+    own = runtime.select("doc_id", "condition", "status", "reason", "prompt_sha", "prompt_tokens")
+    return own.join(stated, ["doc_id", "condition"], "left").select(
+        text_id("prediction", F.col("doc_id"), F.col("condition"), F.col("method")).alias("row_id"), "doc_id", "condition", "method", "prompt_sha", "prompt_tokens",
+        shown(F.col("margin")).alias("yes_logit"), shown(F.lit(0.0)).alias("no_logit"), shown(1 - p).alias("p_no"), shown(P.confidence(p)).alias("confidence"),
+        shown(F.sha2("completion", 256)).alias("completion_sha"), shown(F.length("completion").cast("long")).alias("completion_chars"), shown(F.col("valid")).alias("parser_valid"),
+        shown(F.col("parse_reason")).alias("parser_reason"), shown(F.col("stated_answer")).alias("stated_answer"), shown(F.col("stated")).alias("stated"),
+        shown(F.when(F.col("valid"), F.col("stated_answer") == F.when(F.col("margin") >= 0, "Yes").otherwise("No"))).alias("answers_agree"),
         F.when(~ok, "not_run").when(had, "ok").otherwise("missing").alias("run_status"),
         F.when(~ok, F.coalesce("reason", "status")).alias("run_reason"),
         F.when(ok & had, p).alias("p_yes"),
@@ -101,6 +115,13 @@ def identities(rows: DataFrame, group: str, identity: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count_distinct(identity).alias("n")).where("n <> 1")
 
 
+def dependent_seeds(rows: DataFrame, seed: str, digest: str) -> DataFrame:
+    """Digests that more than one seed has, and seeds with more than one digest: runs that aren't independent, as (kind, value, n)."""
+    shared = rows.groupBy(digest).agg(F.count_distinct(seed).alias("n")).select(F.lit("digest").alias("kind"), F.col(digest).cast("string").alias("value"), "n")
+    split = rows.groupBy(seed).agg(F.count_distinct(digest).alias("n")).select(F.lit("seed").alias("kind"), F.col(seed).cast("string").alias("value"), "n")
+    return shared.unionByName(split).where("n > 1")
+
+
 def prediction_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows by each of several columns, as (field, value, n); a null value is counted as ``none``."""
     pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("value")) for c in by))

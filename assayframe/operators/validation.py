@@ -48,6 +48,12 @@ def without_columns(df: DataFrame, forbidden: set[str]) -> DataFrame:
     return df
 
 
+def key_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side) of keys that only the ``left`` or only the ``right`` table has; none if the sets are equal."""
+    a, b = (df.select(*keys).distinct().withColumn(n, F.lit(True)) for df, n in ((left, "_l"), (right, "_r")))
+    return a.join(b, keys, "full").where("_l IS NULL OR _r IS NULL").select(*keys, F.when(F.col("_l").isNull(), "right").otherwise("left").alias("side"))
+
+
 def alignment(rows: DataFrame, keys: list[str], variant: str, truth: str, n_variants: int) -> DataFrame:
     """Keys that some variant lacks or repeats, or on whose truth variants disagree."""
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
+from ..functions import sequences
 from ..functions import text as T
 from ..operators import bootstrap, calibration, contracts, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, unified, validation
 from ..sources import fixtures
@@ -566,6 +567,32 @@ def schedule(spark, sf):
     return spark.range(steps + 1).select(F.col("id").alias("step"), P.warmup_cosine(F.col("id"), steps, 4).alias("factor"))
 
 
+def padded_batches(spark, sf):
+    ids = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 9 + 1).cast("int")), lambda i: ((F.col("doc_id") * 7 + i) % 50).cast("int"))
+    rows = _strata(spark, sf).select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<int>")).otherwise(ids).alias("ids"))
+    marks = rows.select("doc_id", sequences.padded_left(F.col("ids"), 6, 99).alias("ids"), sequences.mask(F.col("ids"), 6).alias("marks"))
+    shown = lambda c: F.array_join(c, ",")
+    return marks.select("doc_id", shown("ids").alias("ids"), shown("marks").alias("mask"), shown(sequences.positions(F.col("marks"))).alias("positions"), sequences.last_token(F.col("marks")).alias("last"))
+
+
+def exact_prefixes(spark, sf):
+    made = sequences.exact_prefix(F.col("passage"), sequences.half(sequences.word_count(F.col("passage"))), sequences.Words)
+    return _inputs(spark, sf).select("doc_id", made.alias("p")).select("doc_id", F.sha2("p.prefix", 256).alias("sha"), "p.kept", "p.whole")
+
+
+def dependent_seeds(spark, sf):
+    rows = _eval(spark, sf).where("method <> 'baseline'").select("method", F.sha2(F.when(F.col("method") == "seed_3", F.lit("seed_1")).otherwise(F.col("method")), 256).alias("digest"))
+    return records.dependent_seeds(rows, "method", "digest")
+
+
+def vector_digests(spark, sf):
+    return head.features(fixtures.table(spark, sf, "embeddings")).select("vec_id", identity.vector_digest(F.col("x")).alias("digest"))
+
+
+def key_differences(spark, sf):
+    return validation.key_differences(_strata(spark, sf).where("doc_id % 50 <> 7"), _strata(spark, sf).where("doc_id % 50 <> 11"), ["doc_id"])
+
+
 def trimmed_ids(spark, sf):
     ids = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: ((F.col("doc_id") * 31 + i * F.col("doc_id") * 17 + i * i) % 11).cast("int"))
     kept = T.trim_ids(F.col("ids"), 3, 5)
@@ -601,7 +628,7 @@ _ALL = (
     laplace_diagonal, posterior_summary, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
     bootstrap_intervals, stage_selection, risk_coverage_by_scope, ensemble_scoped_metrics, normalized_sources, unified_metrics, uq_all_signals,
     bootstrap_weights, bootstrap_measures, degraded_faults, incomplete_inputs, prediction_faults, member_faults, calibration_rows, calibration_faults,
-    calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
+    padded_batches, exact_prefixes, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
 )
 
 

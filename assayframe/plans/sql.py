@@ -209,8 +209,10 @@ def statements() -> dict[str, str]:
         [CASE WHEN i IS NOT NULL AND used < {FRAGMENT_WORDS} THEN {short} END, CASE WHEN shared = 0 THEN {zero} END] FROM denied
       UNION ALL SELECT doc_id, passage, 'no_passage', 'ok', NULL, '', [] FROM inp)"""
     runtime = f"""{degraded},
-      made AS (SELECT r.*, sha256(r.passage) AS passage_sha, {made.format('transformed')} AS p FROM r JOIN inp USING (doc_id)),
-      runtime AS (SELECT doc_id, condition, passage_sha, CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'too_long' ELSE status END AS status,
+      made AS (SELECT r.*, sha256(r.passage) AS passage_sha, sha256(question) AS question_sha, {made.format('transformed')} AS p FROM r JOIN inp USING (doc_id)),
+      runtime AS (SELECT 'runtime-' || sha256(doc_id || '|' || condition) AS row_id, doc_id, condition, passage_sha, question_sha, sha256(transformed) AS text_sha, length(transformed) AS text_chars,
+      len({_words('transformed')}) AS text_tokens, {ppm} AS text_ppm, CASE WHEN status = 'ok' THEN length(p) END AS prompt_chars, status = 'ok' AND len({_words('p')}) <= {MOST_TOKENS} AS runs,
+      CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'too_long' ELSE status END AS status,
       CASE WHEN status = 'ok' AND len({_words('p')}) > {MOST_TOKENS} THEN 'prompt_over_limit' ELSE reason END AS reason,
       CASE WHEN status = 'ok' THEN len({_words('p')}) END AS prompt_tokens, CASE WHEN status = 'ok' THEN sha256(p) END AS prompt_sha,
       CASE WHEN status = 'ok' THEN sha256(transformed) <> passage_sha END AS changed FROM made)"""
@@ -394,10 +396,13 @@ def statements() -> dict[str, str]:
             SELECT doc_id, count(i) AS n, sha256(coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(s) AS BIGINT), ',' ORDER BY i), '')) AS digest FROM documents LEFT JOIN (SELECT * FROM placed WHERE s <> '') USING (doc_id) GROUP BY 1""",
         "prompts": f"WITH {_INPUTS}, p AS (SELECT doc_id, {made.format('passage')} AS p FROM inp) SELECT doc_id, sha256(p) AS sha, len({_words('p')}) AS n_tokens FROM p",
         "runtime_rows": f"WITH {runtime} SELECT * FROM runtime",
-        "prediction_rows": f"""WITH {runtime}, {_PRED} SELECT doc_id, condition, method, CASE WHEN status <> 'ok' THEN 'not_run' WHEN margin IS NULL THEN 'missing' ELSE 'ok' END AS run_status,
-            CASE WHEN status <> 'ok' THEN coalesce(reason, status) END AS run_reason, CASE WHEN status = 'ok' THEN round(p_raw, 9) END AS p_yes,
-            CASE WHEN status = 'ok' AND margin IS NOT NULL THEN CASE WHEN margin >= 0 THEN 'Yes' ELSE 'No' END END AS answer,
-            CASE WHEN status = 'ok' THEN round(-p_raw * ln(p_raw) - (1 - p_raw) * ln(1 - p_raw), 9) END AS entropy FROM runtime LEFT JOIN prob USING (doc_id, condition)""",
+        "prediction_rows": f"""WITH {runtime}, {_PRED}, {parsed}, j AS (SELECT r.doc_id, r.condition, r.status, r.reason AS run_reason0, r.prompt_sha, r.prompt_tokens, q.method, q.margin, q.p_raw, q.completion, q.valid, q.answer AS said, q.stated, q.reason AS parse_reason,
+            r.status = 'ok' AND margin IS NOT NULL AS go, CASE WHEN margin >= 0 THEN 'Yes' ELSE 'No' END AS top FROM runtime r LEFT JOIN parsed q USING (doc_id, condition))
+            SELECT 'prediction-' || sha256(concat_ws('|', doc_id, condition, method)) AS row_id, doc_id, condition, method, prompt_sha, prompt_tokens, CASE WHEN status <> 'ok' THEN 'not_run' WHEN margin IS NULL THEN 'missing' ELSE 'ok' END AS run_status,
+            CASE WHEN status <> 'ok' THEN coalesce(run_reason0, status) END AS run_reason, CASE WHEN go THEN round(p_raw, 9) END AS p_yes, CASE WHEN go THEN round(1 - p_raw, 9) END AS p_no, CASE WHEN go THEN top END AS answer,
+            CASE WHEN go THEN round(margin, 9) END AS yes_logit, CASE WHEN go THEN 0e0 END AS no_logit, CASE WHEN go THEN round(greatest(p_raw, 1 - p_raw), 9) END AS confidence, CASE WHEN go THEN sha256(completion) END AS completion_sha,
+            CASE WHEN go THEN length(completion) END AS completion_chars, CASE WHEN go THEN valid END AS parser_valid, CASE WHEN go THEN parse_reason END AS parser_reason, CASE WHEN go THEN said END AS stated_answer, CASE WHEN go THEN stated END AS stated,
+            CASE WHEN go AND valid THEN said = top END AS answers_agree, CASE WHEN go THEN round({entropy('p_raw')}, 9) END AS entropy FROM j""",
         "flag_counts": f"WITH {degraded}, f AS (SELECT condition, unnest(flags) AS flag FROM r) SELECT condition, flag, count(*) AS n FROM f WHERE flag IS NOT NULL GROUP BY ALL",
         "prompt_deltas": f"""WITH {runtime}, d AS (SELECT a.condition, a.prompt_tokens - o.prompt_tokens AS d FROM runtime a JOIN runtime o ON o.doc_id = a.doc_id AND o.condition = 'original' WHERE a.condition <> 'original')
             SELECT condition, count(d) AS n, CAST(sum(d) AS BIGINT) AS total, min(d) AS least, max(d) AS most FROM d WHERE d IS NOT NULL GROUP BY 1""",
@@ -427,6 +432,14 @@ def statements() -> dict[str, str]:
         "logit_summary": f"WITH {_FEAT}, m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM flat), z AS (SELECT vec_id, max(top) AS top, sum(exp(v - top)) AS z, sum(exp(v - top) * (v - top)) AS d, min(CASE WHEN v = top THEN dim END) AS a FROM m GROUP BY 1) "
         "SELECT vec_id, round(top + ln(z), 9) AS lse, CAST(a AS INT) AS top, round(ln(z) - d / z, 9) AS entropy FROM z",
         "schedule": "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 4 THEN (i + 1) / 4e0 ELSE 0.5e0 * (1 + cos(pi() * (i - 4) / 71e0)) END, 9) AS factor FROM range(76) r(i)",
+        "padded_batches": """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE doc_id % 9 + 1 END AS n FROM labels), k AS (SELECT doc_id, n, least(n, 6) AS k FROM n)
+            SELECT doc_id, array_to_string(list_concat(list_transform(range(6 - k), lambda i: 99), list_transform(range(n - k + 1, n + 1), lambda i: (doc_id * 7 + i) % 50)), ',') AS ids,
+            array_to_string(list_concat(list_transform(range(6 - k), lambda i: 0), list_transform(range(k), lambda i: 1)), ',') AS mask,
+            array_to_string(list_concat(list_transform(range(6 - k), lambda i: 0), range(k)), ',') AS positions, CAST(CASE WHEN k > 0 THEN 5 END AS INT) AS last FROM k""",
+        "exact_prefixes": f"WITH {_INPUTS}, w AS (SELECT doc_id, {_words('passage')} AS w FROM inp) SELECT doc_id, CASE WHEN len(w) > 0 THEN sha256(array_to_string(w[1:(len(w) + 1) // 2], ' ')) END AS sha, "
+        "CAST(CASE WHEN len(w) > 0 THEN (len(w) + 1) // 2 END AS INT) AS kept, CAST(CASE WHEN len(w) > 0 THEN len(w) END AS INT) AS whole FROM w",
+        "dependent_seeds": "SELECT 'digest' AS kind, sha256('seed_1') AS value, CAST(2 AS BIGINT) AS n",
+        "key_differences": "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'right' ELSE 'left' END AS side FROM labels WHERE doc_id % 50 IN (7, 11)",
         "trimmed_ids": "WITH x AS (SELECT doc_id, i, (doc_id * 31 + i * doc_id * 17 + i * i) % 11 AS v FROM labels, range(1, 13) r(i)), e AS (SELECT doc_id, min(CASE WHEN v IN (3, 5) THEN i END) AS stop FROM x GROUP BY 1) "
         "SELECT doc_id, count(*) FILTER (stop IS NULL OR i < stop) AS n, coalesce(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) FILTER (stop IS NULL OR i < stop), '') AS ids FROM x JOIN e USING (doc_id) GROUP BY 1",
         "source_slugs": "SELECT doc_id, regexp_replace(regexp_replace(lower('  Set / ' || source || ' (v1)'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS slug FROM documents",

@@ -28,7 +28,7 @@ def test_runtime_and_prediction_rows(spark):
     assert got[1, "c"] == ("ok", None, 6, False) and got[2, "c"] == ("too_long", "prompt_over_limit", 24, False)
     assert got[1, "d"] == ("not_applicable", "no_sentence", None, None) and got[2, "d"] == ("ok", None, 5, True)
     assert not {"passage", "question", "transformed"} & set(rows.columns)
-    scores = spark.createDataFrame([(1, "c", "m", 0.0), (2, "c", "m", 3.0)], "doc_id long, condition string, method string, margin double")
+    scores = spark.createDataFrame([(1, "c", "m", 0.0, " No\nConfidence: 7"), (2, "c", "m", 3.0, "x")], "doc_id long, condition string, method string, margin double, completion string")
     out = {(r.doc_id, r.condition): (r.run_status, r.run_reason, r.p_yes, r.answer) for r in records.prediction_rows(rows, scores).collect()}
     assert out[1, "c"] == ("ok", None, 0.5, "Yes") and out[2, "c"] == ("not_run", "prompt_over_limit", None, None)
     assert out[1, "d"][:2] == ("not_run", "no_sentence") and out[2, "d"] == ("missing", None, None, None)
@@ -118,7 +118,7 @@ def test_distractor_over_chunks(spark, monkeypatch):
     from assayframe.operators import degrade
     from assayframe.operators.validation import ContractError
 
-    docs = spark.createDataFrame([(i, f"what w{i % 5} is", f"w{i % 7} w{i % 3} text {'same' if i < 3 else i}") for i in range(40)] + [(50, "q", ""), (51, "w1", "  ")], "doc_id long, question string, passage string")
+    docs = spark.createDataFrame([(i, f"what w{i % 5} is", f"w{i % 7} w{i % 3} text {i}") for i in range(40)] + [(50, "q", ""), (51, "w1", "  ")], "doc_id long, question string, passage string")
     rows = {r.doc_id: r for r in docs.collect()}
     donors = degrade.donors_of(docs)
     want = {}
@@ -135,7 +135,7 @@ def test_distractor_over_chunks(spark, monkeypatch):
         got = {r.doc_id: r for r in degrade.distractor(docs, donors, 7).collect()}
         assert {d: (r.overlap, r.tie, str(r.donor_id), r.eligible) for d, r in got.items()} == want
     assert got[50].transformed == "\n\n" + " ".join(rows[got[50].donor_id].passage.split())
-    alone = degrade.distractor(docs.where("doc_id = 1"), donors.where("donor_id < 3"), 7).first()
+    alone = degrade.distractor(docs.where("doc_id = 1"), donors.where("donor_id = 1"), 7).first()
     assert (alone.status, alone.reason, alone.transformed, alone.eligible) == ("not_applicable", "no_eligible_donor", None, 0)
     assert degrade.distractor(docs.limit(0), donors, 7).count() == 0
     with pytest.raises(ContractError):
@@ -195,3 +195,34 @@ def test_contract_helpers(spark):
     assert contracts.raw_text_leaks(told, ["raw"]).count() == 1 and contracts.raw_text_leaks(told.withColumn("raw", F.lit("")), ["raw"]).count() == 0
     with pytest.raises(ContractError):
         contracts.parameter_rules(spark.createDataFrame([((1.5,),)], "parameters struct<x: double>"))
+
+
+def test_exact_prefixes():
+    from assayframe.functions import sequences
+
+    class Odd(sequences.Words):
+        """A word that ends in "-" takes the next one with it when it is read again."""
+
+        def encode(self, text):
+            return text.replace("- ", "-").split()
+
+        def decode(self, ids):
+            return " ".join(ids).replace("-", "- ")
+
+    assert sequences.longest_prefix(sequences.Words(), " a  b c ", 2) == ("a b", 2, 3)
+    assert sequences.longest_prefix(sequences.Words(), "  ", 2) is None and sequences.longest_prefix(sequences.Words(), "a", 0) is None
+    assert sequences.longest_prefix(Odd(), "a b- c d", 2) == ("a b- c", 2, 3)
+    memo = sequences.Memo(sequences.Words(), most=1)
+    assert [memo.encode(t) for t in ("a b", "a b", "c")] == [["a", "b"], ["a", "b"], ["c"]] and len(memo.known) == 1
+
+
+def test_vector_digest(spark):
+    import hashlib
+    import struct
+
+    from assayframe.operators import identity
+
+    rows = [([1.0, -2.5],), ([],), (None,), ([1.0, None],), ([1.0, -2.5],)]
+    got = [r.d for r in spark.createDataFrame(rows, "v array<double>").select(identity.vector_digest(F.col("v")).alias("d")).collect()]
+    want = hashlib.sha256(struct.pack("<q2d", 2, 1.0, -2.5)).hexdigest()
+    assert got == [want, hashlib.sha256(bytes(8)).hexdigest(), None, None, want]
