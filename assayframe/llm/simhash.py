@@ -7,7 +7,7 @@ To share the walk out, bits are cut into ``budget + 1`` blocks: two fingerprints
 block at least. Each block in turn is rotated to the top, and fingerprints that share it meet in one task, where
 the walk has no errors left for the top block and the whole budget below it. A fingerprint has at most
 sum C(bits, <= budget) neighbours, and equal fingerprints are one row, so nothing grows with the square of a group.
-A task keeps a spanning forest of the links that it finds; the forests meet in distributed star contraction.
+A task keeps a spanning forest of the links that it finds; the forests meet in rounds of joins.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fine_grained, staged, text_slices
+from .common import fine_grained, release, staged, text_slices
 
 BITS = 64
 #: Node pairs held at once while walking.
 FRONTIER = 1 << 19
 #: Deviations that candidates may lie beyond the mean of texts at the threshold. More of them cost time, not precision.
 SLACK = 3.0
-#: A vertex that holds more than one in so many of the edge rows is joined by broadcast; there are fewer than HUBS of them.
-HUBS = 1000
+#: Tasks over which the rows of a hot key are dealt out.
+SALTS = 64
+#: Rows of 24 bytes up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
+#: A fingerprint that holds more than one in so many rows is hot; there are fewer than HOT of them.
+HOT = 1000
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -209,47 +213,51 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     ).mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root) of every vertex of ``edges`` (a, b); root is the least id that is reachable.
+def _spread(rows: DataFrame, key: str, by: str, table: DataFrame) -> DataFrame:
+    """Left join on ``key`` with a small ``table`` that has it once: the rows of a hot key are dealt out over SALTS tasks by ``by``."""
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [key, "salt"], "left").drop("salt")
 
-    Alternating large-star and small-star contraction: each round is joins and min-aggregates on edge rows,
-    written to the shared folder, and the number of rounds grows with the logarithm of the longest path. The centre of a
-    large star would be a hot join key, so such centres, whose number HUBS bounds, meet their edges by broadcast.
-    """
 
-    def with_least(both: DataFrame, least: DataFrame, n: int) -> DataFrame:
-        hubs = F.broadcast(least.where(F.col("n") * HUBS > n).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
-        marked = both.join(hubs, F.col("u") == F.col("hub"), "left")
-        hot = marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m"))
-        cold = marked.where("hub is null").select("u", "v").join(least.where(F.col("n") * HUBS <= n).select("u", "m"), "u")
-        return hot.unionByName(cold)
-
-    def star(e: DataFrame, large: bool, edges: int) -> DataFrame:
-        if large:
-            both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        else:
-            both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        joined = with_least(both, least, edges * (2 if large else 1))
-        if large:
-            moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            moved = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-                least.where("u <> m").select("u", "m")
-            )
-        return moved.where("a <> b").distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of every vertex of ``edges`` (a, b) but the roots; root is the least id that is reachable.
+
+    A task first turns the edges that it holds into stars (member, root). Then, until nothing moves: a member of several roots
+    keeps the least and ties the others to it, and a root that is itself a member hands its members on to its own root. Rounds
+    grow with the logarithm of the longest path. Both joins look up rows of which few exist: members of several roots, and
+    roots that are members. A star of any size is dealt out over SALTS tasks; nothing is broadcast.
+    """
 
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen, n = None, e.count()
-    for _ in range(rounds):
-        e = staged(star(star(e, True, n), False, n), "edges")  # a star has no more edges than it came from
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        n = now[0]
-        if now == seen:
-            break
-        seen = now
-    # All edges are stars now: (member, root).
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if len(b)]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(ids))
+        forest.add(at[: len(a)], at[len(a) :])
+        linked = np.flatnonzero(forest.root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[forest.root[linked]])], names=["a", "b"])
+
+    e = staged(edges.where("a <> b").select("a", "b").mapInArrow(stars, "a long, b long").distinct(), "edges")
+    while True:
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
+        several = least.where("m <> most").select("a", "m")
+        tied = _spread(e, "a", "b", several)
+        s = tied.select(
+            F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"),
+            F.when(F.col("b") > F.col("m"), F.col("m")).otherwise(F.col("b")).alias("b"),
+            (F.col("b") > F.coalesce("m", "b")).alias("moved"),
+        )
+        s = s.groupBy("a", "b").agg(F.max("moved").alias("moved"))
+        parents = s.groupBy("a").agg(F.min("b").alias("up"))
+        roots = s.select("b").distinct().hint("merge")
+        up = parents.join(roots, F.col("a") == F.col("b")).select("b", "up")
+        after = _spread(s, "b", "a", up).select("a", F.coalesce("up", "b").alias("b"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
+        before, e = e, staged(after, "edges")
+        release(before)
+        if e.where("moved").isEmpty():
+            return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
@@ -260,16 +268,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     taken whole. Other columns are ignored.
     """
     fps = staged(fingerprints(docs, words), "fingerprints")
-    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     roots = components(links(distinct.select("fp"), budget))
     rooted = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_fps"))
+    # A component of one fingerprint needs no join; the rows of a large one are dealt out.
+    tied = _spread(rooted, "root", "fp", least.where("n_fps > 1").select("root", "component_id"))
+    classes = staged(tied.select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "components")
+    hot = F.broadcast(classes.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    marked = fps.join(hot, "fp", "left")
+    rest = marked.where("is_hot IS NULL").select("doc_id", "fp").join(classes.select("fp", "component_id"), "fp")
+    rows = marked.where("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near-duplicates by shingle similarity.
@@ -280,7 +293,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 # only if the shingle sets themselves are similar.
 WORDS_64, TABLE_BYTES, TABLE_BUDGET = 5, 3, 2
 _TABLES = 8 * WORDS_64 // TABLE_BYTES
-_RECORD = np.dtype([("slot", "u1"), ("key", "<u4"), ("id", "<i8"), ("label", "<i8"), ("sig", "u1", 8 * WORDS_64)])
+_RECORD = np.dtype([("slot", "u1"), ("key", "<u4"), ("id", "<i8"), ("sig", "u1", 8 * WORDS_64)])
+_LABELLED = np.dtype([*_RECORD.descr, ("label", "<i8")])
 
 
 def bit_limit(similarity: float, bits: int = 64 * WORDS_64, slack: float = 1.5) -> int:
@@ -332,7 +346,7 @@ def _across(sig: np.ndarray, members: np.ndarray, limit: int, label: np.ndarray)
         yield np.full(int(near.sum()), x), rest[near]
 
 
-def table_links(rec: np.ndarray, limit: int, forest: Forest | None, where: np.ndarray, sigs: np.ndarray, label: np.ndarray) -> Pairs:
+def table_links(rec: np.ndarray, limit: int, forest: Forest | None, where: np.ndarray, sigs: np.ndarray, label: np.ndarray | None) -> Pairs:
     """Near pairs that the walk over the trie of one table meets: those of a spanning forest, or without a forest all whose
     labels differ. ``where`` gives each record's row in ``sigs``, on which forest and labels stand."""
 
@@ -363,26 +377,27 @@ def table_links(rec: np.ndarray, limit: int, forest: Forest | None, where: np.nd
             yield from group(np.unique(np.concatenate([rows[first[p] : first[p] + count[p]], rows[first[q] : first[q] + count[q]]])))
 
 
-def candidates(classes: DataFrame, limit: int, spanning: bool) -> DataFrame:
-    """Distinct pairs (a < b) of ids of ``classes`` (id, label, sig) whose fingerprints differ in ``limit`` bits at most.
+def candidates(classes: DataFrame, limit: int, label: str | None = None) -> DataFrame:
+    """Distinct pairs (a < b) of ids of ``classes`` (id, sig and the label, if any) whose fingerprints differ in ``limit`` bits at most.
 
-    ``spanning``: a spanning forest of the pairs that a task meets, whatever the labels. Otherwise all that are met whose
-    labels differ."""
+    Without a label: a spanning forest of the pairs that a task meets. With one: all that are met whose labels differ."""
     n = max(64, 2 * fine_grained(classes))
-    width = TABLE_BYTES
+    width, record = TABLE_BYTES, _LABELLED if label else _RECORD
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 20_000):
                 part = batch.slice(at, 20_000)
-                ids, label = part.column("id").to_numpy(), part.column("label").to_numpy()
+                ids = part.column("id").to_numpy()
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), 8 * WORDS_64)
                 made, lots = [], []
                 for table in range(_TABLES):
                     own = sig[:, table * width : (table + 1) * width].astype(np.uint32)
                     for turn in range(width):
-                        rec = np.zeros(len(ids), _RECORD)
-                        rec["slot"], rec["id"], rec["label"], rec["sig"] = table * width + turn, ids, label, sig
+                        rec = np.zeros(len(ids), record)
+                        rec["slot"], rec["id"], rec["sig"] = table * width + turn, ids, sig
+                        if label:
+                            rec["label"] = part.column("label").to_numpy()
                         for k in range(width):
                             rec["key"] = rec["key"] << np.uint32(8) | own[:, (turn + k) % width]
                         made.append(rec)
@@ -401,10 +416,10 @@ def candidates(classes: DataFrame, limit: int, spanning: bool) -> DataFrame:
         raw = b"".join(r for batch in batches for r in batch.column("records").to_pylist())
         if not raw:
             return
-        rec = np.frombuffer(raw, _RECORD)
+        rec = np.frombuffer(raw, record)
         ids, first, where = np.unique(rec["id"], return_index=True, return_inverse=True)
-        sigs, label = rec["sig"][first].view("<u8"), rec["label"][first]
-        forest = Forest(len(ids)) if spanning else None
+        sigs, labels = rec["sig"][first].view("<u8"), rec["label"][first] if label else None
+        forest = None if label else Forest(len(ids))
 
         def out(found: list) -> pa.RecordBatch:
             i, j = (ids[np.concatenate(x)] for x in zip(*found, strict=True))
@@ -416,7 +431,7 @@ def candidates(classes: DataFrame, limit: int, spanning: bool) -> DataFrame:
         for s in range(256):
             own = order[bounds[s] : bounds[s + 1]]
             if len(own) > 1:
-                for i, j in table_links(rec[own], limit, forest, where[own], sigs, label):
+                for i, j in table_links(rec[own], limit, forest, where[own], sigs, labels):
                     if len(i):
                         found.append((i, j))
                         held += len(i)
@@ -427,7 +442,7 @@ def candidates(classes: DataFrame, limit: int, spanning: bool) -> DataFrame:
             yield out(found)
 
     return (
-        classes.select("id", "label", "sig").mapInArrow(deal, "lot int, records binary").repartition(n, "lot").mapInArrow(walk, "a long, b long").distinct()
+        classes.select("id", "sig", *([F.col(label).alias("label")] if label else [])).mapInArrow(deal, "lot int, records binary").repartition(n, "lot").mapInArrow(walk, "a long, b long").distinct()
     )
 
 
@@ -444,34 +459,42 @@ def judged(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = staged(texts(needed).mapInArrow(run, "id long, set array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    met = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("both"))
-    return staged(met.select("a", "b", (F.col("shared") >= similarity * (F.col("both") - F.col("shared"))).alias("similar")), "judged")
+    # Merge joins, which AQE splits where one text has many pairs.
+    side = lambda key, name: sets.select(F.col("id").alias(key), F.col("set").alias(name)).hint("merge")
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    met = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
+    out = staged(met.select("a", "b", (F.col("shared") >= similarity * (F.col("both") - F.col("shared"))).alias("similar")), "judged")
+    release(sets)
+    return out
 
 
 def similar_groups(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
-    """(id, root) of the ids of ``classes`` (id, sig) that candidates of this similarity join.
+    """(id, root) of the ids of ``classes`` (id, sig) that candidates of this similarity join, without the roots themselves.
 
     A spanning forest of the candidates comes first, so that a tight group costs a pair a member. Where some of its pairs are
     not similar, the parts that the others leave are walked again, and all candidates between two parts are judged. Their
     number grows with the square of a group only where its texts are near the threshold and no link joins them.
     """
     limit = bit_limit(similarity, slack=SLACK)
-    first = judged(staged(candidates(classes.withColumn("label", F.lit(0).cast("long")), limit, True), "spanning"), texts, words, similarity)
-    links = first.where("similar").select("a", "b")
-    roots = components(links)
-    label = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root"))
-    apart = first.where("NOT similar").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    apart = apart.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
-    open_parts = staged(apart.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "parts")
+    spanning = staged(candidates(classes, limit), "spanning")
+    first = judged(spanning, texts, words, similarity)
+    roots = components(first.where("similar"))
+    # Candidates that failed tell which parts still have to meet: those on either side of one.
+    apart = first.where("NOT similar").select("a", "b").unionByName(first.where("NOT similar").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labelled = apart.join(roots.select(F.col("id").alias("a"), F.col("root").alias("a_root")), "a", "left").join(
+        roots.select(F.col("id").alias("b"), F.col("root").alias("b_root")), "b", "left"
+    )
+    parts = labelled.select(F.coalesce("a_root", "a").alias("label"), F.coalesce("b_root", "b").alias("other")).where("label <> other")
+    open_parts = staged(parts.select("label").distinct(), "parts")
     if open_parts.isEmpty():
         return roots
-    labelled = classes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"), "sig")
-    again = staged(candidates(labelled.join(open_parts, "label", "left_semi"), limit, False), "across")
+    with_label = classes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"), "sig")
+    again = staged(candidates(with_label.join(open_parts, "label", "left_semi"), limit, "label"), "across")
     # Pairs of the forest are judged already.
-    more = judged(again.join(first, ["a", "b"], "left_anti"), texts, words, similarity)
-    return components(links.unionByName(more.where("similar").select("a", "b")))
+    more = judged(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, words, similarity)
+    joined = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.where("similar").select("a", "b")))
+    release(spanning, first, open_parts, again, more, roots)
+    return joined
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -480,10 +503,12 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     Texts are similar from ``similarity`` of their sets of ``words``-word shingles upward. Fingerprints find the candidates,
     so that a few links at the threshold are missed; the sets decide, so that no pair below it is a link. Links chain into
     groups. Nulls: wordless texts are one group; a null doc_id is the last choice.
-    Repeated rows are copies. Empty table: no rows. All columns are returned.
+    Repeated rows are copies. Empty table: no rows. All columns are returned, whatever their names.
     """
-    mark = "_near_copy_row"  # a name that no column of documents has
-    marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    names = iter(f"{n}_{i}" for i in range(1 << 30) for n in ("near_copy_row", "near_copy_check") if f"{n}_{i}" not in docs.columns)
+    row, check = next(names), next(names)
+    # A row is known by 128 bits of its id and text.
+    marked = docs.withColumns({row: F.xxhash64("doc_id", "text"), check: F.xxhash64(F.lit(1), "text", "doc_id")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,26 +516,24 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
             equal = [xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets]
             sig = [long_fingerprint(h) for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(np.array(equal, np.uint64).view(np.int64)), pa.array(sig, pa.binary())],
-                names=["doc_id", "row", "id", "sig"],
+                [*batch.columns[:3], pa.array(np.array(equal, np.uint64).view(np.int64)), pa.array(sig, pa.binary())],
+                names=["doc_id", "row", "check", "id", "sig"],
             )
 
-    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("row"), "text").mapInArrow(
-        run, "doc_id long, row long, id long, sig binary"
+    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(check).alias("check"), "text").mapInArrow(
+        run, "doc_id long, row long, check long, id long, sig binary"
     )
-    choice = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    choice = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "check")
     classes = staged(prints.groupBy("id").agg(F.min(choice).alias("first"), F.first("sig").alias("sig")), "classes")  # a class is a set
-    firsts = classes.select("id", F.col("first.row").alias(mark))
+    firsts = classes.select("id", F.col("first.row").alias(row), F.col("first.check").alias(check))
 
     def texts(ids: DataFrame) -> DataFrame:
-        return marked.select(mark, "text").join(firsts.join(ids, "id", "left_semi"), mark).dropDuplicates(["id"]).select("id", "text")
-
-    roots = similar_groups(classes, texts, words, similarity)
-    kept = (
-        classes.drop("sig")
-        .join(roots, "id", "left")
-        .groupBy(F.coalesce("root", "id").alias("root"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias(mark))
-    )
-    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
+        wanted = staged(firsts.join(ids, "id", "left_semi"), "wanted")
+        few = wanted.count() <= BROADCAST_ROWS  # beyond, the texts are shuffled
+        return marked.select(row, check, "text").join(F.broadcast(wanted) if few else wanted, [row, check]).dropDuplicates(["id"]).select("id", "text")
+
+    roots = similar_groups(classes.select("id", "sig"), texts, words, similarity)
+    # Rows of a large group are dealt out; a class that no link joins keeps its first row.
+    group = classes.drop("sig").join(roots.hint("merge"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    kept = group.select(F.col("first.row").alias(row), F.col("first.check").alias(check))
+    return marked.join(kept.hint("merge"), [row, check], "left_semi").dropDuplicates([row, check]).select(*docs.columns)
