@@ -15,20 +15,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fine_grained, release, staged, text_slices
+from .common import fine_grained, release, spread_join, staged, text_slices
 
 BITS = 64
 #: Node pairs held at once while walking.
 FRONTIER = 1 << 19
 #: Deviations that candidates may lie beyond the mean of texts at the threshold. More of them cost time, not precision.
 SLACK = 3.0
-#: Tasks over which the rows of a hot key are dealt out.
-SALTS = 64
 #: Rows of 24 bytes up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
 #: A fingerprint that holds more than one in so many rows is hot; there are fewer than HOT of them.
@@ -213,19 +212,13 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     ).mapInArrow(run, "a long, b long")
 
 
-def _spread(rows: DataFrame, key: str, by: str, table: DataFrame) -> DataFrame:
-    """Left join on ``key`` with a small ``table`` that has it once: the rows of a hot key are dealt out over SALTS tasks by ``by``."""
-    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [key, "salt"], "left").drop("salt")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every vertex of ``edges`` (a, b) but the roots; root is the least id that is reachable.
 
     A task first turns the edges that it holds into stars (member, root). Then, until nothing moves: a member of several roots
     keeps the least and ties the others to it, and a root that is itself a member hands its members on to its own root. Rounds
     grow with the logarithm of the longest path. Both joins look up rows of which few exist: members of several roots, and
-    roots that are members. A star of any size is dealt out over SALTS tasks; nothing is broadcast.
+    roots that are members. A star of any size is dealt out over many tasks; nothing is broadcast.
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         least = e.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
         several = least.where("m <> most").select("a", "m")
-        tied = _spread(e, "a", "b", several)
+        tied = spread_join(e, "a", "b", several)
         s = tied.select(
             F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"),
             F.when(F.col("b") > F.col("m"), F.col("m")).otherwise(F.col("b")).alias("b"),
@@ -253,7 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
         parents = s.groupBy("a").agg(F.min("b").alias("up"))
         roots = s.select("b").distinct().hint("merge")
         up = parents.join(roots, F.col("a") == F.col("b")).select("b", "up")
-        after = _spread(s, "b", "a", up).select("a", F.coalesce("up", "b").alias("b"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
+        after = spread_join(s, "b", "a", up).select("a", F.coalesce("up", "b").alias("b"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
         before, e = e, staged(after, "edges")
         release(before)
         if e.where("moved").isEmpty():
@@ -276,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_fps"))
     # A component of one fingerprint needs no join; the rows of a large one are dealt out.
-    tied = _spread(rooted, "root", "fp", least.where("n_fps > 1").select("root", "component_id"))
+    tied = spread_join(rooted, "root", "fp", least.where("n_fps > 1").select("root", "component_id"))
     classes = staged(tied.select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "components")
     hot = F.broadcast(classes.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
     marked = fps.join(hot, "fp", "left")
@@ -294,7 +287,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 WORDS_64, TABLE_BYTES, TABLE_BUDGET = 5, 3, 2
 _TABLES = 8 * WORDS_64 // TABLE_BYTES
 _RECORD = np.dtype([("slot", "u1"), ("key", "<u4"), ("id", "<i8"), ("sig", "u1", 8 * WORDS_64)])
-_LABELLED = np.dtype([*_RECORD.descr, ("label", "<i8")])
+#: Weight of the texts of a block; a text weighs one, and one more for every SHINGLES_WEIGHT shingles. Columns counted at once.
+BLOCK_WEIGHT, SHINGLES_WEIGHT, COLUMNS = 512, 1024, 4096
 
 
 def bit_limit(similarity: float, bits: int = 64 * WORDS_64, slack: float = 1.5) -> int:
@@ -337,23 +331,12 @@ def _linked(sig: np.ndarray, members: np.ndarray, limit: int, forest: Forest) ->
                 left = left[~near]
 
 
-def _across(sig: np.ndarray, members: np.ndarray, limit: int, label: np.ndarray) -> Pairs:
-    """All near pairs of members whose labels differ."""
-    for at, x in enumerate(members[:-1].tolist()):
-        rest = members[at + 1 :]
-        rest = rest[label[rest] != label[x]]
-        near = np.bitwise_count(sig[rest] ^ sig[x]).sum(axis=1, dtype=np.int64) <= limit
-        yield np.full(int(near.sum()), x), rest[near]
-
-
-def table_links(rec: np.ndarray, limit: int, forest: Forest | None, where: np.ndarray, sigs: np.ndarray, label: np.ndarray | None) -> Pairs:
-    """Near pairs that the walk over the trie of one table meets: those of a spanning forest, or without a forest all whose
-    labels differ. ``where`` gives each record's row in ``sigs``, on which forest and labels stand."""
+def table_links(rec: np.ndarray, limit: int, forest: Forest, where: np.ndarray, sigs: np.ndarray) -> Pairs:
+    """Near pairs that the walk over the trie of one table meets: those of a spanning forest. ``where`` gives each record's row in
+    ``sigs``, on which the forest stands."""
 
     def group(members: np.ndarray) -> Pairs:
-        if forest is None:
-            yield from _across(sigs, members, limit, label)
-        elif len(np.unique(forest.root[members])) > 1:
+        if len(np.unique(forest.root[members])) > 1:
             yield from _linked(sigs, members, limit, forest)
 
     order = np.argsort(rec["key"], kind="stable")
@@ -368,21 +351,16 @@ def table_links(rec: np.ndarray, limit: int, forest: Forest | None, where: np.nd
         for at in range(0, len(a), 1 << 18):
             x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
             near = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64) <= limit
-            if forest is None:
-                near &= label[x] != label[y]
-                yield x[near], y[near]
-            else:
-                yield forest.span(x[near], y[near])
+            yield forest.span(x[near], y[near])
         for p, q in zip(i[~small].tolist(), j[~small].tolist(), strict=True):
             yield from group(np.unique(np.concatenate([rows[first[p] : first[p] + count[p]], rows[first[q] : first[q] + count[q]]])))
 
 
-def candidates(classes: DataFrame, limit: int, label: str | None = None) -> DataFrame:
-    """Distinct pairs (a < b) of ids of ``classes`` (id, sig and the label, if any) whose fingerprints differ in ``limit`` bits at most.
-
-    Without a label: a spanning forest of the pairs that a task meets. With one: all that are met whose labels differ."""
+def candidates(classes: DataFrame, limit: int) -> DataFrame:
+    """Distinct pairs (a < b) of ids of ``classes`` (id, sig) whose fingerprints differ in ``limit`` bits at most: of the pairs that a
+    task meets, a spanning forest. So whatever two ids meet anywhere, these pairs connect them."""
     n = max(64, 2 * fine_grained(classes))
-    width, record = TABLE_BYTES, _LABELLED if label else _RECORD
+    width = TABLE_BYTES
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,10 +372,8 @@ def candidates(classes: DataFrame, limit: int, label: str | None = None) -> Data
                 for table in range(_TABLES):
                     own = sig[:, table * width : (table + 1) * width].astype(np.uint32)
                     for turn in range(width):
-                        rec = np.zeros(len(ids), record)
+                        rec = np.zeros(len(ids), _RECORD)
                         rec["slot"], rec["id"], rec["sig"] = table * width + turn, ids, sig
-                        if label:
-                            rec["label"] = part.column("label").to_numpy()
                         for k in range(width):
                             rec["key"] = rec["key"] << np.uint32(8) | own[:, (turn + k) % width]
                         made.append(rec)
@@ -416,10 +392,10 @@ def candidates(classes: DataFrame, limit: int, label: str | None = None) -> Data
         raw = b"".join(r for batch in batches for r in batch.column("records").to_pylist())
         if not raw:
             return
-        rec = np.frombuffer(raw, record)
+        rec = np.frombuffer(raw, _RECORD)
         ids, first, where = np.unique(rec["id"], return_index=True, return_inverse=True)
-        sigs, labels = rec["sig"][first].view("<u8"), rec["label"][first] if label else None
-        forest = None if label else Forest(len(ids))
+        sigs = rec["sig"][first].view("<u8")
+        forest = Forest(len(ids))
 
         def out(found: list) -> pa.RecordBatch:
             i, j = (ids[np.concatenate(x)] for x in zip(*found, strict=True))
@@ -431,7 +407,7 @@ def candidates(classes: DataFrame, limit: int, label: str | None = None) -> Data
         for s in range(256):
             own = order[bounds[s] : bounds[s + 1]]
             if len(own) > 1:
-                for i, j in table_links(rec[own], limit, forest, where[own], sigs, labels):
+                for i, j in table_links(rec[own], limit, forest, where[own], sigs):
                     if len(i):
                         found.append((i, j))
                         held += len(i)
@@ -442,12 +418,12 @@ def candidates(classes: DataFrame, limit: int, label: str | None = None) -> Data
             yield out(found)
 
     return (
-        classes.select("id", "sig", *([F.col(label).alias("label")] if label else [])).mapInArrow(deal, "lot int, records binary").repartition(n, "lot").mapInArrow(walk, "a long, b long").distinct()
+        classes.select("id", "sig").mapInArrow(deal, "lot int, records binary").repartition(n, "lot").mapInArrow(walk, "a long, b long").distinct()
     )
 
 
-def judged(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
-    """(a, b, similar) of ``pairs``: whether the shingle sets of their texts reach the similarity. ``texts`` gives (id, text) of ids."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, set, weight) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,46 +431,130 @@ def judged(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int
                 sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column("text")]
                 ends = np.cumsum([0, *map(len, sets)])
                 lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "set"])
+                weight = pa.array(1 + np.diff(ends) // SHINGLES_WEIGHT, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, weight], names=["id", "set", "weight"])
+
+    return texts.mapInArrow(run, "id long, set array<long>, weight long")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(texts(needed).mapInArrow(run, "id long, set array<long>"), "sets")
+
+def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similar) of ``pairs``: whether their shingle sets reach the similarity."""
     # Merge joins, which AQE splits where one text has many pairs.
     side = lambda key, name: sets.select(F.col("id").alias(key), F.col("set").alias(name)).hint("merge")
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     met = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
-    out = staged(met.select("a", "b", (F.col("shared") >= similarity * (F.col("both") - F.col("shared"))).alias("similar")), "judged")
-    release(sets)
+    return met.select("a", "b", (F.col("shared") >= similarity * (F.col("both") - F.col("shared"))).alias("similar"))
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared values of every set of ``left`` with every set of ``right``, counted exactly by products of 0/1 matrices."""
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    known = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)  # others are in no intersection
+    out = np.zeros((len(left), len(right)), np.float32)
+    columns = [np.searchsorted(known, x) for x in flat]
+    for x, column, k in zip(flat, columns, (0, 1), strict=True):
+        column[column == len(known)] = 0
+        there = known[column] == x if len(known) else np.zeros(len(x), bool)
+        rows[k], columns[k] = rows[k][there], column[there]
+    orders = [np.argsort(c, kind="stable") for c in columns]
+    rows, columns = [r[o] for r, o in zip(rows, orders, strict=True)], [c[o] for c, o in zip(columns, orders, strict=True)]
+    for at in range(0, len(known), COLUMNS):
+        parts = []
+        for side, r, c in zip((left, right), rows, columns, strict=True):
+            a, b = np.searchsorted(c, (at, at + COLUMNS))
+            m = np.zeros((len(side), min(COLUMNS, len(known) - at)), np.float32)
+            m[r[a:b], c[a:b] - at] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
     return out
 
 
+def block_links(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between labels of one task (group, label, set, first, second): members of the first block against those of the second, for
+    each group apart. Of the links a spanning forest of the labels is returned."""
+    found: list[tuple[int, int]] = []
+    for _, own in rows.groupby("group", sort=False):
+        label, sets = own["label"].to_numpy(), [np.asarray(x, np.int64) for x in own["set"]]
+        names, at = np.unique(label, return_inverse=True)
+        i, j = np.flatnonzero(own["first"].to_numpy()), np.flatnonzero(own["second"].to_numpy())
+        if len(names) < 2 or not len(i) or not len(j):
+            continue
+        shared = common_counts([sets[k] for k in i], [sets[k] for k in j])
+        sizes = np.array([len(x) for x in sets])
+        near = shared >= similarity * (sizes[i][:, None] + sizes[j][None, :] - shared)
+        a, b = np.nonzero(near & (at[i][:, None] != at[j][None, :]))
+        x, y = Forest(len(names)).span(at[i[a]], at[j[b]])
+        found += zip(names[x].tolist(), names[y].tolist(), strict=True)
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def links_between(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) labels that some pair of texts of one group links, of ``members`` (group, label, set, weight).
+
+    A group is compared in blocks of bounded weight, so that a task holds two blocks, however large a group is. Small groups share a
+    task. In a large one a label of a block's weight has blocks of its own, which needn't meet each other; the other labels are
+    dealt out. Blocks meet in pairs, so a text goes to as many tasks as its group has blocks that it must meet.
+    """
+    slim = members.select("group", "label", "id", "weight")
+    per_label = staged(slim.groupBy("group", "label").agg(F.sum("weight").alias("w")), "labels")
+    big = F.col("w") >= BLOCK_WEIGHT
+    per_group = per_label.groupBy("group").agg(F.sum("w").alias("all_w"), F.sum(F.when(~big, F.col("w")).otherwise(0)).alias("mixed_w"))
+    small_w = per_group.where(F.col("all_w") <= BLOCK_WEIGHT).agg(F.sum("all_w")).first()[0] or 0
+    parts = lambda w: F.ceil(w / F.lit(float(BLOCK_WEIGHT)))
+    of_label = staged(per_label.join(per_group, "group"), "of-label")
+    spread = lambda what, n: F.pmod(F.xxhash64(what), F.greatest(n, F.lit(1))).cast("long")
+    shown = lambda *cs: F.concat_ws(":", *(c.cast("string") for c in cs))
+    with_size = spread_join(members.drop("weight"), "label", "id", of_label.select("label", "w", "all_w", "mixed_w"))
+    small = F.col("all_w") <= BLOCK_WEIGHT
+    block = (
+        F.when(small, shown(F.lit("s"), spread("group", F.lit(max(1, -(-small_w // BLOCK_WEIGHT))))))
+        .when(big, shown(F.col("group"), F.col("label"), spread("id", parts(F.col("w")))))
+        .otherwise(shown(F.col("group"), F.lit("m"), spread("label", parts(F.col("mixed_w")))))
+    )
+    placed = staged(with_size.select("group", "label", "set", small.alias("small"), F.when(big & ~small, F.col("label")).alias("only"), block.alias("block")), "placed")
+    blocks = placed.where("NOT small").select("group", "block", "only").distinct()
+    pairs = (
+        blocks.select("group", F.col("block").alias("x"), F.col("only").alias("x_only"))
+        .join(blocks.select("group", F.col("block").alias("y"), F.col("only").alias("y_only")), "group")
+        .where("x <= y AND NOT (x_only IS NOT NULL AND x_only <=> y_only)")
+        .select("x", "y", F.concat_ws("|", "x", "y").alias("task"))
+    )
+    # What a block takes part in: as the first, the second or, with itself, both.
+    as_first = pairs.select(F.col("x").alias("block"), "task", F.lit(True).alias("first"), (F.col("x") == F.col("y")).alias("second"))
+    as_second = pairs.where("x <> y").select(F.col("y").alias("block"), "task", F.lit(False).alias("first"), F.lit(True).alias("second"))
+    large = placed.where("NOT small").join(as_first.unionByName(as_second).hint("merge"), "block").select("task", "group", "label", "set", "first", "second")
+    alone = placed.where("small").select(F.col("block").alias("task"), "group", "label", "set", F.lit(True).alias("first"), F.lit(True).alias("second"))
+    return alone.unionByName(large).groupBy("task").applyInPandas(lambda rows: block_links(rows, similarity), "a long, b long").distinct()
+
+
 def similar_groups(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """(id, root) of the ids of ``classes`` (id, sig) that candidates of this similarity join, without the roots themselves.
 
     A spanning forest of the candidates comes first, so that a tight group costs a pair a member. Where some of its pairs are
-    not similar, the parts that the others leave are walked again, and all candidates between two parts are judged. Their
-    number grows with the square of a group only where its texts are near the threshold and no link joins them.
+    not similar, the parts that the others leave may still be linked by pairs that the forest left out: the parts that failed
+    pairs connect are a group, and all texts of its different parts are compared, in blocks.
     """
-    limit = bit_limit(similarity, slack=SLACK)
-    spanning = staged(candidates(classes, limit), "spanning")
-    first = judged(spanning, texts, words, similarity)
+    pairs = staged(candidates(classes, bit_limit(similarity, slack=SLACK)), "spanning")
+    sets = staged(shingle_sets(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), words), "sets")
+    first = staged(judged(pairs, sets, similarity), "judged")
     roots = components(first.where("similar"))
-    # Candidates that failed tell which parts still have to meet: those on either side of one.
-    apart = first.where("NOT similar").select("a", "b").unionByName(first.where("NOT similar").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labelled = apart.join(roots.select(F.col("id").alias("a"), F.col("root").alias("a_root")), "a", "left").join(
-        roots.select(F.col("id").alias("b"), F.col("root").alias("b_root")), "b", "left"
-    )
-    parts = labelled.select(F.coalesce("a_root", "a").alias("label"), F.coalesce("b_root", "b").alias("other")).where("label <> other")
-    open_parts = staged(parts.select("label").distinct(), "parts")
+    # Failed pairs tell which parts still have to meet.
+    a_root = spread_join(first.where("NOT similar").select("a", "b"), "a", "b", roots.select(F.col("id").alias("a"), F.col("root").alias("a_root")))
+    b_root = spread_join(a_root, "b", "a", roots.select(F.col("id").alias("b"), F.col("root").alias("b_root")))
+    apart = b_root.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
+    open_parts = staged(apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "apart")
     if open_parts.isEmpty():
         return roots
-    with_label = classes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"), "sig")
-    again = staged(candidates(with_label.join(open_parts, "label", "left_semi"), limit, "label"), "across")
-    # Pairs of the forest are judged already.
-    more = judged(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, words, similarity)
-    joined = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.where("similar").select("a", "b")))
-    release(spanning, first, open_parts, again, more, roots)
-    return joined
+    below = components(open_parts)
+    groups = below.select(F.col("id").alias("label"), F.col("root").alias("group")).unionByName(below.select(F.col("root").alias("label"), F.col("root").alias("group")).distinct())
+    with_label = sets.join(roots.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("label"), "set", "weight")
+    members = staged(spread_join(with_label, "label", "id", groups).where("group IS NOT NULL"), "members")
+    joined = components(links_between(members, similarity))
+    out = spread_join(roots, "root", "id", joined.select(F.col("id").alias("root"), F.col("root").alias("up"))).select("id", F.coalesce("up", "root").alias("root"))
+    done = staged(out.unionByName(joined), "roots")
+    release(pairs, sets, first, open_parts, members)
+    return done
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

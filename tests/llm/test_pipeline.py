@@ -102,3 +102,64 @@ def test_whole_run(spark):
     for r in out:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got and all(n == len(coder.encode(text[d], add_special_tokens=False).ids) + 1 for d, n in got.items())
+
+
+def test_dense_group_near_the_threshold(spark, monkeypatch):
+    """Revisions of one text, most of them just below the threshold: every link counts, whatever blocks they fall into."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for at in rng.sample(range(300), rng.randint(3, 9)):
+            own[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"z{k}_{i}" for i in range(100)) for k in range(20)]
+    pairs, want = brute_force(texts)
+    assert len(pairs) > 100 and len(want) > 25
+    assert kept_of(spark, texts) == want
+    monkeypatch.setattr(simhash, "BLOCK_WEIGHT", 10)
+    monkeypatch.setattr(simhash, "COLUMNS", 50)
+    assert kept_of(spark, texts) == want
+
+
+def test_common_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-50, 50, n) * 2**55) for n in (0, 1, 5, 60, 60, 200)]
+    got = simhash.common_counts(sets, sets[1:])
+    assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[1:]] for x in sets]
+
+
+def test_clashing_columns_and_hot_texts(spark):
+    one = "one text that a third of all rows hold word for word"
+    rows = [(i, one if i % 3 else f"another text number {i} of its own words {i}", f"c{i}", i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_copy_row_0 string, near_copy_check_0 long")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted([r for r in rows if r[0] % 3 == 0] + [rows[1]])
+
+
+def test_every_removed_row_is_near_its_group(spark):
+    """Over whole tables: a removed row has a similar text in its group, and no two rows that stay are similar."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = {d: shingles(t) for d, t in rows}
+    where = {}
+    for d, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(d)
+    kept, removed = {r.doc_id for r in simhash.keep_one(docs).collect()}, 0
+    for d, s in sets.items():
+        met = {}
+        for x in s:
+            for e in where[x]:
+                met[e] = met.get(e, 0) + 1
+        similar = [e for e, n in met.items() if e != d and n >= 0.8 * (len(s) + len(sets[e]) - n)]
+        if d in kept:
+            assert not set(similar) & kept
+        else:
+            assert similar
+            removed += 1
+    assert removed > 50
