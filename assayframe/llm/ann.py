@@ -14,19 +14,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
-#: Vectors that the fit sees at most, those of the least hash; children of a node; depth of the leaves.
-FIT_ROWS, BRANCH, DEPTH = 20_000, 6, 3
+#: Vectors that the fit sees at most, those of the least hash; children of a node; vectors of a leaf, about, in the whole table
+#: and at least in the fit.
+FIT_ROWS, BRANCH, LEAF_ROWS, LEAF_FIT = 20_000, 6, 512, 12
 #: Queries that calibrate, those of the least hash, and the recall that they must reach.
 CALIBRATION_QUERIES, TARGET_RECALL = 128, 0.96
 #: Vectors of a cell, about: larger branches are dealt out over several cells.
 CELL_ROWS = 20_000
 #: Queries of a block, about: a task meets one cell's vectors with one block's queries, so its memory is bounded.
 BLOCK_QUERIES = 20_000
+#: Products held at once, and queries that a task opens leaves for at once.
+PRODUCTS, OPENED = 1 << 22, 256
 
 
 @dataclass
@@ -85,7 +88,16 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return centers, near
 
 
-def grow(x: np.ndarray, branch: int = BRANCH, depth: int = DEPTH, seed: int = 0) -> Tree:
+def depth_for(rows: int, fitted: int, branch: int = BRANCH) -> int:
+    """Depth at which leaves hold about LEAF_ROWS of all rows, as far as LEAF_FIT fitted rows a leaf go."""
+    wanted, able = max(1, rows // LEAF_ROWS), max(1, fitted // LEAF_FIT)
+    depth = 1
+    while branch**depth < wanted and branch ** (depth + 1) <= able:
+        depth += 1
+    return depth
+
+
+def grow(x: np.ndarray, depth: int, branch: int = BRANCH, seed: int = 0) -> Tree:
     rng = np.random.default_rng(seed)
     centers, children, leaf, branches = [x.mean(axis=0)], [[]], [-1], []
     todo = [(0, x, 0, 0)]
@@ -110,55 +122,66 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def _top(ids: np.ndarray, x: np.ndarray, query: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the ``k`` largest inner products, ties to the smaller id, without the query's own row."""
-    scores = x @ query
-    take = ids != own
-    scores, ids, x = scores[take], ids[take], x[take]
-    if len(scores) > k:
-        # Blocked products may differ in the last bit: all that could tie are scored again row by row.
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= edge - 1e-9 * max(1.0, abs(edge))
-        ids, x = ids[near], x[near]
-    scores = (x * query).sum(axis=1)
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _top(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, owns: np.ndarray, k: int, opened: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, scores) for each query: the ``k`` largest inner products, ties to the smaller id, without rows of the query's own id.
+    ``opened`` (rows x queries) tells which rows count."""
+    step = max(1, PRODUCTS // max(1, len(x)))
+    for at in range(0, len(queries), step):
+        block = x @ queries[at : at + step].T
+        if opened is not None:
+            block[~opened[:, at : at + step]] = -np.inf
+        for j in range(block.shape[1]):
+            scores = block[:, j]
+            scores[ids == owns[at + j]] = -np.inf
+            rows = np.flatnonzero(scores > -np.inf)
+            if len(rows) > k:
+                # Blocked products may differ in the last bits: all that could be among the k are scored again row by row.
+                edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows = np.flatnonzero(scores >= edge - 1e-9 * max(1.0, abs(edge)))
+            exact = (x[rows] * queries[at + j]).sum(axis=1)
+            order = np.lexsort((ids[rows], -exact))[:k]
+            yield rows[order], exact[order]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles): rows whose vector is there, finite throughout and not zero; equal rows are one candidate."""
+    """vec_id and v (doubles): rows whose vector is there, finite throughout and not zero; equal rows are one candidate.
+
+    Where lengths differ, the length of the most rows counts, the greater of equals, and rows of another take no part.
+    """
     v = F.col("embedding").cast("array<double>")
-    return (
+    rows = (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
         .where(~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
         .where(F.exists("v", lambda c: c != 0))
-        .distinct()
     )
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(2).collect()
+    if len(lengths) > 1:
+        rows = rows.where(F.size("v") == lengths[0]["d"])
+    return rows.distinct()
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id ``every`` divides, its ``k`` nearest others found.
 
-    Null, zero or non-finite vectors and null ids take no part. Equal vectors tie to the smaller vec_id. Repeated
-    rows are one candidate; a vec_id with different vectors is a candidate with each of them, is asked once, with the
-    least of them as bytes, and is never its own neighbour. Fewer than ``k`` candidates: all of them. Empty
-    table: no rows. Other columns are ignored. Vectors have one length.
+    Null, zero or non-finite vectors and null ids take no part, nor do vectors of another length than most rows have. Equal
+    vectors tie to the smaller vec_id. Repeated rows are one candidate; a vec_id with different vectors is a candidate
+    with each of them, is asked once, with the least of them as bytes, and is never its own neighbour. Fewer than ``k`` candidates:
+    all of them. Empty table: no rows. Other columns are ignored.
 
     The full scan of calibration compares a fixed number of queries with all rows, block by block; the search itself
     sends a query to the cells of the branches that it opens. Queries come in blocks, each of which meets every cell in a
     task of its own, so that neither side of a task grows with the table.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    rows = staged(usable(vectors), "usable")
     schema = "query_id long, rank int, vec_id long, score double"
-    by_hash = [F.xxhash64("vec_id"), F.col("vec_id")]
-    sample = rows.orderBy(*by_hash).limit(FIT_ROWS).toPandas()
+    total = rows.count()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(FIT_ROWS).toPandas()
     if sample.empty:
         return spark.createDataFrame([], schema)
-    tree = grow(_matrix(sample["v"]))
+    tree = grow(_matrix(sample["v"]), depth_for(total, len(sample)))
     is_query = F.col("vec_id") % every == 0
-    calib = rows.where(is_query).orderBy(*by_hash).limit(CALIBRATION_QUERIES).toPandas().drop_duplicates("vec_id")
     shared = spark.sparkContext.broadcast(tree)
 
     def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,25 +193,25 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
                 )
 
     indexed = staged(rows.mapInPandas(to_leaves, "vec_id long, raw binary, leaf int"), "leaves")
+    release(rows)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark cuts each task's rows to k before the exchange
+    asking = staged(indexed.where(is_query).groupBy("vec_id").agg(F.min("raw").alias("raw")), "queries")
+    n_asking = asking.count()
 
     # Calibration: true neighbours of a fixed number of queries, and how many leaves a queue opens to reach them.
-    asked = spark.sparkContext.broadcast((calib["vec_id"].to_numpy(), _matrix(calib["v"]) if len(calib) else None))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                ids, x = pdf["vec_id"].to_numpy(), _floats(pdf["raw"])
-                leaf = pdf["leaf"].to_numpy()
-                where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
-                for own, q in zip(*asked.value, strict=True):
-                    got, score = _top(ids, x, q, own, k)
-                    yield pd.DataFrame({"query_id": own, "vec_id": got, "score": score, "leaf": [where[i] for i in got.tolist()]})
-
+    calib = asking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION_QUERIES).toPandas()
     visits = tree.n_leaves
     if len(calib):
-        from pyspark.sql import Window
+        asked = spark.sparkContext.broadcast((calib["vec_id"].to_numpy(), _floats(calib["raw"])))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    ids, x, leaf = pdf["vec_id"].to_numpy(), _floats(pdf["raw"]), pdf["leaf"].to_numpy()
+                    owns, q = asked.value
+                    for own, (got, score) in zip(owns, _top(ids, x, q, owns, k), strict=True):
+                        yield pd.DataFrame({"query_id": own, "vec_id": ids[got], "score": score, "leaf": leaf[got]})
 
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         truth = (
             indexed.mapInPandas(scan, "query_id long, vec_id long, score double, leaf int")
             .withColumn("rank", F.row_number().over(best))
@@ -197,7 +220,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
             .agg(F.collect_list("leaf").alias("leaves"))
             .toPandas()
         )
-        vector = dict(zip(calib["vec_id"].tolist(), _matrix(calib["v"]), strict=True))
+        vector = dict(zip(calib["vec_id"].tolist(), _floats(calib["raw"]), strict=True))
         opened = []
         for own, leaves in zip(truth["query_id"].tolist(), truth["leaves"], strict=True):
             place = {leaf: i + 1 for i, leaf in enumerate(tree.best_bins(vector[own], tree.n_leaves))}
@@ -213,27 +236,27 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
     lookup = F.create_map(*(x for i, b in enumerate(tree.branch.tolist()) for x in (F.lit(i), F.lit(b))))
     placed = indexed.withColumn("branch", lookup[F.col("leaf")])
     sizes = dict(placed.groupBy("branch").count().collect())  # at most BRANCH rows
-    deals = [max(1, -(-sizes.get(b, 0) // CELL_ROWS), 8) for b in range(n_branches)]
+    deals = [max(1, -(-sizes.get(b, 0) // CELL_ROWS), min(8, -(-sizes.get(b, 0) // 1024))) for b in range(n_branches)]
     deal_of = F.create_map(*(x for b, d in enumerate(deals) for x in (F.lit(b), F.lit(d))))
     base = F.create_map(*(x for b in range(n_branches) for x in (F.lit(b), F.lit(sum(deals[:b])))))
     cells = placed.select(
         (base[F.col("branch")] + F.pmod(F.xxhash64("vec_id", "raw"), deal_of[F.col("branch")])).cast("int").alias("cell"), "vec_id", "raw", "leaf"
     )
     starts = np.concatenate(([0], np.cumsum(deals)))
-    asking = indexed.where(is_query).groupBy("vec_id").agg(F.min("raw").alias("raw"))
-    n_blocks = max(1, -(-asking.count() // BLOCK_QUERIES))
+    n_blocks = max(1, -(-n_asking // BLOCK_QUERIES))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
     def open_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for own, raw in zip(pdf["vec_id"], pdf["raw"], strict=True):
-                leaves = np.array(shared.value.best_bins(np.frombuffer(raw, "<f8"), visits), np.int32)
-                top = branch_of.value[leaves]
-                for b in np.unique(top):
-                    mine = leaves[top == b].astype("<i4").tobytes()
-                    out += [(c, own, raw, mine) for c in range(starts[b], starts[b + 1])]
-            yield pd.DataFrame(out, columns=["cell", "query_id", "query", "leaves"])
+            for at in range(0, len(pdf), OPENED):
+                part, out = pdf.iloc[at : at + OPENED], []
+                for own, raw in zip(part["vec_id"], part["raw"], strict=True):
+                    leaves = np.array(shared.value.best_bins(np.frombuffer(raw, "<f8"), visits), np.int32)
+                    top = branch_of.value[leaves]
+                    for b in np.unique(top):
+                        mine = leaves[top == b].astype("<i4").tobytes()
+                        out += [(c, own, raw, mine) for c in range(starts[b], starts[b + 1])]
+                yield pd.DataFrame(out, columns=["cell", "query_id", "query", "leaves"])
 
     queries = asking.mapInPandas(open_leaves, "cell int, query_id long, query binary, leaves binary").withColumn(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
@@ -242,25 +265,25 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
     def within(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            leaf = c["leaf"].to_numpy()
-            order = np.argsort(leaf, kind="stable")
-            ids, x, leaf = c["vec_id"].to_numpy()[order], _floats(c["raw"])[order], leaf[order]
-            for own, raw, mine in zip(q["query_id"], q["query"], q["leaves"], strict=True):
-                rows_of = np.isin(leaf, np.frombuffer(mine, "<i4"))
-                got, score = _top(ids[rows_of], x[rows_of], np.frombuffer(raw, "<f8"), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": got, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            ids, x = c["vec_id"].to_numpy(), _floats(c["raw"])
+            held, leaf = np.unique(c["leaf"].to_numpy(), return_inverse=True)
+            step = max(1, PRODUCTS // len(x))
+            for at in range(0, len(q), step):
+                part = q.iloc[at : at + step]
+                wanted = np.zeros((len(held), len(part)), bool)  # leaves x queries
+                for j, mine in enumerate(part["leaves"]):
+                    wanted[:, j] = np.isin(held, np.frombuffer(mine, "<i4"))
+                owns = part["query_id"].to_numpy()
+                for own, (got, score) in zip(owns, _top(ids, x, _floats(part["query"]), owns, k, wanted[leaf]), strict=True):
+                    out.append((np.full(len(got), own), ids[got], score))
+        if not out:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     found = (
         queries.groupBy("cell", "block").cogroup(cells.groupBy("cell", "block")).applyInPandas(within, "query_id long, vec_id long, score double")
     )
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        # k rows from each cell that the query met: a bounded group.
-        top = pdf.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
-        return top.assign(rank=np.arange(1, len(top) + 1, dtype=np.int32))[["query_id", "rank", "vec_id", "score"]]
-
-    return found.groupBy("query_id").applyInPandas(merged, schema)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _floats(raw) -> np.ndarray:
