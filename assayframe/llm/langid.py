@@ -8,6 +8,7 @@ language, and a text too far from all centroids is rejected.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,15 +115,18 @@ def fit(labelled: DataFrame, limit: int = MAX_LABELLED, dims: int = DIMENSIONS,
     language and text count.
     """
     usable = labelled.where("lang is not null and text is not null and doc_id is not null")
-    # Spark keeps ``limit`` rows of a language in each task before it gathers them.
+    # ``limit`` languages at most. Rows of a hash so low that about twice the limit of a language have it are put in order, however many there are.
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit)
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") * F.col("n") < float(2 * limit) * (1 << 40)
+    some = usable.select("doc_id", "lang").join(F.broadcast(known), "lang").where(low)
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang", turn.alias("turn")).where(F.col("turn") <= limit).orderBy("turn", "lang").limit(limit).select("doc_id").distinct()
+    chosen = some.select("doc_id", "lang", turn.alias("turn")).orderBy("turn", "lang").limit(limit).select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(d, g, c) for d, g, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if (c := counts(t, dims)) is not None]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": [r[0] for r in rows], "lang": [r[1] for r in rows], "c": [np.minimum(r[2], 0xFFFFFFFF).astype("<u4").tobytes() for r in rows]},
+                {"doc_id": [r[0] for r in rows], "lang": [r[1] for r in rows], "c": [zlib.compress(np.minimum(r[2], 0xFFFFFFFF).astype("<u4").tobytes(), 1) for r in rows]},
                 schema=pa.schema({"doc_id": pa.int64(), "lang": pa.string(), "c": pa.binary()}),
             )
 
@@ -137,7 +141,7 @@ def fit(labelled: DataFrame, limit: int = MAX_LABELLED, dims: int = DIMENSIONS,
     langs = tuple(sorted(rows["lang"].unique()))
     if not langs:
         return Model((), np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(BANDS))
-    c = np.stack([np.frombuffer(x, "<u4") for x in rows["c"]])
+    c = np.stack([np.frombuffer(zlib.decompress(x), "<u4") for x in rows["c"]])
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1
     v = np.stack([weigh(x, idf) for x in c])
     rng, owner, centers, bands, cosines = np.random.default_rng(seed), [], [], [], []
