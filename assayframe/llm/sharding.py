@@ -1,7 +1,7 @@
 """Contiguous balanced shards from global byte-size prefix sums.
 
-Everything is DataFrame code. The text is read once, for its size and checksum; after that only a
-compact table (key, size, checksum) is range-partitioned, so the shuffle carries about 30 bytes a row.
+Everything is DataFrame code. The text is read once, for its size, checksum and hash; after that only a
+compact table (key, size, checksum, hash) is range-partitioned, so the shuffle carries about 40 bytes a row.
 """
 
 from __future__ import annotations
@@ -9,18 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fine_grained, staged
+from .common import fine_grained, release, spread_join, staged
 
 #: Bytes that every row costs besides its text.
 ROW_OVERHEAD = 8
+#: A group of equal texts stays together if it is no larger than this part of a shard.
+WHOLE_PART = 0.01
 
 
 def shard(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Assign every row to a shard; rows of a shard are contiguous in key order.
+    """Assign every row to a shard; rows of a shard are contiguous in the order of the text's hash, then of the key.
 
     A partition's total comes from its own rows, a prefix sum over the totals gives its base, and a row
-    goes to the shard in whose equal target its midpoint lies. So a shard's bytes differ from the target
-    by one row at most on each side, however skewed the sizes are.
+    goes to the shard in whose equal target its midpoint lies. Equal texts stand side by side; a group of them that is small
+    against a shard goes by the midpoint of the group and so stays together, a larger one is cut like any other rows. So a
+    shard's bytes differ from the target by one such group or one row on each side, however skewed the sizes are.
 
     Nulls: a null text counts as empty, a null key sorts first. Empty table: no rows. Repeated rows each
     get a slot of their own, ties between them being broken by position. Long texts: sizes are longs; a
@@ -33,11 +36,12 @@ def shard(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str =
             F.col(key).alias("k"),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
             F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long").alias("crc"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"),
             F.monotonically_increasing_id().alias("pos"),
         ),
         "sized",
     )
-    order = [F.col("k").asc_nulls_first(), F.col("crc"), F.col("size"), F.col("pos")]
+    order = [F.col("h"), F.col("k").asc_nulls_first(), F.col("pos")]
     ranged = staged(
         sized.repartitionByRange(fine_grained(docs), *order).withColumn("part", F.spark_partition_id()), "ranged"
     )
@@ -51,22 +55,30 @@ def shard(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str =
         F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"),
     )
     inside = Window.partitionBy("part").orderBy(*order)
-    cut = (
+    placed = staged(
         ranged.withColumn("rank", F.row_number().over(inside))
         .withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(F.broadcast(bases), "part")
         .select(
-            "k",
-            "size",
-            "crc",
+            "k", "size", "crc", "h", "pos", "all_bytes",
             (F.col("row_base") + F.col("rank") - 1).alias("global_rank"),
-            F.expr(f"least({n_shards - 1}, ((2 * (byte_base + upto) - size) * {n_shards}) div (2 * all_bytes))")
-            .cast("int")
-            .alias("shard"),
-        )
+            (F.col("byte_base") + F.col("upto") - F.col("size")).alias("start"),
+        ),
+        "placed",
+    )
+    # Small groups of equal texts, by the midpoint of the whole. Only repeated texts have a row here.
+    groups = (
+        placed.groupBy("h")
+        .agg(F.count("*").alias("n"), F.sum("size").alias("group_size"), F.min("start").alias("group_start"), F.max("all_bytes").alias("all"))
+        .where((F.col("n") > 1) & (F.col("group_size") <= F.col("all") * (WHOLE_PART / n_shards)))
+        .select("h", "group_size", "group_start")
     )
-    cut = staged(cut, "cut")
+    own = spread_join(placed, "h", "pos", groups)
+    middle = 2 * F.coalesce("group_start", "start") + F.coalesce("group_size", "size")
+    at = F.call_function("div", middle * n_shards, 2 * F.col("all_bytes"))
+    cut = staged(own.select("k", "size", "crc", "global_rank", F.least(F.lit(n_shards - 1), at).cast("int").alias("shard")), "cut")
     firsts = cut.groupBy("shard").agg(F.min("global_rank").alias("first_rank"))
+    release(sized, ranged, placed)
     # firsts has n_shards rows at most, a parameter.
     return cut.join(F.broadcast(firsts), "shard").select(
         F.col("k").alias(key),
