@@ -14,7 +14,7 @@ from ..functions import probability as P
 from ..functions import sequences
 from ..functions import text as T
 from ..operators import bootstrap, calibration, contracts, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, unified, validation
-from ..sources import fixtures
+from ..sources import fixtures, jsonl
 from . import sql
 
 SEED, SALT = 20260803, "split"
@@ -92,6 +92,26 @@ def expressed_parse(spark, sf):
     return parser.parse(fixtures.predictions(spark, sf)).select("doc_id", "condition", "method", "valid", "answer", "stated", "reason")
 
 
+def capped_parse(spark, sf):
+    """Continuations of which some reached the limit of new tokens."""
+    rows = fixtures.scores(spark, sf).where("condition = 'original'")
+    return parser.parse(rows, reached_limit=F.col("doc_id") % 4 == 1).select("doc_id", "method", "valid", "answer", "stated", "reason")
+
+
+def stored_row_differences(spark, sf):
+    """Stored rows against the rows that their inputs give again."""
+    expected = identity.row_hash(_eval(spark, sf).where("method = 'baseline'").select("doc_id", "condition", "p_raw", "correct"))
+    stored = expected.where("doc_id % 40 <> 3").withColumn("p_raw", F.when(F.col("doc_id") % 50 == 7, F.col("p_raw") / 2).otherwise(F.col("p_raw")))
+    extra = stored.where("doc_id % 60 = 11").withColumn("doc_id", -F.col("doc_id"))
+    return jsonl.stored_differences(stored.unionByName(extra).unionByName(stored.where("doc_id % 70 = 13")), expected, ["doc_id", "condition"])
+
+
+def frozen_order(spark, sf):
+    """Inputs whose six conditions aren't numbered without gaps."""
+    rows = fixtures.expand_conditions(_strata(spark, sf)).withColumn("condition_index", F.when((F.col("doc_id") % 30 == 9) & (F.col("condition_index") == 2), F.lit(7)).otherwise(F.col("condition_index")))
+    return validation.contiguous(rows, "doc_id", "condition_index")
+
+
 def parser_reason_counts(spark, sf):
     return expressed_parse(spark, sf).groupBy("method", "reason").agg(F.count("*").alias("n"))
 
@@ -628,7 +648,7 @@ _ALL = (
     laplace_diagonal, posterior_summary, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
     bootstrap_intervals, stage_selection, risk_coverage_by_scope, ensemble_scoped_metrics, normalized_sources, unified_metrics, uq_all_signals,
     bootstrap_weights, bootstrap_measures, degraded_faults, incomplete_inputs, prediction_faults, member_faults, calibration_rows, calibration_faults,
-    padded_batches, exact_prefixes, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
+    capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
 )
 
 

@@ -432,6 +432,18 @@ def statements() -> dict[str, str]:
         "logit_summary": f"WITH {_FEAT}, m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM flat), z AS (SELECT vec_id, max(top) AS top, sum(exp(v - top)) AS z, sum(exp(v - top) * (v - top)) AS d, min(CASE WHEN v = top THEN dim END) AS a FROM m GROUP BY 1) "
         "SELECT vec_id, round(top + ln(z), 9) AS lse, CAST(a AS INT) AS top, round(ln(z) - d / z, 9) AS entropy FROM z",
         "schedule": "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 4 THEN (i + 1) / 4e0 ELSE 0.5e0 * (1 + cos(pi() * (i - 4) / 71e0)) END, 9) AS factor FROM range(76) r(i)",
+        "capped_parse": with_pred(
+            f"cp AS (SELECT *, doc_id % 4 = 1 AS capped, regexp_full_match(completion, '{form}') AS fits FROM pred WHERE condition = 'original')",
+            f"""SELECT doc_id, method, fits AND NOT capped AS valid, CASE WHEN fits AND NOT capped THEN regexp_extract(completion, '{form}', 1) END AS answer,
+            CASE WHEN fits AND NOT capped THEN CAST(regexp_extract(completion, '{form}', 2) AS INT) END AS stated,
+            CASE WHEN capped THEN 'generation_max_new_tokens_reached' WHEN fits THEN NULL WHEN completion = '' THEN 'empty_completion'
+            WHEN NOT (starts_with(completion, ' Yes' || chr(10)) OR starts_with(completion, ' No' || chr(10))) THEN 'answer_line_invalid'
+            WHEN NOT contains(completion, chr(10) || 'Confidence: ') THEN 'confidence_line_missing' ELSE 'format_mismatch' END AS reason FROM cp""",
+        ),
+        "stored_row_differences": with_pred("", """SELECT CASE WHEN d.sign < 0 THEN -doc_id ELSE doc_id END AS doc_id, condition,
+            CASE WHEN d.sign < 0 THEN 'unknown' WHEN doc_id % 40 = 3 THEN 'missing' WHEN doc_id % 70 = 13 THEN 'repeated' ELSE 'different' END AS kind
+            FROM ev, (VALUES (1), (-1)) d(sign) WHERE method = 'baseline' AND ((d.sign > 0 AND (doc_id % 40 = 3 OR doc_id % 70 = 13 OR doc_id % 50 = 7)) OR (d.sign < 0 AND doc_id % 60 = 11 AND doc_id % 40 <> 3))"""),
+        "frozen_order": "SELECT doc_id FROM labels WHERE doc_id % 30 = 9",
         "padded_batches": """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE doc_id % 9 + 1 END AS n FROM labels), k AS (SELECT doc_id, n, least(n, 6) AS k FROM n)
             SELECT doc_id, array_to_string(list_concat(list_transform(range(6 - k), lambda i: 99), list_transform(range(n - k + 1, n + 1), lambda i: (doc_id * 7 + i) % 50)), ',') AS ids,
             array_to_string(list_concat(list_transform(range(6 - k), lambda i: 0), list_transform(range(k), lambda i: 1)), ',') AS mask,
