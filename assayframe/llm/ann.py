@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, staged
+from .common import fine_grained, release, staged
 
 #: Vectors that the fit sees at most, those of the least hash; children of a node; vectors of a leaf, about, in the whole table
 #: and at least in the fit.
 FIT_ROWS, BRANCH, LEAF_ROWS, LEAF_FIT = 20_000, 6, 512, 12
 #: Queries that calibrate, those of the least hash, and the recall that they must reach.
 CALIBRATION_QUERIES, TARGET_RECALL = 128, 0.96
-#: Vectors of a cell, about: larger branches are dealt out over several cells.
-CELL_ROWS = 20_000
-#: Queries of a block, about: a task meets one cell's vectors with one block's queries, so its memory is bounded.
+#: Cells that the vectors are dealt out to, about. A cell lies within a branch of the tree and hands on at most k rows a query.
+CELLS = 64
+#: Queries of a block, about: a task holds one block's queries and lets the vectors of one cell pass by, so its memory is bounded.
 BLOCK_QUERIES = 20_000
 #: Products held at once, and queries that a task opens leaves for at once.
 PRODUCTS, OPENED = 1 << 22, 256
@@ -122,18 +122,21 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def _top(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, owns: np.ndarray, k: int, opened: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _top(
+    ids: np.ndarray, x: np.ndarray, queries: np.ndarray, owns: np.ndarray, k: int, opened: np.ndarray | None = None, leaf: np.ndarray | None = None, least: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, scores) for each query: the ``k`` largest inner products, ties to the smaller id, without rows of the query's own id.
-    ``opened`` (rows x queries) tells which rows count."""
+    ``opened`` (leaves x queries) tells which rows count, by their ``leaf``; what lies below ``least`` of a query may be left out."""
     step = max(1, PRODUCTS // max(1, len(x)))
     for at in range(0, len(queries), step):
         block = x @ queries[at : at + step].T
         if opened is not None:
-            block[~opened[:, at : at + step]] = -np.inf
+            block[~opened[leaf, at : at + step]] = -np.inf
         for j in range(block.shape[1]):
             scores = block[:, j]
             scores[ids == owns[at + j]] = -np.inf
-            rows = np.flatnonzero(scores > -np.inf)
+            floor = -np.inf if least is None else least[at + j]
+            rows = np.flatnonzero(scores >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else scores > -np.inf)
             if len(rows) > k:
                 # Blocked products may differ in the last bits: all that could be among the k are scored again row by row.
                 edge = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -170,8 +173,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
     all of them. Empty table: no rows. Other columns are ignored.
 
     The full scan of calibration compares a fixed number of queries with all rows, block by block; the search itself
-    sends a query to the cells of the branches that it opens. Queries come in blocks, each of which meets every cell in a
-    task of its own, so that neither side of a task grows with the table.
+    sends a query to the cells of the branches that it opens. Queries come in blocks. A task holds one block and lets one cell's
+    vectors pass by, sorted behind the queries, so its memory doesn't grow with the table.
     """
     spark = vectors.sparkSession
     rows = staged(usable(vectors), "usable")
@@ -230,21 +233,23 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
         while visits < tree.n_leaves and (opened <= visits).mean() < target:
             visits += 1
 
-    # Cells: a branch of the tree, dealt out further where it is large. The table has a row for each branch.
+    # Cells: a branch of the tree, dealt out in proportion to its size. The table has a row for each branch.
     n_branches = int(tree.branch.max()) + 1
     branch_of = spark.sparkContext.broadcast(tree.branch)
     lookup = F.create_map(*(x for i, b in enumerate(tree.branch.tolist()) for x in (F.lit(i), F.lit(b))))
     placed = indexed.withColumn("branch", lookup[F.col("leaf")])
     sizes = dict(placed.groupBy("branch").count().collect())  # at most BRANCH rows
-    deals = [max(1, -(-sizes.get(b, 0) // CELL_ROWS), min(8, -(-sizes.get(b, 0) // 1024))) for b in range(n_branches)]
+    deals = [max(1, round(CELLS * sizes.get(b, 0) / max(1, total))) for b in range(n_branches)]
     deal_of = F.create_map(*(x for b, d in enumerate(deals) for x in (F.lit(b), F.lit(d))))
     base = F.create_map(*(x for b in range(n_branches) for x in (F.lit(b), F.lit(sum(deals[:b])))))
-    cells = placed.select(
-        (base[F.col("branch")] + F.pmod(F.xxhash64("vec_id", "raw"), deal_of[F.col("branch")])).cast("int").alias("cell"), "vec_id", "raw", "leaf"
-    )
     starts = np.concatenate(([0], np.cumsum(deals)))
     n_blocks = max(1, -(-n_asking // BLOCK_QUERIES))
-    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    none = F.lit(None).cast("binary")
+    cells = placed.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
+        (base[F.col("branch")] + F.pmod(F.xxhash64("vec_id", "raw"), deal_of[F.col("branch")])).cast("int").alias("cell"),
+        F.lit(True).alias("candidate"), "vec_id", "raw", none.alias("leaves"), "leaf",
+    )
 
     def open_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -256,35 +261,75 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TAR
                     for b in np.unique(top):
                         mine = leaves[top == b].astype("<i4").tobytes()
                         out += [(c, own, raw, mine) for c in range(starts[b], starts[b + 1])]
-                yield pd.DataFrame(out, columns=["cell", "query_id", "query", "leaves"])
+                yield pd.DataFrame(out, columns=["cell", "vec_id", "raw", "leaves"])
 
-    queries = asking.mapInPandas(open_leaves, "cell int, query_id long, query binary, leaves binary").withColumn(
-        "block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
+    queries = asking.mapInPandas(open_leaves, "cell int, vec_id long, raw binary, leaves binary").select(
+        F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), "cell", F.lit(False).alias("candidate"), "vec_id", "raw", "leaves", F.lit(None).cast("int").alias("leaf")
     )
+    n_leaves = tree.n_leaves
 
-    def within(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(c):
-            ids, x = c["vec_id"].to_numpy(), _floats(c["raw"])
-            held, leaf = np.unique(c["leaf"].to_numpy(), return_inverse=True)
-            step = max(1, PRODUCTS // len(x))
-            for at in range(0, len(q), step):
-                part = q.iloc[at : at + step]
-                wanted = np.zeros((len(held), len(part)), bool)  # leaves x queries
-                for j, mine in enumerate(part["leaves"]):
-                    wanted[:, j] = np.isin(held, np.frombuffer(mine, "<i4"))
-                owns = part["query_id"].to_numpy()
-                for own, (got, score) in zip(owns, _top(ids, x, _floats(part["query"]), owns, k, wanted[leaf]), strict=True):
-                    out.append((np.full(len(got), own), ids[got], score))
-        if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    found = (
-        queries.groupBy("cell", "block").cogroup(cells.groupBy("cell", "block")).applyInPandas(within, "query_id long, vec_id long, score double")
-    )
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = None
+        for pdf in batches:
+            for key, part in pdf.groupby(["block", "cell"]):  # in order
+                if task is None or task.key != key:
+                    if task is not None:
+                        yield from task.found()
+                    task = _Task(key, k, n_leaves)
+                there = part["candidate"].to_numpy()
+                task.ask(part[~there])
+                task.scan(part[there])
+        if task is not None:
+            yield from task.found()
+
+    met = queries.unionByName(cells).repartition(fine_grained(vectors), "block", "cell").sortWithinPartitions("block", "cell", "candidate")
+    found = met.mapInPandas(meet, "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class _Task:
+    """The queries of one block in one cell, and the best of the vectors that have passed by so far."""
+
+    def __init__(self, key: tuple[int, int], k: int, n_leaves: int):
+        self.key, self.k, self.n_leaves = key, k, n_leaves
+        self.asked: list[pd.DataFrame] = []
+        self.owns: np.ndarray | None = None
+
+    def ask(self, part: pd.DataFrame) -> None:
+        if len(part):
+            self.asked.append(part[["vec_id", "raw", "leaves"]])
+
+    def _ready(self) -> bool:
+        if self.owns is None and self.asked:
+            rows = pd.concat(self.asked)
+            self.owns, self.queries = rows["vec_id"].to_numpy(), _floats(rows["raw"])
+            self.opened = np.zeros((self.n_leaves, len(rows)), bool)
+            for j, mine in enumerate(rows["leaves"]):
+                self.opened[np.frombuffer(mine, "<i4"), j] = True
+            self.least = np.full(len(rows), -np.inf)
+            self.best = [(np.zeros(0, np.int64), np.zeros(0))] * len(rows)
+            self.asked = []
+        return self.owns is not None
+
+    def scan(self, part: pd.DataFrame) -> None:
+        if not len(part) or not self._ready():
+            return
+        ids, x, leaf = part["vec_id"].to_numpy(), _floats(part["raw"]), part["leaf"].to_numpy().astype(np.int64)
+        for j, (got, score) in enumerate(_top(ids, x, self.queries, self.owns, self.k, self.opened, leaf, self.least)):
+            if len(got):
+                names, scores = np.concatenate([self.best[j][0], ids[got]]), np.concatenate([self.best[j][1], score])
+                order = np.lexsort((names, -scores))[: self.k]
+                self.best[j] = names[order], scores[order]
+                if len(order) == self.k:
+                    self.least[j] = scores[order[-1]]
+
+    def found(self) -> Iterator[pd.DataFrame]:
+        if self.owns is not None:
+            counts = [len(names) for names, _ in self.best]
+            yield pd.DataFrame(
+                {"query_id": np.repeat(self.owns, counts), "vec_id": np.concatenate([n for n, _ in self.best]), "score": np.concatenate([c for _, c in self.best])}
+            )
+
+
 def _floats(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
