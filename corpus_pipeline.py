@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assayframe.llm import langid, packing, quality, simhash
-from assayframe.llm.common import staged
+from assayframe.llm.common import release, staged
 from assayframe.llm.queries import WORD_BPE
 
 
@@ -42,5 +42,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        kept = staged(stage(spark, docs, sf_dir), name)
+        release(docs)  # a stage's table is read by the next one only
+        docs = kept
     return docs
