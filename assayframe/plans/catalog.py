@@ -381,6 +381,23 @@ def bootstrap_intervals(spark, sf):
     return bootstrap.intervals(differences, [f"d_{m}" for m in bootstrap.MEASURES], by="scope")
 
 
+def _faulty_manifest(spark, sf):
+    rows = stratified_split(spark, sf)
+    return rows.withColumns({
+        "rank_sha": F.when(F.col("doc_id") % 20 == 3, F.reverse("rank_sha")).otherwise(F.col("rank_sha")),
+        "split": F.when(F.col("doc_id") % 30 == 7, "other").when(F.col("split") != "calibration", F.col("split")),
+        "place": F.when(F.col("doc_id") % 40 == 9, F.lit(0)).otherwise(F.col("place")),
+    })
+
+
+def manifest_faults(spark, sf):
+    return contracts.check(_faulty_manifest(spark, sf), contracts.manifest_rules(SIZES, SEED, SALT, "doc_id"))
+
+
+def manifest_sizes(spark, sf):
+    return contracts.wrong_sizes(_faulty_manifest(spark, sf).where("split IS NOT NULL"), SIZES)
+
+
 def _faulty_degraded(spark, sf):
     """All conditions with their ids, and then with faults."""
     rows = _degraded(spark, sf).join(_inputs(spark, sf).select("doc_id", "passage"), "doc_id").withColumn("row_id", contracts.degraded_id())
@@ -648,7 +665,7 @@ _ALL = (
     laplace_diagonal, posterior_summary, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
     bootstrap_intervals, stage_selection, risk_coverage_by_scope, ensemble_scoped_metrics, normalized_sources, unified_metrics, uq_all_signals,
     bootstrap_weights, bootstrap_measures, degraded_faults, incomplete_inputs, prediction_faults, member_faults, calibration_rows, calibration_faults,
-    capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
+    manifest_faults, manifest_sizes, capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
 )
 
 

@@ -432,6 +432,12 @@ def statements() -> dict[str, str]:
         "logit_summary": f"WITH {_FEAT}, m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM flat), z AS (SELECT vec_id, max(top) AS top, sum(exp(v - top)) AS z, sum(exp(v - top) * (v - top)) AS d, min(CASE WHEN v = top THEN dim END) AS a FROM m GROUP BY 1) "
         "SELECT vec_id, round(top + ln(z), 9) AS lse, CAST(a AS INT) AS top, round(ln(z) - d / z, 9) AS entropy FROM z",
         "schedule": "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 4 THEN (i + 1) / 4e0 ELSE 0.5e0 * (1 + cos(pi() * (i - 4) / 71e0)) END, 9) AS factor FROM range(76) r(i)",
+        "manifest_faults": f"WITH {_SPLIT}, f AS (SELECT doc_id, quality, rank_sha, CASE WHEN doc_id % 20 = 3 THEN reverse(rank_sha) ELSE rank_sha END AS told, CASE WHEN doc_id % 30 = 7 THEN 'other' WHEN split <> 'calibration' THEN split END AS split, "
+        "CASE WHEN doc_id % 40 = 9 THEN 0 ELSE place END AS place FROM chosen WHERE split IS NOT NULL) "
+        + broken("f", {"known_split": "split IN ('train', 'calibration', 'test')", "rank_of_id": "told = rank_sha", "place_above_zero": "place >= 1", "stratum": "quality IN (0, 1)"}),
+        "manifest_sizes": f"WITH {_SPLIT}, f AS (SELECT CASE WHEN doc_id % 30 = 7 THEN 'other' WHEN split <> 'calibration' THEN split END AS split FROM chosen WHERE split IS NOT NULL), "
+        "c AS (SELECT split, count(*) AS n FROM f WHERE split IS NOT NULL GROUP BY 1), e(split, expected) AS (VALUES ('train', 80), ('calibration', 20), ('test', 40)) "
+        "SELECT coalesce(c.split, e.split) AS split, coalesce(n, 0) AS n, CAST(coalesce(expected, 0) AS BIGINT) AS expected FROM c FULL JOIN e ON c.split = e.split WHERE coalesce(n, 0) <> coalesce(expected, 0)",
         "capped_parse": with_pred(
             f"cp AS (SELECT *, doc_id % 4 = 1 AS capped, regexp_full_match(completion, '{form}') AS fits FROM pred WHERE condition = 'original')",
             f"""SELECT doc_id, method, fits AND NOT capped AS valid, CASE WHEN fits AND NOT capped THEN regexp_extract(completion, '{form}', 1) END AS answer,
