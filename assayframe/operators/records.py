@@ -110,6 +110,21 @@ def calibration_rows(scores: DataFrame, adapters: list[tuple[str, str]]) -> Data
     return row_hash(rows.withColumn("row_id", text_id("calibration", F.col("doc_id"), F.col("method"))))
 
 
+#: What an adapter's envelope says of it, besides the hash and id of the row inside.
+ADAPTER_FACTS = ("stage", "training_seed", "checkpoint_path", "checkpoint_ledger_sha256", "weights_sha256", "semantic_config_sha256")
+
+
+def sealed(rows: DataFrame, adapters: dict[str, dict[str, str | int]], row_id: list[str]) -> DataFrame:
+    """Rows of the methods of ``adapters`` in their envelope: ADAPTER_FACTS as adapter_ columns, the hash of the row as it was, an id of row and
+    adapter, and the hash of all of it. The facts are literals of the plan; a missing or unknown one is an error."""
+    if broken := [m for m, facts in adapters.items() if set(facts) != set(ADAPTER_FACTS)]:
+        raise ContractError(f"adapter facts of {broken}")
+    fact = lambda name: F.create_map(*(x for m, f in adapters.items() for x in (F.lit(m), F.lit(f[name]))))[F.col("method")]
+    inner = row_hash(rows.where(F.col("method").isin(*adapters)), "core_row_sha256")
+    named = inner.select("*", *(fact(f).alias(f"adapter_{f}") for f in ADAPTER_FACTS))
+    return row_hash(named.withColumn("adapter_row_id", text_id("adapted", *(F.col(c) for c in row_id), F.col("adapter_weights_sha256"))), "adapter_row_sha256")
+
+
 def identities(rows: DataFrame, group: str, identity: str) -> DataFrame:
     """Groups that carry more than one identity, or none."""
     return rows.groupBy(group).agg(F.count_distinct(identity).alias("n")).where("n <> 1")

@@ -6,6 +6,7 @@ Doubles are rounded to nine digits: exp and ln differ in their last bits between
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -576,6 +577,20 @@ def adapter_rows(spark, sf):
     return records.envelope(_eval(spark, sf), ADAPTERS).groupBy("method", "adapter_id").agg(F.count("*").alias("n"))
 
 
+FACTS = {
+    f"seed_{i}": {
+        "stage": f"full_seed_{i}", "training_seed": i, "checkpoint_path": f"checkpoints/{i}", "checkpoint_ledger_sha256": sha256(f"ledger {i}".encode()).hexdigest(),
+        "weights_sha256": sha256(f"weights {i}".encode()).hexdigest(), "semantic_config_sha256": sha256(f"config {i}".encode()).hexdigest(),
+    }
+    for i in (1, 2, 3)
+}
+
+
+def adapter_envelopes(spark, sf):
+    rows = _eval(spark, sf).select("doc_id", "condition", "method", "correct", "says_yes")
+    return records.sealed(rows, FACTS, ["doc_id", "condition"])
+
+
 def adapter_identities(spark, sf):
     mixed = records.envelope(_eval(spark, sf), ADAPTERS).withColumn("adapter_id", F.when((F.col("method") == "seed_2") & (F.col("doc_id") % 50 == 7), "other").otherwise(F.col("adapter_id")))
     return records.identities(mixed, "method", "adapter_id")
@@ -653,7 +668,7 @@ def posterior_metrics(spark, sf):
 _ALL = (
     posterior_metrics,
     sentence_spans, prompts, runtime_rows, prediction_rows, flag_counts, prediction_counts, member_variation, method_comparisons,
-    adapter_rows, adapter_identities, uq_degradation_means, seed_uq_summary, overlap_fractions, logit_summary, schedule, trimmed_ids,
+    adapter_rows, adapter_envelopes, adapter_identities, uq_degradation_means, seed_uq_summary, overlap_fractions, logit_summary, schedule, trimmed_ids,
     source_slugs, turn_gaps,
     eval_rows, metrics_by_scope, ece_by_scope, reliability_bins, auroc_error, average_precision_error, average_ranks,
     risk_coverage, risk_coverage_thinned, paired_changes, normalized_long, expressed_parse, parser_reason_counts,

@@ -416,6 +416,15 @@ def statements() -> dict[str, str]:
             "SELECT c.scope, c.method AS candidate, b.method AS reference, round(c.accuracy - b.accuracy, 9) AS d_accuracy, round(c.nll - b.nll, 9) AS d_nll, round(c.brier - b.brier, 9) AS d_brier FROM m c JOIN m b ON c.scope = b.scope AND b.method = 'baseline' AND c.method <> 'baseline'",
         ),
         "adapter_rows": with_pred("", "SELECT method, replace(method, 'seed_', 'adapter-') AS adapter_id, count(*) AS n FROM ev WHERE method <> 'baseline' GROUP BY ALL"),
+        "adapter_envelopes": with_pred(
+            "a0 AS (SELECT doc_id, condition, method, correct, says_yes, CAST(right(method, 1) AS INT) AS i, '\"condition\":\"' || condition || '\",\"correct\":' || correct AS c FROM ev WHERE method <> 'baseline'), "
+            "a1 AS (SELECT *, sha256('{' || c || ',\"doc_id\":' || doc_id || ',\"method\":\"' || method || '\",\"says_yes\":' || says_yes || '}') AS core_row_sha256, 'full_seed_' || i AS adapter_stage, i AS adapter_training_seed, "
+            "'checkpoints/' || i AS adapter_checkpoint_path, sha256('ledger ' || i) AS adapter_checkpoint_ledger_sha256, sha256('weights ' || i) AS adapter_weights_sha256, sha256('config ' || i) AS adapter_semantic_config_sha256 FROM a0), "
+            "a2 AS (SELECT *, 'adapted-' || sha256(doc_id || '|' || condition || '|' || adapter_weights_sha256) AS adapter_row_id FROM a1)",
+            "SELECT * EXCLUDE (i, c), sha256('{\"adapter_checkpoint_ledger_sha256\":\"' || adapter_checkpoint_ledger_sha256 || '\",\"adapter_checkpoint_path\":\"' || adapter_checkpoint_path || '\",\"adapter_row_id\":\"' || adapter_row_id || "
+            "'\",\"adapter_semantic_config_sha256\":\"' || adapter_semantic_config_sha256 || '\",\"adapter_stage\":\"' || adapter_stage || '\",\"adapter_training_seed\":' || adapter_training_seed || ',\"adapter_weights_sha256\":\"' || adapter_weights_sha256 || "
+            "'\",\"condition\":\"' || condition || '\",\"core_row_sha256\":\"' || core_row_sha256 || '\",\"correct\":' || correct || ',\"doc_id\":' || doc_id || ',\"method\":\"' || method || '\",\"says_yes\":' || says_yes || '}') AS adapter_row_sha256 FROM a2",
+        ),
         "adapter_identities": with_pred("", "SELECT method, count(DISTINCT doc_id % 50 = 7) AS n FROM ev WHERE method = 'seed_2' GROUP BY 1 HAVING count(DISTINCT doc_id % 50 = 7) > 1"),
         "uq_degradation_means": with_pred(
             "m AS (SELECT signal, condition, count(*) AS n, avg(score) AS mean FROM sig GROUP BY ALL)",
