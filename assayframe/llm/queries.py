@@ -44,10 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a stored replica in which the records of one residue class had bytes changed where they lie."""
-    stored = staged(warc.store(_table(spark, sf_dir, "pages")), "warc")
-    damaged = stored.withColumn("record", F.when(F.col("page_id") % 97 == 13, F.replace("record", F.lit("e"), F.lit("3"))).otherwise(F.col("record")))
-    return warc.audit(warc.records(stored), warc.records(damaged)).selectExpr(
+    """Audits a replica in which the records of one residue class had bytes changed where they lie."""
+    held = F.when(F.col("page_id") % 97 == 13, F.replace("record", F.lit("e"), F.lit("3"))).otherwise(F.col("record"))
+    both = staged(warc.index(_table(spark, sf_dir, "pages"), other=held), "warc")
+    return warc.audit(both.drop("other"), both.drop("digest").withColumnRenamed("other", "digest")).selectExpr(
         "file", "part", "page_id", "offset AS record_offset", "length AS record_length", "digest", "corrupt"
     )
 

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import spread_join, staged
@@ -31,6 +31,25 @@ _RECORD = (
 _FIELD = re.compile(rb"([!#-'*+.0-9A-Z^-z|~-]+):[ \t]*([^\r\n]*)\r\n")
 
 
+def _file(per_file: int) -> Column:
+    return F.coalesce(F.expr(f"cast(floor(page_id / {per_file}) as bigint)"), F.lit(-1).cast("long")).alias("file")
+
+
+def _laid_out(pages: DataFrame, per_file: int, columns: dict[str, Column]) -> DataFrame:
+    """file, part, leaf, page_id, offset, length, digest and ``columns``, which may be made from the ``record``, of every page."""
+    record = F.expr(_RECORD)
+    rows = pages.select(_file(per_file), "page_id", "url", F.monotonically_increasing_id().alias("pos"), record.alias("record")).select(
+        "file", "page_id", "url", "pos", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *(c.alias(n) for n, c in columns.items())
+    )
+    large = pages.select(_file(per_file)).groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > RECORDS_PER_FILE)
+    parts = large.select("file", F.ceil(F.col("n") / RECORDS_PER_FILE).alias("parts"))
+    sized = spread_join(rows, "file", "pos", parts).withColumn("part", F.coalesce(F.pmod("pos", "parts"), F.lit(0)).cast("int"))
+    order = Window.partitionBy("file", "part").orderBy("page_id", "url", "digest")
+    upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = sized.withColumn("offset", upto - F.col("length")).withColumn("leaf", F.row_number().over(order) - F.lit(1))
+    return placed.select("file", "part", "leaf", "page_id", "offset", "length", "digest", *columns)
+
+
 def store(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
     """file, part, page_id, offset and record of each page as a WARC resource record.
 
@@ -38,16 +57,13 @@ def store(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
     hold many more records than RECORDS_PER_FILE, they are dealt out to parts of it, so that no file grows with the repeats of an id.
     Null urls and bodies are empty. Repeated pages are records of their own, with one record id. Other columns are ignored.
     """
-    made = pages.select(
-        F.coalesce(F.expr(f"cast(floor(page_id / {per_file}) as bigint)"), F.lit(-1).cast("long")).alias("file"), "page_id", "url", F.expr(_RECORD).alias("record"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-    large = pages.select(F.coalesce(F.expr(f"cast(floor(page_id / {per_file}) as bigint)"), F.lit(-1).cast("long")).alias("file")).groupBy("file").agg(F.count("*").alias("n"))
-    parts = large.where(F.col("n") > RECORDS_PER_FILE).select("file", F.ceil(F.col("n") / RECORDS_PER_FILE).alias("parts"))
-    sized = spread_join(made, "file", "pos", parts).withColumn("part", F.coalesce(F.pmod("pos", "parts"), F.lit(0)).cast("int"))
-    order = Window.partitionBy("file", "part").orderBy("page_id", "url", F.sha2("record", 256))
-    upto = F.sum(F.octet_length("record").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("offset", upto - F.octet_length("record")).select("file", "part", "page_id", "offset", "record")
+    return _laid_out(pages, per_file, {"record": F.col("record")}).select("file", "part", "page_id", "offset", "record")
+
+
+def index(pages: DataFrame, per_file: int = PAGES_PER_FILE, **views: Column) -> DataFrame:
+    """The records of :func:`store` as the audit takes them, without their bytes: file, part, leaf, page_id, offset, length, digest, and for
+    each of ``views``, such as what a replica holds in the place of ``record``, the digest of it. Only these are shuffled."""
+    return _laid_out(pages, per_file, {n: F.sha2(c, 256) for n, c in views.items()})
 
 
 def write_files(stored: DataFrame, path: str) -> None:

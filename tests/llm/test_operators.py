@@ -15,6 +15,7 @@ import regex
 import tiktoken
 import xxhash
 from assayframe.llm import ann, bpe, html_main, langid, packing, quality, sharding, simhash, tokenfile, warc
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -326,6 +327,9 @@ def test_warc(spark, tmp_path, monkeypatch):
     got = warc.audit(a, b, 4).collect()
     assert len(got) == len(pages) and sorted(r.page_id for r in got if r.corrupt) == [5, 5, 5, 7, 250]
     assert not any(r.corrupt for r in warc.audit(a, a, 4).collect())
+    light = warc.index(table, 64, other=F.when(F.col("page_id").isin(5, 7, 250), F.replace("record", F.lit("e"), F.lit("i"))).otherwise(F.col("record")))
+    assert sorted(map(str, light.drop("other").select(*a.columns).collect())) == sorted(map(str, a.collect()))
+    assert sorted(map(str, light.drop("digest").withColumnRenamed("other", "digest").select(*b.columns).collect())) == sorted(map(str, b.collect()))
     short = warc.records(warc.store(table.where("page_id < 299"), 64))
     assert 299 in [r.page_id for r in warc.audit(a, short, 4).collect() if r.corrupt]
     for f in {r.file for r in got}:
