@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, packing, quality, sharding, simhash, tokenfile, warc
+from . import ann, bpe, html_main, langid, packing, quality, resample, sharding, simhash, sql, tokenfile, turns, urls, warc
 from .common import staged
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Verdicts of hosts with their subdomains and of paths below them; pages that they fit are the labelled outcomes.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +66,25 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(turns.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_sharding, op2_packing, op3_token_files, op4_simhash, op5_html,
             op6_quality, op7_warc, op8_bpe, op9_language, op10_neighbours,
+            op11_url_filter, op12_repair, op13_resampling,
         )
     }
 
@@ -93,5 +108,8 @@ def oracle_sql() -> dict[str, str]:
                         ROWS UNBOUNDED PRECEDING) - record_length AS BIGINT) AS record_offset,
                    CAST(record_length AS BIGINT) AS record_length, digest, corrupt
             FROM h
-        """
+        """,
+        "op11_url_filter": sql.url_filter(URL_RULES, urls.SUFFIXES, 0.5, 1.645),
+        "op12_repair": sql.conversations(),
+        "op13_resampling": sql.resampling(10, 20, 2024, resample.BUCKETS),
     }
