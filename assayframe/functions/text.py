@@ -14,6 +14,7 @@ TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 _EXACT = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: White space as Python's strings know it, which is one definition for all that follows.
 SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+OTHER = SPACE.replace("[", "[^", 1)
 #: A sentence ends after its marks and closing quotes where white space or the end follows, or at line ends.
 BOUNDARY = rf"""([.!?]["')\]]*)(?:{SPACE}+|\z)|\n+"""
 _BOUNDARY = re.compile(BOUNDARY.replace(r"\z", r"\Z"))
@@ -117,6 +118,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
+def leading(text: Column, n: int) -> Column:
+    """The first ``n`` white-space tokens; nothing behind them is read."""
+    return words(F.regexp_extract(text, rf"\A{SPACE}*+((?:{OTHER}++{SPACE}++){{0,{n - 1}}}+{OTHER}*+)", 1))
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

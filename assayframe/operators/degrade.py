@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,21 +44,29 @@ def _reason(rows: DataFrame) -> Column:
     return F.when(F.size("q") == 0, "no_question_lexical_tokens").when(F.col("n_sentences") == 0, "no_sentence")
 
 
-def evidence_removal(inputs: DataFrame) -> DataFrame:
-    """The passage without the sentence nearest the question; what stands around it is joined by one space."""
-    rows = best_sentence(inputs)
+def _removed(rows: DataFrame) -> dict[str, Column]:
+    """Columns of the removal, on rows of :func:`best_sentence`."""
     at = -F.col("best.earlier")
     left = T.strip_right(F.array_join(F.slice("segs", F.lit(1), at), ""))
     right = T.strip_left(F.array_join(F.slice("segs", at + 2, F.size("segs")), ""))
-    made = F.when((left != "") & (right != ""), F.concat(left, F.lit(" "), right)).otherwise(F.concat(left, right))
+    # Bound once: two sides are looked at and then joined.
+    made = F.transform(
+        F.array(F.struct(left.alias("l"), right.alias("r"))),
+        lambda s: F.when((s["l"] != "") & (s["r"] != ""), F.concat(s["l"], F.lit(" "), s["r"])).otherwise(F.concat(s["l"], s["r"])),
+    )[0]
     text = F.when(F.col("best").isNotNull(), made)
-    return rows.select(
-        "doc_id",
-        F.when(F.col("best").isNotNull(), "ok").otherwise("not_applicable").alias("status"),
-        _reason(rows).alias("reason"),
-        text.alias("transformed"),
-        flags((F.col("best.shared") == 0, "zero_lexical_overlap"), (text == "", "whole_passage_removed")).alias("flags"),
-    )
+    return {
+        "status": F.when(F.col("best").isNotNull(), "ok").otherwise("not_applicable"),
+        "reason": _reason(rows),
+        "transformed": text,
+        "flags": flags((F.col("best.shared") == 0, "zero_lexical_overlap"), (F.col("best").isNotNull() & (left == "") & (right == ""), "whole_passage_removed")),
+    }
+
+
+def evidence_removal(inputs: DataFrame) -> DataFrame:
+    """The passage without the sentence nearest the question; what stands around it is joined by one space."""
+    rows = best_sentence(inputs)
+    return rows.select("doc_id", *(c.alias(n) for n, c in _removed(rows).items()))
 
 
 def flags(*pairs) -> Column:
@@ -68,95 +75,122 @@ def flags(*pairs) -> Column:
     return F.array_sort(F.filter(given, lambda x: x.isNotNull()))
 
 
-def prefix_truncation(inputs: DataFrame) -> DataFrame:
-    """The first half of the white-space tokens, rounded up."""
+def _halved() -> dict[str, Column]:
     n = F.size(T.words(F.col("passage")))
     keep = F.floor((n + 1) / 2).cast("int")
     text = T.prefix(F.col("passage"), keep)
     reason = F.when(n == 0, "empty_passage_tokenization").when(text == F.col("passage"), "unchanged_result")
-    return inputs.select(
-        "doc_id",
-        F.when(reason.isNull(), "ok").otherwise("not_applicable").alias("status"),
-        reason.alias("reason"),
-        F.when(reason.isNull(), text).alias("transformed"),
-        n.alias("original_tokens"),
-        keep.alias("target_tokens"),
-    )
+    return {
+        "status": F.when(reason.isNull(), "ok").otherwise("not_applicable"),
+        "reason": reason,
+        "transformed": F.when(reason.isNull(), text),
+        "original_tokens": n,
+        "target_tokens": keep,
+    }
+
+
+def prefix_truncation(inputs: DataFrame) -> DataFrame:
+    """The first half of the white-space tokens, rounded up."""
+    return inputs.select("doc_id", *(c.alias(n) for n, c in _halved().items()))
+
+
+def _denied(rows: DataFrame) -> dict[str, Column]:
+    """Columns of the contradiction, on rows of :func:`best_sentence`."""
+    fragment = F.array_join(T.leading(F.col("best.sentence"), FRAGMENT_WORDS), " ")
+    used = F.size(T.leading(F.col("best.sentence"), FRAGMENT_WORDS))
+    ok = F.col("best").isNotNull()
+    return {
+        "status": F.when(ok, "ok").otherwise("not_applicable"),
+        "reason": _reason(rows),
+        "transformed": F.when(ok, F.concat(T.strip_right(F.col("passage")), F.lit("\n\n" + TEMPLATE), fragment)),
+        "flags": flags((ok & (F.col("best.shared") == 0), "zero_lexical_overlap"), (ok & (used < FRAGMENT_WORDS), "fragment_shorter_than_requested")),
+    }
 
 
 def contradiction(inputs: DataFrame) -> DataFrame:
     """The passage and, after a blank line, a denial of the start of the sentence nearest the question."""
     rows = best_sentence(inputs)
-    fragment = T.prefix(F.col("best.sentence"), F.lit(FRAGMENT_WORDS))
-    used = F.least(F.size(T.words(F.col("best.sentence"))), F.lit(FRAGMENT_WORDS))
-    ok = F.col("best").isNotNull()
-    return rows.select(
-        "doc_id",
-        F.when(ok, "ok").otherwise("not_applicable").alias("status"),
-        _reason(rows).alias("reason"),
-        F.when(ok, F.concat(T.strip_right(F.col("passage")), F.lit("\n\n" + TEMPLATE), fragment)).alias("transformed"),
-        flags((ok & (F.col("best.shared") == 0), "zero_lexical_overlap"), (ok & (used < FRAGMENT_WORDS), "fragment_shorter_than_requested")).alias("flags"),
-    )
+    return rows.select("doc_id", *(c.alias(n) for n, c in _denied(rows).items()))
 
 
-#: Donors that a group holds, and targets: they bound a task's memory.
-CHUNK_DONORS, BLOCK_TARGETS = 8192, 16_384
+#: Donors that a group holds, and targets at most: they bound what a task holds and hands on (8 bytes for each pair of a group).
+CHUNK_DONORS, BLOCK_TARGETS = 8192, 1024
 
 
 def donors_of(docs: DataFrame) -> DataFrame:
     """Every document with a leading fragment as a donor: donor_id, donor_sha, fragment, donor_tokens, donor_words."""
-    words = F.slice(T.words(F.col("passage")), 1, FRAGMENT_WORDS)
-    return (
-        docs.select(
-            F.col("doc_id").alias("donor_id"), F.sha2("passage", 256).alias("donor_sha"), F.array_join(words, " ").alias("fragment"), F.size(words).alias("donor_words")
-        )
-        .where("fragment <> ''")
-        .withColumn("donor_tokens", T.tokens(F.col("fragment")))
-    )
+    # A test for any word, instead of one on the fragment, which would be made again for it.
+    cut = docs.where(F.col("passage").rlike(T.OTHER)).select(
+        F.col("doc_id").alias("donor_id"), F.sha2("passage", 256).alias("donor_sha"), T.leading(F.col("passage"), FRAGMENT_WORDS).alias("words")
+    )
+    made = cut.select("donor_id", "donor_sha", F.array_join("words", " ").alias("fragment"), F.size("words").alias("donor_words"))
+    return made.withColumn("donor_tokens", T.tokens(F.col("fragment")))
 
 
-def _tie(seed: int, donor: str, target: str) -> str:
+def _tie(seed: int, donor: Column, target: Column) -> tuple[Column, Column]:
+    """The pair's hash, from a donor and a text that is made once for each target."""
     # Fixed value: the canonical JSON of the pair.
-    return sha256(f'{{"candidate_example_id":"{donor}","condition_version":"{VERSION}","seed":{seed},"target_example_id":"{target}"}}'.encode()).hexdigest()
-
-
-def _best_of_chunk(targets: pd.DataFrame, donors: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """The best donor of each target among those of one chunk. Overlaps come from an inverted index of the donors' tokens, so that
-    only donors of the least overlap are hashed."""
-    names, shas = donors["donor_id"].to_numpy(), donors["donor_sha"].to_numpy()
-    sizes = np.array([len(t) for t in donors["donor_tokens"]], np.int64)
-    index: dict[str, list[int]] = {}
-    for at, tokens in enumerate(donors["donor_tokens"]):
-        for t in tokens:
-            index.setdefault(t, []).append(at)
-    posting = {t: np.array(at) for t, at in index.items()}
-    spelled = [str(n) for n in names.tolist()]
-    out = []
-    for doc, sha, q in zip(targets["doc_id"].tolist(), targets["own_sha"], targets["q"], strict=True):
-        others = (names != doc) & (shas != sha)
-        eligible = int(others.sum())
-        if not eligible:
-            continue
-        shared = np.zeros(len(names), np.int64)
-        for t in q:
-            if t in posting:
-                shared[posting[t]] += 1
-        either = len(q) + sizes - shared
-        overlap = np.where(others, shared / np.maximum(either, 1), np.inf)
-        least = float(overlap.min())
-        tie, name, at = min((_tie(seed, spelled[i], str(doc)), spelled[i], i) for i in np.flatnonzero(overlap == least).tolist())
-        out.append((doc, least, tie, name, int(names[at]), int(shared[at]), eligible))
-    return pd.DataFrame(out, columns=["doc_id", "overlap", "tie", "name", "donor_id", "shared", "eligible"])
+    after = F.concat(F.lit(f'","condition_version":"{VERSION}","seed":{seed},"target_example_id":"'), target.cast("string"), F.lit('"}'))
+    return F.sha2(F.concat(F.lit('{"candidate_example_id":"'), donor.cast("string"), F.col("after")), 256), after
 
 
-def distractor(inputs: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
-    """The passage and, after a blank line, the donor fragment that overlaps the question least, ties by a seeded hash of the pair
-    and then by id as text.
+def _least_of_chunk(targets: pa.Table, donors: pa.Table) -> pa.Table:
+    """For each target the donors of one chunk that overlap its question least, and how many are eligible.
+
+    Each question token of the block has a bitmap of the donors that hold it. The complement of the union of a question's bitmaps are
+    its donors without any overlap; only where that is empty are shared tokens counted.
+    """
+    n, asked = len(donors), targets["q"].combine_chunks()
+    flat = donors["donor_tokens"].combine_chunks()
+    known = pc.unique(pc.list_flatten(asked))
+    code = pc.index_in(pc.list_flatten(flat), value_set=known)
+    held = pc.is_valid(code).to_numpy(zero_copy_only=False)
+    holds = np.zeros((len(known), n), bool)
+    holds[code.drop_null().to_numpy(), pc.list_parent_indices(flat).to_numpy()[held]] = True
+    bitmaps = np.packbits(holds, axis=1)
+    sizes = pc.list_value_length(flat).to_numpy(zero_copy_only=False)
+    codes, lengths = pc.index_in(pc.list_flatten(asked), value_set=known).to_numpy(), pc.list_value_length(asked).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    ids = donors["donor_id"].to_numpy()
+    # The input itself and donors of its passage, as positions of sorted keys.
+    own = pa.concat_arrays([a.combine_chunks() for a in (targets["own_sha"], donors["donor_sha"])]).dictionary_encode().indices.to_numpy()
+    own, shas = own[: len(targets)], own[len(targets) :]
+    by_sha, by_id = np.argsort(shas, kind="stable"), np.argsort(ids, kind="stable")
+    keys = targets["doc_id"].to_numpy()
+    spans = [np.searchsorted(x[o], k, side) for x, o, k in ((shas, by_sha, own), (ids, by_id, keys)) for side in ("left", "right")]
+    out, upto, shared_out, overlaps, eligible = [], [0], [], [], []
+    for i in range(len(targets)):
+        q = codes[starts[i] : starts[i] + lengths[i]]
+        free = np.ones(n, bool)
+        free[by_sha[spans[0][i] : spans[1][i]]] = False
+        free[by_id[spans[2][i] : spans[3][i]]] = False
+        eligible.append(int(free.sum()))
+        union = np.bitwise_or.reduce(bitmaps[q], axis=0) if len(q) else np.zeros(-(-n // 8), np.uint8)
+        at = np.flatnonzero(free & ~np.unpackbits(union, count=n).view(bool))
+        least, shared = 0.0, None
+        if not len(at) and eligible[-1]:
+            shared = holds[q].sum(axis=0)
+            overlap = np.where(free, shared / np.maximum(lengths[i] + sizes - shared, 1), np.inf)
+            least = float(overlap.min())
+            at = np.flatnonzero(overlap == least)
+            shared = shared[at].tolist()
+        out.append(ids[at])
+        upto.append(upto[-1] + len(at))
+        shared_out.append(shared)
+        overlaps.append(least)
+    candidates = pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), np.concatenate([np.zeros(0, np.int64), *out]))
+    columns = [targets["doc_id"].combine_chunks(), pa.array(overlaps, pa.float64()), candidates.cast(pa.list_(pa.int64())), pa.array(shared_out, pa.list_(pa.int64())), pa.array(eligible, pa.int64())]
+    return pa.table(columns, names=["doc_id", "overlap", "candidates", "shares", "eligible"])
+
+
+def chosen_donors(inputs: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
+    """doc_id, donor_id, overlap, tie, shared, eligible, fragment and donor_words of the donor whose fragment overlaps the question of an
+    input least, ties by a seeded hash of the pair and then by id as text.
 
     Every donor but the input itself and those of the same passage is met. The tie hash depends on the pair, so the work grows
-    with the pairs; donors come in chunks of about CHUNK_DONORS and targets in blocks, a task holds one of each and hands on one
-    row for each target, and the least of those rows wins. Repeated donor ids are an error. An input without a donor is
-    ``not_applicable``. ``donors`` is as :func:`donors_of` gives it.
+    with the pairs: donors come in chunks of about CHUNK_DONORS and targets in blocks, bitmaps of a task find the donors of least overlap,
+    and the hashes of one target and chunk are an array in the row of which only the least leaves the task. Repeated donor ids are an error. An input without a donor
+    has no row. ``donors`` is as :func:`donors_of` gives it.
     """
     n = donors.groupBy("donor_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
     if (n["most"] or 0) > 1:
@@ -165,32 +199,49 @@ def distractor(inputs: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
     asked = inputs.select("doc_id", T.tokens(F.col("question")).alias("q"), F.sha2("passage", 256).alias("own_sha"))
     n_asked = asked.count()
     tasks = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    blocks = max(1, -(-n_asked // BLOCK_TARGETS), min(tasks, n_asked // 256))
+    blocks = max(1, -(-n_asked // BLOCK_TARGETS), min(8 * tasks, n_asked // 128))
     every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
     left = asked.select("*", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every(chunks, "chunk"))
     right = donors.select(
         F.pmod(F.xxhash64("donor_id"), F.lit(chunks)).cast("int").alias("chunk"), "donor_id", "donor_sha", "donor_tokens", every(blocks, "block")
     )
-    per_chunk = (
+    least = (
         left.groupBy("chunk", "block")
         .cogroup(right.groupBy("chunk", "block"))
-        .applyInPandas(lambda t, d: _best_of_chunk(t, d, seed), "doc_id long, overlap double, tie string, name string, donor_id long, shared long, eligible long")
+        .applyInArrow(_least_of_chunk, "doc_id long, overlap double, candidates array<long>, shares array<long>, eligible long")
     )
-    best = per_chunk.groupBy("doc_id").agg(F.min(F.struct("overlap", "tie", "name", "donor_id", "shared")).alias("d"), F.sum("eligible").alias("eligible"))
-    rows = inputs.select("doc_id", "passage").join(best, "doc_id", "left").join(donors.select(F.col("donor_id").alias("chosen"), "fragment", "donor_words"), F.col("d.donor_id") == F.col("chosen"), "left")
-    ok = F.col("chosen").isNotNull()
+    made = least.withColumn("after", _tie(seed, F.lit(0), F.col("doc_id"))[1])
+    # One array of hashes, bound once, of which the least and its place are taken.
+    hashed = F.array(F.transform("candidates", lambda c: _tie(seed, c, F.col("doc_id"))[0]))
+    first = F.transform(hashed, lambda h: F.struct(F.array_min(h).alias("tie"), F.array_position(h, F.array_min(h)).cast("int").alias("at")))[0]
+    per_chunk = made.where(F.size("candidates") > 0).withColumn("first", first).select(
+        "doc_id", "overlap", F.col("first.tie").alias("tie"), F.element_at("candidates", F.col("first.at")).alias("donor_id"),
+        F.coalesce(F.element_at("shares", F.col("first.at")), F.lit(0).cast("long")).alias("shared"), "eligible",
+    )
+    name = F.col("donor_id").cast("string").alias("name")
+    best = per_chunk.groupBy("doc_id").agg(F.min(F.struct("overlap", "tie", name, "donor_id", "shared")).alias("d"), F.sum("eligible").alias("eligible"))
+    picked = best.select("doc_id", "d.donor_id", "d.overlap", "d.tie", "d.shared", "eligible")
+    return picked.join(donors.select("donor_id", "fragment", "donor_words"), "donor_id")
+
+
+def _distracted() -> dict[str, Column]:
+    """Columns of the distractor, on inputs with their :func:`chosen_donors`."""
+    ok = F.col("donor_id").isNotNull()
+    return {
+        "status": F.when(ok, "ok").otherwise("not_applicable"),
+        "reason": F.when(~ok, "no_eligible_donor"),
+        "transformed": F.when(ok, F.concat(T.strip_right(F.col("passage")), F.lit("\n\n"), F.col("fragment"))),
+        "flags": flags((ok & (F.col("shared") == 0), "zero_lexical_overlap"), (ok & (F.col("donor_words") < FRAGMENT_WORDS), "fragment_shorter_than_requested")),
+    }
+
+
+def distractor(inputs: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
+    """The passage and, after a blank line, the fragment of :func:`chosen_donors`. An input without a donor is ``not_applicable``."""
+    rows = inputs.select("doc_id", "passage").join(chosen_donors(inputs, donors, seed), "doc_id", "left")
     return rows.select(
-        "doc_id",
-        F.when(ok, "ok").otherwise("not_applicable").alias("status"),
-        F.when(~ok, "no_eligible_donor").alias("reason"),
-        F.concat(T.strip_right(F.col("passage")), F.lit("\n\n"), F.col("fragment")).alias("transformed"),
-        flags((ok & (F.col("d.shared") == 0), "zero_lexical_overlap"), (ok & (F.col("donor_words") < FRAGMENT_WORDS), "fragment_shorter_than_requested")).alias("flags"),
-        F.col("d.donor_id").alias("donor_id"),
-        F.col("d.overlap").alias("overlap"),
-        F.col("d.tie").alias("tie"),
-        F.coalesce("eligible", F.lit(0).cast("long")).alias("eligible"),
+        "doc_id", *(c.alias(n) for n, c in _distracted().items()), "donor_id", "overlap", "tie", F.coalesce("eligible", F.lit(0).cast("long")).alias("eligible"),
         F.sha2("fragment", 256).alias("fragment_sha"),
-    )
+    )
 
 
 def fragment_hashes(chosen: DataFrame, donors: DataFrame) -> DataFrame:
@@ -200,22 +251,29 @@ def fragment_hashes(chosen: DataFrame, donors: DataFrame) -> DataFrame:
 
 
 def all_conditions(inputs: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
-    """Six rows for each input, one for every condition: doc_id, condition, condition_index, status, reason, transformed, flags."""
+    """Six rows for each input, one for every condition: doc_id, condition, condition_index, status, reason, transformed, flags.
+
+    An input is read once with its donor, its sentences are cut once, and a generator inside the row makes the six.
+    """
+    rows = best_sentence(inputs.join(chosen_donors(inputs, donors, seed), "doc_id", "left"))
     none = F.array().cast("array<string>")
-    plain = lambda text: inputs.select("doc_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), text.alias("transformed"), none.alias("flags"))
+    plain = lambda text: {"status": F.lit("ok"), "transformed": text}
     parts = {
         "original": plain(F.col("passage")),
-        "lexical_evidence_removal": evidence_removal(inputs),
-        "prefix_truncation_50": prefix_truncation(inputs).withColumn("flags", none),
-        "irrelevant_distractor": distractor(inputs, donors, seed),
-        "lexical_contradiction": contradiction(inputs),
+        "lexical_evidence_removal": _removed(rows),
+        "prefix_truncation_50": _halved(),
+        "irrelevant_distractor": _distracted(),
+        "lexical_contradiction": _denied(rows),
         "no_passage": plain(F.lit("")),
     }
-    out = None
-    for at, (name, part) in enumerate(parts.items()):
-        rows = part.select("doc_id", F.lit(name).alias("condition"), F.lit(at).alias("condition_index"), "status", "reason", "transformed", "flags")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    six = F.array(*(
+        F.struct(
+            F.lit(name).alias("condition"), F.lit(at).alias("condition_index"), part["status"].alias("status"), part.get("reason", F.lit(None).cast("string")).alias("reason"),
+            part["transformed"].alias("transformed"), part.get("flags", none).alias("flags"),
+        )
+        for at, (name, part) in enumerate(parts.items())
+    ))
+    return rows.select("doc_id", F.inline(six))
 
 
 def donor_reuse(chosen: DataFrame, donors: DataFrame) -> DataFrame:
