@@ -1,15 +1,15 @@
 """Evaluation rows and metrics over grouping sets.
 
-Ranking metrics group by score before any window: a window sees one row for each distinct score.
+Ranking metrics group by score before any window, and a window sees the distinct scores of one bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
-from .ordered import of_unit, running
+from .ordered import bucketed, running
 from .validation import ContractError
 
 OVERALL = "overall"
@@ -99,22 +99,14 @@ def ranking(rows: DataFrame, keys: list[str], score: Column | str, positive: Col
         F.sum(F.when(positive, w).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(positive, 0).otherwise(w)).cast("double").alias("neg"),
     )
-    part = Window.partitionBy(*keys)
-    up = part.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    stepped = by_score.select(
-        *keys,
-        "pos",
-        "neg",
-        F.coalesce(F.sum("neg").over(up), F.lit(0.0)).alias("below"),
-        F.sum("pos").over(down).alias("tp"),
-        F.sum("neg").over(down).alias("fp"),
-    )
+    # Prefix sums over buckets of scores: what is above a score follows from the totals and what is below.
+    stepped = running(bucketed(by_score, F.col("score")), keys, F.col("_bucket"), ["score"], {"upto_pos": F.col("pos"), "upto_neg": F.col("neg")}, totals=True)
+    tp, fp = F.col("all_upto_pos") - F.col("upto_pos") + F.col("pos"), F.col("all_upto_neg") - F.col("upto_neg") + F.col("neg")
     total = stepped.groupBy(*keys).agg(
         F.sum("pos").alias("p"),
         F.sum("neg").alias("n"),
-        F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("wins"),
-        F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)).alias("hits"),
+        F.sum(F.col("pos") * (F.col("upto_neg") - 0.5 * F.col("neg"))).alias("wins"),
+        F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp / (tp + fp)).otherwise(0.0)).alias("hits"),
     )
     zero_is_null = lambda c: F.when(c != 0, c)
     return total.select(
@@ -124,18 +116,21 @@ def ranking(rows: DataFrame, keys: list[str], score: Column | str, positive: Col
     )
 
 
-def average_ranks(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Ranks from 1, ties at their mean. Scores lie between 0 and 1; equal ones are counted before they are ordered."""
-    counts = rows.groupBy(*keys, score).agg(F.count("*").alias("ties"))
-    placed = running(counts, keys, of_unit(F.col(score)), [score], {"upto": F.col("ties")})
-    ranks = placed.select(*keys, score, (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank"))
-    return rows.join(ranks, [*keys, score])
+def average_ranks(rows: DataFrame, keys: list[str], score: str, id_col: str = "doc_id") -> DataFrame:
+    """Ranks from 1, ties at their mean. Equal scores are counted before they are ordered, and a score that many rows share meets them in as many parts as they make."""
+    marked = bucketed(rows, F.col(score), F.col(id_col)).withColumnRenamed("_bucket", "part")
+    counts = marked.groupBy(*keys, score, "part").agg(F.count("*").alias("in_part"))
+    ties = counts.groupBy(*keys, score).agg(F.sum("in_part").alias("ties"), F.collect_list("part").alias("parts"))
+    placed = running(bucketed(ties, F.col(score)), keys, F.col("_bucket"), [score], {"upto": F.col("ties")})
+    ranks = placed.select(*keys, score, F.explode("parts").alias("part"), (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank"))
+    return marked.join(ranks, [*keys, score, "part"]).drop("part")
 
 
 def risk_coverage(rows: DataFrame, keys: list[str], conf: str = "conf_cal", id_col: str = "doc_id") -> DataFrame:
     """Most confident first: coverage and risk at each prefix, ties by id."""
     rounded = F.round(conf, 12)
-    curve = running(rows, keys, of_unit(rounded, descending=True), [F.desc(rounded), id_col, "condition"], {"wrong": (~F.col("correct")).cast("long")})
+    cut = bucketed(rows, rounded, F.col(id_col), descending=True)
+    curve = running(cut, keys, F.col("_bucket"), [F.desc(rounded), id_col, "condition"], {"wrong": (~F.col("correct")).cast("long")})
     k, n, errors = F.col("place"), F.col("size"), F.col("wrong")
     return curve.select(
         *keys,
