@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import probability as P
 from ..functions import sequences
 from ..functions import text as T
-from ..operators import bootstrap, calibration, contracts, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, unified, validation
+from ..operators import bootstrap, calibration, contracts, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, selection, unified, validation
 from ..sources import fixtures, jsonl
 from . import sql
 
@@ -301,9 +301,7 @@ def prompt_length_stats(spark, sf):
 
 
 def linear_quantiles(spark, sf):
-    return fixtures.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.expr("percentile(l_extendedprice, 0.025)").alias("low"), F.expr("percentile(l_extendedprice, 0.975)").alias("high")
-    )
+    return selection.linear(fixtures.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"low": 0.025, "high": 0.975})
 
 
 def row_identity(spark, sf):
