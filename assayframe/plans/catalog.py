@@ -362,7 +362,7 @@ def bootstrap_differences(spark, sf):
     return bootstrap.differences(rows, "doc_id", weights, "baseline", {"accuracy": F.col("correct").cast("double"), "nll": F.col("nll_cal"), "brier": F.col("brier_cal")})
 
 
-REPLICATES, BOOT_SEED = 100, 20260804
+REPLICATES, BOOT_SEED = 2000, 20260804
 
 
 def bootstrap_weights(spark, sf):
@@ -371,7 +371,8 @@ def bootstrap_weights(spark, sf):
 
 def bootstrap_measures(spark, sf):
     """All five measures of the baseline and the seeds, by scope and replicate."""
-    return bootstrap.replicate_measures(metrics.with_scope(_eval(spark, sf)), "doc_id", bootstrap_weights(spark, sf))
+    vectors = bootstrap.weight_vectors(_strata(spark, sf), "doc_id", REPLICATES, BOOT_SEED)
+    return bootstrap.replicate_measures(metrics.with_scope(_eval(spark, sf)), "doc_id", vectors)
 
 
 def bootstrap_intervals(spark, sf):

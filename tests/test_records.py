@@ -226,3 +226,27 @@ def test_vector_digest(spark):
     got = [r.d for r in spark.createDataFrame(rows, "v array<double>").select(identity.vector_digest(F.col("v")).alias("d")).collect()]
     want = hashlib.sha256(struct.pack("<q2d", 2, 1.0, -2.5)).hexdigest()
     assert got == [want, hashlib.sha256(bytes(8)).hexdigest(), None, None, want]
+
+
+def test_replicates_against_resampled_rows(spark, monkeypatch):
+    """All measures of every replicate from rows repeated by their cluster's weight; several blocks and several buckets."""
+    import random
+    from collections import Counter
+
+    from assayframe.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "BLOCK_CLUSTERS", 9)
+    monkeypatch.setattr(bootstrap, "BLOCK_SCORES", 40)
+    monkeypatch.setattr(bootstrap, "BLOCK_REPLICATES", 7)
+    rng = random.Random(9)
+    data = [(m, s, i, rng.random() < 0.6, round(rng.random(), 1), rng.random(), rng.random(), rng.random()) for m in ("a", "b") for s in ("x|1", "y") for i in range(30) for _ in range(3)]
+    rows = spark.createDataFrame(data, "method string, scope string, doc_id long, correct boolean, error_score double, conf_cal double, nll_cal double, brier_cal double")
+    clusters = spark.range(30).withColumnRenamed("id", "doc_id")
+    weight = Counter({(r.replicate, r.doc_id): r.weight for r in bootstrap.multinomial_weights(clusters, "doc_id", 20, 5).collect()})
+    got = bootstrap.replicate_measures(rows, "doc_id", bootstrap.weight_vectors(clusters, "doc_id", 20, 5)).collect()
+    assert len(got) == 2 * 2 * 20
+    for r in got:
+        own = [d for d in data if d[:2] == (r.method, r.scope) for _ in range(weight[r.replicate, d[2]])]
+        pos, neg = [d[4] for d in own if not d[3]], [d[4] for d in own if d[3]]
+        wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert (r.accuracy, r.nll, r.auroc) == pytest.approx((len(neg) / len(own), sum(d[6] for d in own) / len(own), wins), abs=1e-12)
