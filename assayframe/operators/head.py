@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
+from ..sources.shared import staged
 from . import metrics
 
 FLOOR = 1e-6
@@ -42,30 +45,54 @@ def diagonal(rows: DataFrame, weights: DataFrame, prior: float = 1.0) -> DataFra
     return curved.select(F.posexplode(F.transform("x", lambda v: F.col("c") * v * v)).alias("dim", "v")).groupBy("dim").agg((F.lit(prior) + F.sum("v")).alias("curvature"))
 
 
+#: Partial sums that one task adds up, and rows of the Hessian that travel as one.
+FAN, BLOCK_DIMS = 64, 16
+
+
+def tree_sum(parts: DataFrame, fan: int = FAN) -> DataFrame:
+    """Sums arrays by ``block``: ``parts`` (part, block, values) has as many rows a block as there were tasks; ``fan`` groups of them are
+    added first, then those. So no task and no driver holds more than one in ``fan`` of the rows of a block."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        values = rows["values"].combine_chunks()
+        total = np.add.reduce(values.values.to_numpy().reshape(len(rows), -1), axis=0)
+        return pa.table({"part": [rows["near"][0].as_py()], "block": rows["block"][:1], "values": pa.array([total], pa.list_(pa.float64()))})
+
+    out = parts
+    for near in (F.col("part") % fan, F.lit(0)):
+        out = out.withColumn("near", near.cast("long")).groupBy("block", "near").applyInArrow(add, "part long, block int, values array<double>")
+    return out.select("block", "values")
+
+
 def fit_map(rows: DataFrame, prior: float = 1.0, rounds: int = 25, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Newton on the penalised loss, bias penalised too: (weights with the bias last, diagonal of the Hessian).
 
-    A task returns one gradient and one Hessian, so the driver sums as many as there are tasks.
+    The rows are staged once. A task returns its Hessian and gradient in blocks of dimensions, :func:`tree_sum` adds those of all tasks, and the
+    driver gets one of each a round.
     """
-    d = len(rows.select("x").first()[0]) + 1
+    table = staged(rows.select("x", "target"), "features")
+    d = len(table.select("x").first()[0]) + 1
     w = np.zeros(d)
     h = np.eye(d)
     for _ in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast(w)
 
         def partial(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            g, hs = np.zeros(d), np.zeros((d, d))
+            both, part = np.zeros((d, d + 1)), 0
             for pdf in batches:
                 if len(pdf):
+                    part = int(pdf["part"].iloc[0])
                     x = np.column_stack([np.stack(pdf["x"].to_numpy()), np.ones(len(pdf))])
                     p = 1 / (1 + np.exp(-x @ shared.value))
-                    g += x.T @ (p - pdf["target"].to_numpy())
-                    hs += (x * (p * (1 - p))[:, None]).T @ x
-            yield pd.DataFrame({"g": [g.tolist()], "h": [hs.ravel().tolist()]})
-
-        parts = rows.select("x", "target").mapInPandas(partial, "g array<double>, h array<double>").toPandas()
-        g = np.sum(np.stack(parts["g"].to_numpy()), axis=0) + prior * w
-        h = np.sum(np.stack(parts["h"].to_numpy()), axis=0).reshape(d, d) + prior * np.eye(d)
+                    both[:, :d] += (x * (p * (1 - p))[:, None]).T @ x
+                    both[:, d] += x.T @ (p - pdf["target"].to_numpy())
+            starts = range(0, d, BLOCK_DIMS)
+            yield pd.DataFrame({"part": part, "block": range(len(starts)), "values": [both[i : i + BLOCK_DIMS].ravel() for i in starts]})
+
+        parts = table.withColumn("part", F.spark_partition_id()).mapInPandas(partial, "part long, block int, values array<double>")
+        summed = tree_sum(parts).orderBy("block").toPandas()["values"]
+        both = np.concatenate([np.asarray(v) for v in summed]).reshape(d, d + 1)
+        g, h = both[:, d] + prior * w, both[:, :d] + prior * np.eye(d)
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < tolerance:
@@ -73,10 +100,24 @@ def fit_map(rows: DataFrame, prior: float = 1.0, rounds: int = 25, tolerance: fl
     return w, np.diag(h).copy()
 
 
+def normal(seed: int, *counters: Column) -> Column:
+    """A standard normal deviate that is a function of the seed and the counters: two uniform numbers of their hash, then Box and Muller's transform."""
+    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in counters)), 256)
+    uniform = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(uniform(9) * (2.0 * math.pi))
+
+
+def draws(estimates: DataFrame, n: int, seed: int) -> DataFrame:
+    """(draw, dim, w): ``n`` draws around ``estimates`` (dim, w, curvature) from normals of variance 1 / curvature. A number depends on seed, draw
+    and dimension alone, so any task makes any part of them, and makes it again the same."""
+    each = estimates.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    return each.select("draw", "dim", (F.col("w") + normal(seed, F.col("draw"), F.col("dim")) / F.sqrt("curvature")).alias("w"))
+
+
 def draw_weights(spark: SparkSession, weights: np.ndarray, curvature: np.ndarray, n: int, seed: int) -> DataFrame:
-    """(draw, weights): ``n`` seeded draws from the normal around ``weights`` with variance 1 / ``curvature``."""
-    made = weights + np.random.default_rng(seed).standard_normal((n, len(weights))) / np.sqrt(curvature)
-    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(made)], "draw int, weights array<double>")
+    """(draw, weights): :func:`draws` around a fit of :func:`fit_map`, each as one array."""
+    fit = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(weights, curvature, strict=True))], "dim int, w double, curvature double")
+    return draws(fit, n, seed).groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("dim", "w"))).getField("w").alias("weights"))
 
 
 def as_predictions(posterior_rows: DataFrame) -> DataFrame:

@@ -348,6 +348,22 @@ def head_fit(spark, sf):
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(w, h, strict=True))], "dim int, weight double, curvature double")
 
 
+DRAWS, DRAW_SEED = 256, 20260805
+
+
+def laplace_draws(spark, sf):
+    """256 draws of each weight around the given ones, by the curvature that the rows give."""
+    estimates = laplace_diagonal(spark, sf).join(_weights(spark), "dim")
+    return head.draws(estimates, DRAWS, DRAW_SEED)
+
+
+def posterior_draws(spark, sf):
+    """The predictive of 256 draws around the fitted head, for all rows; the head is fitted without fold 0."""
+    rows = head.features(fixtures.table(spark, sf, "embeddings"))
+    w, h = head.fit_map(rows.where("fold <> 0"))
+    return head.posterior(rows, head.draw_weights(spark, w, h, DRAWS, DRAW_SEED))
+
+
 def temperature_grid_nll(spark, sf):
     return calibration.grid(fixtures.predictions(spark, sf), "method", GRID)
 
@@ -676,7 +692,7 @@ _ALL = (
     split_leakage, token_jaccard, exact_token_counts, sentence_counts, best_sentence, evidence_removal, prefix_truncation,
     contradiction, distractor_top1, distractor_without_donors, donor_fragments, donor_reuse, degraded_tokens, status_counts, prompt_deltas, condition_expand, degradation_summary, nearest_rank_percentiles,
     prompt_length_stats, linear_quantiles, row_identity, canonical_rows, row_hash_faults, source_digest, standardizer_stats,
-    laplace_diagonal, posterior_summary, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
+    laplace_diagonal, laplace_draws, posterior_summary, posterior_draws, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
     bootstrap_intervals, stage_selection, risk_coverage_by_scope, ensemble_scoped_metrics, normalized_sources, unified_metrics, uq_all_signals,
     bootstrap_weights, bootstrap_measures, degraded_faults, incomplete_inputs, prediction_faults, member_faults, calibration_rows, calibration_faults,
     manifest_faults, manifest_sizes, capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,

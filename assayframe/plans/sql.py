@@ -118,7 +118,7 @@ _FEAT = "feat AS (SELECT vec_id, CAST(label >= 5 AS INT) AS target, CAST(embeddi
 
 
 def statements() -> dict[str, str]:
-    from .catalog import BOOT_SEED, GRID, PRIMARY, REPLICATES
+    from .catalog import BOOT_SEED, DRAW_SEED, DRAWS, GRID, PRIMARY, REPLICATES
 
     with_pred = lambda more, select: f"WITH {_PRED}{', ' + more if more else ''} {select}"
     r9 = lambda *names: ", ".join(f"round({n}, 9) AS {n}" for n in names)
@@ -305,6 +305,11 @@ def statements() -> dict[str, str]:
         "source_digest": "WITH b AS (SELECT doc_id // 1024 AS b, count(*) AS n, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM b",
         "standardizer_stats": f"WITH {_FEAT} SELECT CAST(dim AS INT) AS dim, round(avg(v), 9) AS mean, round(greatest(stddev_pop(v), 1e-6), 9) AS scale FROM flat GROUP BY 1",
         "laplace_diagonal": f"WITH {_FEAT}, z AS (SELECT vec_id, sum(v * ((dim % 7 - 3) / 4e0)) AS z FROM flat GROUP BY 1), p AS (SELECT vec_id, 1 / (1 + exp(-z)) AS p FROM z) SELECT CAST(dim AS INT) AS dim, round(1 + sum(p * (1 - p) * v * v), 9) AS curvature FROM flat JOIN p USING (vec_id) GROUP BY 1",
+        "laplace_draws": f"""WITH {_FEAT}, z AS (SELECT vec_id, sum(v * ((dim % 7 - 3) / 4e0)) AS z FROM flat GROUP BY 1), p AS (SELECT vec_id, 1 / (1 + exp(-z)) AS p FROM z),
+            c AS (SELECT CAST(dim AS INT) AS dim, 1 + sum(p * (1 - p) * v * v) AS curvature FROM flat JOIN p USING (vec_id) GROUP BY 1),
+            h AS (SELECT CAST(draw AS INT) AS draw, dim, curvature, sha256('{DRAW_SEED}|' || draw || '|' || dim) AS h FROM c, range({DRAWS}) d(draw)),
+            u AS (SELECT *, (CAST('0x' || substr(h, 1, 8) AS BIGINT) + 0.5) / 4294967296e0 AS u1, (CAST('0x' || substr(h, 9, 8) AS BIGINT) + 0.5) / 4294967296e0 AS u2 FROM h)
+            SELECT draw, dim, round((dim % 7 - 3) / 4e0 + sqrt(-2 * ln(u1)) * cos(u2 * 2 * pi()) / sqrt(curvature), 9) AS w FROM u""",
         "posterior_summary": f"{posterior} SELECT vec_id, target, {r9('p_mean', 'variance', 'expected_entropy', 'entropy', 'information_gap')} FROM post",
         "posterior_metrics": f"""{posterior}, l AS (SELECT vec_id % 5 AS fold, p_mean AS p, target = 1 AS truth, (round(p_mean, 12) >= 0.5) = (target = 1) AS correct, greatest(p_mean, 1 - p_mean) AS conf, entropy, variance, information_gap FROM post),
             m AS (SELECT *, round(1 - conf, 12) AS error_score, -ln(CASE WHEN truth THEN least(greatest(p, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest(p, 1e-12), 1 - 1e-12) END) AS nll, (p - truth::INT) * (p - truth::INT) AS brier FROM l),
