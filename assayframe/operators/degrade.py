@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sequences as S
 from ..functions import text as T
 from .validation import ContractError
 
@@ -113,6 +116,41 @@ def contradiction(inputs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *(c.alias(n) for n, c in _denied(rows).items()))
 
 
+# ---- the same cuts by a tokenizer's ids; ``make`` opens it in the worker
+
+
+def truncation_by(inputs: DataFrame, make: Callable[[], S.Tokenizer]) -> DataFrame:
+    """The longest prefix of at most half of the tokens that has those very tokens."""
+    rows = inputs.select("doc_id", "passage", S.exact_half(F.col("passage"), make).alias("p"))
+    reason = F.when(F.col("p.whole").isNull(), "empty_passage_tokenization").when(F.col("p.prefix") == F.col("passage"), "unchanged_result")
+    return rows.select(
+        "doc_id", F.when(reason.isNull(), "ok").otherwise("not_applicable").alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("p.prefix")).alias("transformed"),
+        F.col("p.whole").alias("original_tokens"), F.col("p.kept").alias("kept_tokens"),
+    )
+
+
+def contradiction_by(inputs: DataFrame, make: Callable[[], S.Tokenizer]) -> DataFrame:
+    """As :func:`contradiction`, with a fragment of FRAGMENT_WORDS tokens at most."""
+    rows = best_sentence(inputs).drop("segs")
+    cut = rows.withColumn("p", S.exact_prefix(F.col("best.sentence"), F.lit(FRAGMENT_WORDS), make))
+    ok = F.col("p.prefix").isNotNull()
+    return cut.select(
+        "doc_id",
+        F.when(ok, "ok").otherwise("not_applicable").alias("status"),
+        F.coalesce(_reason(cut), F.when(~ok, "no_fragment")).alias("reason"),
+        F.when(ok, F.concat(T.strip_right(F.col("passage")), F.lit("\n\n" + TEMPLATE), F.col("p.prefix"))).alias("transformed"),
+        flags((ok & (F.col("best.shared") == 0), "zero_lexical_overlap"), (ok & (F.col("p.kept") < FRAGMENT_WORDS), "fragment_shorter_than_requested")).alias("flags"),
+        F.col("p.kept").alias("fragment_tokens"),
+    )
+
+
+def donors_by(docs: DataFrame, make: Callable[[], S.Tokenizer]) -> DataFrame:
+    """As :func:`donors_of`, with fragments of FRAGMENT_WORDS tokens at most; ``donor_words`` counts those."""
+    cut = docs.select(F.col("doc_id").alias("donor_id"), F.sha2("passage", 256).alias("donor_sha"), S.exact_prefix(F.col("passage"), F.lit(FRAGMENT_WORDS), make).alias("p"))
+    made = cut.select("donor_id", "donor_sha", F.col("p.prefix").alias("fragment"), F.col("p.kept").alias("donor_words")).where(F.col("fragment").rlike(T.OTHER))
+    return made.withColumn("donor_tokens", T.tokens(F.col("fragment")))
+
+
 #: Donors that a group holds, and targets at most: they bound what a task holds and hands on (8 bytes for each pair of a group).
 CHUNK_DONORS, BLOCK_TARGETS = 8192, 1024
 

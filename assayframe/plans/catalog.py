@@ -15,7 +15,7 @@ from ..functions import probability as P
 from ..functions import sequences
 from ..functions import text as T
 from ..operators import bootstrap, calibration, contracts, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, selection, unified, validation
-from ..sources import fixtures, jsonl
+from ..sources import fixtures, jsonl, shared
 from . import sql
 
 SEED, SALT = 20260803, "split"
@@ -647,6 +647,27 @@ def exact_prefixes(spark, sf):
     return _inputs(spark, sf).select("doc_id", made.alias("p")).select("doc_id", F.sha2("p.prefix", 256).alias("sha"), "p.kept", "p.whole")
 
 
+def _byte_level():
+    """Opens the tokenizer file in a worker."""
+    import public_tokenizers
+
+    return sequences.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def truncation_by_tokens(spark, sf):
+    return degrade.truncation_by(_inputs(spark, sf), _byte_level).select("doc_id", "status", "reason", F.sha2("transformed", 256).alias("sha"), "original_tokens", "kept_tokens")
+
+
+def contradiction_by_tokens(spark, sf):
+    return degrade.contradiction_by(_inputs(spark, sf), _byte_level).select("doc_id", "status", "reason", F.sha2("transformed", 256).alias("sha"), F.array_join("flags", ",").alias("flags"), "fragment_tokens")
+
+
+def distractor_by_tokens(spark, sf):
+    rows = _inputs(spark, sf)
+    donors = shared.staged(degrade.donors_by(rows, _byte_level), "donors")  # tokenized once, read three times
+    return degrade.distractor(rows, donors, SEED).select("doc_id", "status", "donor_id", "overlap", "tie", "eligible", "fragment_sha")
+
+
 def dependent_seeds(spark, sf):
     rows = _eval(spark, sf).where("method <> 'baseline'").select("method", F.sha2(F.when(F.col("method") == "seed_3", F.lit("seed_1")).otherwise(F.col("method")), 256).alias("digest"))
     return records.dependent_seeds(rows, "method", "digest")
@@ -695,7 +716,7 @@ _ALL = (
     laplace_diagonal, laplace_draws, posterior_summary, posterior_draws, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
     bootstrap_intervals, stage_selection, risk_coverage_by_scope, ensemble_scoped_metrics, normalized_sources, unified_metrics, uq_all_signals,
     bootstrap_weights, bootstrap_measures, degraded_faults, incomplete_inputs, prediction_faults, member_faults, calibration_rows, calibration_faults,
-    manifest_faults, manifest_sizes, capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
+    manifest_faults, manifest_sizes, capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, truncation_by_tokens, contradiction_by_tokens, distractor_by_tokens, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
 )
 
 
