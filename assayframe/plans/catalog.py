@@ -15,7 +15,7 @@ from ..functions import probability as P
 from ..functions import sequences
 from ..functions import text as T
 from ..operators import bootstrap, calibration, contracts, degrade, describe, ensemble, head, identity, metrics, parser, records, sampling, selection, unified, validation
-from ..sources import fixtures, jsonl, shared
+from ..sources import checked, fixtures, jsonl, shared
 from . import sql
 
 SEED, SALT = 20260803, "split"
@@ -414,6 +414,35 @@ def manifest_sizes(spark, sf):
     return contracts.wrong_sizes(_faulty_manifest(spark, sf).where("split IS NOT NULL"), SIZES)
 
 
+def manifest_lineage(spark, sf):
+    """Rules on origin, counted while the manifest is written, and on uniqueness. Equal texts are inputs that repeat."""
+    digest = lambda *c: F.sha2(F.concat_ws("|", *c), 256)
+    texts = fixtures.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("input_sha256"))
+    rows = stratified_split(spark, sf).join(texts, "doc_id").withColumn("record_sha256", digest(F.col("doc_id").cast("string"), F.col("quality").cast("string")))
+    rows = rows.withColumn("example_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"), F.lit("-"), F.substring("record_sha256", 1, 12)))
+    at = lambda m, r: F.col("doc_id") % m == r
+    faulty = rows.withColumns({
+        "source_split": F.when(at(20, 3), "validation").when(at(30, 7), "other").otherwise(F.when(F.col("split") == "test", "validation").otherwise("train")),
+        "example_id": F.when(at(9, 4), "doc:4").otherwise(F.col("example_id")),
+        "record_sha256": F.when(at(11, 5), F.upper("record_sha256")).otherwise(F.col("record_sha256")),
+    })
+    table, counts = contracts.written(faulty, contracts.lineage_rules({"train": "train", "calibration": "train", "test": "validation"}), "manifest")
+    return counts.unionByName(contracts.repeated(table, {"unique_id": ["example_id"], "unique_record": ["record_sha256"], "unique_input": ["input_sha256"]}))
+
+
+def typed_rows(spark, sf):
+    """Rows by a declaration that is wrong on one type, asks for a column that isn't there, and forbids nulls."""
+    rows = checked.typed(spark, f"{sf}/documents.parquet", "doc_id bigint NOT NULL, text string NOT NULL, lang string, source int, extra double")
+    return rows.select("ordinal", "doc_id", F.col("source").isNull().alias("no_source"), F.array_join("faults", ",").alias("faults"))
+
+
+def condition_sizes(spark, sf):
+    """Conditions that haven't a row for each input."""
+    rows = _degraded(spark, sf).where("NOT (condition = 'no_passage' AND doc_id % 10 = 3)").withColumn("condition", F.when((F.col("condition") == "original") & (F.col("doc_id") % 15 == 4), "unknown").otherwise(F.col("condition")))
+    n = fixtures.labels(spark, sf).count()
+    return contracts.condition_counts(rows, dict.fromkeys(fixtures.CONDITIONS, n))
+
+
 def _faulty_degraded(spark, sf):
     """All conditions with their ids, and then with faults."""
     rows = _degraded(spark, sf).join(_inputs(spark, sf).select("doc_id", "passage"), "doc_id").withColumn("row_id", contracts.degraded_id())
@@ -716,7 +745,7 @@ _ALL = (
     laplace_diagonal, laplace_draws, posterior_summary, posterior_draws, head_fit, temperature_grid_nll, temperature_fit, bootstrap_differences,
     bootstrap_intervals, stage_selection, risk_coverage_by_scope, ensemble_scoped_metrics, normalized_sources, unified_metrics, uq_all_signals,
     bootstrap_weights, bootstrap_measures, degraded_faults, incomplete_inputs, prediction_faults, member_faults, calibration_rows, calibration_faults,
-    manifest_faults, manifest_sizes, capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, truncation_by_tokens, contradiction_by_tokens, distractor_by_tokens, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
+    manifest_faults, manifest_sizes, manifest_lineage, typed_rows, condition_sizes, capped_parse, stored_row_differences, frozen_order, padded_batches, exact_prefixes, truncation_by_tokens, contradiction_by_tokens, distractor_by_tokens, dependent_seeds, vector_digests, key_differences, calibration_alignment, interval_faults, report_faults, parameter_faults, raw_text_leaks, validate_manifest, eligibility, duplicate_texts,
 )
 
 

@@ -446,6 +446,16 @@ def statements() -> dict[str, str]:
         "logit_summary": f"WITH {_FEAT}, m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM flat), z AS (SELECT vec_id, max(top) AS top, sum(exp(v - top)) AS z, sum(exp(v - top) * (v - top)) AS d, min(CASE WHEN v = top THEN dim END) AS a FROM m GROUP BY 1) "
         "SELECT vec_id, round(top + ln(z), 9) AS lse, CAST(a AS INT) AS top, round(ln(z) - d / z, 9) AS entropy FROM z",
         "schedule": "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 4 THEN (i + 1) / 4e0 ELSE 0.5e0 * (1 + cos(pi() * (i - 4) / 71e0)) END, 9) AS factor FROM range(76) r(i)",
+        "manifest_lineage": f"""WITH {_SPLIT}, r AS (SELECT c.doc_id, split, sha256(text) AS input_sha, sha256(c.doc_id || '|' || quality) AS rec FROM chosen c JOIN documents d USING (doc_id) WHERE split IS NOT NULL),
+            f AS (SELECT split, input_sha, CASE WHEN doc_id % 11 = 5 THEN upper(rec) ELSE rec END AS rec, CASE WHEN doc_id % 9 = 4 THEN 'doc:4' ELSE 'doc:' || doc_id || '-' || substr(rec, 1, 12) END AS id,
+              CASE WHEN doc_id % 20 = 3 THEN 'validation' WHEN doc_id % 30 = 7 THEN 'other' WHEN split = 'test' THEN 'validation' ELSE 'train' END AS src FROM r)
+            SELECT unnest(['known_source', 'source_of_split', 'id_of_record', 'form_of_record_sha256', 'form_of_input_sha256', 'unique_id', 'unique_record', 'unique_input']) AS rule,
+              unnest([count(*) FILTER (src = 'other'), count(*) FILTER (src <> CASE WHEN split = 'test' THEN 'validation' ELSE 'train' END), count(*) FILTER (NOT suffix(id, substr(rec, 1, 12))),
+                count(*) FILTER (NOT regexp_full_match(rec, '[0-9a-f]{{64}}')), 0, count(*) - count(DISTINCT id), count(*) - count(DISTINCT rec), count(*) - count(DISTINCT input_sha)]) AS n FROM f""",
+        "typed_rows": "SELECT row_number() OVER () - 1 AS ordinal, doc_id, true AS no_source, concat_ws(',', 'source: string for int32', 'extra: missing', CASE WHEN doc_id IS NULL THEN 'doc_id: null' END, CASE WHEN text IS NULL THEN 'text: null' END) AS faults FROM documents",
+        "condition_sizes": f"""WITH {_INPUTS}, k AS (SELECT count(*) AS expected FROM labels), u AS (SELECT count(*) AS n FROM inp WHERE doc_id % 15 = 4)
+            SELECT 'no_passage' AS condition, count(*) FILTER (doc_id % 10 <> 3) AS n, expected FROM inp, k GROUP BY expected
+            UNION ALL SELECT 'original', expected - n, expected FROM k, u UNION ALL SELECT 'unknown', n, 0 FROM u""",
         "manifest_faults": f"WITH {_SPLIT}, f AS (SELECT doc_id, quality, rank_sha, CASE WHEN doc_id % 20 = 3 THEN reverse(rank_sha) ELSE rank_sha END AS told, CASE WHEN doc_id % 30 = 7 THEN 'other' WHEN split <> 'calibration' THEN split END AS split, "
         "CASE WHEN doc_id % 40 = 9 THEN 0 ELSE place END AS place FROM chosen WHERE split IS NOT NULL) "
         + broken("f", {"known_split": "split IN ('train', 'calibration', 'test')", "rank_of_id": "told = rank_sha", "place_above_zero": "place >= 1", "stratum": "quality IN (0, 1)"}),
