@@ -68,8 +68,16 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SAYS_WITH = re.compile(r"^(?:has|with|no|without|is)[-_]", re.I)
 _DIGITS = re.compile(r"\d+")
 _WHITE = re.compile(r"\s+")
-#: Verdicts on a container: plain, furniture unless it holds most of the page, furniture only if it is made of links, furniture.
-PLAIN, UNLESS_MOST, IF_LINKS, GONE = range(4)
+#: Words that say nothing of what a container holds; digits don't either.
+_FILLER = frozenset(
+    "container wrapper wrap box bar section area list block inner outer left right top bottom site page main primary secondary item items link links button "
+    "buttons panel row col column content global module slot unit group post posts entry entries article title text small large desktop mobile".split()
+)
+#: Verdicts on a container: plain; furniture only if it is made of links; also if it is a small part of a page without an article; furniture unless it holds most of
+#: the page, in an article only if it is small; the same without regard to articles (forms); readers' comments; furniture.
+PLAIN, IF_LINKS, IF_SMALL, UNLESS_MOST, FORM, COMMENTS, GONE = range(7)
+#: A small part of an article, or of the page, that holds no heading.
+SMALL_PART = 0.2
 
 
 class Box:
@@ -111,33 +119,37 @@ def generalised(tag: str, classes: str) -> str:
 
 
 def _named(attributes: dict[str, str]) -> int:
-    """What class and id say."""
+    """What class and id say. A whole name is furniture; a part of it, as in ``modal-verbs``, is a hint that only links confirm."""
     worst = PLAIN
     for name in [*attributes.get("class", "").split(), *attributes.get("id", "").split()]:
         if _SAYS_WITH.match(name):  # such as "has-sidebar", which tells of a neighbour
             continue
-        words = [w.lower() for w in _WORDS.findall(name)]
-        if not _COMMENTS.isdisjoint(words):
-            return GONE
-        if not _FURNITURE.isdisjoint(words) or (len(words) == 1 and words[0] in _PERHAPS):
-            worst = UNLESS_MOST
-        elif worst == PLAIN and not _PERHAPS.isdisjoint(words):
-            worst = IF_LINKS
+        words = {w.lower() for w in _WORDS.findall(name)} - _FILLER
+        known = words & (_FURNITURE | _PERHAPS)
+        if not known:
+            continue
+        if known != words:
+            found = IF_LINKS
+        elif words <= _COMMENTS:
+            found = COMMENTS
+        else:
+            found = UNLESS_MOST if words & _FURNITURE else IF_SMALL
+        worst = max(worst, found)
     return worst
 
 
 def verdict(tag: str, attributes: dict[str, str], parent: Box) -> int:
     if tag in _DROP or "hidden" in attributes or attributes.get("role", "").lower() in _NOISE_ROLE or _INVISIBLE.search(attributes.get("style", "")):
         return GONE
-    named = _named(attributes) if "class" in attributes or "id" in attributes else PLAIN
+    named = _named(attributes) if tag not in _HEADING and ("class" in attributes or "id" in attributes) else PLAIN
     if tag in ("html", "body", "main", "article"):
-        return GONE if named == GONE and tag == "article" else PLAIN
+        return named if named == COMMENTS and tag == "article" else PLAIN
     if tag == "header":  # that of an article is its head
         while parent is not None and parent.tag not in ("article", "main", "section"):
             parent = parent.parent
         return max(named, GONE if parent is None else PLAIN)
     if tag in ("form", "fieldset", "legend", "label") or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() == "form":
-        return GONE if named == GONE else UNLESS_MOST
+        return COMMENTS if named == COMMENTS else FORM
     return named
 
 
@@ -249,28 +261,64 @@ def _sums(boxes: list[Box], blocks: list[Block]) -> None:
             box.parent.links += box.links
 
 
+def _comments(boxes: list[Box], within: dict[int, Box | None]) -> None:
+    """Settles comments: outside an article, and as a post of their own, they go; in an article a section of that name needs the structure of a list
+    of posts: two containers of one path, or a form."""
+    named = [b for b in boxes if b.verdict == COMMENTS]
+    for box in named:
+        if within[id(box)] is None or box.tag in ("article", "li"):
+            box.verdict = GONE
+            continue
+        inside, paths = {id(box)}, []
+        for other in boxes:
+            if id(other.parent) in inside:
+                inside.add(id(other))
+                if other.tag in ("article", "section", "div", "li", "form"):
+                    paths.append(other.path)
+        box.verdict = GONE if len(set(paths)) < len(paths) or any(p.rsplit(">", 1)[1].startswith("form") for p in paths) else PLAIN
+
+
 def _settle(boxes: list[Box], blocks: list[Block]) -> None:
     """Drops what the verdicts and the sizes of containers say, and adds up the rest."""
+    # The article around each container; a page without one may have a main part instead.
+    for holder in ("article", "main"):
+        within: dict[int, Box | None] = {}
+        for box in boxes:
+            above = None if box.parent is None else within[id(box.parent)]
+            within[id(box)] = above if above is not None or box.tag != holder or box.verdict != PLAIN else box
+        own = [b for b in boxes if within[id(b)] is b]
+        if holder == "article":
+            _comments(boxes, within)
+        if own:
+            break
     for box in boxes:
         box.dropped = box.verdict == GONE or (box.parent is not None and box.parent.dropped)
+    headed = {id(b.box) for b in blocks if b.tag in _HEADING and not b.box.dropped}
     for box in reversed(boxes):
-        if not box.dropped and (box.tag in ("article", "main") or box.holds) and box.parent is not None:
-            box.parent.holds = True
+        if box.parent is not None and not box.dropped:
+            if box.tag in ("article", "main") or box.holds:
+                box.parent.holds = True
+            if id(box) in headed:
+                headed.add(id(box.parent))
     _sums(boxes, blocks)
-    # What a name says can be overruled by size, but not where the page has an article of its own.
+    # What a name says can be overruled by size, but outside the article not where the page has one.
+    page = boxes[0].chars - boxes[0].links
     marked = any(b.tag in ("article", "main") and not b.dropped and b.chars for b in boxes)
-    most = float("inf") if marked else OVERRULING_PART * (boxes[0].chars - boxes[0].links)
+    most = float("inf") if marked else OVERRULING_PART * page
     changed = False
     for box in boxes:
         if box.parent is not None and box.parent.dropped:
             changed |= not box.dropped
             box.dropped = True
         elif not box.dropped and box.verdict != PLAIN and not box.holds:
-            worth = box.chars - box.links
-            if box.verdict == UNLESS_MOST:
+            worth, article = box.chars - box.links, within[id(box)]
+            whole = page if article is None else article.chars - article.links
+            small = worth <= SMALL_PART * whole and id(box) not in headed
+            box.dropped = 2 * box.links > box.chars
+            if box.verdict == FORM or (box.verdict == UNLESS_MOST and article is None):
                 box.dropped = worth <= most
-            else:
-                box.dropped = 2 * box.links > box.chars
+            elif box.verdict == UNLESS_MOST or (box.verdict == IF_SMALL and article is None):
+                box.dropped |= small
             changed |= box.dropped
     if changed:
         _sums(boxes, blocks)

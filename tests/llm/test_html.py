@@ -46,6 +46,56 @@ def test_page(source, text):
     assert html_main.main_text(source, None) == text
 
 
+WORDS = "discussion editor-comments-on-law modal-verbs head sharing navigation header notice banner social comments alert related footer-notes toc side".split()
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+@pytest.mark.parametrize("word", WORDS)
+def test_sections_with_names_of_furniture_stay(around, word):
+    """Sections, headings and heads of an article whose class or id is an ordinary word."""
+    section = f'<section id="{word}"><h2>Part</h2><p>{PROSE * 4}</p></section>'
+    source = f'<body><nav>n</nav><{around}><h1>Title</h1><p>{PROSE}</p>{section}</{around}></body>'
+    # Without an article, a whole name of furniture stands for what it says, unless it holds most of the page.
+    if around == "article" or word != "comments":
+        assert html_main.main_text(source, None) == f"Title {P} Part " + " ".join([P] * 4)
+    heading = f'<body><{around}><h1 class="{word}">Title</h1><p>{PROSE}</p><h2 id="{word}">Part</h2><p>{PROSE}</p></{around}></body>'
+    assert html_main.main_text(heading, None) == f"Title {P} Part {P}"
+
+
+def test_heads_and_leads_of_an_article():
+    for word in ("header", "head", "masthead", "banner"):
+        source = f'<article><div class="{word}"><h1>Title</h1><p>lead</p></div><p>{PROSE}</p></article>'
+        assert html_main.main_text(source, None) == f"Title lead {P}"
+    assert html_main.main_text(f'<article><p>{PROSE}</p><section class="head"><p>{PROSE}</p></section></article>', None) == f"{P} {P}"
+
+
+def test_furniture_in_an_article_goes():
+    small = '<div class="ad">Buy now</div><div class="share-buttons"><a href=x>Share</a></div><div class="newsletter-box">Sign up</div><div class="related"><a href=a>one</a> <a href=b>two</a></div>'
+    assert html_main.main_text(f"<article><h1>T</h1><p>{PROSE * 2}</p>{small}<p>{PROSE}</p></article>", None) == f"T {P} {P} {P}"
+    posts = "".join(f'<div class="post{i}"><p>{PROSE * 3}</p></div>' for i in range(3))
+    for section in (f'<section id="comments">{posts}</section>', f'<div class="comment-list">{posts}</div>', f'<section id="comments"><p>{PROSE * 3}</p><form><input></form></section>'):
+        assert html_main.main_text(f"<article><h1>T</h1><p>{PROSE}</p>{section}</article>", None) == f"T {P}"
+        assert html_main.main_text(f"<article><h1>T</h1><p>{PROSE}</p></article>{section}", None) == f"T {P}"
+
+
+def test_generated_articles(spark):
+    """Against the text that was put in, on pages of made-up classes, with and without an article element."""
+    import random
+
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(120):
+        parts, text = [f"<h1 id={rng.choice(WORDS)}>Title {i}</h1>"], [f"Title {i}"]
+        for k in range(rng.randint(2, 6)):
+            own = f"{k} {PROSE * rng.randint(1, 5)}"
+            parts.append(f'<section class="{rng.choice(WORDS)}-{rng.choice(("rules", "verbs", "law"))}"><h2 class="{rng.choice(WORDS)}">Part {k}</h2><p>{own}</p></section>')
+            text += [f"Part {k}", re.sub(r"\s+", " ", own).strip()]
+        around = rng.choice(("article", "main", "div"))
+        rows.append((i, f"http://g{i % 7}.example/{i}", f'<body><nav><a href=x>menu</a></nav><div class="sidebar"><a href=y>more</a></div><{around}>{"".join(parts)}</{around}><footer>f</footer></body>'))
+        want[i] = " ".join(text)
+    got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_long_attributes_are_read_once():
     assert html_main.main_text("<p" + " a" * 200_000, None) == ""
     assert html_main.main_text("<p>x" + "<p a='" * 20_000, None) == "x"
