@@ -41,11 +41,13 @@ def attach_labels(scores: DataFrame, labels: DataFrame, key: str = "doc_id") ->
     told = [c for c in labels.columns if c != key]
     if taken := set(told) & set(scores.columns):
         raise ContractError(f"scores hold label columns: {sorted(taken)}")
-    one = labels.groupBy(key).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in told))
-    joined = scores.join(one, key, "left")
+    # One row: the least key that has two labels. The labels themselves join as they are, so a small table of them needs no shuffle.
+    twice = labels.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.min(F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("_twice"))
+    joined = scores.join(labels.withColumn("_known", F.lit(True)), key, "left").join(F.broadcast(twice), F.lit(True))
     shown = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    fault = F.when(F.col("_n").isNull(), F.concat(F.lit("no label for "), shown)).when(F.col("_n") > 1, F.concat(F.lit("two labels for "), shown))
-    return joined.withColumn("_n", F.when(fault.isNotNull(), F.raise_error(fault).cast("long")).otherwise(F.col("_n"))).where("_n = 1").drop("_n")
+    fault = F.when(F.col("_twice").isNotNull(), F.concat(F.lit("two labels for "), "_twice")).when(F.col("_known").isNull(), F.concat(F.lit("no label for "), shown))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.col("_known"))
+    return joined.withColumn("_known", checked).where("_known").drop("_known", "_twice")
 
 
 def with_scope(rows: DataFrame, condition: str = "condition") -> DataFrame:
