@@ -14,6 +14,8 @@ from .validation import ContractError
 # The user turn and the answer prefix of a prompt.
 USER_TEMPLATE = "Passage: {passage}\nQuestion: {question}"
 PREFIX = "Answer:"
+#: What rows say of how they were made.
+PROTOCOL, RENDERER = "evidence-v1", "plain-v1"
 #: White-space tokens that a prompt may have.
 MOST_TOKENS = 768
 METRICS = ("accuracy", "nll", "brier")
@@ -35,28 +37,81 @@ def prompt(passage: Column, question: Column, system: str = "", template: str =
     return F.concat(*parts, F.lit("\n" + prefix))
 
 
-def runtime_rows(inputs: DataFrame, degraded: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
-    """One row for each degraded input (doc_id, condition, status, reason, transformed) without its raw text: hash and length of the
-    text and of the prompt, and the status. A prompt over ``most`` tokens turns ``ok`` into ``too_long``."""
-    rows = degraded.join(inputs.select("doc_id", "question", F.sha2("passage", 256).alias("passage_sha"), F.length("passage").alias("passage_chars")), "doc_id")
+def _runtime(inputs: DataFrame, degraded: DataFrame, most: int) -> DataFrame:
+    original = prompt(F.col("passage"), F.col("question"))
+    own = inputs.select(
+        "doc_id", "question", F.sha2("passage", 256).alias("passage_sha"), F.length("passage").alias("passage_chars"), F.sha2(F.concat_ws("\n", "question", "passage"), 256).alias("input_sha256"),
+        F.size(T.words(F.col("passage"))).cast("long").alias("passage_tokens"), F.sha2(original, 256).alias("original_prompt_sha256"), F.size(T.words(original)).cast("long").alias("original_prompt_tokens"),
+    )
+    rows = degraded.join(own, "doc_id")
     made = prompt(F.col("transformed"), F.col("question"))
     rows = rows.select(
-        "*", F.size(T.words(made)).alias("n"), F.sha2(made, 256).alias("prompt_sha"), F.length(made).cast("long").alias("prompt_chars"),
+        "*", F.size(T.words(made)).alias("n"), F.sha2(made, 256).alias("made_sha"), F.length(made).cast("long").alias("made_chars"),
         text_id("runtime", F.col("doc_id"), F.col("condition")).alias("row_id"),
     )
     ok = F.col("status") == "ok"
     fits = ok & (F.col("n") <= most)
-    return rows.select(
-        "row_id", "doc_id", "condition", "passage_sha", F.sha2("question", 256).alias("question_sha"), F.sha2("transformed", 256).alias("text_sha"),
-        F.length("transformed").cast("long").alias("text_chars"), F.size(T.words(F.col("transformed"))).cast("long").alias("text_tokens"),
-        P.ratio_ppm(F.length("transformed"), F.greatest(F.col("passage_chars"), F.lit(1))).alias("text_ppm"),
-        F.when(ok, F.col("prompt_chars")).alias("prompt_chars"), fits.alias("runs"),
-        F.when(ok & ~fits, "too_long").otherwise(F.col("status")).alias("status"),
-        F.when(ok & ~fits, "prompt_over_limit").otherwise(F.col("reason")).alias("reason"),
-        F.when(ok, F.col("n").cast("long")).alias("prompt_tokens"),
-        F.when(ok, F.col("prompt_sha")).alias("prompt_sha"),
-        F.when(ok, F.sha2("transformed", 256) != F.col("passage_sha")).alias("changed"),
+    return rows.withColumns({
+        "question_sha": F.sha2("question", 256), "text_sha": F.sha2("transformed", 256), "text_chars": F.length("transformed").cast("long"),
+        "text_tokens": F.size(T.words(F.col("transformed"))).cast("long"), "text_ppm": P.ratio_ppm(F.length("transformed"), F.greatest(F.col("passage_chars"), F.lit(1))),
+        "prompt_chars": F.when(ok, F.col("made_chars")), "runs": fits,
+        "run_status": F.when(ok & ~fits, "too_long").otherwise(F.col("status")), "run_reason": F.when(ok & ~fits, "prompt_over_limit").otherwise(F.col("reason")),
+        "prompt_tokens": F.when(ok, F.col("n").cast("long")), "prompt_sha": F.when(ok, F.col("made_sha")), "changed": F.when(ok, F.sha2("transformed", 256) != F.col("passage_sha")),
+    })
+
+
+def runtime_rows(inputs: DataFrame, degraded: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """One row for each degraded input (doc_id, condition, status, reason, transformed) without its raw text: hash and length of the
+    text and of the prompt, and the status. A prompt over ``most`` tokens turns ``ok`` into ``too_long``."""
+    return _runtime(inputs, degraded, most).select(
+        "row_id", "doc_id", "condition", "passage_sha", "question_sha", "text_sha", "text_chars", "text_tokens", "text_ppm", "prompt_chars", "runs", F.col("run_status").alias("status"),
+        F.col("run_reason").alias("reason"), "prompt_tokens", "prompt_sha", "changed",
+    )
+
+
+def runtime_records(inputs: DataFrame, degraded: DataFrame, seed: int, fragment_tokens: int, source_split: str = "validation", most: int = MOST_TOKENS) -> DataFrame:
+    """The rows as they are stored: versions, id, origin, the input's and the transformed text's hashes and sizes, both states, flags, parameters and the hash of all that.
+
+    Of the parameters a row has those that its condition takes. No raw text is in it.
+    """
+    takes = lambda value, *conditions: F.when(F.col("condition").isin(*conditions), F.lit(value))
+    parameters = F.struct(
+        takes(fragment_tokens, "irrelevant_distractor", "lexical_contradiction").cast("long").alias("fragment_tokens"), takes(seed, "irrelevant_distractor").cast("long").alias("seed"),
+        takes("1/2", "prefix_truncation_50").alias("share"),
+    )
+    rows = _runtime(inputs, degraded, most).select(
+        F.lit(1).cast("long").alias("schema_version"), F.lit(PROTOCOL).alias("protocol_version"), F.col("row_id").alias("transformation_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("input_id"),
+        F.lit("test").alias("research_split"), F.lit(source_split).alias("source_split"), F.col("doc_id").alias("source_index"), "input_sha256", F.col("passage_sha").alias("original_passage_sha256"),
+        F.col("passage_tokens").alias("original_passage_tokens"), "original_prompt_sha256", "original_prompt_tokens", F.col("condition_index").cast("long").alias("condition_index"), "condition",
+        F.col("status").alias("transformation_status"), F.col("reason").alias("transformation_reason_code"), F.when(F.col("status") == "ok", F.when(F.col("runs"), "ok").otherwise("failed")).otherwise("not_run").alias("runtime_status"),
+        F.when(F.col("status") != "ok", "transformation_not_applicable").when(~F.col("runs"), "prompt_over_limit").alias("runtime_reason_code"), F.col("flags").alias("quality_flags"),
+        F.col("text_sha").alias("transformed_passage_sha256"), F.when(F.col("status") == "ok", F.col("text_tokens")).alias("transformed_passage_tokens"), F.col("changed").alias("changed_from_original"),
+        F.col("prompt_sha").alias("rendered_prompt_sha256"), "prompt_tokens", F.lit(most).cast("long").alias("runtime_maximum_prompt_tokens"), F.lit(RENDERER).alias("renderer_version"), parameters.alias("parameters"),
+    )
+    return row_hash(rows)
+
+
+def evaluation_records(rows: DataFrame, temperature_digests: dict[str, str]) -> DataFrame:
+    """Evaluated and parsed predictions as they are stored: versions, id, truth and answer, logits, raw and calibrated probabilities, confidences and entropies, the temperature and
+    the digest of the file that it came from, the hash of the prediction's row, the stated confidence with its distances, and the hash of all that.
+
+    ``rows`` are those of ``metrics.evaluate`` with the parse (valid, stated, reason); ``temperature_digests`` has one digest a method.
+    """
+    digest = F.create_map(*(F.lit(x) for pair in temperature_digests.items() for x in pair))[F.col("method")]
+    said = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "condition", "method", "completion"), 256)
+    stated = F.when(F.col("valid"), F.col("stated").cast("long"))
+    name = lambda c: F.when(c, "Yes").otherwise("No")
+    out = rows.select(
+        F.lit(1).cast("long").alias("schema_version"), F.lit(PROTOCOL).alias("protocol_version"), "method", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("input_id"), F.col("doc_id").alias("source_index"),
+        "condition", F.col("condition_index").cast("long").alias("condition_index"), F.array(F.lit("No"), F.lit("Yes")).alias("class_order"), name(F.col("truth")).alias("ground_truth"), name(F.col("says_yes")).alias("token_prediction"),
+        "correct", F.col("margin").alias("yes_logit"), F.lit(0.0).alias("no_logit"), F.col("p_raw").alias("raw_p_yes"), (1 - F.col("p_raw")).alias("raw_p_no"), F.col("p_cal").alias("calibrated_p_yes"),
+        (1 - F.col("p_cal")).alias("calibrated_p_no"), F.col("conf_raw").alias("raw_confidence"), F.col("conf_cal").alias("calibrated_confidence"), P.entropy(F.col("p_raw")).alias("raw_entropy"),
+        F.col("entropy_cal").alias("calibrated_entropy"), "temperature", digest.alias("temperature_artifact_sha256"), said.alias("source_prediction_row_sha256"), F.col("valid").alias("expressed_parser_valid"),
+        F.col("reason").alias("expressed_parser_reason_code"), stated.alias("expressed_confidence"), F.abs(stated / 100.0 - F.col("conf_raw")).alias("expressed_raw_absolute_divergence"),
+        F.abs(stated / 100.0 - F.col("conf_cal")).alias("expressed_calibrated_absolute_divergence"),
     )
+    identity = ("input_id", "condition", "method", "protocol_version", "source_prediction_row_sha256", "temperature_artifact_sha256")
+    return row_hash(out.withColumn("evaluation_id", text_id("evaluation", *(F.col(c) for c in identity))))
 
 
 def prompt_deltas(runtime: DataFrame) -> DataFrame:

@@ -589,6 +589,23 @@ def runtime_rows(spark, sf):
     return records.runtime_rows(_inputs(spark, sf), _degraded(spark, sf))
 
 
+def runtime_records(spark, sf):
+    """Stored rows; flags and parameters are structures of their own."""
+    return records.runtime_records(_inputs(spark, sf), _degraded(spark, sf), SEED, degrade.FRAGMENT_WORDS).withColumns(
+        {"quality_flags": F.array_join("quality_flags", ","), "parameters": F.to_json("parameters")}
+    )
+
+
+TEMPERATURE_DIGESTS = {m: sha256(f"temperature of {m}".encode()).hexdigest() for m, _ in fixtures.METHODS}
+
+
+def evaluation_records(spark, sf):
+    """Stored evaluation rows, with whether their hash is that of their content."""
+    rows = records.evaluation_records(parser.parse(_eval(spark, sf)), TEMPERATURE_DIGESTS)
+    found = F.sha2(identity.canonical(F.struct(*(c for c in rows.columns if c != "row_sha256"))), 256)
+    return rows.withColumn("sealed", found == F.col("row_sha256")).drop("row_sha256").withColumn("class_order", F.array_join("class_order", ","))
+
+
 def prediction_rows(spark, sf):
     return records.prediction_rows(runtime_rows(spark, sf), fixtures.predictions(spark, sf))
 
@@ -732,7 +749,7 @@ def posterior_metrics(spark, sf):
 
 _ALL = (
     posterior_metrics,
-    sentence_spans, prompts, runtime_rows, prediction_rows, flag_counts, prediction_counts, member_variation, method_comparisons,
+    sentence_spans, prompts, runtime_rows, runtime_records, evaluation_records, prediction_rows, flag_counts, prediction_counts, member_variation, method_comparisons,
     adapter_rows, adapter_envelopes, adapter_identities, uq_degradation_means, seed_uq_summary, overlap_fractions, logit_summary, schedule, trimmed_ids,
     source_slugs, turn_gaps,
     eval_rows, metrics_by_scope, ece_by_scope, reliability_bins, auroc_error, average_precision_error, average_ranks,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import TOKEN
 from ..operators.degrade import FRAGMENT_WORDS, TEMPLATE, VERSION
-from ..operators.records import MOST_TOKENS, PREFIX
+from ..operators.records import MOST_TOKENS, PREFIX, PROTOCOL, RENDERER
 from ..sources.fixtures import CONDITIONS, METHODS
 
 _COND = ", ".join(f"({i}, '{c}')" for i, c in enumerate(CONDITIONS))
@@ -400,6 +400,27 @@ def statements() -> dict[str, str]:
             placed AS (SELECT doc_id, i, {_strip('seg')} AS s, coalesce(sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(seg) - length(regexp_replace(seg, '^\\s+', '')) AS a FROM cut)
             SELECT doc_id, count(i) AS n, sha256(coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(s) AS BIGINT), ',' ORDER BY i), '')) AS digest FROM documents LEFT JOIN (SELECT * FROM placed WHERE s <> '') USING (doc_id) GROUP BY 1""",
         "prompts": f"WITH {_INPUTS}, p AS (SELECT doc_id, {made.format('passage')} AS p FROM inp) SELECT doc_id, sha256(p) AS sha, len({_words('p')}) AS n_tokens FROM p",
+        "runtime_records": f"""WITH {runtime}, o AS (SELECT doc_id, sha256(question || chr(10) || passage) AS input_sha256, len({_words('passage')}) AS pt, sha256({made.format('passage')}) AS ops, len({_words(made.format('passage'))}) AS opt FROM inp),
+            n AS (SELECT unnest({list(CONDITIONS)}) AS condition, unnest(range(6)) AS condition_index),
+            f AS (SELECT doc_id, condition, status AS st, reason AS rs, list_sort(list_filter(flags, lambda f: f IS NOT NULL)) AS flags FROM r),
+            j AS (SELECT {{'changed_from_original': u.changed, 'condition': u.condition, 'condition_index': n.condition_index, 'input_id': 'doc:' || u.doc_id, 'input_sha256': o.input_sha256, 'original_passage_sha256': u.passage_sha,
+              'original_passage_tokens': o.pt, 'original_prompt_sha256': o.ops, 'original_prompt_tokens': o.opt, 'parameters': {{'fragment_tokens': CASE WHEN u.condition IN ('irrelevant_distractor', 'lexical_contradiction') THEN {FRAGMENT_WORDS} END,
+              'seed': CASE WHEN u.condition = 'irrelevant_distractor' THEN 20260803 END, 'share': CASE WHEN u.condition = 'prefix_truncation_50' THEN '1/2' END}}, 'prompt_tokens': u.prompt_tokens, 'protocol_version': '{PROTOCOL}',
+              'quality_flags': f.flags, 'rendered_prompt_sha256': u.prompt_sha, 'renderer_version': '{RENDERER}', 'research_split': 'test', 'runtime_maximum_prompt_tokens': {MOST_TOKENS},
+              'runtime_reason_code': CASE WHEN f.st <> 'ok' THEN 'transformation_not_applicable' WHEN NOT u.runs THEN 'prompt_over_limit' END, 'runtime_status': CASE WHEN f.st <> 'ok' THEN 'not_run' WHEN u.runs THEN 'ok' ELSE 'failed' END,
+              'schema_version': 1, 'source_index': u.doc_id, 'source_split': 'validation', 'transformation_id': u.row_id, 'transformation_reason_code': f.rs, 'transformation_status': f.st, 'transformed_passage_sha256': u.text_sha,
+              'transformed_passage_tokens': CASE WHEN f.st = 'ok' THEN u.text_tokens END}} AS s FROM runtime u JOIN o USING (doc_id) JOIN n USING (condition) JOIN f USING (doc_id, condition)),
+            x AS (SELECT s, unnest(s), sha256(CAST(to_json(s) AS VARCHAR)) AS row_sha256 FROM j)
+            SELECT * EXCLUDE (s) REPLACE (array_to_string(quality_flags, ',') AS quality_flags, '{{' || concat_ws(',', '"fragment_tokens":' || parameters.fragment_tokens, '"seed":' || parameters.seed, '"share":"' || parameters.share || '"') || '}}' AS parameters) FROM x""",
+        "evaluation_records": with_pred(
+            parsed,
+            f"""SELECT 1 AS schema_version, '{PROTOCOL}' AS protocol_version, method, 'doc:' || doc_id AS input_id, doc_id AS source_index, condition, condition_index, 'No,Yes' AS class_order, CASE WHEN truth THEN 'Yes' ELSE 'No' END AS ground_truth,
+            CASE WHEN says_yes THEN 'Yes' ELSE 'No' END AS token_prediction, correct, round(margin, 9) AS yes_logit, 0e0 AS no_logit, round(p_raw, 9) AS raw_p_yes, round(1 - p_raw, 9) AS raw_p_no, round(p_cal, 9) AS calibrated_p_yes, round(1 - p_cal, 9) AS calibrated_p_no,
+            round(conf_raw, 9) AS raw_confidence, round(conf_cal, 9) AS calibrated_confidence, round({entropy('p_raw')}, 9) AS raw_entropy, round(entropy_cal, 9) AS calibrated_entropy, temperature, sha256('temperature of ' || method) AS temperature_artifact_sha256,
+            sha256(concat_ws('|', doc_id, condition, method, completion)) AS source_prediction_row_sha256, valid AS expressed_parser_valid, reason AS expressed_parser_reason_code, stated AS expressed_confidence,
+            round(abs(stated / 100e0 - conf_raw), 9) AS expressed_raw_absolute_divergence, round(abs(stated / 100e0 - conf_cal), 9) AS expressed_calibrated_absolute_divergence, true AS sealed,
+            'evaluation-' || sha256(concat_ws('|', 'doc:' || doc_id, condition, method, '{PROTOCOL}', sha256(concat_ws('|', doc_id, condition, method, completion)), sha256('temperature of ' || method))) AS evaluation_id FROM parsed""",
+        ),
         "runtime_rows": f"WITH {runtime} SELECT * FROM runtime",
         "prediction_rows": f"""WITH {runtime}, {_PRED}, {parsed}, j AS (SELECT r.doc_id, r.condition, r.status, r.reason AS run_reason0, r.prompt_sha, r.prompt_tokens, q.method, q.margin, q.p_raw, q.completion, q.valid, q.answer AS said, q.stated, q.reason AS parse_reason,
             r.status = 'ok' AND margin IS NOT NULL AS go, CASE WHEN margin >= 0 THEN 'Yes' ELSE 'No' END AS top FROM runtime r LEFT JOIN parsed q USING (doc_id, condition))
