@@ -95,3 +95,15 @@ def test_opposite_margins_tie_as_in_sql(spark):
     assert con.execute(f"SELECT m, t FROM ({q}) WHERE c <> round(greatest(p, 1 - p), 12) OR e <> round(1 - greatest(p, 1 - p), 12)").fetchall() == []
     far = spark.createDataFrame([(-800.0,), (-740.0,), (800.0,), (None,)], "m double").select(P.sigmoid(F.col("m")).alias("p")).collect()
     assert far[0].p == 0 and 0 < far[1].p < 1e-300 and far[2].p == 1 and far[3].p is None
+
+
+def _border(spark):
+    """Two opposite margins that SQL rounds to two confidences, the higher one with the greater id, and a lower one."""
+    data = [(1, 2.996, 0), (2, -2.996, 0), (3, 1.0, 1)]
+    rows = spark.createDataFrame([(i, q, "original", "baseline", 2.9551, m) for i, m, q in data], "doc_id long, quality int, condition string, method string, temperature double, margin double")
+    return metrics.evaluate(rows)
+
+
+def test_curve_by_scope_at_a_border_of_rounding(spark):
+    got = metrics.risk_coverage(metrics.with_scope(_border(spark)), ["method", "scope"]).collect()
+    assert {(r.scope, r.doc_id, r.retained, r.errors) for r in got} == {(s, *x) for s in ("overall", "original") for x in ((2, 1, 0), (1, 2, 1), (3, 3, 1))}
