@@ -107,3 +107,8 @@ def _border(spark):
 def test_curve_by_scope_at_a_border_of_rounding(spark):
     got = metrics.risk_coverage(metrics.with_scope(_border(spark)), ["method", "scope"]).collect()
     assert {(r.scope, r.doc_id, r.retained, r.errors) for r in got} == {(s, *x) for s in ("overall", "original") for x in ((2, 1, 0), (1, 2, 1), (3, 3, 1))}
+
+
+def test_thinned_curve_at_a_border_of_rounding(spark):
+    got = metrics.thinned(metrics.risk_coverage(_border(spark), ["method"]), every=2).collect()
+    assert {(r.doc_id, r.retained, r.errors) for r in got} == {(2, 1, 0), (1, 2, 1)}
