@@ -250,3 +250,38 @@ def test_replicates_against_resampled_rows(spark, monkeypatch):
         pos, neg = [d[4] for d in own if not d[3]], [d[4] for d in own if d[3]]
         wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
         assert (r.accuracy, r.nll, r.auroc) == pytest.approx((len(neg) / len(own), sum(d[6] for d in own) / len(own), wins), abs=1e-12)
+
+
+def _few(spark):
+    """Inputs of which one has no donor, since all others have its passage or none, and one has no question."""
+    return spark.createDataFrame([(i, "what w1 is" if i else "?", "w1 here. w2 there.") for i in range(8)] + [(8, "w1", "w3 alone"), (9, "w2", "")], "doc_id long, question string, passage string")
+
+
+def test_states_without_choosing_donors(spark, monkeypatch):
+    from assayframe.operators import degrade
+
+    docs = _few(spark)
+    fields = ["doc_id", "condition", "condition_index", "status", "reason"]
+    for own in (docs, docs.where("doc_id < 8")):
+        donors = degrade.donors_of(own)
+        want = degrade.all_conditions(own, donors, 7).select(*fields).collect()
+        with monkeypatch.context() as m:
+            m.setattr(degrade, "chosen_donors", None)
+            assert sorted(map(str, degrade.all_states(own, donors).select(*fields).collect())) == sorted(map(str, want))
+    donors = degrade.donors_of(docs)
+    want = {r.doc_id: r.eligible for r in degrade.distractor(docs, donors, 7).collect()}
+    assert {r.doc_id: r.eligible for r in degrade.eligible_donors(docs, donors).collect()} == want
+
+
+def _without_pairs(spark, monkeypatch, name):
+    """The query's rows, with the choice of donors taken away."""
+    from assayframe.operators import degrade
+    from assayframe.plans import catalog
+
+    monkeypatch.setattr(degrade, "chosen_donors", None)
+    return catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_status_counts_meet_no_pairs(spark, monkeypatch):
+    rows = _without_pairs(spark, monkeypatch, "status_counts")
+    assert {r.condition for r in rows} == {"original", "lexical_evidence_removal", "prefix_truncation_50", "irrelevant_distractor", "lexical_contradiction", "no_passage"}
