@@ -285,3 +285,7 @@ def _without_pairs(spark, monkeypatch, name):
 def test_status_counts_meet_no_pairs(spark, monkeypatch):
     rows = _without_pairs(spark, monkeypatch, "status_counts")
     assert {r.condition for r in rows} == {"original", "lexical_evidence_removal", "prefix_truncation_50", "irrelevant_distractor", "lexical_contradiction", "no_passage"}
+
+
+def test_incomplete_inputs_meet_no_pairs(spark, monkeypatch):
+    assert all(r.doc_id % 31 == 8 for r in _without_pairs(spark, monkeypatch, "incomplete_inputs"))
