@@ -289,3 +289,7 @@ def test_status_counts_meet_no_pairs(spark, monkeypatch):
 
 def test_incomplete_inputs_meet_no_pairs(spark, monkeypatch):
     assert all(r.doc_id % 31 == 8 for r in _without_pairs(spark, monkeypatch, "incomplete_inputs"))
+
+
+def test_condition_sizes_meet_no_pairs(spark, monkeypatch):
+    assert {r.condition for r in _without_pairs(spark, monkeypatch, "condition_sizes")} <= {"original", "no_passage", "unknown"}
