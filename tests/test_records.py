@@ -293,3 +293,15 @@ def test_incomplete_inputs_meet_no_pairs(spark, monkeypatch):
 
 def test_condition_sizes_meet_no_pairs(spark, monkeypatch):
     assert {r.condition for r in _without_pairs(spark, monkeypatch, "condition_sizes")} <= {"original", "no_passage", "unknown"}
+
+
+def test_blocks_and_chunks_are_written_once(spark, monkeypatch):
+    """No copy of a donor for each block, nor of a target for each chunk, on the way to the pairs."""
+    from assayframe.operators import degrade
+
+    plans = []
+    monkeypatch.setattr(degrade, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    monkeypatch.setattr(degrade, "CHUNK_DONORS", 3)
+    docs = _few(spark)
+    degrade.distractor(docs, degrade.donors_of(docs), 7)
+    assert len(plans) == 1 and "Generate" not in plans[0] and ("CartesianProduct" in plans[0] or "BroadcastNestedLoopJoin" in plans[0])
