@@ -305,3 +305,12 @@ def test_blocks_and_chunks_are_written_once(spark, monkeypatch):
     docs = _few(spark)
     degrade.distractor(docs, degrade.donors_of(docs), 7)
     assert len(plans) == 1 and "Generate" not in plans[0] and ("CartesianProduct" in plans[0] or "BroadcastNestedLoopJoin" in plans[0])
+
+
+def test_scores_are_not_broadcast(spark):
+    from assayframe.operators import records
+    from assayframe.sources import fixtures
+
+    runtime = spark.createDataFrame([(1, "original", "ok", None, "x", 1)], "doc_id long, condition string, status string, reason string, prompt_sha string, prompt_tokens long")
+    plan = records.prediction_rows(runtime, fixtures.predictions(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
