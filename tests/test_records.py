@@ -314,3 +314,18 @@ def test_scores_are_not_broadcast(spark):
     runtime = spark.createDataFrame([(1, "original", "ok", None, "x", 1)], "doc_id long, condition string, status string, reason string, prompt_sha string, prompt_tokens long")
     plan = records.prediction_rows(runtime, fixtures.predictions(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+#: Queries that choose donors.
+CHOOSING = ("degradation_summary",)
+
+
+@pytest.mark.parametrize("name", CHOOSING)
+def test_donors_are_chosen_once_and_copied_nowhere(spark, monkeypatch, name):
+    from assayframe.operators import degrade
+    from assayframe.plans import catalog
+
+    plans, staged = {}, degrade.staged
+    monkeypatch.setattr(degrade, "staged", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name), raising=False)
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert list(plans) == ["chosen"] and len(plans["chosen"]) == 1 and "Generate" not in plans["chosen"][0]
