@@ -317,7 +317,7 @@ def test_scores_are_not_broadcast(spark):
 
 
 #: Queries that choose donors.
-CHOOSING = ("degradation_summary", "degraded_faults", "degraded_tokens", "donor_reuse", "flag_counts", "prediction_faults", "runtime_rows", "distractor_by_tokens", "prompt_deltas", "runtime_records",)
+CHOOSING = ("degradation_summary", "degraded_faults", "degraded_tokens", "donor_reuse", "flag_counts", "prediction_faults", "runtime_rows", "distractor_by_tokens", "prompt_deltas", "runtime_records", "donor_fragments",)
 
 
 @pytest.mark.parametrize("name", CHOOSING)
