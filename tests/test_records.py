@@ -337,3 +337,12 @@ def test_labels_are_never_broadcast(spark):
 
     plan = fixtures.documents_with_questions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 1 and plan.count("BroadcastExchange") == 1
+
+
+def test_incomplete_inputs_stage_inputs_without_broadcast_labels(spark, monkeypatch):
+    from assayframe.plans import catalog
+
+    plans, staged = [], catalog.shared.staged
+    monkeypatch.setattr(catalog.shared, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    catalog.queries()["incomplete_inputs"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and plans[0].count("ShuffledHashJoin") == 1 and plans[0].count("BroadcastExchange") == 1
