@@ -346,3 +346,30 @@ def test_incomplete_inputs_stage_inputs_without_broadcast_labels(spark, monkeypa
     monkeypatch.setattr(catalog.shared, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
     catalog.queries()["incomplete_inputs"](spark, "/root/testdata/sf0.001")
     assert len(plans) == 1 and plans[0].count("ShuffledHashJoin") == 1 and plans[0].count("BroadcastExchange") == 1
+
+
+@pytest.mark.parametrize("name", ["degradation_summary"])
+def test_conditions_carry_their_input(spark, monkeypatch, name):
+    """Two joins, of donors and of inputs with them; none that brings the input's text to its conditions a second time."""
+    from assayframe.operators import describe
+    from assayframe.plans import catalog
+
+    frames = []
+    monkeypatch.setattr(describe, "staged", lambda df, name: frames.append(df) or df)
+    if name == "degraded_faults":
+        monkeypatch.setattr(catalog.contracts, "check", lambda df, rules: df)
+    made = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = (frames or [made])[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+
+
+def test_conditions_work_out_a_text_once(spark, monkeypatch):
+    """The passage is split into words once, for the length, the half and its comparison, and the generator of six rows only reads columns."""
+    from assayframe.operators import degrade
+
+    docs = _few(spark)
+    assert degrade.prefix_truncation(docs)._jdf.queryExecution().optimizedPlan().toString().count("split(passage") == 1
+    monkeypatch.setattr(degrade, "staged", lambda df, name: df)
+    plan = degrade.all_conditions(docs, degrade.donors_of(docs), 7)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "Generate inline" in x)
+    assert "regexp" not in line and "slice" not in line and "split(" not in line
