@@ -348,7 +348,7 @@ def test_incomplete_inputs_stage_inputs_without_broadcast_labels(spark, monkeypa
     assert len(plans) == 1 and plans[0].count("ShuffledHashJoin") == 1 and plans[0].count("BroadcastExchange") == 1
 
 
-@pytest.mark.parametrize("name", ["degradation_summary", "degraded_faults"])
+@pytest.mark.parametrize("name", ["degradation_summary", "degraded_faults", "degraded_tokens"])
 def test_conditions_carry_their_input(spark, monkeypatch, name):
     """Two joins, of donors and of inputs with them; none that brings the input's text to its conditions a second time."""
     from assayframe.operators import describe
