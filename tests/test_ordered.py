@@ -142,3 +142,10 @@ def test_risk_by_scope_on_a_border_of_nine_digits(spark):
 
     curve = metrics.risk_coverage(metrics.with_scope(_risk_of_border(spark)), ["method", "scope"])
     assert {r.scope: r.risk for r in catalog.rounded(curve).where("retained = 5120").collect()} == {"overall": 0.008007812, "original": 0.008007812}
+
+
+def test_thinned_risk_on_a_border_of_nine_digits(spark):
+    from assayframe.plans import catalog
+
+    curve = metrics.thinned(metrics.risk_coverage(_risk_of_border(spark), ["method"]), every=5120)
+    assert {r.retained: r.risk for r in catalog.rounded(curve).collect()} == {1: 1.0, 5120: 0.008007812}
