@@ -389,7 +389,7 @@ def test_bitmap_holds_every_key(spark, monkeypatch):
     assert own <= {r.doc_id for r in rows.where(fixtures.may_hold(keys, "doc_id")).collect()}
 
 
-@pytest.mark.parametrize("name", ["incomplete_inputs", "donor_reuse", "flag_counts", "runtime_rows", "distractor_by_tokens", "donor_fragments", "prediction_faults", "prompt_deltas"])
+@pytest.mark.parametrize("name", ["incomplete_inputs", "donor_reuse", "flag_counts", "runtime_rows", "distractor_by_tokens", "donor_fragments", "prediction_faults", "prompt_deltas", "runtime_records"])
 def test_texts_without_label_are_not_shuffled(spark, monkeypatch, name):
     """The documents are cut down to those that may have a label below the join that deals them."""
     from assayframe.plans import catalog
