@@ -331,6 +331,35 @@ def test_donors_are_chosen_once_and_copied_nowhere(spark, monkeypatch, name):
     assert list(plans) == ["chosen"] and len(plans["chosen"]) == 1 and "Generate" not in plans["chosen"][0]
 
 
+#: Queries that meet pairs of inputs and donors.
+PAIRED = ("distractor_top1",)
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_pairs_are_hashed_where_they_meet(spark, monkeypatch, name):
+    """A pair is never written out: one row of a target and chunk leaves a task, with the least hash, and no array of candidates."""
+    from assayframe.operators import degrade
+    from assayframe.plans import catalog
+
+    plans, staged = [], degrade.staged
+    monkeypatch.setattr(degrade, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df, name))
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    met = next(x for x in plans[0].splitlines() if "MapInArrow" in x)
+    assert len(plans) == 1 and "tie#" in met and "candidates" not in plans[0] and "lambda" not in plans[0].split("MapInArrow")[0]
+
+
+def test_least_hash_of_a_target():
+    from hashlib import sha256
+
+    from assayframe.operators import degrade
+
+    donors = [1, 22, 333, 4444, 55555, 666666, 7777777, 10**18]
+    for target in (0, 9, 10**6, 10**18 + 1):
+        texts = [f'{{"candidate_example_id":"{d}","condition_version":"{degrade.VERSION}","seed":7,"target_example_id":"{target}"}}' for d in donors]
+        hashes = [sha256(t.encode()).hexdigest() for t in texts]
+        assert degrade._least_tie(degrade._begun(donors, 7).tolist(), target) == (min(hashes), hashes.index(min(hashes)))
+
+
 def test_labels_are_never_broadcast(spark):
     """Documents meet labels by the same join at any size; only the benchmark's few rows are broadcast."""
     from assayframe.sources import fixtures
