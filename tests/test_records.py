@@ -332,7 +332,7 @@ def test_donors_are_chosen_once_and_copied_nowhere(spark, monkeypatch, name):
 
 
 #: Queries that meet pairs of inputs and donors.
-PAIRED = ("degraded_faults", "degradation_summary", "runtime_rows", "prompt_deltas", "distractor_top1",)
+PAIRED = ("degraded_tokens", "degraded_faults", "degradation_summary", "runtime_rows", "prompt_deltas", "distractor_top1",)
 
 
 @pytest.mark.parametrize("name", PAIRED)
