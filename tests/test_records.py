@@ -332,7 +332,7 @@ def test_donors_are_chosen_once_and_copied_nowhere(spark, monkeypatch, name):
 
 
 #: Queries that meet pairs of inputs and donors.
-PAIRED = ("prediction_rows", "runtime_records", "flag_counts", "donor_reuse", "donor_fragments", "distractor_by_tokens", "degraded_tokens", "degraded_faults", "degradation_summary", "runtime_rows", "prompt_deltas", "distractor_top1",)
+PAIRED = ("prediction_faults", "prediction_rows", "runtime_records", "flag_counts", "donor_reuse", "donor_fragments", "distractor_by_tokens", "degraded_tokens", "degraded_faults", "degradation_summary", "runtime_rows", "prompt_deltas", "distractor_top1",)
 
 
 @pytest.mark.parametrize("name", PAIRED)
